@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op10_benchmark_decontamination
+from .packing import op8_packing
 from .simhash import op6_simhash_near_dedup
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op6_simhash_near_dedup]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op6_simhash_near_dedup, op8_packing, op10_benchmark_decontamination]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
