@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_benchmark_decontamination
+from .lines import op1_line_dedup
 from .packing import op8_packing
+from .quality import op3_quality_classifier
 from .simhash import op6_simhash_near_dedup
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op6_simhash_near_dedup, op8_packing, op10_benchmark_decontamination]
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    op1_line_dedup,
+    op3_quality_classifier,
+    op6_simhash_near_dedup,
+    op8_packing,
+    op10_benchmark_decontamination,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

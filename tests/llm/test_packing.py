@@ -16,7 +16,8 @@ def test_ids_equal_the_tokenizer(spark):
     got = P.Encoder(P.default_tokenizer()).encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
     long = " ".join(texts)
-    small = [np.frombuffer(y, "<u4") for part in P.slices(long, 1000) for y in P.Encoder(P.default_tokenizer()).encode([part])]
+    encoder = P.Encoder(P.default_tokenizer())
+    small = [np.frombuffer(y, "<u4") for part in P.slices(long, 1000) for y in encoder.encode([part])]
     assert np.concatenate(small).tolist() == whole.encode(long, add_special_tokens=False).ids
 
 
