@@ -10,11 +10,13 @@ from .decontaminate import op10_benchmark_decontamination
 from .lines import op1_line_dedup
 from .packing import op8_packing
 from .quality import op3_quality_classifier
+from .rules import op5_quality_rules
 from .simhash import op6_simhash_near_dedup
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_line_dedup,
     op3_quality_classifier,
+    op5_quality_rules,
     op6_simhash_near_dedup,
     op8_packing,
     op10_benchmark_decontamination,
