@@ -11,7 +11,7 @@ from .lines import op1_line_dedup
 from .packing import op8_packing
 from .quality import op3_quality_classifier
 from .rules import op5_quality_rules
-from .simhash import op6_simhash_near_dedup
+from .simhash import op6_simhash_near_dedupfrom .suffix_dedup import op9_suffix_array_dedup
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_line_dedup,
@@ -19,6 +19,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op5_quality_rules,
     op6_simhash_near_dedup,
     op8_packing,
+    op9_suffix_array_dedup,
     op10_benchmark_decontamination,
 ]
 
