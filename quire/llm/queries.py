@@ -11,7 +11,8 @@ from .lines import op1_line_dedup
 from .packing import op8_packing
 from .quality import op3_quality_classifier
 from .rules import op5_quality_rules
-from .simhash import op6_simhash_near_dedupfrom .suffix_dedup import op9_suffix_array_dedup
+from .simhash import op6_simhash_near_dedup
+from .suffix_dedup import op9_suffix_array_dedup
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_line_dedup,
