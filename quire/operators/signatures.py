@@ -11,7 +11,7 @@ from quire.plans.rounds import settled
 
 DEEPEST = 32
 #: The keys of a signature dictionary that are handed on, by column.
-CLAIMS = {"filter": "Filter", "sub_filter": "SubFilter", "name": "Name", "reason": "Reason", "location": "Location", "signed_at": "M"}
+CLAIMS = {"filter": "Filter", "sub_filter": "SubFilter", "signer": "Name", "reason": "Reason", "location": "Location", "signed_at": "M"}
 
 
 def range_verdict(r: Column, length: Column) -> Column:

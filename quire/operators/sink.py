@@ -63,7 +63,7 @@ def write_plain(objects: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def write_packed(objects: DataFrame, root: DataFrame) -> DataFrame:
-    """As write_plain, with objects other than streams in object streams of PER_STREAM, and a cross-reference stream."""
+    """As write_plain, with objects other than streams in object streams of PER_STREAM, and a cross-reference stream that lists only the numbers in use."""
     order = Window.partitionBy("file_id").orderBy("num")
     loose = objects.where("raw is null").withColumn("rn", F.row_number().over(order) - 1).withColumns({"bucket": F.floor(F.col("rn") / PER_STREAM), "index": F.col("rn") % PER_STREAM})
     high = objects.groupBy("file_id").agg(F.max("num").alias("high"))
@@ -78,13 +78,14 @@ def write_packed(objects: DataFrame, root: DataFrame) -> DataFrame:
     placed = _placed(direct.withColumn("chunk", object_bytes(F.col("num"), F.col("body"), F.col("raw"))))
     table = placed.select("file_id", "num", F.lit(1).alias("kind"), "offset", F.lit(0).alias("third")).unionByName(loose.select("file_id", "num", F.lit(2).alias("kind"), F.col("strm").alias("offset"), F.col("index").cast("int").alias("third")))
     digits = lambda x, n: F.lpad(F.hex(x.cast("long")), n, "0")
-    table = table.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("num", F.concat(F.lit("0"), F.col("kind").cast("string"), digits(F.col("offset"), 8), digits(F.col("third"), 4)).alias("row")))).alias("at"), F.max("num").alias("top"))
+    table = table.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("num", F.concat(F.lit("0"), F.col("kind").cast("string"), digits(F.col("offset"), 8), digits(F.col("third"), 4)).alias("row")))).alias("at"), F.max("num").alias("top"))
     files = placed.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("num", "chunk"))).alias("parts"), F.max(F.col("offset") + F.octet_length("chunk")).alias("xref")).join(table, "file_id").join(root, "file_id")
     own = F.concat(F.lit("01"), digits(F.col("xref"), 8), F.lit("0000"))
-    rows = F.concat(F.lit("0000000000FFFF"), F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), "top"), lambda n: F.coalesce(F.col("at")[n], F.lit("00000000000000"))), ""), own)
+    rows = F.concat(F.lit("0000000000FFFF"), F.array_join(F.transform("at", lambda x: x["row"]), ""), own)
+    index = F.concat(F.lit("0 1 "), F.array_join(F.transform("at", lambda x: F.concat(x["num"].cast("string"), F.lit(" 1 "))), ""), (F.col("top") + 1).cast("string"), F.lit(" 1"))
     files = files.withColumn("raw", deflated(F.unhex(rows)))
     size = (F.col("top") + 2).cast("string")
-    entries = F.concat(F.lit("/Filter/FlateDecode/Root "), F.col("root").cast("string"), F.lit(" 0 R/Size "), size, F.lit("/Type/XRef/W[1 4 2]"))
+    entries = F.concat(F.lit("/Filter/FlateDecode/Index["), index, F.lit("]/Root "), F.col("root").cast("string"), F.lit(" 0 R/Size "), size, F.lit("/Type/XRef/W[1 4 2]"))
     last = object_bytes(F.col("top") + 1, stream_body(entries, F.col("raw")), F.col("raw"))
     tail = bytes_of(F.concat(F.lit("startxref\n"), F.col("xref").cast("string"), F.lit("\n%%EOF\n")))
     return files.select("file_id", joined(F.concat(F.array(F.lit(HEADER)), F.transform("parts", lambda p: p["chunk"]), F.array(last, tail))).alias("content"))

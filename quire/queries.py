@@ -253,3 +253,182 @@ def s13_repaired_files(spark, sf_dir):
     files = source_files(spark, sf_dir)
     cut = F.unhex(F.regexp_extract(F.hex("content"), "^(.*)787265660A30", 1))
     return shown(files.select("file_id", cut.alias("content"))).withColumnRenamed("file_id", "source")
+
+
+# Incremental updates: a file a user-number block, a section a batch of events, newest first by /Prev.
+def updated_files(spark, sf_dir, batches: int = 4) -> DataFrame:
+    """Object 10 + user_id of a file has the last value of the user's events; older ones stand in older sections."""
+    ev = table(spark, sf_dir, "events").where("user_id is not null and event_id is not null")
+    ev = ev.select(F.concat(F.lit("u"), F.pmod("user_id", F.lit(7)).cast("string")).alias("file_id"), (F.col("user_id") + 10).alias("num"), "event_id", "value")
+    bounds = ev.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    ev = ev.crossJoin(F.broadcast(bounds)).withColumn("batch", F.least(F.floor((F.col("event_id") - F.col("lo")) * batches / (F.col("hi") - F.col("lo") + 1)), F.lit(batches - 1)).cast("int")).drop("lo", "hi")
+    last = ev.groupBy("file_id", "batch", "num").agg(F.max_by("value", "event_id").alias("value"))
+    body = bytes_of(F.concat(F.lit("["), F.format_string("%.6f", F.col("value")), F.lit("]")))
+    first = last.select("file_id").distinct().select("file_id", F.lit(-1).alias("batch"), F.explode(F.array(F.struct(F.lit(1).cast("long").alias("num"), F.lit(b"<</Pages 2 0 R/Type/Catalog>>").alias("body")), F.struct(F.lit(2).cast("long").alias("num"), F.lit(b"<</Count 0/Kids[]/Type/Pages>>").alias("body")))).alias("o")).select("file_id", "batch", "o.*")
+    objs = last.select("file_id", "batch", "num", body.alias("body")).unionByName(first)
+    parts = objs.withColumn("chunk", sink.object_bytes(F.col("num"), F.col("body"), F.lit(None).cast("binary")))
+
+    def assemble(sections: list) -> bytes:
+        """Sections in order, each with its objects and its own table; offsets only are computed here."""
+        out, prev = bytearray(sink.HEADER), None
+        for s in sorted(sections, key=lambda s: s["batch"]):
+            lines = []
+            for p in sorted(s["parts"], key=lambda p: p["num"]):
+                lines.append(b"%d 1\n%010d 00000 n \n" % (p["num"], len(out)))
+                out += bytes(p["chunk"])
+            at = len(out)
+            out += b"xref\n" + b"".join(lines) + b"trailer\n<</Root 1 0 R/Size 99999" + (b"/Prev %d" % prev if prev is not None else b"") + b">>\nstartxref\n%d\n%%%%EOF\n" % at
+            prev = at
+        return bytes(out)
+
+    grouped = parts.groupBy("file_id", "batch").agg(F.collect_list(F.struct("num", "chunk")).alias("parts")).groupBy("file_id").agg(F.collect_list(F.struct("batch", "parts")).alias("s"))
+    return grouped.select("file_id", F.udf(assemble, "binary", useArrow=True)("s").alias("content"))
+
+
+def _values(files: DataFrame) -> DataFrame:
+    objs, _ = objects.opened(files)
+    return objs.where("kind = 'array'").select((F.col("num") - 10).alias("user_id"), F.regexp_extract(F.decode("body", "ISO-8859-1"), r"\[(.*)\]", 1).cast("double").alias("value"))
+
+
+NEWEST = "SELECT user_id, CAST(printf('%.6f', arg_max(value, event_id)) AS DOUBLE) AS value FROM events GROUP BY user_id"
+
+
+@query(NEWEST)
+def s9_newest_section(spark, sf_dir):
+    return _values(updated_files(spark, sf_dir))
+
+
+@query(NEWEST)
+def s13_last_object(spark, sf_dir):
+    """The same files without any startxref: of each number the last object counts."""
+    files = updated_files(spark, sf_dir)
+    gone = F.unhex(F.regexp_replace(F.hex("content"), F.hex(F.encode(F.lit("startxref"), "US-ASCII")), F.hex(F.encode(F.lit("startxxxx"), "US-ASCII"))))
+    return _values(files.select("file_id", gone.alias("content")))
+
+
+@query("SELECT n_nationkey, CAST(r_regionkey + 1 AS BIGINT) AS width FROM nation JOIN region ON n_regionkey = r_regionkey")
+def s20_inherited_box(spark, sf_dir):
+    """A node of the tree a region, with the box that its nations' pages take from it."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    one = F.lit("world").alias("file_id")
+    leaf = nation.select(one, (F.col("n_nationkey") + 100).cast("long").alias("num"), bytes_of(F.concat(F.lit("<</Type/Page/Parent "), (F.col("n_regionkey") + 10).cast("string"), F.lit(" 0 R>>"))).alias("body"))
+    kids = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("k"))
+    spelled = F.array_join(F.transform("k", lambda k: F.concat((k + 100).cast("string"), F.lit(" 0 R"))), " ")
+    node = region.join(kids, region["r_regionkey"] == kids["n_regionkey"]).select(one, (F.col("r_regionkey") + 10).cast("long").alias("num"), bytes_of(F.concat(F.lit("<</Count "), F.size("k").cast("string"), F.lit("/Kids["), spelled, F.lit("]/MediaBox[0 0 "), (F.col("r_regionkey") + 1).cast("string"), F.lit(" 1]/Parent 2 0 R/Type/Pages>>"))).alias("body"))
+    all_ = F.array_join(F.transform(F.array_sort(F.collect_list("r_regionkey")), lambda k: F.concat((k + 10).cast("string"), F.lit(" 0 R"))), " ")
+    top = region.agg(all_.alias("k")).select(one, F.lit(2).cast("long").alias("num"), bytes_of(F.concat(F.lit("<</Count 25/Kids["), "k", F.lit("]/Type/Pages>>"))).alias("body"))
+    root = top.select("file_id", F.lit(1).cast("long").alias("num"), F.lit(b"<</Pages 2 0 R/Type/Catalog>>").alias("body"))
+    made = leaf.unionByName(node).unionByName(top).unionByName(root).withColumn("raw", F.lit(None).cast("binary"))
+    objs, documents = objects.opened(sink.write_plain(made, roots(made)))
+    found = pages.pages(objs, documents)
+    box = pages.attributes(found, objs).where("key = 'MediaBox'")
+    return found.join(box, ["file_id", "page_no"]).select((F.col("num") - 100).cast("int").alias("n_nationkey"), F.regexp_extract("value", r"\[0 0 (\d+) 1\]", 1).cast("long").alias("width"))
+
+
+def _merged_sources(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return objects.opened(source_files(spark, sf_dir))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS pages, CAST(count(DISTINCT text) AS BIGINT) AS texts, CAST(count(DISTINCT source) AS BIGINT) AS sources FROM documents")
+def w6_merged_file(spark, sf_dir):
+    """All files copied into one, with a new catalogue over their page trees; then opened and read again."""
+    objs, documents = _merged_sources(spark, sf_dir)
+    one = sink.renumbered(objs.join(documents.select("file_id", F.col("root").alias("num")), ["file_id", "num"], "left_anti"), "all")
+    trees = documents.join(objs.withColumnRenamed("num", "root"), ["file_id", "root"]).select(F.col("file_id").alias("of"), objects.ref_number(F.col("entries")["Pages"]).alias("old"))
+    from quire.plans.rounds import settled
+
+    one = settled(one)
+    kids = one.join(trees, ["of", "old"]).agg(F.array_sort(F.collect_list("num")).alias("k"), F.count("*").alias("n"))
+    high = one.agg(F.max("num").alias("high"))
+    spelled = F.array_join(F.transform("k", lambda k: F.concat(k.cast("string"), F.lit(" 0 R"))), " ")
+    tree = kids.crossJoin(high).select(F.lit("all").alias("file_id"), (F.col("high") + 1).alias("num"), bytes_of(F.concat(F.lit("<</Count "), F.col("n").cast("string"), F.lit("/Kids["), spelled, F.lit("]/Type/Pages>>"))).alias("body"))
+    root = high.select(F.lit("all").alias("file_id"), (F.col("high") + 2).alias("num"), bytes_of(F.concat(F.lit("<</Pages "), (F.col("high") + 1).cast("string"), F.lit(" 0 R/Type/Catalog>>"))).alias("body"))
+    new = tree.unionByName(root).withColumn("raw", F.lit(None).cast("binary"))
+    made = one.select("file_id", "num", "body", "raw").unionByName(new)
+    pages_ = shown(sink.write_packed(made, root.select("file_id", F.col("num").alias("root"))))
+    return pages_.agg(F.count("*").alias("pages"), F.countDistinct("md5").alias("texts")).crossJoin(trees.agg(F.count("*").alias("sources")))
+
+
+def _order_file(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A file a block of orders: a page an order, an object a part, which the orders that have it share."""
+    from pyspark.sql import Window
+
+    items = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 100).cast("string").alias("file_id"), "l_orderkey", "l_partkey").distinct()
+    orders = items.groupBy("file_id", "l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+    part_num, page_num = lambda k: k + 10_000_000, lambda k: k + 100
+    uses = F.array_join(F.transform("parts", lambda k: F.concat(F.lit("/P"), k.cast("string"), F.lit(" "), part_num(k).cast("string"), F.lit(" 0 R"))), "")
+    leaf = orders.select("file_id", page_num(F.col("l_orderkey")).alias("num"), bytes_of(F.concat(F.lit("<</Parent 2 0 R/Resources<<"), uses, F.lit(">>/Type/Page>>"))).alias("body"))
+    part = items.select("file_id", "l_partkey").distinct().select("file_id", part_num(F.col("l_partkey")).alias("num"), bytes_of(F.concat(F.lit("<</Key "), F.col("l_partkey").cast("string"), F.lit(">>"))).alias("body"))
+    kids = orders.groupBy("file_id").agg(F.array_sort(F.collect_list(page_num(F.col("l_orderkey")))).alias("k"))
+    top = kids.select("file_id", F.lit(2).cast("long").alias("num"), bytes_of(F.concat(F.lit("<</Count "), F.size("k").cast("string"), F.lit("/Kids["), F.array_join(F.transform("k", lambda k: F.concat(k.cast("string"), F.lit(" 0 R"))), " "), F.lit("]/Type/Pages>>"))).alias("body"))
+    root = kids.select("file_id", F.lit(1).cast("long").alias("num"), F.lit(b"<</Pages 2 0 R/Type/Catalog>>").alias("body"))
+    made = leaf.unionByName(part).unionByName(top).unionByName(root).withColumn("raw", F.lit(None).cast("binary"))
+    return objects.opened(sink.write_packed(made, roots(made)))
+
+
+ORDERS = "WITH i AS (SELECT DISTINCT CAST(l_orderkey // 100 AS VARCHAR) AS file_id, l_orderkey, l_partkey FROM lineitem), f AS (SELECT file_id, min(l_orderkey) AS first FROM i GROUP BY 1) "
+
+
+@query(ORDERS + "SELECT i.file_id, l_partkey, CAST(CASE WHEN min(l_orderkey) = any_value(f.first) THEN 6 WHEN count(*) = 1 THEN 7 ELSE 8 END AS INTEGER) AS part, CAST(count(*) AS BIGINT) AS readers FROM i JOIN f ON i.file_id = f.file_id GROUP BY 1, 2")
+def p1_partition(spark, sf_dir):
+    objs, documents = _order_file(spark, sf_dir)
+    found = pages.pages(objs, documents)
+    placed = graph.partition(graph.reach(found, objs), objs, documents)
+    parts = objs.where("entries['Key'] is not null").select("file_id", "num")
+    return placed.join(parts, ["file_id", "num"]).select("file_id", (F.col("num") - 10_000_000).alias("l_partkey"), "part", "readers")
+
+
+@query(ORDERS + "SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY l_orderkey) AS INTEGER) AS page_no, CAST(count(*) + 1 AS BIGINT) AS reached FROM i GROUP BY file_id, l_orderkey")
+def p3_reach(spark, sf_dir):
+    objs, documents = _order_file(spark, sf_dir)
+    return graph.reach(pages.pages(objs, documents), objs).groupBy("file_id", "page_no").agg(F.count("*").alias("reached"))
+
+
+@query("SELECT doc_id, CAST(1 + doc_id % 16 AS BIGINT) AS width, md5(text) AS md5 FROM documents")
+def c4_inline_images(spark, sf_dir):
+    """A grey image a document, one row of the first bytes of its digest, between two operators; digests may hold 'EI'."""
+    df = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), (1 + F.pmod("doc_id", F.lit(16))).alias("width"))
+    data = F.substring(F.unhex("md5"), F.lit(1), F.col("width").cast("int"))
+    stream = F.concat(bytes_of(F.concat(F.lit("q BI /W "), F.col("width").cast("string"), F.lit(" /H 1 /BPC 8 /CS /G ID "))), data, bytes_of(F.concat(F.lit("\nEI ("), "md5", F.lit(") Tj Q"))))
+    ops = pages.operations(df.select("doc_id", stream.alias("content")))
+    image = ops.where("operator = 'BI'").select("doc_id", F.regexp_extract("image", r"/Width (\d+)", 1).cast("long").alias("said"), F.octet_length("image_data").cast("long").alias("width")).where("said = width")
+    tj = ops.where("operator = 'Tj' and op_seq = 2").select("doc_id", F.regexp_extract(F.col("operands")[0], r"\((.*)\)", 1).alias("md5"))
+    return image.join(tj, "doc_id").select("doc_id", "width", "md5")
+
+
+@query("SELECT vec_id, CAST(8 + label % 50 AS BIGINT) AS width, CAST(len(list_filter(range(1, 4), lambda y: true)) AS BIGINT) AS rows, CAST(3 * (label % 7 + 1) AS BIGINT) AS black FROM embeddings WHERE label >= 0")
+def f8_fax(spark, sf_dir):
+    """Three rows a vector, each a run of white, one of black, and white to the end, in one-dimensional codes."""
+    from quire.kernels.fax import BLACK_ENDS, WHITE_ENDS
+
+    def write(width: int, black: int) -> bytes:
+        row = WHITE_ENDS[0] + BLACK_ENDS[black] + WHITE_ENDS[width - black]
+        bits = row * 3
+        return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+    df = table(spark, sf_dir, "embeddings").where("label >= 0").select("vec_id", (8 + F.col("label") % 50).cast("long").alias("width"), (F.col("label") % 7 + 1).cast("long").alias("n"))
+    raw = F.udf(write, "binary", useArrow=True)("width", "n")
+    parms = F.concat(F.lit("<</K 0/EndOfBlock false/BlackIs1 true/Rows 3/Columns "), F.col("width").cast("string"), F.lit(">>"))
+    back = df.select("vec_id", "width", decode_filter(raw, "CCITTFaxDecode", parms)["data"].alias("d"))
+    bits = F.aggregate(F.regexp_extract_all(F.hex("d"), F.lit("(..)"), F.lit(1)), F.lit(0).cast("long"), lambda a, h: a + F.bit_count(F.conv(h, 16, 10).cast("long")))
+    return back.select("vec_id", "width", F.floor(F.octet_length("d") / F.ceil(F.col("width") / 8)).cast("long").alias("rows"), bits.alias("black"))
+
+
+@query("SELECT source, CAST(20 + count(*) AS BIGINT) AS signed, true AS covers_whole_file, md5(source) AS name FROM documents GROUP BY source")
+def g1_signatures(spark, sf_dir):
+    """A file a source with one signature field; the signed bytes are all but the gap."""
+    docs = table(spark, sf_dir, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
+
+    def build(name: str, n: int) -> bytes:
+        head = b"%%PDF-1.7\n1 0 obj\n<</AcroForm 3 0 R/Pages 2 0 R/Type/Catalog>>\nendobj\n2 0 obj\n<</Count 0/Kids[]/Type/Pages>>\nendobj\n3 0 obj\n<</Fields[4 0 R]>>\nendobj\n4 0 obj\n<</FT/Sig/T(%s)/V 5 0 R>>\nendobj\n5 0 obj\n<</Filter/Adobe.PPKLite/SubFilter/adbe.pkcs7.detached/ByteRange[" % name.encode()
+        gap, tail = b"<30030201050000>", b">>\nendobj\ntrailer\n<</Root 1 0 R>>\n%" + b"x" * n
+        a = len(head) + len("0 0000000000 0000000000 0000000000]/Contents")
+        ranges = b"0 %d %d %d" % (a, a + len(gap), len(tail))
+        ranges = ranges.ljust(len("0 0000000000 0000000000 0000000000"))
+        return head + ranges + b"]/Contents" + gap + tail
+
+    files = docs.select(F.col("source").alias("file_id"), "n", F.udf(build, "binary", useArrow=True)(F.md5("source"), F.col("n")).alias("content"))
+    objs, documents = objects.opened(files)
+    found = signatures.signatures(files, objs, documents).where("hex(contents) = '3003020105' and filter = '/Adobe.PPKLite'")
+    base = F.octet_length("content") - F.lit(16) - F.col("n") - F.octet_length("signed") + F.col("n")
+    return found.join(files, "file_id").select(F.col("file_id").alias("source"), (F.lit(20) + F.col("n") + base).alias("signed"), "covers_whole_file", "name")
