@@ -432,3 +432,56 @@ def g1_signatures(spark, sf_dir):
     found = signatures.signatures(files, objs, documents).where("hex(contents) = '3003020105' and filter = '/Adobe.PPKLite'")
     base = F.octet_length("content") - F.lit(16) - F.col("n") - F.octet_length("signed") + F.col("n")
     return found.join(files, "file_id").select(F.col("file_id").alias("source"), (F.lit(20) + F.col("n") + base).alias("signed"), "covers_whole_file", "name")
+
+
+@query(SHOWN)
+def e5_decrypted_files(spark, sf_dir):
+    """The files with streams under AES-128 by a user password, their dictionary in clear, opened with that password."""
+    from quire.kernels import legacy_crypt as crypt
+    from quire.kernels.syntax import Name, format_value
+    from quire.operators import security
+
+    ident, rights = b"0123456789abcdef", -44
+    owner = crypt.owner_entry(b"boss", b"guest", 4, 16)
+    key = crypt.file_key(b"guest", owner, rights, ident, 4, 16)
+    entries = {Name("Filter"): Name("Standard"), Name("V"): 4, Name("R"): 4, Name("Length"): 128, Name("P"): rights, Name("O"): owner, Name("U"): crypt.user_entry(key, ident, 4) + bytes(16), Name("CF"): {Name("StdCF"): {Name("CFM"): Name("AESV2")}}, Name("StmF"): Name("StdCF"), Name("StrF"): Name("StdCF")}
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    plain = page_objects(docs, F.concat(F.lit("("), F.md5("text"), F.lit(")")))
+    # odd numbers that no page of a file of fewer than 4 million documents has
+    lock = plain.select("file_id").distinct().select("file_id", F.lit(8_000_001).cast("long").alias("num"), F.lit(format_value(entries)).alias("body"), F.lit(None).cast("binary").alias("raw"))
+    locked = security.encrypted(plain, key).withColumn("body", F.when(F.col("raw").isNotNull(), stream_body(F.lit("/Filter/FlateDecode"), F.col("raw"))).otherwise(F.col("body")))
+    parts = locked.unionByName(lock).withColumn("chunk", sink.object_bytes(F.col("num"), F.col("body"), F.col("raw")))
+    tail = F.lit(b"trailer\n<</Root 1 0 R/Encrypt 8000001 0 R/ID[<" + ident.hex().encode() + b"><00>]>>\n")
+    files = parts.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("num", "chunk"))).alias("p")).select("file_id", sink.joined(F.concat(F.array(F.lit(sink.HEADER)), F.transform("p", lambda x: x["chunk"]), F.array(tail))).alias("content"))
+    objs, documents = objects.opened(files)
+    objs = security.decrypted(objs, security.protection(documents, objs, "guest"))
+    found = pages.pages(objs, documents)
+    ops = pages.operations(pages.contents(found, objs).select("file_id", "page_no", "content"))
+    return ops.where("operator = 'Tj'").select(F.col("file_id").alias("source"), "page_no", F.regexp_extract(F.col("operands")[0], r"\((.*)\)", 1).alias("md5"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey % 512 AS BIGINT) AS a, CAST(o_orderkey % 512 AS BIGINT) AS b, CAST(3 AS BIGINT) AS n FROM orders")
+def h3_hint_bits(spark, sf_dir):
+    """Two fields and a zero in nine bits each, packed and read again."""
+    from quire.operators.linear import packed_bits, unpacked_bits
+
+    df = table(spark, sf_dir, "orders")
+    fields = F.array(F.pmod("o_custkey", F.lit(512)), F.pmod("o_orderkey", F.lit(512)), F.lit(0).cast("long"))
+    back = df.select("o_orderkey", unpacked_bits(packed_bits(fields, 9), 9, F.lit(3).cast("long")).alias("v"))
+    return back.select("o_orderkey", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"), F.size("v").cast("long").alias("n"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'not linearized' WHEN o_orderkey % 3 = 1 THEN 'length changed since' END AS error, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS BIGINT) END AS pages FROM orders")
+def h1_linearized(spark, sf_dir):
+    """Heads of files with a parameter dictionary that is right, that states another length, or that is something else."""
+    from quire.operators.linear import linearized
+
+    df = table(spark, sf_dir, "orders")
+    kind = F.col("o_orderkey") % 3
+    key = F.when(kind == 0, "/Version 1").otherwise("/Linearized 1")
+    start = F.concat(F.lit("%PDF-1.7\n9 0 obj\n<<"), key, F.lit("/N "), F.col("o_custkey").cast("string"), F.lit("/L "))
+    body = F.concat(F.lit(">>\nendobj\n"), F.repeat(F.lit("x"), 100))
+    whole = F.length(start) + F.length(body) + 3
+    content = F.concat(start, F.when(kind == 1, whole + 1).otherwise(whole).cast("string"), body)
+    found = linearized(df.select(F.col("o_orderkey").cast("string").alias("file_id"), bytes_of(content).alias("content")))
+    return found.select(F.col("file_id").cast("long").alias("o_orderkey"), "error", F.col("claim")["N"].alias("pages"))
