@@ -29,9 +29,9 @@ from .suffixes import covered
 LENGTH = 50
 K = 24
 #: Raw bytes of documents in a block, and of blocks that one bucket stands for.
-BLOCK, BUCKET = 2 << 20, 24 << 20
+BLOCK, BUCKET = 1 << 20, 8 << 20
 #: Snippets in a collection (a minimizer's are not parted), and blocks from which a minimizer is split by windows.
-COLLECTION, HOT = 20_000, 4096
+COLLECTION, HOT = 3_000, 4096
 NO_ID = np.iinfo(np.int64).max
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -101,7 +101,8 @@ class Segments:
         cut[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | ~whole[:-1]
         begin = np.flatnonzero(cut & whole)
         ends = np.flatnonzero(np.append(cut[1:] | ~whole[1:], True) & whole)
-        self.first, self.last, self.hash, self.doc = begin, ends, h[place[begin]], doc[begin]
+        # least hashes are small ones: mixed again, they spread evenly over buckets
+        self.first, self.last, self.hash, self.doc = begin, ends, _mixed(h[place[begin]]), doc[begin]
 
     def take(self, keep: np.ndarray) -> None:
         self.first, self.last, self.hash, self.doc = self.first[keep], self.last[keep], self.hash[keep], self.doc[keep]
@@ -144,9 +145,12 @@ WIDTH = 2 * LENGTH - K
 def _snippets(seg: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (hash, snippet) in order: hashes, lengths, bytes in rows of WIDTH; each segment's number; least document of each by `ids` order later."""
     length = seg.last - seg.first + LENGTH
-    column = np.arange(WIDTH)
-    at = np.minimum(seg.first[:, None] + column, len(seg.data) - 1)
-    rows = np.where(column < length[:, None], seg.data[at], 0).astype(np.uint8) if len(length) else np.zeros((0, WIDTH), np.uint8)
+    column = np.arange(WIDTH, dtype=np.int32)
+    rows = np.zeros((len(length), WIDTH), np.uint8)
+    for at in range(0, len(length), 8192):
+        some = slice(at, at + 8192)
+        where = np.minimum(seg.first[some, None].astype(np.int32) + column, len(seg.data) - 1)
+        rows[some] = seg.data[where] * (column < length[some, None])
     return _distinct(seg.hash, length, rows)
 
 
@@ -165,63 +169,83 @@ def _distinct(h: np.ndarray, length: np.ndarray, rows: np.ndarray):
     return h[order][new], length[order][new], key[new][:, 9:], number
 
 
+STRIDE = 32
+
+
+def range_minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min(x[a:b]) for each of many ranges, none empty; long ones go by the minima of STRIDE places."""
+    out = np.empty(len(a), x.dtype)
+    x = np.append(x, np.full(-len(x) % STRIDE + STRIDE, np.iinfo(x.dtype).max, x.dtype))
+    least = lambda y, lo, hi: np.minimum.reduceat(y, np.stack([lo, hi], axis=1).ravel())[::2] if len(lo) else y[:0]
+    short = b - a <= 2 * STRIDE
+    out[short] = least(x, a[short], b[short])
+    a, b = a[~short], b[~short]
+    head, tail = -(-a // STRIDE), b // STRIDE
+    ends = np.minimum(least(x, a, head * STRIDE), least(x, np.minimum(tail * STRIDE, b - 1), b))
+    out[~short] = np.minimum(ends, least(x.reshape(-1, STRIDE).min(axis=1), head, tail))
+    return out
+
+
 def collection_groups(rows: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
     """For each suffix of `depth` symbols or more, by string and then by start, a number of its first `depth` symbols.
 
     Builds the collection's transform and common prefixes. Symbols are UTF-8 bytes plus one, 0 ends a string. After
     round r the files hold, for all suffixes of r symbols at most in order, the symbol before each and the length it
-    shares with the one above it.
+    shares with the one above it. The rows of each symbol, kept in order, give the ranks that place the next column.
     """
-    count = len(lengths)
-    before = lambda r: np.where(lengths >= r, rows[np.arange(count), np.maximum(lengths - r, 0)].astype(np.int64) + 1, 0).astype(np.uint8)
+    count, most = len(lengths), int(lengths.max(initial=0))
+    mask = (1 << 40) - 1
+
+    def before(strings: np.ndarray, r: int) -> np.ndarray:
+        """The symbols before the suffixes of r - 1 symbols."""
+        found = rows[strings, np.maximum(lengths[strings] - r, 0)].astype(np.int64) + 1
+        return np.where(lengths[strings] >= r, found, 0)
+
     with tempfile.TemporaryDirectory() as folder:
         files = [(os.path.join(folder, f"bwt{k}"), os.path.join(folder, f"lcp{k}")) for k in (0, 1)]
-        before(1).tofile(files[0][0])
-        np.zeros(count, np.uint8).tofile(files[0][1])
         strings, place = np.arange(count), np.arange(count)
-        for r in range(1, int(lengths.max(initial=0)) + 1):
+        symbol = before(strings, 1)
+        seen = np.sort(symbol << 40 | place)
+        symbol.astype(np.uint8).tofile(files[0][0])
+        np.zeros(count, np.uint8).tofile(files[0][1])
+        for r in range(1, most + 1):
             bwt, lcp = (np.fromfile(f, np.uint8) for f in files[(r - 1) % 2])
-            live = lengths[strings] >= r
-            strings, place = strings[live], place[live]
-            order = np.argsort(bwt, kind="stable")
-            inverse = np.empty(len(order), np.int32)
-            inverse[order] = np.arange(len(order), dtype=np.int32)
-            ended = int((bwt == 0).sum())
-            k = inverse[place]
-            sort = np.argsort(k)
-            k, strings = k[sort].astype(np.int64), strings[sort]
-            new = np.zeros(len(order) + 1, bool)
-            new[k] = True
-            # common prefixes of the new rows, and of the old rows that get a new one above them
-            touched = np.union1d(k, (k + 1)[~new[k + 1] & (k + 1 < len(order))])
-            here, above = order[touched], order[touched - 1]
-            same = (touched > 0) & (bwt[here] == bwt[above])
+            live = symbol > 0
+            key = symbol[live] << 40 | place[live]
+            sort = np.argsort(key)
+            k, strings = np.searchsorted(seen, key[sort]), strings[live][sort]
+            shift = count - int(np.searchsorted(seen, 1 << 40))
+            # common prefixes of the new rows, and of the rows below them
+            new = np.zeros(len(seen) + 1, bool)
+            new[k] = new[k + 1] = True
+            touched = np.flatnonzero(new[:-1])
+            here, above = seen[touched], seen[touched - 1]
+            same = (touched > 0) & (here >> 40 == above >> 40)
             value = np.zeros(len(touched), np.uint8)
-            if same.any():
-                bounds = np.stack([above[same] + 1, here[same] + 1], axis=1).ravel()
-                value[same] = np.minimum.reduceat(np.append(lcp, 0), bounds)[::2] + 1
-            size = len(order) + len(k)
-            row = count + k - ended
-            old = np.ones(size, bool)
-            old[row] = False
-            next_bwt, next_lcp = np.empty(size, np.uint8), np.empty(size, np.uint8)
-            next_bwt[old], next_lcp[old] = bwt, lcp
-            next_bwt[row] = before(r + 1)[strings]
-            next_lcp[count + touched - ended] = value
+            value[same] = range_minima(lcp, (above[same] & mask) + 1, (here[same] & mask) + 1) + 1
+            place = shift + k
+            old = np.ones(len(seen) + len(k), bool)
+            old[place] = False
+            symbol = before(strings, r + 1)
+            next_bwt, next_lcp = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
+            next_bwt[old], next_bwt[place] = bwt, symbol
+            next_lcp[old] = lcp
+            next_lcp[shift + touched] = value
             next_bwt.tofile(files[r % 2][0])
             next_lcp.tofile(files[r % 2][1])
-            place = row
-        last = int(lengths.max(initial=0)) % 2
-        bwt, lcp = (np.fromfile(f, np.uint8) for f in files[last])
+            seen = (seen & ~mask) | np.flatnonzero(old)[seen & mask]
+            added = np.sort(symbol << 40 | place)
+            seen = np.insert(seen, np.searchsorted(seen, added), added)
+        lcp = np.fromfile(files[most % 2][1], np.uint8)
     # walking back through the transform gives the rows of ever longer suffixes
-    step = np.empty(len(bwt), np.int64)
-    step[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    step = np.empty(len(seen), np.int64)
+    step[seen & mask] = np.arange(len(seen))
     group = np.cumsum(lcp < depth)
     windows = np.maximum(lengths - depth + 1, 0)
     begin = np.concatenate([[0], np.cumsum(windows)])
     out = np.zeros(begin[-1], np.int64)
     strings, row = np.arange(count), np.arange(count)
-    for r in range(1, int(lengths.max(initial=0)) + 1):
+    for r in range(1, most + 1):
         live = lengths[strings] >= r
         strings, row = strings[live], step[row[live]]
         if r >= depth:
@@ -239,19 +263,23 @@ def least_documents(h: np.ndarray, length: np.ndarray, rows: np.ndarray, least:
     np.minimum.at(low, number, least)
     windows = ul - LENGTH + 1
     begin = np.concatenate([[0], np.cumsum(windows)])
-    found = np.empty(begin[-1], np.int64)
-    heads = np.flatnonzero(np.concatenate([[True], uh[1:] != uh[:-1]])) if len(uh) else np.zeros(0, np.int64)
+    found = np.repeat(low, windows)
+    # a snippet that is the only one with its minimizer shares no window with another: its windows' least document is its own
+    new = np.concatenate([[True], uh[1:] != uh[:-1]]) if len(uh) else np.zeros(0, bool)
+    shared = np.flatnonzero(~(new & np.append(new[1:], True)))
+    heads = np.flatnonzero(new[shared])
     cuts = [0]
-    for a, b in zip(heads, [*heads[1:], len(uh)], strict=True):
+    for a, b in zip(heads, [*heads[1:], len(shared)], strict=False):
         if b - cuts[-1] > COLLECTION and a > cuts[-1]:
             cuts.append(int(a))
-    for a, b in zip(cuts, [*cuts[1:], len(uh)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(shared)], strict=True):
         if a == b:
             continue
-        group = collection_groups(ur[a:b], ul[a:b], LENGTH)
+        own = shared[a:b]
+        group = collection_groups(ur[own], ul[own], LENGTH)
         best = np.full(group.max() + 1, NO_ID)
-        np.minimum.at(best, group, np.repeat(low[a:b], windows[a:b]))
-        found[begin[a] : begin[b]] = best[group]
+        np.minimum.at(best, group, np.repeat(low[own], windows[own]))
+        found[_ranges(begin[own], begin[own + 1])] = best[group]
     return found[_ranges(begin[number], begin[number + 1])]
 
 
@@ -315,7 +343,7 @@ def _to_blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFr
 
 def _packed_verdicts(rows) -> np.ndarray:
     """A block's verdicts, bucket after bucket."""
-    parts = sorted(rows, key=lambda r: r["bucket"])
+    parts = sorted(rows if rows is not None else [], key=lambda r: r["bucket"])
     return np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(_unpress(r["found"]), np.uint8) for r in parts]])
 
 
@@ -356,14 +384,14 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET, ho
     sent = blocks.mapInPandas(hashes, "bucket long, block long, short binary, many binary")
     found = sent.groupBy("bucket").applyInPandas(verdicts, "bucket long, block long, found binary")
     found = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "found")).alias("verdicts"))
-    joined = blocks.join(found, "block", "left")
-    marked = stage(joined.mapInPandas(_with_verdicts, "block long, ids binary, known binary, lens binary, data binary, verdict binary"), "marked")
+    found = stage(found, "verdicts")
+    marked = blocks.drop("raw").join(found, "block", "left")
 
     def snippets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 b = Block(row)
-                b.narrow(np.frombuffer(_unpress(row.verdict), np.uint8))
+                b.narrow(_packed_verdicts(row.verdicts))
                 h, length, rows, number = _snippets(b.segments)
                 least = np.full(len(h), NO_ID)
                 np.minimum.at(least, number, b.ids[b.segments.doc])
@@ -391,17 +419,11 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET, ho
     return marked.join(told, "block", "left").mapInPandas(_cleaned, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
 
 
-def _with_verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        verdict = [_press(_packed_verdicts(v if v is not None else []).tobytes()) for v in batch["verdicts"]]
-        yield batch[["block", "ids", "known", "lens", "data"]].assign(verdict=verdict)
-
-
 def _cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples():
             b = Block(row)
-            b.narrow(np.frombuffer(_unpress(row.verdict), np.uint8))
+            b.narrow(_packed_verdicts(row.verdicts))
             seg = b.segments
             _, length, _, number = _snippets(seg)
             parts = sorted(row.lows if row.lows is not None else [], key=lambda r: r["bucket"])
