@@ -8,8 +8,9 @@ words, of fixed number, and sums reach the driver; so do the model's weights, of
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from .suffix_dedup import NO_ID, _press, _to_blocks, _unpress
 
 BLOCK, BUCKET = 2 << 20, 24 << 20
 FOLDS, HELD_OUT = 5, 1
-#: Chunks of weights that one task averages; more go through further rounds.
+#: Lists of frequent words, or chunks of weights, that one task joins; more go through further rounds.
 FAN_IN = 64
 
 
@@ -31,7 +32,7 @@ def held_out(doc_id: int, known: bool) -> bool:
 
 
 class Words:
-    """A block's tokens: distinct words in order of bucket and bytes, the number of each token, where texts start, and which are held out."""
+    """A block's tokens: distinct words in order of bucket, the number of each token, where texts start, and which are held out."""
 
     def __init__(self, row, buckets: int):
         ids = np.frombuffer(row.ids, np.int64)
@@ -40,22 +41,22 @@ class Words:
         data = _unpress(row.data)
         self.ids, self.known = ids, known
         self.held = np.array([held_out(i, k) for i, k in zip(ids.tolist(), known, strict=True)], bool)
-        number: dict[bytes, int] = {M.END: 0}
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        end = np.full(1, number[M.END])
         lists = []
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             words = data[a:b].lower().split()
-            lists.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
-        end = np.zeros(1, np.int64)
+            lists.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
         tokens = np.concatenate([x for own in lists for x in (own, end)]) if lists else end[:0]
         self.begin = np.cumsum([0, *(len(x) + 1 for x in lists)])
         words = list(number)
         self.hash = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-        bucket = (self.hash % np.uint64(buckets)).astype(np.int64).tolist()
-        order = sorted(range(len(words)), key=lambda k: (bucket[k], words[k]))
+        bucket = (self.hash % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        self.words = [words[k] for k in order]
-        self.hash, self.bucket = self.hash[order], np.array([bucket[k] for k in order])
+        self.words = [words[k] for k in order.tolist()]
+        self.hash, self.bucket = self.hash[order], bucket[order]
         self.tokens = back[tokens]
         self.owner = np.repeat(np.arange(len(lists)), np.diff(self.begin))
         self.first = np.zeros(len(self.tokens), bool)
@@ -72,6 +73,20 @@ class Words:
         return cls[t], place[t], before[only], earlier[only]
 
 
+def _frequent(total: Counter[bytes]) -> list[tuple[bytes, int]]:
+    """The words of a full vocabulary that may be in it: the most frequent, and the end of a text in any case."""
+    size = M.CLASSES * M.PER_CLASS
+    top = sorted(((w, n) for w, n in total.items() if n), key=lambda x: (-x[1], x[0]))[:size]
+    if total.get(M.END) and M.END not in dict(top):
+        top[-1:] = [(M.END, total[M.END])]
+    return top
+
+
+def _merged(group: pd.DataFrame) -> pd.DataFrame:
+    top = _frequent(Counter({w.encode(): n for words, counts in zip(group["top_words"], group["top_counts"], strict=True) for w, n in zip(words, counts, strict=True)}))
+    return pd.DataFrame({"bucket": group["bucket"].iloc[:1] // FAN_IN, "top_words": [[w.decode() for w, _ in top]], "top_counts": [[n for _, n in top]]})
+
+
 def _counted(blocks: DataFrame, buckets: int) -> DataFrame:
     """bucket, block, counts (for each block), and for block null the bucket's sums: top words, rare_n and rare_v by class."""
 
@@ -100,7 +115,7 @@ def _counted(blocks: DataFrame, buckets: int) -> DataFrame:
                 k = M.rare_class(w) - M.CLASSES
                 rare_n[k] += n
                 rare_v[k] += 1
-        top = [(w, n) for w, n in total.most_common(M.CLASSES * M.PER_CLASS) if n]
+        top = _frequent(total)
         none = [None] * len(counts)
         return pd.DataFrame(
             {
@@ -119,17 +134,16 @@ def _counted(blocks: DataFrame, buckets: int) -> DataFrame:
     return stage(told, "counts")
 
 
-def _vocabulary(counted: DataFrame) -> M.Vocabulary:
+def _vocabulary(counted: DataFrame, buckets: int) -> M.Vocabulary:
     sums = counted.where("block is null")
-    size = M.CLASSES * M.PER_CLASS
-    top = sums.select(F.explode(F.arrays_zip("top_words", "top_counts")).alias("x")).select("x.top_words", "x.top_counts")
-    top = [(r["top_words"].encode(), r["top_counts"]) for r in top.orderBy(F.desc("top_counts"), "top_words").limit(size).collect()]
+    lists = sums.select("bucket", "top_words", "top_counts")
+    while buckets > FAN_IN:
+        lists = lists.groupBy(F.floor(F.col("bucket") / FAN_IN)).applyInPandas(_merged, "bucket long, top_words array<string>, top_counts array<long>")
+        buckets = -(-buckets // FAN_IN)
+    top = _frequent(Counter({w.encode(): n for r in lists.collect() for w, n in zip(r["top_words"], r["top_counts"], strict=True)}))
     one = sums.agg(*[F.coalesce(F.sum(F.get(c, F.lit(k))), F.lit(0)).alias(f"{c}{k}") for c in ("rare_n", "rare_v") for k in range(M.RARE)]).first()
     n, v = (np.array([one[f"{c}{k}"] for k in range(M.RARE)], np.int64) for c in ("rare_n", "rare_v"))
     total, types = int(n.sum()), int(v.sum())
-    if top and M.END not in dict(top):
-        ends = sums.select(F.explode(F.arrays_zip("top_words", "top_counts")).alias("x")).where(F.col("x.top_words") == M.END.decode()).select("x.top_counts").first()
-        top[-1] = (M.END, ends[0])
     for w, c in top:
         n[M.rare_class(w) - M.CLASSES] -= c
         v[M.rare_class(w) - M.CLASSES] -= 1
@@ -185,7 +199,7 @@ def scored(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> DataFra
     raw = blocks.agg(F.sum("raw")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-raw // bucket))
     counted = _counted(blocks, buckets)
-    v = _vocabulary(counted)
+    v = _vocabulary(counted, buckets)
     fitted = _fit(blocks, v, buckets) if v.total else None
     model = spark.sparkContext.broadcast((v, fitted))
     told = counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("told"))
