@@ -98,9 +98,9 @@ def f10_png_predictor(spark, sf_dir):
     return digests(df, decode_filter(encoded(lambda b: _png_rows(b, 64), F.col("b")), "FlateDecode", "<</Predictor 15/Columns 64>>"))
 
 
-@query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CAST(floor((x - floor(x)) * 200) AS BIGINT))) AS BIGINT) AS total, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")
+@query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) - floor(CAST(x AS DOUBLE))) * 200) AS BIGINT))) AS BIGINT) AS total, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")
 def f11_tiff_predictor(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x - F.floor(x)) * 200).cast("int")).alias("q"))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") - F.floor(x.cast("double"))) * 200).cast("int")).alias("q"))
     step = F.transform("q", lambda x, i: F.lpad(F.hex(F.pmod(x - F.when(i > 0, F.get("q", i - 1)).otherwise(0), F.lit(256)).cast("long")), 2, "0"))
     raw = encoded(zlib.compress, F.unhex(F.array_join(step, "")))
     parms = F.concat(F.lit("<</Predictor 2/Columns "), F.size("q").cast("string"), F.lit(">>"))
