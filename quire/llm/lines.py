@@ -5,9 +5,10 @@ hashed character shingles; bands of two minima bring candidates together; the ca
 similarity is computed exactly from their whole shingle sets; and a distributed union-find keeps the
 first line, by doc_id and place, of every component.
 
-Within a band's bucket lines are held against one leader after another, until each is like one or the bucket
-has had LEADERS of them. Those left go on in smaller buckets that also share another band, until none is left.
-So links grow in proportion to lines, and a bucket that a third of all lines share costs LEADERS times its rows.
+Within a band's bucket all lines are first held against LEADERS leaders, which joins most copies to components at
+the cost of a bucket's rows. Then every pair of a bucket that is not in one component yet is compared, block against
+block; only pairs that small sketches prove unlike are spared the comparison. No pair of a bucket is left out: those
+in one component can't change it.
 """
 
 from __future__ import annotations
@@ -26,8 +27,11 @@ SIMILARITY = 0.8
 #: with probability 0.97, of 0.85 with 0.995, of 0.9 with 0.9996; unlike lines hardly ever do.
 MINIMA = 16
 BANDS = [list(range(k, k + 4)) for k in (0, 4, 8, 12)] + [list(range(k, MINIMA, 4)) for k in range(3)]
-#: Leaders that a bucket has before it is made finer.
-LEADERS = 5
+#: Leaders that a bucket has before all its pairs are compared, and the members of a block then.
+LEADERS, BLOCK = 2, 256
+#: Longs in a sketch, and its columns.
+WORDS = 4
+SKETCH = ["n", *[f"s{w}" for w in range(WORDS)]]
 #: Lines with fewer characters are never held to be copies, unless they are equal and this long at least.
 SHORTEST = 16
 #: From this length on, signatures (never the exact comparison) use the longer shingles that start a word.
@@ -91,25 +95,65 @@ def _texts(docs: DataFrame, marked: DataFrame, members: DataFrame) -> DataFrame:
     return stage(once.select("id", shingle_set(F.col("line")).alias("shingles")), "sets")
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """id, n, s0..: the size of a shingle set and the parity of its members in each of 64 * WORDS cells."""
+    cell = F.col("h").bitwiseAND(F.lit(64 * WORDS - 1))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    each = sets.select("id", F.explode("shingles").alias("h"))
+    words = [F.bit_xor(F.when(F.shiftright(cell, 6) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(WORDS)]
+    return stage(each.groupBy("id").agg(F.count("*").alias("n"), *words), "sketches")
+
+
+def _possible(x: str, y: str, least: float) -> Column:
+    """False only where the sketches prove that two sets are less similar than `least`: sizes too far apart, or more cells of
+    unlike parity than the sets may have members in one only."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    unlike = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.s{w}").bitwiseXOR(F.col(f"{y}.s{w}"))) for w in range(WORDS)])
+    return (nx >= least * ny) & (ny >= least * nx) & (unlike * (1 + least) <= (nx + ny) * (1 - least) + 1e-6)
+
+
+def _mixed(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """members with the root of their component so far, in the buckets that have members of several components."""
+    if links is None:
+        return members.withColumn("root", F.col("id"))
+    groups = stage(components(links, "a", "b"), "groups")
+    rooted = stage(members.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    return stage(rooted.join(several, "bucket"), "mixed")
+
+
+def _blocked(rows: DataFrame, least: float) -> DataFrame:
+    """a, b: every pair of members of a bucket that are of different components and may be similar. Members are dealt over
+    blocks of about BLOCK, and a task gets one block against one."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    x = dealt.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other")).select("bucket", F.col("block").alias("lo"), F.col("other").alias("hi"), "id", "root", *SKETCH).alias("x")
+    y = dealt.select("*", F.explode(F.sequence(F.lit(0), "block")).alias("other")).select("bucket", F.col("other").alias("lo"), F.col("block").alias("hi"), "id", "root", *SKETCH).alias("y")
+    met = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("bucket", "lo", "hi")]
+    once = (F.col("x.lo") < F.col("x.hi")) | (F.col("x.id") < F.col("y.id"))
+    pairs = x.join(y, reduce(Column.__and__, [*met, F.col("x.root") != F.col("y.root"), once, _possible("x", "y", least)]))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def _links(marked: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """a, b: verified links between distinct lines."""
+    """a, b: verified links between distinct lines, with the components of all similar pairs that share a bucket."""
     members = _members(marked)
-    lines = _texts(docs, marked, members)
-    found, open_, heads = [], members, None
-    for step in range(LEADERS + len(BANDS)):
-        if step >= LEADERS:
-            bands = marked.select("id", F.get("bands", F.lit(step % len(BANDS))).alias("also")).distinct()
-            open_ = members = stage(open_.join(bands, "id").select("id", F.xxhash64("bucket", "also").alias("bucket")), "finer")
-            heads = None
-        later = members if heads is None else members.join(heads, "bucket").where("id > head")
-        heads = stage(later.groupBy("bucket").agg(F.min("id").alias("head")), "heads")
-        rows = stage(open_.join(heads, "bucket").where("id != head").select("bucket", "id", "head"), "rows")
-        if not rows.limit(1).count():
-            break
-        ok = stage(similar(rows.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), lines, least), "similar")
-        found.append(ok)
-        open_ = stage(rows.join(ok, (rows["head"] == ok["a"]) & (rows["id"] == ok["b"]), "left_anti").select("bucket", "id"), "open")
-    return reduce(DataFrame.unionByName, found).distinct() if found else rows.select(F.col("head").alias("a"), F.col("id").alias("b"))
+    sets = _texts(docs, marked, members)
+    sketches = _sketches(sets)
+    members = stage(members.join(sketches, "id"), "sketched")
+    found = None
+    for step in range(LEADERS + 1):
+        rows = _mixed(members, found)
+        if step < LEADERS:
+            heads = rows.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(step))).alias("head"))
+            held = rows.join(heads, "bucket").where("id != head").dropDuplicates(["id", "head"]).alias("y")
+            led = held.join(sketches.alias("x"), F.col("y.head") == F.col("x.id")).where(_possible("x", "y", least))
+            pairs = led.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        else:
+            pairs = _blocked(rows, least)
+        ok = stage(similar(stage(pairs, "pairs"), sets, least), "similar")
+        found = ok if found is None else found.unionByName(ok)
+    return found
 
 
 def marked_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

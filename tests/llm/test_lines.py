@@ -1,6 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
 from quire.llm import lines as L
+from quire.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -65,3 +67,34 @@ def test_repeats_nulls_and_other_columns(spark):
     got = sorted((r.doc_id or 0, r.text, r.h1, r.line) for r in L.dedup_lines(df).collect())
     assert got == [(0, line, 7, "r"), (1, line, 5, "p"), (1, line, 5, "p"), (2, "", 6, "q")]
     assert L.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_template_bucket_and_chains(spark):
+    """Hundreds of lines that share a template, and so buckets: chains of drifting copies A~X~Y among them stay whole."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    template = " ".join(word() for _ in range(10))
+    docs = []
+    for _ in range(60):
+        words = [word() for _ in range(8)]
+        for k in range(4):
+            docs.append((len(docs), template + " " + " ".join(words)))
+            words[2 * k] = word()
+    rng.shuffle(docs)
+    numbered = [(i, t) for i, (_, t) in enumerate(docs)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in numbered], DOCS)
+    # one bucket for all, so that chance has no part in it
+    marked = df.select("doc_id", F.lit(0).alias("place"), F.xxhash64("text").alias("id"), F.array(F.lit(1).cast("long"), F.xxhash64("lang")).alias("bands"))
+    links = L._links(marked, df.select("doc_id", "text"), L.SIMILARITY)
+    found = components(links, "a", "b").groupBy("root").count()
+    want = {}
+    sets = [{t[k : k + L.SHINGLE] for k in range(len(t) - L.SHINGLE + 1)} for _, t in numbered]
+    head = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= L.SIMILARITY * len(sets[a] | sets[b]) and head[a] != head[b]:
+                head = [head[b] if h == head[a] else h for h in head]
+    for h in head:
+        want[h] = want.get(h, 0) + 1
+    assert max(want.values()) > 2
+    assert sorted(r["count"] for r in found.collect()) == sorted(n for n in want.values() if n > 1)
