@@ -1,7 +1,7 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
 Equal lines are counted once, by two 64-bit hashes. A distinct line gets a MinHash signature over
-hashed character shingles; bands of two minima bring candidates together; the candidates' Jaccard
+hashed character shingles; bands of four minima bring candidates together; the candidates' Jaccard
 similarity is computed exactly from their whole shingle sets; and a distributed union-find keeps the
 first line, by doc_id and place, of every component.
 
@@ -23,10 +23,9 @@ from .graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Minima in a signature, and the minima of each band, four of them. A pair of similarity 0.8 meets in one band at least
-#: with probability 0.97, of 0.85 with 0.995, of 0.9 with 0.9996; unlike lines hardly ever do.
-MINIMA = 16
-BANDS = [list(range(k, k + 4)) for k in (0, 4, 8, 12)] + [list(range(k, MINIMA, 4)) for k in range(3)]
+#: Independent bands, and the minima of each: a pair of similarity 0.8 meets in one band at least with probability 0.998, of
+#: 0.85 with 0.9999, whatever its length; unlike lines hardly ever do.
+BANDS, PER_BAND = 12, 4
 #: Leaders that a bucket has before all its pairs are compared, and the members of a block then.
 LEADERS, BLOCK = 2, 256
 #: Longs in a sketch, and its columns.
@@ -34,28 +33,12 @@ WORDS = 4
 SKETCH = ["n", *[f"s{w}" for w in range(WORDS)]]
 #: Lines with fewer characters are never held to be copies, unless they are equal and this long at least.
 SHORTEST = 16
-#: From this length on, signatures (never the exact comparison) use the longer shingles that start a word.
-LONG = 192
 
 
 def _hashes(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line), F.xxhash64(F.lit(7), line)
 
 
-def _bands(line: Column) -> Column:
-    """The band hashes of a line. Minimum j is the least of the shingles' hashes after exclusive-or with a constant."""
-    words = F.length(line) - F.length(F.regexp_replace(line, " ", ""))
-    word_starts = F.regexp_extract_all(line, F.lit(r"(?s)(?:^|(?<=[^A-Za-z]))(?=(.{1,9}))"), F.lit(1))
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
-    shingles = F.when((F.length(line) >= LONG) & (F.length(line) < 12 * words), word_starts).otherwise(every)
-    mask = lambda j: lambda h: h.bitwiseXOR(F.xxhash64(F.lit(j)))
-    minima = lambda h: F.array(*[F.array_min(F.transform(h, mask(j))) for j in range(MINIMA)])
-    of = lambda m: F.array(*[F.xxhash64(F.lit(b), *[F.get(m, F.lit(j)) for j in band]) for b, band in enumerate(BANDS)])
-    hashed = F.transform(shingles, lambda s: F.xxhash64(s))
-    # a transform over an array of one names a value, so that it is computed once
-    return F.get(F.transform(F.array(hashed), lambda h: F.get(F.transform(F.array(minima(h)), of), F.lit(0))), F.lit(0))
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     """doc_id, place, line, id, check of each line that takes part: id and check together tell equal lines."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
@@ -63,11 +46,27 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return lines.where((F.length("line") >= SHORTEST) & F.col("doc_id").isNotNull()).withColumns({"id": h1, "check": h2})
 
 
+def _shingles(line: Column) -> Column:
+    cut = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(cut)
+
+
 def shingle_set(line: Column) -> Column:
     """The distinct shingles of a line, as their hashes; a line shorter than a shingle is its own."""
-    cut = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
-    cut = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(cut)
-    return F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(_shingles(line), lambda s: F.xxhash64(s)))
+
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """id, doc_id, place, bands of each distinct line, at its first place. Signatures are made of the same shingles that the
+    comparison uses; a hash with j gives two minima, of its upper and its lower half."""
+    once = lines.groupBy("id").agg(F.min(F.struct("doc_id", "place", "line")).alias("v")).select("id", "v.*")
+    key = ["id", "doc_id", "place"]
+    each = once.select(*key, F.explode(_shingles(F.col("line"))).alias("s")).select(*key, F.xxhash64("s").alias("h"))
+    hashed = [F.xxhash64("h", F.lit(j)) for j in range(BANDS * PER_BAND // 2)]
+    halves = [half for x in hashed for half in (x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32))]
+    minima = each.groupBy(*key).agg(*[F.min(x).alias(f"m{j}") for j, x in enumerate(halves)])
+    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in range(b * PER_BAND, (b + 1) * PER_BAND)]) for b in range(BANDS)]
+    return stage(minima.select(*key, F.array(*bands).alias("bands")), "signed")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -79,16 +78,16 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return shared.where(F.col("common") >= least * (F.col("both") - F.col("common"))).select("a", "b")
 
 
-def _members(marked: DataFrame) -> DataFrame:
+def _members(signed: DataFrame) -> DataFrame:
     """bucket, id of the lines in buckets that distinct lines share."""
-    each = marked.select("id", F.explode("bands").alias("bucket"))
+    each = signed.select("id", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     return stage(each.join(shared, "bucket").distinct(), "members")
 
 
-def _texts(docs: DataFrame, marked: DataFrame, members: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, signed: DataFrame, members: DataFrame) -> DataFrame:
     """id, shingles of every line that has to be compared: made once a line, not once a pair."""
-    at = marked.join(members.select("id").distinct(), "id").groupBy("id").agg(F.min(F.struct("doc_id", "place")).alias("at"))
+    at = signed.join(members, "id", "left_semi").select("id", F.struct("doc_id", "place").alias("at"))
     asked = at.groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.place").alias("place"), "id")).alias("asked"))
     found = docs.join(asked, "doc_id").select(F.split("text", "\n", -1).alias("lines"), F.explode("asked").alias("a")).select("a.id", F.get("lines", F.col("a.place")).alias("line"))
     once = found.where(F.xxhash64("line") == F.col("id")).dropDuplicates(["id"])
@@ -135,10 +134,10 @@ def _blocked(rows: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _links(marked: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _links(signed: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """a, b: verified links between distinct lines, with the components of all similar pairs that share a bucket."""
-    members = _members(marked)
-    sets = _texts(docs, marked, members)
+    members = _members(signed)
+    sets = _texts(docs, signed, members)
     sketches = _sketches(sets)
     members = stage(members.join(sketches, "id"), "sketched")
     found = None
@@ -159,14 +158,15 @@ def _links(marked: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 def marked_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, place, keep_doc, keep_place: a row for each line that takes part, with the first line of its component."""
     docs = narrow(docs, "doc_id", "text")
-    marked = stage(_numbered(docs).select("doc_id", "place", "id", "check", _bands(F.col("line")).alias("bands")), "marked")
-    groups = components(_links(marked, docs, least), "a", "b")
+    lines = _numbered(docs)
+    marked = stage(lines.select("doc_id", "place", "id", "check"), "marked")
+    groups = components(_links(_signed(lines), docs, least), "a", "b")
     at = F.struct("doc_id", "place")
     distinct = marked.groupBy("id", "check").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     named = stage(distinct.join(groups.withColumnRenamed("node", "id"), "id", "left"), "named")
     heads = named.where("root is not null").groupBy("root").agg(F.min("first").alias("head"))
     heads = named.where("root is not null").join(heads, "root").select("id", "check", "head").unionByName(named.where("root is null and n > 1").select("id", "check", F.col("first").alias("head")))
-    both = marked.select("doc_id", "place", "id", "check").join(heads, ["id", "check"], "left").withColumn("head", F.coalesce("head", at))
+    both = marked.join(heads, ["id", "check"], "left").withColumn("head", F.coalesce("head", at))
     return both.select("doc_id", "place", F.col("head.doc_id").alias("keep_doc"), F.col("head.place").alias("keep_place"))
 
 

@@ -98,3 +98,21 @@ def test_template_bucket_and_chains(spark):
         want[h] = want.get(h, 0) + 1
     assert max(want.values()) > 2
     assert sorted(r["count"] for r in found.collect()) == sorted(n for n in want.values() if n > 1)
+
+
+def test_long_near_copies_are_found(spark):
+    """Scattered edits in lines of 150 words, similarity 0.80 to 0.84: nearly all pairs are candidates."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    shingles = lambda t: {t[k : k + L.SHINGLE] for k in range(len(t) - L.SHINGLE + 1)}
+    docs = []
+    while len(docs) < 400:
+        line = " ".join(word() for _ in range(150))
+        copy = list(line)
+        for at in rng.sample(range(len(copy)), len(copy) // 46):
+            copy[at] = rng.choice("0123456789")
+        x, y = shingles(line), shingles("".join(copy))
+        if 0.8 <= len(x & y) / len(x | y) < 0.84:
+            docs += [(len(docs), line), (len(docs) + 1, "".join(copy))]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS)
+    assert L.marked_lines(df).where("keep_doc != doc_id").count() >= 195
