@@ -31,19 +31,26 @@ LEADERS, BLOCK = 2, 256
 #: Longs in a sketch, and its columns.
 WORDS = 4
 SKETCH = ["n", *[f"s{w}" for w in range(WORDS)]]
-#: Lines with fewer characters are never held to be copies, unless they are equal and this long at least.
-SHORTEST = 16
+#: Lines with fewer characters, which are the empty ones, are never held to be copies.
+SHORTEST = 1
 
 
 def _hashes(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line), F.xxhash64(F.lit(7), line)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+
+
+def _takes_part() -> Column:
+    return (F.length("line") >= SHORTEST) & F.col("doc_id").isNotNull()
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """doc_id, place, line, id, check of each line that takes part: id and check together tell equal lines."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     h1, h2 = _hashes(F.col("line"))
-    return lines.where((F.length("line") >= SHORTEST) & F.col("doc_id").isNotNull()).withColumns({"id": h1, "check": h2})
+    return _placed(docs).where(_takes_part()).withColumns({"id": h1, "check": h2})
 
 
 def _shingles(line: Column) -> Column:
@@ -186,7 +193,7 @@ def dedup_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs with repeated lines taken out of text, and n_chars (if there is such a column) counted anew where that
     happened; every row stays, even if no line of it does.
 
-    A line takes part if it has SHORTEST characters or more. Of equal or similar lines the one of the smallest
+    Every line but the empty ones takes part. Of equal or similar lines the one of the smallest
     doc_id, then of the smallest place, stays. Rows that repeat a doc_id count as copies of one document: a line
     is kept in all of them or in none. Rows of null doc_id or null text, and an empty table, come back as they are.
     """
@@ -200,7 +207,9 @@ def dedup_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line of SHORTEST characters or more with the line that stands for it."""
-    found = marked_lines(table(spark, sf_dir, "documents"))
-    kept = (F.col("doc_id") == F.col("keep_doc")) & (F.col("place") == F.col("keep_place"))
+    """Each line with the line that stands for it; empty lines and those of null doc_id stand for themselves."""
+    docs = table(spark, sf_dir, "documents")
+    own = _placed(narrow(docs, "doc_id", "text")).where(~_takes_part()).select("doc_id", "place", F.col("doc_id").alias("keep_doc"), F.col("place").alias("keep_place"))
+    found = marked_lines(docs).unionByName(own)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_doc")) & (F.col("place") == F.col("keep_place"))
     return found.select("doc_id", F.col("place").alias("line"), "keep_doc", F.col("keep_place").alias("keep_line"), kept.alias("kept"))

@@ -116,3 +116,10 @@ def test_long_near_copies_are_found(spark):
             docs += [(len(docs), line), (len(docs) + 1, "".join(copy))]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS)
     assert L.marked_lines(df).where("keep_doc != doc_id").count() >= 195
+
+
+def test_short_lines_and_a_row_for_each_line(spark, tmp_path):
+    docs = [(1, "ab\n\nok"), (2, "ok\nab\nabc"), (3, "x"), (None, "ok"), (4, ""), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line): (r.keep_doc, r.keep_line, r.kept) for r in L.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): (1, 0, True), (1, 1): (1, 1, True), (1, 2): (1, 2, True), (2, 0): (1, 2, False), (2, 1): (1, 0, False), (2, 2): (2, 2, True), (3, 0): (3, 0, True), (None, 0): (None, 0, True), (4, 0): (4, 0, True)}
