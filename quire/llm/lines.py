@@ -5,8 +5,8 @@ hashed character shingles; bands of four minima bring candidates together; the c
 similarity is computed exactly from their whole shingle sets; and a distributed union-find keeps the
 first line, by doc_id and place, of every component.
 
-Within a band's bucket all lines are first held against LEADERS leaders, which joins most copies to components at
-the cost of a bucket's rows. Then every pair of a bucket that is not in one component yet is compared, block against
+A line is first held against one leader of its buckets, LEADERS times, which joins most copies to components at
+the cost of a row each. Then every pair of a bucket that is not in one component yet is compared, block against
 block; only pairs that small sketches prove unlike are spared the comparison. No pair of a bucket is left out: those
 in one component can't change it.
 """
@@ -64,50 +64,48 @@ def shingle_set(line: Column) -> Column:
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """id, doc_id, place, bands of each distinct line, at its first place. Signatures are made of the same shingles that the
-    comparison uses; a hash with j gives two minima, of its upper and its lower half."""
+    """id, doc_id, place, bands, sketch of each distinct line, at its first place. Signatures are made of the same shingles that
+    the comparison uses; a hash with j gives two minima, of its upper and its lower half. The sketch is the number of shingles
+    and the parity of their number in each of 64 * WORDS cells."""
     once = lines.groupBy("id").agg(F.min(F.struct("doc_id", "place", "line")).alias("v")).select("id", "v.*")
     key = ["id", "doc_id", "place"]
-    each = once.select(*key, F.explode(_shingles(F.col("line"))).alias("s")).select(*key, F.xxhash64("s").alias("h"))
+    each = once.select(*key, F.explode(shingle_set(F.col("line"))).alias("h"))
     hashed = [F.xxhash64("h", F.lit(j)) for j in range(BANDS * PER_BAND // 2)]
     halves = [half for x in hashed for half in (x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32))]
-    minima = each.groupBy(*key).agg(*[F.min(x).alias(f"m{j}") for j, x in enumerate(halves)])
+    cell = F.shiftright(F.col("h"), 6).bitwiseAND(F.lit(WORDS - 1))
+    words = [F.bit_xor(F.when(cell == w, F.expr("shiftleft(1L, cast(h & 63 as int))")).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(WORDS)]
+    minima = each.groupBy(*key).agg(*[F.min(x).alias(f"m{j}") for j, x in enumerate(halves)], F.count("*").alias("n"), *words)
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in range(b * PER_BAND, (b + 1) * PER_BAND)]) for b in range(BANDS)]
-    return stage(minima.select(*key, F.array(*bands).alias("bands")), "signed")
+    return stage(minima.select(*key, F.array(*bands).alias("bands"), *SKETCH), "signed")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose lines' shingle sets (id, shingles) have Jaccard similarity of `least` or more, exactly."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    sized = pairs.join(right, "b").join(left, "a").withColumns({"nx": F.size("x"), "ny": F.size("y")}).where((F.col("nx") >= least * F.col("ny")) & (F.col("ny") >= least * F.col("nx")))
-    shared = sized.select("a", "b", (F.col("nx") + F.col("ny")).alias("both"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return shared.where(F.col("common") >= least * (F.col("both") - F.col("common"))).select("a", "b")
+def _alike(line: Column, other: Column, least: float) -> Column:
+    """Whether two lines' shingle sets have Jaccard similarity of `least` or more. The transform makes each set once."""
+    sets = F.array(F.struct(shingle_set(line).alias("x"), shingle_set(other).alias("y")))
+    counted = F.transform(sets, lambda p: F.struct(F.size(F.array_intersect(p["x"], p["y"])).alias("common"), (F.size(p["x"]) + F.size(p["y"])).alias("both")))
+    return F.get(F.transform(counted, lambda c: c["common"] >= least * (c["both"] - c["common"])), F.lit(0))
+
+
+def similar(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of ids whose lines (id, line) are similar, exactly."""
+    left = lines.select(F.col("id").alias("a"), F.col("line").alias("x"))
+    right = lines.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    return pairs.join(right, "b").join(left, "a").where(_alike(F.col("x"), F.col("y"), least)).select("a", "b")
 
 
 def _members(signed: DataFrame) -> DataFrame:
     """bucket, id of the lines in buckets that distinct lines share."""
     each = signed.select("id", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
-    return stage(each.join(shared, "bucket").distinct(), "members")
+    return each.join(shared, "bucket").distinct()
 
 
-def _texts(docs: DataFrame, signed: DataFrame, members: DataFrame) -> DataFrame:
-    """id, shingles of every line that has to be compared: made once a line, not once a pair."""
-    at = signed.join(members, "id", "left_semi").select("id", F.struct("doc_id", "place").alias("at"))
+def _texts(docs: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, line of every line that has to be compared."""
+    at = signed.join(ids, "id", "left_semi").select("id", F.struct("doc_id", "place").alias("at"))
     asked = at.groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.place").alias("place"), "id")).alias("asked"))
     found = docs.join(asked, "doc_id").select(F.split("text", "\n", -1).alias("lines"), F.explode("asked").alias("a")).select("a.id", F.get("lines", F.col("a.place")).alias("line"))
-    once = found.where(F.xxhash64("line") == F.col("id")).dropDuplicates(["id"])
-    return stage(once.select("id", shingle_set(F.col("line")).alias("shingles")), "sets")
-
-
-def _sketches(sets: DataFrame) -> DataFrame:
-    """id, n, s0..: the size of a shingle set and the parity of its members in each of 64 * WORDS cells."""
-    cell = F.col("h").bitwiseAND(F.lit(64 * WORDS - 1))
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    each = sets.select("id", F.explode("shingles").alias("h"))
-    words = [F.bit_xor(F.when(F.shiftright(cell, 6) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(WORDS)]
-    return stage(each.groupBy("id").agg(F.count("*").alias("n"), *words), "sketches")
+    return stage(found.where(F.xxhash64("line") == F.col("id")).dropDuplicates(["id"]), "texts")
 
 
 def _possible(x: str, y: str, least: float) -> Column:
@@ -143,21 +141,22 @@ def _blocked(rows: DataFrame, least: float) -> DataFrame:
 
 def _links(signed: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """a, b: verified links between distinct lines, with the components of all similar pairs that share a bucket."""
-    members = _members(signed)
-    sets = _texts(docs, signed, members)
-    sketches = _sketches(sets)
-    members = stage(members.join(sketches, "id"), "sketched")
+    sketches = signed.select("id", *SKETCH)
+    members = stage(_members(signed).join(sketches, "id"), "members")
     found = None
     for step in range(LEADERS + 1):
         rows = _mixed(members, found)
         if step < LEADERS:
-            heads = rows.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(step))).alias("head"))
-            held = rows.join(heads, "bucket").where("id != head").dropDuplicates(["id", "head"]).alias("y")
+            order = lambda c: F.xxhash64(c, F.lit(step))  # noqa: B023, E731
+            heads = rows.groupBy("bucket").agg(F.min_by("id", order("id")).alias("head"))
+            held = rows.join(heads, "bucket").where("id != head").select("id", "head", *SKETCH).distinct().alias("y")
             led = held.join(sketches.alias("x"), F.col("y.head") == F.col("x.id")).where(_possible("x", "y", least))
-            pairs = led.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            pairs = led.groupBy(F.col("y.id").alias("b")).agg(F.min_by("y.head", order("y.head")).alias("a"))
         else:
             pairs = _blocked(rows, least)
-        ok = stage(similar(stage(pairs, "pairs"), sets, least), "similar")
+        pairs = stage(pairs.select("a", "b"), "pairs")
+        lines = _texts(docs, signed, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        ok = stage(similar(pairs, lines, least), "similar")
         found = ok if found is None else found.unionByName(ok)
     return found
 
