@@ -58,6 +58,8 @@ def _image(data: bytes, at: int) -> tuple[dict, bytes, int]:
             raw = data[start : m.start()]
             raw = raw[:-1] if raw and raw[-1] in b"\x00\t\n\x0c\r " else raw
             made = decode(e, raw)
+            if made["image"] == "DCTDecode" and not (len(made["data"]) > 4 and made["data"].startswith(b"\xff\xd8") and made["data"].endswith(b"\xff\xd9")):
+                continue
             if made["cause"] is None and (size is None or made["image"] or len(made["data"]) >= size):
                 return entries, raw, m.end()
     raise PdfError("inline image: no end")

@@ -74,3 +74,10 @@ def test_inline_image_with_its_end_mark_inside():
     ops, problem = K.operations(b"q BI /W 4 /H 1 /BPC 8 /CS /G ID a EI\nEI Q")
     assert problem is None and [o["operator"] for o in ops] == ["q", "BI", "Q"]
     assert ops[1]["image"][1] == b"a EI" and K.expanded(ops[1]["image"][0])["ColorSpace"] == "DeviceGray"
+
+
+@pytest.mark.parametrize("name", [b"/DCT", b"/DCTDecode"])
+def test_inline_jpeg_with_an_end_in_its_data(name):
+    jpeg = b"\xff\xd8\xff\xe0 ab EI cd \xff\xd9"
+    found, problem = K.operations(b"q BI /W 2 /H 2 /CS /G /BPC 8 /F " + name + b" ID " + jpeg + b" EI Q")
+    assert problem is None and [o["operator"] for o in found] == ["q", "BI", "Q"] and found[1]["image"][1] == jpeg
