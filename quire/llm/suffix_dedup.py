@@ -5,16 +5,18 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document of
 Every LENGTH-byte window is assigned to one of its K-grams, its minimizer, which depends on the window's
 bytes alone: equal windows share it. The windows of one minimizer are a short snippet. Minimizers that two
 documents have are sent to buckets by their hash with their snippets, equal ones once per block of documents.
-A bucket's snippets form a collection whose Burrows-Wheeler transform and common prefixes are built column by
-column: each round inserts one symbol of every snippet, right to left, reading the previous round's files and
-writing the next ones in sequence. Suffixes with a common prefix of LENGTH are equal windows, and the smallest
-doc_id among them goes back to the blocks, which take out the bytes. Blocks pre-aggregate what many documents
-share; a minimizer that very many blocks have is split by whole windows over the buckets.
+A bucket's snippets, with the minimizer as one symbol, form collections whose Burrows-Wheeler transform and common
+prefixes are built column by column: each round inserts one symbol of every snippet, right to left, reading the
+previous round's files and writing the next ones in sequence. Suffixes with a common prefix of DEPTH symbols are
+equal windows, and the smallest doc_id among them goes back to the blocks, which take out the bytes. Blocks
+pre-aggregate what many documents share; a minimizer that very many blocks have is split by whole windows over the
+buckets. The files belong to one task, which reads and removes them, and lie where Spark lets tasks spill.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -28,10 +30,12 @@ from .suffixes import covered
 
 LENGTH = 50
 K = 24
+#: Symbols of a window whose K-gram is one symbol.
+DEPTH = LENGTH - K + 1
 #: Raw bytes of documents in a block, and of blocks that one bucket stands for.
 BLOCK, BUCKET = 1 << 20, 8 << 20
 #: Snippets in a collection (a minimizer's are not parted), and blocks from which a minimizer is split by windows.
-COLLECTION, HOT = 3_000, 4096
+COLLECTION, HOT = 1 << 15, 4096
 NO_ID = np.iinfo(np.int64).max
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -86,11 +90,13 @@ def _lesser(a, i, b, j):
 
 
 class Segments:
-    """Runs of windows of one document with one minimizer: first and last window, the hash, the document's number."""
+    """Runs of windows of one document with one minimizer: first and last window, the minimizer's place and hash, the document's number."""
+
+    FIELDS = ("first", "last", "at", "hash", "doc")
 
     def __init__(self, data: np.ndarray, starts: np.ndarray):
         none = np.zeros(0, np.int64)
-        self.first, self.last, self.hash, self.doc = none, none, np.zeros(0, np.uint64), none
+        self.first, self.last, self.at, self.hash, self.doc = none, none, none, np.zeros(0, np.uint64), none
         self.data = data
         if len(data) < LENGTH:
             return
@@ -102,24 +108,24 @@ class Segments:
         begin = np.flatnonzero(cut & whole)
         ends = np.flatnonzero(np.append(cut[1:] | ~whole[1:], True) & whole)
         # least hashes are small ones: mixed again, they spread evenly over buckets
-        self.first, self.last, self.hash, self.doc = begin, ends, _mixed(h[place[begin]]), doc[begin]
+        at = place[begin].astype(np.int64)
+        self.first, self.last, self.at, self.hash, self.doc = begin, ends, at, _mixed(h[at]), doc[begin]
 
     def take(self, keep: np.ndarray) -> None:
-        self.first, self.last, self.hash, self.doc = self.first[keep], self.last[keep], self.hash[keep], self.doc[keep]
+        for name in self.FIELDS:
+            setattr(self, name, getattr(self, name)[keep])
 
     def split(self, hot: np.ndarray) -> None:
-        """Segments marked hot become one segment a window, with a hash of the whole window."""
+        """Segments marked hot become one segment a window, with a hash of the whole window; its first bytes stand for the minimizer."""
         if not hot.any():
             return
         first = _ranges(self.first[hot], self.last[hot] + 1)
         doc = np.repeat(self.doc[hot], self.last[hot] + 1 - self.first[hot])
         rows = self.data[first[:, None] + np.arange(LENGTH)]
         h = _row_hash(rows)
-        cold = ~hot
-        self.first = np.concatenate([self.first[cold], first])
-        self.last = np.concatenate([self.last[cold], first])
-        self.hash = np.concatenate([self.hash[cold], h])
-        self.doc = np.concatenate([self.doc[cold], doc])
+        self.take(~hot)
+        for name, more in zip(self.FIELDS, (first, first, first, h, doc), strict=True):
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
 
 
 def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -143,7 +149,7 @@ WIDTH = 2 * LENGTH - K
 
 
 def _snippets(seg: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (hash, snippet) in order: hashes, lengths, bytes in rows of WIDTH; each segment's number; least document of each by `ids` order later."""
+    """Distinct snippets in order of their hash: hashes, bytes before the minimizer, lengths, bytes in rows of WIDTH; and each segment's number."""
     length = seg.last - seg.first + LENGTH
     column = np.arange(WIDTH, dtype=np.int32)
     rows = np.zeros((len(length), WIDTH), np.uint8)
@@ -151,14 +157,14 @@ def _snippets(seg: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         some = slice(at, at + 8192)
         where = np.minimum(seg.first[some, None].astype(np.int32) + column, len(seg.data) - 1)
         rows[some] = seg.data[where] * (column < length[some, None])
-    return _distinct(seg.hash, length, rows)
+    return _distinct(seg.hash, seg.at - seg.first, length, rows)
 
 
-def _distinct(h: np.ndarray, length: np.ndarray, rows: np.ndarray):
-    key = np.zeros((len(h), 9 + WIDTH), np.uint8)
+def _distinct(h: np.ndarray, left: np.ndarray, length: np.ndarray, rows: np.ndarray):
+    key = np.zeros((len(h), 10 + WIDTH), np.uint8)
     key[:, :8] = h.astype(">u8").view(np.uint8).reshape(-1, 8)
-    key[:, 8] = length
-    key[:, 9:] = rows
+    key[:, 8], key[:, 9] = length, left
+    key[:, 10:] = rows
     # rows are told apart by a second hash first, which is far cheaper to sort than their bytes
     order = np.lexsort([_row_hash(key), h])
     key = key[order]
@@ -166,7 +172,17 @@ def _distinct(h: np.ndarray, length: np.ndarray, rows: np.ndarray):
     new[1:] = (key[1:] != key[:-1]).any(axis=1)
     number = np.empty(len(key), np.int64)
     number[order] = np.cumsum(new) - 1
-    return h[order][new], length[order][new], key[new][:, 9:], number
+    return h[order][new], left[order][new], length[order][new], key[new][:, 10:], number
+
+
+def symbols(left: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The snippets with one symbol for the minimizer: bytes are 0 to 255, and equal minimizers have equal numbers from 256 on."""
+    each = np.arange(len(left))[:, None]
+    _, gram = np.unique(rows[each, left[:, None] + np.arange(K)].view(f"S{K}").ravel(), return_inverse=True)
+    column = np.arange(2 * DEPTH - 1)
+    out = rows[each, column + (K - 1) * (column > left[:, None])].astype(np.int32)
+    out[each[:, 0], left] = 256 + gram
+    return out
 
 
 STRIDE = 32
@@ -186,10 +202,38 @@ def range_minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _scratch() -> str:
+    """A folder for the files of one task: one of those that Spark has given the executor for spilled data, if it says so."""
+    return tempfile.mkdtemp(prefix="collection-", dir=(os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()).split(",")[0])
+
+
+class Column:
+    """An array in two files used in turn: each round reads one from its start to its end and writes the other."""
+
+    def __init__(self, folder: str, name: str, kind: str, first: np.ndarray):
+        self.kind = kind
+        self.files = [open(os.path.join(folder, f"{name}{k}"), "w+b", buffering=0) for k in (0, 1)]  # noqa: SIM115
+        self.write(first)
+
+    def write(self, x: np.ndarray) -> None:
+        self.files.reverse()
+        self.files[0].seek(0)
+        self.files[0].write(np.ascontiguousarray(x, self.kind))
+        self.files[0].truncate()
+
+    def read(self) -> np.ndarray:
+        self.files[0].seek(0)
+        return np.frombuffer(self.files[0].read(), self.kind)
+
+    def close(self) -> None:
+        for f in self.files:
+            f.close()
+
+
 def collection_groups(rows: np.ndarray, lengths: np.ndarray, depth: int) -> np.ndarray:
     """For each suffix of `depth` symbols or more, by string and then by start, a number of its first `depth` symbols.
 
-    Builds the collection's transform and common prefixes. Symbols are UTF-8 bytes plus one, 0 ends a string. After
+    Builds the collection's transform and common prefixes. Symbols are taken plus one, as 0 ends a string. After
     round r the files hold, for all suffixes of r symbols at most in order, the symbol before each and the length it
     shares with the one above it. The rows of each symbol, kept in order, give the ranks that place the next column.
     """
@@ -201,15 +245,15 @@ def collection_groups(rows: np.ndarray, lengths: np.ndarray, depth: int) -> np.n
         found = rows[strings, np.maximum(lengths[strings] - r, 0)].astype(np.int64) + 1
         return np.where(lengths[strings] >= r, found, 0)
 
-    with tempfile.TemporaryDirectory() as folder:
-        files = [(os.path.join(folder, f"bwt{k}"), os.path.join(folder, f"lcp{k}")) for k in (0, 1)]
-        strings, place = np.arange(count), np.arange(count)
-        symbol = before(strings, 1)
-        seen = np.sort(symbol << 40 | place)
-        symbol.astype(np.uint8).tofile(files[0][0])
-        np.zeros(count, np.uint8).tofile(files[0][1])
+    folder = _scratch()
+    strings, place = np.arange(count), np.arange(count)
+    symbol = before(strings, 1)
+    seen = np.sort(symbol << 40 | place)
+    transform = Column(folder, "transform", "<u4", symbol)
+    shared = Column(folder, "shared", "<u1", np.zeros(count))
+    try:
         for r in range(1, most + 1):
-            bwt, lcp = (np.fromfile(f, np.uint8) for f in files[(r - 1) % 2])
+            bwt, lcp = transform.read(), shared.read()
             live = symbol > 0
             key = symbol[live] << 40 | place[live]
             sort = np.argsort(key)
@@ -227,16 +271,21 @@ def collection_groups(rows: np.ndarray, lengths: np.ndarray, depth: int) -> np.n
             old = np.ones(len(seen) + len(k), bool)
             old[place] = False
             symbol = before(strings, r + 1)
-            next_bwt, next_lcp = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
-            next_bwt[old], next_bwt[place] = bwt, symbol
-            next_lcp[old] = lcp
+            where = np.flatnonzero(old)
+            next_bwt, next_lcp = np.empty(len(old), np.uint32), np.empty(len(old), np.uint8)
+            next_bwt[where], next_bwt[place] = bwt, symbol
+            next_lcp[where] = lcp
             next_lcp[shift + touched] = value
-            next_bwt.tofile(files[r % 2][0])
-            next_lcp.tofile(files[r % 2][1])
-            seen = (seen & ~mask) | np.flatnonzero(old)[seen & mask]
+            transform.write(next_bwt)
+            shared.write(next_lcp)
+            seen = (seen & ~mask) | where[seen & mask]
             added = np.sort(symbol << 40 | place)
             seen = np.insert(seen, np.searchsorted(seen, added), added)
-        lcp = np.fromfile(files[most % 2][1], np.uint8)
+        lcp = shared.read()
+    finally:
+        transform.close()
+        shared.close()
+        shutil.rmtree(folder)
     # walking back through the transform gives the rows of ever longer suffixes
     step = np.empty(len(seen), np.int64)
     step[seen & mask] = np.arange(len(seen))
@@ -253,12 +302,12 @@ def collection_groups(rows: np.ndarray, lengths: np.ndarray, depth: int) -> np.n
     return out
 
 
-def least_documents(h: np.ndarray, length: np.ndarray, rows: np.ndarray, least: np.ndarray) -> np.ndarray:
+def least_documents(h: np.ndarray, left: np.ndarray, length: np.ndarray, rows: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each window of each snippet, one after the other, the least document that has the window.
 
-    h, length, rows and least (document) of snippets that may repeat.
+    h, left, length, rows and least (document) of snippets that may repeat.
     """
-    uh, ul, ur, number = _distinct(h, length, rows)
+    uh, before, ul, ur, number = _distinct(h, left, length, rows)
     low = np.full(len(uh), NO_ID)
     np.minimum.at(low, number, least)
     windows = ul - LENGTH + 1
@@ -276,7 +325,7 @@ def least_documents(h: np.ndarray, length: np.ndarray, rows: np.ndarray, least:
         if a == b:
             continue
         own = shared[a:b]
-        group = collection_groups(ur[own], ul[own], LENGTH)
+        group = collection_groups(symbols(before[own], ur[own]), ul[own] - K + 1, DEPTH)
         best = np.full(group.max() + 1, NO_ID)
         np.minimum.at(best, group, np.repeat(low[own], windows[own]))
         found[_ranges(begin[own], begin[own + 1])] = best[group]
@@ -392,25 +441,26 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET, ho
             for row in batch.itertuples():
                 b = Block(row)
                 b.narrow(_packed_verdicts(row.verdicts))
-                h, length, rows, number = _snippets(b.segments)
+                h, left, length, rows, number = _snippets(b.segments)
                 least = np.full(len(h), NO_ID)
                 np.minimum.at(least, number, b.ids[b.segments.doc])
                 cut = _bucket_bounds(h, buckets)
                 some = np.flatnonzero(np.diff(cut))
                 parts = [slice(cut[k], cut[k + 1]) for k in some]
-                yield pd.DataFrame({"bucket": some, "block": row.block, "n": np.diff(cut)[some], "body": [_press(h[p].tobytes() + least[p].tobytes() + length[p].astype(np.uint8).tobytes() + rows[p].tobytes()) for p in parts]})
+                yield pd.DataFrame({"bucket": some, "block": row.block, "n": np.diff(cut)[some], "body": [_press(h[p].tobytes() + least[p].tobytes() + left[p].astype(np.uint8).tobytes() + length[p].astype(np.uint8).tobytes() + rows[p].tobytes()) for p in parts]})
 
     def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        columns = [[], [], [], []]
+        columns = [[], [], [], [], []]
         for n, body in zip(group["n"], group["body"], strict=True):
             raw = np.frombuffer(_unpress(body), np.uint8)
             columns[0].append(raw[: 8 * n].view(np.uint64))
             columns[1].append(raw[8 * n : 16 * n].view(np.int64))
             columns[2].append(raw[16 * n : 17 * n].astype(np.int64))
-            columns[3].append(raw[17 * n :].reshape(n, WIDTH))
-        h, least, length, rows = map(np.concatenate, columns)
-        low = least_documents(h, length, rows, least)
-        ends = np.cumsum([(part - LENGTH + 1).sum() for part in columns[2]])
+            columns[3].append(raw[17 * n : 18 * n].astype(np.int64))
+            columns[4].append(raw[18 * n :].reshape(n, WIDTH))
+        h, least, left, length, rows = map(np.concatenate, columns)
+        low = least_documents(h, left, length, rows, least)
+        ends = np.cumsum([(part - LENGTH + 1).sum() for part in columns[3]])
         return pd.DataFrame({"bucket": group["bucket"], "block": group["block"], "low": [_press(x.tobytes()) for x in np.split(low, ends[:-1])]})
 
     asked = marked.mapInPandas(snippets, "bucket long, block long, n long, body binary")
@@ -425,7 +475,7 @@ def _cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             b = Block(row)
             b.narrow(_packed_verdicts(row.verdicts))
             seg = b.segments
-            _, length, _, number = _snippets(seg)
+            _, _, length, _, number = _snippets(seg)
             parts = sorted(row.lows if row.lows is not None else [], key=lambda r: r["bucket"])
             low = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(_unpress(r["low"]), np.int64) for r in parts]])
             begin = np.concatenate([[0], np.cumsum(length - LENGTH + 1)])
