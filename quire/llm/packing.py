@@ -27,6 +27,8 @@ SIZE = 2048
 CACHE = 700_000
 JOINED = 256
 SLICE = 1 << 20
+#: Marks that a run may end in; none is a letter, a digit or a blank.
+MARKS = ".,;:!?%$*#&|<>()\"-"
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?=[ \n])")
 _BLANKS = re.compile(r"\s[ \n]|\x00")
 
@@ -92,17 +94,35 @@ class Encoder:
 
     def _join(self, lists: list[list[str]]) -> list[bytes]:
         known = self.known
-        new = list(set().union(*lists) - known.keys())
+        distinct = set().union(*lists)
+        new = [run for run in distinct if run not in known]
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list(set().union(*lists))
-        known.update(self._encode(new))
-        out = [b"".join([known[x] for x in runs_]) for runs_ in lists]
-        for run in new:
+            new = list(distinct)
+        learned = self._learn(new)
+        get = known.__getitem__
+        out = [b"".join(map(get, runs_)) for runs_ in lists]
+        for run in learned:
             if len(run) > 256:
-                del known[run]
+                known.pop(run, None)
         return out
 
+    def _learn(self, new: list[str]) -> list[str]:
+        """The runs that are in the cache now. A tail of marks after a letter is a pre-token of its own, so that such a run has
+        the ids of its word and of its tail."""
+        known = self.known
+        cut, whole = [], []
+        for run in new:
+            word = run.rstrip(MARKS)
+            if len(word) < len(run) and word[-1:].isalpha():
+                cut.append((run, word, run[len(word) :]))
+            else:
+                whole.append(run)
+        parts = {x for _, word, tail in cut for x in (word, tail) if x not in known}
+        known.update(self._encode(list(parts.union(whole))))
+        for run, word, tail in cut:
+            known[run] = known[word] + known[tail]
+        return [*new, *parts]
 
     def _encode(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
         joinable = [r for r in new if r and r[0] in " \n" and not r[-1].isspace()]
@@ -131,7 +151,9 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids (binary, little-endian uint32): a row for each cut of `size` ids.
 
-    A null text is empty; each document ends with the id `end`, so that every row of docs gives a piece at least.
+    A null text is empty; each document ends with the id `end`, so that every row of docs gives a piece at least. Texts of
+    any length are tokenized in slices. Rows that repeat a doc_id are documents of their own; doc_id is taken as a long, a
+    null one stays null, and other columns are not looked at. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     path = tokenizer or default_tokenizer()

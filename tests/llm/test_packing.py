@@ -6,7 +6,7 @@ from quire.llm import packing as P
 from tokenizers import Tokenizer
 
 DOCS = "doc_id long, text string, length long"
-ODD = ["", "a", "don't stop  now\n\n\n  x\t y", " lead", "trail ", "\n", "  ", "x\x00 y\n z", "é à  b 　 c", "日本語テキスト " * 9, "a" * 3000, "12 345,6 <|endoftext|> z", "tab\there\r\nnext \r\n q", "x\x1c y\x1d\nz", "'s 't it's we'll\n's"]
+ODD = ["", "a", "don't stop  now\n\n\n  x\t y", " lead", "trail ", "\n", "  ", "x\x00 y\n z", "é à  b 　 c", "日本語テキスト " * 9, "a" * 3000, "12 345,6 <|endoftext|> z", "tab\there\r\nnext \r\n q", "x\x1c y\x1d\nz", "'s 't it's we'll\n's", "word$$$ word. word's. a1!! 1!! é, <x> don't... (a) " + "b" * 300 + ". " + "b" * 300 + " " + "b" * 300 + "$$"]
 
 
 def test_ids_equal_the_tokenizer(spark):
@@ -51,3 +51,28 @@ def test_histogram_packing():
             seen[x] += packs
     assert dict(seen) == histogram
     assert sum(n for _, n in patterns) == 5
+
+
+def test_patterns_against_one_by_one():
+    """Placing piece by piece, longest first, into the pack with the most room leaves the same rooms, however ties fall."""
+    rng = np.random.default_rng(3)
+    for size, most in ((8, 20), (50, 9), (300, 40)):
+        for _ in range(20):
+            histogram = {int(x): int(rng.integers(1, most)) for x in rng.integers(1, size + 1, 12)}
+            rooms = []
+            for length in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
+                best = max(range(len(rooms)), key=rooms.__getitem__, default=None)
+                if best is None or rooms[best] < length:
+                    rooms.append(size - length)
+                else:
+                    rooms[best] -= length
+            assert sorted(rooms) == sorted(size - sum(p) for p, n in P.shortest_pack_first(histogram, size) for _ in range(n))
+
+
+def test_query_over_repeats_ties_and_a_long_text(spark, tmp_path):
+    texts = ["same text"] * 40 + [None, "", "x y " * 300_000]
+    spark.createDataFrame([(k // 2, t, "extra") for k, t in enumerate(texts)], "doc_id long, text string, start string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = P.op8_packing(spark, str(tmp_path)).collect()
+    assert sum(r.start == 0 for r in rows) == len(texts)
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
