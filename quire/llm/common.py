@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,34 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     executor costs only the tasks that were running on it."""
     path = f"{scratch_dir(df.sparkSession)}/quire-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._quire_path = path
+    return found
+
+
+def drop(*staged: DataFrame) -> None:
+    """Removes tables that stage() wrote and no plan reads any more."""
+    for df in staged:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._quire_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def laid_out(df: DataFrame, column: str, label: str) -> Iterator[DataFrame]:
+    """df as a table in the shared folder that is bucketed by a column, so that joins and groups on it don't move its
+    rows; it is gone when the block ends."""
+    spark = df.sparkSession
+    name = f"quire_{label}_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}"
+    df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(name)
+    found = spark.table(name)
+    found._quire_path = path
+    try:
+        yield found
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop(found)
 
 
 @contextmanager

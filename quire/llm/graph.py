@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, stage
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -38,7 +38,9 @@ def components(links: DataFrame, src: str, dst: str) -> DataFrame:
         low = _least(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large, "large-star")
+        drop(now)
         low = _least(large)
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        drop(large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

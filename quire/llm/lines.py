@@ -1,14 +1,14 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
-Equal lines are counted once, by two 64-bit hashes. A distinct line gets a MinHash signature over
+Equal lines are counted once, by two 64-bit hashes. A distinct line gets a MinHash signature over its
 hashed character shingles; bands of four minima bring candidates together; the candidates' Jaccard
 similarity is computed exactly from their whole shingle sets; and a distributed union-find keeps the
 first line, by doc_id and place, of every component.
 
 A line is first held against one leader of its buckets, LEADERS times, which joins most copies to components at
 the cost of a row each. Then every pair of a bucket that is not in one component yet is compared, block against
-block; only pairs that small sketches prove unlike are spared the comparison. No pair of a bucket is left out: those
-in one component can't change it.
+block. Only pairs whose signatures agree so little that they are unlike, but for one in a million, are spared the
+comparison; those in one component can't change it.
 """
 
 from __future__ import annotations
@@ -18,19 +18,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, stage, table
+from .common import drop, laid_out, narrow, stage, table
 from .graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Independent bands, and the minima of each: a pair of similarity 0.8 meets in one band at least with probability 0.998, of
-#: 0.85 with 0.9999, whatever its length; unlike lines hardly ever do.
-BANDS, PER_BAND = 12, 4
+#: Minima of a signature, as GROUPS groups of PER_BAND, and the bands: each takes one of every four, so that any two bands share
+#: one minimum at most. A pair of similarity 0.8 meets in a band with probability 0.996, of 0.85 with 0.9994, whatever its length.
+GROUPS, PER_BAND = 7, 4
+LANES = GROUPS * PER_BAND
+SLOPES = (0, 1)
+BANDS = [[(g + m * i) % GROUPS * PER_BAND + i for i in range(PER_BAND)] for m in SLOPES for g in range(GROUPS)]
+#: Signatures that agree in fewer minima (by two bits of each, as chance has it in a quarter of the rest) belong to unlike lines:
+#: at similarity 0.8 so few agree once in a million pairs.
+AGREE = 14
+#: Shingles that one row stands for while signatures are made.
+STEP = 8
 #: Leaders that a bucket has before all its pairs are compared, and the members of a block then.
 LEADERS, BLOCK = 2, 256
-#: Longs in a sketch, and its columns.
-WORDS = 4
-SKETCH = ["n", *[f"s{w}" for w in range(WORDS)]]
 #: Lines with fewer characters, which are the empty ones, are never held to be copies.
 SHORTEST = 1
 
@@ -63,20 +68,29 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(F.transform(_shingles(line), lambda s: F.xxhash64(s)))
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """id, doc_id, place, bands, sketch of each distinct line, at its first place. Signatures are made of the same shingles that
-    the comparison uses; a hash with j gives two minima, of its upper and its lower half. The sketch is the number of shingles
-    and the parity of their number in each of 64 * WORDS cells."""
-    once = lines.groupBy("id").agg(F.min(F.struct("doc_id", "place", "line")).alias("v")).select("id", "v.*")
-    key = ["id", "doc_id", "place"]
-    each = once.select(*key, F.explode(shingle_set(F.col("line"))).alias("h"))
-    hashed = [F.xxhash64("h", F.lit(j)) for j in range(BANDS * PER_BAND // 2)]
-    halves = [half for x in hashed for half in (x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32))]
-    cell = F.shiftright(F.col("h"), 6).bitwiseAND(F.lit(WORDS - 1))
-    words = [F.bit_xor(F.when(cell == w, F.expr("shiftleft(1L, cast(h & 63 as int))")).otherwise(F.lit(0).cast("long"))).alias(f"s{w}") for w in range(WORDS)]
-    minima = each.groupBy(*key).agg(*[F.min(x).alias(f"m{j}") for j, x in enumerate(halves)], F.count("*").alias("n"), *words)
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{j}") for j in range(b * PER_BAND, (b + 1) * PER_BAND)]) for b in range(BANDS)]
-    return stage(minima.select(*key, F.array(*bands).alias("bands"), *SKETCH), "signed")
+def _distinct(lines: DataFrame) -> DataFrame:
+    """id, line of each distinct line, at its first place, laid out by id."""
+    return lines.groupBy("id").agg(F.min(F.struct("doc_id", "place", "line")).alias("v")).select("id", "v.line")
+
+
+def _constant(k: int) -> Column:
+    """Fixed points, spread by the golden ratio."""
+    x = (k + 1) * 0x9E3779B97F4A7C15 % 2**64
+    return F.lit(x - 2**64 if x >= 2**63 else x)
+
+
+def _signed(texts: DataFrame) -> DataFrame:
+    """id, bands, tags of each row of texts (id, line). A minimum is the shingle whose hash lies nearest to a fixed point when
+    bits are compared from the top, by which it is as random as under a permutation; two hashes of each shingle serve in
+    turn. The signature is made of the same shingles that the comparison uses: repeats of one change no minimum."""
+    chars = texts.select("id", F.encode("line", "UTF-32").alias("u"), F.greatest(F.length("line") - SHINGLE, F.lit(0)).alias("last"))
+    each = chars.select("id", "u", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(STEP))).alias("p"))
+    cut = [F.substring("u", F.least(F.col("p") + k, F.col("last")) * 4 + 1, F.lit(4 * SHINGLE)).alias(f"s{k}") for k in range(STEP)]
+    hashed = each.select("id", *cut).select("id", *[F.xxhash64(f"s{k}", F.lit(j)).alias(f"h{k}_{j}") for k in range(STEP) for j in (0, 1)])
+    minima = hashed.groupBy("id").agg(*[F.min(F.least(*[F.col(f"h{k}_{m % 2}").bitwiseXOR(_constant(m)) for k in range(STEP)])).alias(f"m{m}") for m in range(LANES)])
+    bands = [F.xxhash64(F.lit(b), *[F.col(f"m{m}") for m in lanes]) for b, lanes in enumerate(BANDS)]
+    tags = reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{m}").bitwiseAND(F.lit(3)), 2 * m) for m in range(LANES)])
+    return minima.select("id", F.array(*bands).alias("bands"), tags.alias("tags"))
 
 
 def _alike(line: Column, other: Column, least: float) -> Column:
@@ -94,69 +108,70 @@ def similar(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
 
 
 def _members(signed: DataFrame) -> DataFrame:
-    """bucket, id of the lines in buckets that distinct lines share."""
-    each = signed.select("id", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
-    return each.join(shared, "bucket").distinct()
-
-
-def _texts(docs: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, line of every line that has to be compared."""
-    at = signed.join(ids, "id", "left_semi").select("id", F.struct("doc_id", "place").alias("at"))
-    asked = at.groupBy("at.doc_id").agg(F.collect_list(F.struct(F.col("at.place").alias("place"), "id")).alias("asked"))
-    found = docs.join(asked, "doc_id").select(F.split("text", "\n", -1).alias("lines"), F.explode("asked").alias("a")).select("a.id", F.get("lines", F.col("a.place")).alias("line"))
-    return stage(found.where(F.xxhash64("line") == F.col("id")).dropDuplicates(["id"]), "texts")
+    """bucket, id, tags of the lines in buckets that distinct lines share; bands of one slope at a time."""
+    parts = []
+    for k in range(len(SLOPES)):
+        each = signed.select("id", F.explode(F.slice("bands", k * GROUPS + 1, GROUPS)).alias("bucket"))
+        shared = each.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
+        parts.append(stage(each.join(shared, "bucket"), "shared"))
+    found = stage(reduce(DataFrame.unionByName, parts).join(signed.select("id", "tags"), "id"), "members")
+    drop(*parts)
+    return found
 
 
-def _possible(x: str, y: str, least: float) -> Column:
-    """False only where the sketches prove that two sets are less similar than `least`: sizes too far apart, or more cells of
-    unlike parity than the sets may have members in one only."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    unlike = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.s{w}").bitwiseXOR(F.col(f"{y}.s{w}"))) for w in range(WORDS)])
-    return (nx >= least * ny) & (ny >= least * nx) & (unlike * (1 + least) <= (nx + ny) * (1 - least) + 1e-6)
+def _possible(x: Column, y: Column) -> Column:
+    """Whether two signatures agree in AGREE minima or more, as far as their tags tell."""
+    unlike = x.bitwiseXOR(y)
+    pairs = unlike.bitwiseOR(F.shiftrightunsigned(unlike, 1)).bitwiseAND(F.lit(0x5555555555555555))
+    return F.bit_count(pairs) <= LANES - AGREE
 
 
 def _mixed(members: DataFrame, links: DataFrame | None) -> DataFrame:
     """members with the root of their component so far, in the buckets that have members of several components."""
     if links is None:
         return members.withColumn("root", F.col("id"))
-    groups = stage(components(links, "a", "b"), "groups")
+    groups = components(links, "a", "b")
     rooted = stage(members.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    return stage(rooted.join(several, "bucket"), "mixed")
+    found = stage(rooted.join(several, "bucket"), "mixed")
+    drop(rooted)
+    return found
+
+
+def _led(rows: DataFrame, step: int) -> DataFrame:
+    """a, b: each line b with one leader a of its buckets that is of another component and may be similar."""
+    order = lambda c: F.xxhash64(c, F.lit(step))
+    heads = rows.groupBy("bucket").agg(*[F.min_by(c, order("id")).alias(f"head_{c}") for c in ("id", "root", "tags")])
+    held = rows.join(heads, "bucket").where((F.col("root") != F.col("head_root")) & _possible(F.col("tags"), F.col("head_tags")))
+    return held.groupBy(F.col("id").alias("b")).agg(F.min_by("head_id", order("head_id")).alias("a")).select("a", "b")
 
 
-def _blocked(rows: DataFrame, least: float) -> DataFrame:
+def _blocked(rows: DataFrame) -> DataFrame:
     """a, b: every pair of members of a bucket that are of different components and may be similar. Members are dealt over
     blocks of about BLOCK, and a task gets one block against one."""
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    x = dealt.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other")).select("bucket", F.col("block").alias("lo"), F.col("other").alias("hi"), "id", "root", *SKETCH).alias("x")
-    y = dealt.select("*", F.explode(F.sequence(F.lit(0), "block")).alias("other")).select("bucket", F.col("other").alias("lo"), F.col("block").alias("hi"), "id", "root", *SKETCH).alias("y")
+    own = ["id", "root", "tags"]
+    x = dealt.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other")).select("bucket", F.col("block").alias("lo"), F.col("other").alias("hi"), *own).alias("x")
+    y = dealt.select("*", F.explode(F.sequence(F.lit(0), "block")).alias("other")).select("bucket", F.col("other").alias("lo"), F.col("block").alias("hi"), *own).alias("y")
     met = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("bucket", "lo", "hi")]
     once = (F.col("x.lo") < F.col("x.hi")) | (F.col("x.id") < F.col("y.id"))
-    pairs = x.join(y, reduce(Column.__and__, [*met, F.col("x.root") != F.col("y.root"), once, _possible("x", "y", least)]))
+    pairs = x.join(y, reduce(Column.__and__, [*met, F.col("x.root") != F.col("y.root"), once, _possible(F.col("x.tags"), F.col("y.tags"))]))
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def _links(signed: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _links(texts: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """a, b: verified links between distinct lines, with the components of all similar pairs that share a bucket."""
-    sketches = signed.select("id", *SKETCH)
-    members = stage(_members(signed).join(sketches, "id"), "members")
     found = None
     for step in range(LEADERS + 1):
         rows = _mixed(members, found)
-        if step < LEADERS:
-            order = lambda c: F.xxhash64(c, F.lit(step))  # noqa: B023, E731
-            heads = rows.groupBy("bucket").agg(F.min_by("id", order("id")).alias("head"))
-            held = rows.join(heads, "bucket").where("id != head").select("id", "head", *SKETCH).distinct().alias("y")
-            led = held.join(sketches.alias("x"), F.col("y.head") == F.col("x.id")).where(_possible("x", "y", least))
-            pairs = led.groupBy(F.col("y.id").alias("b")).agg(F.min_by("y.head", order("y.head")).alias("a"))
-        else:
-            pairs = _blocked(rows, least)
-        pairs = stage(pairs.select("a", "b"), "pairs")
-        lines = _texts(docs, signed, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        pairs = stage(_led(rows, step) if step < LEADERS else _blocked(rows), "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        lines = stage(texts.join(ids.hint("shuffle_hash"), "id", "left_semi"), "lines")
         ok = stage(similar(pairs, lines, least), "similar")
+        drop(lines, pairs)
+        if found is not None:
+            drop(rows)
         found = ok if found is None else found.unionByName(ok)
     return found
 
@@ -166,7 +181,12 @@ def marked_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     docs = narrow(docs, "doc_id", "text")
     lines = _numbered(docs)
     marked = stage(lines.select("doc_id", "place", "id", "check"), "marked")
-    groups = components(_links(_signed(lines), docs, least), "a", "b")
+    with laid_out(_distinct(lines), "id", "distinct") as texts:
+        signed = stage(_signed(texts), "signed")
+        members = _members(signed)
+        drop(signed)
+        groups = components(_links(texts, members, least), "a", "b")
+        drop(members)
     at = F.struct("doc_id", "place")
     distinct = marked.groupBy("id", "check").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     named = stage(distinct.join(groups.withColumnRenamed("node", "id"), "id", "left"), "named")

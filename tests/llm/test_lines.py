@@ -84,8 +84,9 @@ def test_template_bucket_and_chains(spark):
     numbered = [(i, t) for i, (_, t) in enumerate(docs)]
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in numbered], DOCS)
     # one bucket for all, so that chance has no part in it
-    signed = L._signed(L._numbered(df.select("doc_id", "text"))).withColumn("bands", F.array(F.lit(1).cast("long")))
-    links = L._links(signed, df.select("doc_id", "text"), L.SIMILARITY)
+    texts = L._distinct(L._numbered(df.select("doc_id", "text")))
+    members = L._signed(texts).select("id", "tags", F.lit(1).cast("long").alias("bucket"))
+    links = L._links(texts, members, L.SIMILARITY)
     found = components(links, "a", "b").groupBy("root").count()
     want = {}
     sets = [{t[k : k + L.SHINGLE] for k in range(len(t) - L.SHINGLE + 1)} for _, t in numbered]
