@@ -23,15 +23,16 @@ from .graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Minima of a signature, as GROUPS groups of PER_BAND, and the bands: each takes one of every four, so that any two bands share
-#: one minimum at most. A pair of similarity 0.8 meets in a band with probability 0.996, of 0.85 with 0.9994, whatever its length.
-GROUPS, PER_BAND = 7, 4
+#: Minima of a signature, as GROUPS groups of PER_BAND, and the bands: each takes one of every six, so that any two bands share
+#: few. A pair of similarity 0.8 meets in a band with probability 0.992, of 0.82 with 0.997, of 0.85 with 0.9993, whatever its
+#: length; one of 0.1, as any two lines of a language have, once in 40,000 pairs, or work would grow with the square of the lines.
+GROUPS, PER_BAND = 8, 6
 LANES = GROUPS * PER_BAND
-SLOPES = (0, 1)
+SLOPES = (0, 1, 3)
 BANDS = [[(g + m * i) % GROUPS * PER_BAND + i for i in range(PER_BAND)] for m in SLOPES for g in range(GROUPS)]
-#: Signatures that agree in fewer minima (by two bits of each, as chance has it in a quarter of the rest) belong to unlike lines:
-#: at similarity 0.8 so few agree once in a million pairs.
-AGREE = 14
+#: Two bits of each of TAGS minima go with a line. Signatures that agree in fewer than AGREE of them (as chance has it in a
+#: quarter of what is unlike) belong to unlike lines: at similarity 0.8 so few agree in three of a million pairs.
+TAGS, AGREE = 32, 18
 #: Shingles that one row stands for while signatures are made.
 STEP = 8
 #: Leaders that a bucket has before all its pairs are compared, and the members of a block then.
@@ -89,7 +90,7 @@ def _signed(texts: DataFrame) -> DataFrame:
     hashed = each.select("id", *cut).select("id", *[F.xxhash64(f"s{k}", F.lit(j)).alias(f"h{k}_{j}") for k in range(STEP) for j in (0, 1)])
     minima = hashed.groupBy("id").agg(*[F.min(F.least(*[F.col(f"h{k}_{m % 2}").bitwiseXOR(_constant(m)) for k in range(STEP)])).alias(f"m{m}") for m in range(LANES)])
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{m}") for m in lanes]) for b, lanes in enumerate(BANDS)]
-    tags = reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{m}").bitwiseAND(F.lit(3)), 2 * m) for m in range(LANES)])
+    tags = reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{m}").bitwiseAND(F.lit(3)), 2 * m) for m in range(TAGS)])
     return minima.select("id", F.array(*bands).alias("bands"), tags.alias("tags"))
 
 
@@ -120,10 +121,10 @@ def _members(signed: DataFrame) -> DataFrame:
 
 
 def _possible(x: Column, y: Column) -> Column:
-    """Whether two signatures agree in AGREE minima or more, as far as their tags tell."""
+    """Whether two signatures agree in AGREE of TAGS minima or more."""
     unlike = x.bitwiseXOR(y)
     pairs = unlike.bitwiseOR(F.shiftrightunsigned(unlike, 1)).bitwiseAND(F.lit(0x5555555555555555))
-    return F.bit_count(pairs) <= LANES - AGREE
+    return F.bit_count(pairs) <= TAGS - AGREE
 
 
 def _mixed(members: DataFrame, links: DataFrame | None) -> DataFrame:
