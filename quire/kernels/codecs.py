@@ -149,11 +149,13 @@ def run_length(data: bytes) -> Decoded:
 
 
 def predict(data: bytes, predictor: int, colors: int = 1, bits: int = 8, columns: int = 1) -> Decoded:
-    """Undoes TIFF's predictor 2 or PNG's 10 and up."""
+    """Undoes TIFF's predictor 2 or PNG's 10 and up; where that can't be done there is no data."""
     if predictor < 2:
         return data, None
     if not (0 < colors <= 1 << 16 and bits in (1, 2, 4, 8, 16) and 0 < columns):
-        return data, "predictor: impossible geometry"
+        return b"", "predictor: impossible geometry"
+    if 2 < predictor < 10:
+        return b"", "predictor: not defined"
     row = (colors * bits * columns + 7) // 8
     if row > max(ROW_CAP, len(data)):
         return b"", "predictor: a row larger than its data"
@@ -162,7 +164,7 @@ def predict(data: bytes, predictor: int, colors: int = 1, bits: int = 8, columns
 
 def _tiff(data: bytes, colors: int, bits: int, row: int) -> Decoded:
     if bits not in (8, 16):
-        return data, "predictor: TIFF of other than 8 or 16 bits"
+        return b"", "predictor: TIFF of other than 8 or 16 bits"
     whole = len(data) // row * row
     values = np.frombuffer(data[:whole], ">u2" if bits == 16 else np.uint8).reshape(-1, row * 8 // bits // colors, colors) if whole else np.zeros((0, 1, 1), np.uint8)
     summed = np.cumsum(values, axis=1, dtype=np.uint16 if bits == 16 else np.uint8)
@@ -170,41 +172,48 @@ def _tiff(data: bytes, colors: int, bits: int, row: int) -> Decoded:
 
 
 def _png(data: bytes, step: int, row: int) -> Decoded:
-    before, out = np.zeros(row + step, np.uint8), []
-    problem = None
-    for at in range(0, len(data), row + 1):
-        kind, part = data[at], data[at + 1 : at + 1 + row]
-        if not part:
-            break
-        short = row - len(part)
-        now = np.zeros(row + step, np.uint8)
-        now[step:] = np.frombuffer(part + b"\0" * short, np.uint8)
+    """A last row that the data cuts short is filled with zeros before its filter is undone."""
+    count = -(-len(data) // (row + 1))
+    rows = np.frombuffer(data.ljust(count * (row + 1), b"\0"), np.uint8).reshape(count, row + 1)
+    kinds = rows[:, 0]
+    if (kinds > 4).any():
+        return b"", "predictor: no such row type"
+    out = np.zeros((count + 1, row + step), np.uint8)
+    out[1:, step:] = rows[:, 1:]
+    at = 1
+    while at <= count:
+        kind, last = kinds[at - 1], at
+        # rows of one kind that is plain sums go together
+        while kind in (1, 2) and last < count and kinds[last] == kind:
+            last += 1
+        now = out[at : last + 1, step:]
         if kind == 1:
             for k in range(step):
-                now[step + k :: step] = np.cumsum(now[step + k :: step], dtype=np.uint8)
+                now[:, k::step] = np.cumsum(now[:, k::step], axis=1, dtype=np.uint8)
         elif kind == 2:
-            now[step:] += before[step:]
-        elif kind in (3, 4):
-            _walk(now, before, step, kind)
+            out[at : last + 1] = np.cumsum(out[at - 1 : last + 1], axis=0, dtype=np.uint8)[1:]
         elif kind:
-            problem = "predictor: no such row type"
-            break
-        out.append(now[step:].tobytes()[: row - short])
-        before = now
-    return b"".join(out), problem
+            (_average if kind == 3 else _nearest)(out[at], out[at - 1], step)
+        at = last + 1
+    return out[1:, step:].tobytes(), None
 
 
-def _walk(now: np.ndarray, before: np.ndarray, step: int, kind: int) -> None:
-    a, b = now.tolist(), before.tolist()
+def _average(now: np.ndarray, above: np.ndarray, step: int) -> None:
+    a, b = now.tolist(), above.tolist()
     for k in range(step, len(a)):
-        left, up = a[k - step], b[k]
-        if kind == 3:
-            guess = (left + up) // 2
-        else:
-            corner = b[k - step]
-            p = left + up - corner
-            guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-        a[k] = (a[k] + guess) & 255
+        a[k] = (a[k] + (a[k - step] + b[k] >> 1)) & 255
+    now[:] = a
+
+
+def _nearest(now: np.ndarray, above: np.ndarray, step: int) -> None:
+    """Adds whichever of left, up and corner is nearest to left + up - corner, in this order."""
+    a, b = now.tolist(), above.tolist()
+    for k in range(step, len(a)):
+        left, up, corner = a[k - step], b[k], b[k - step]
+        x, y = up - corner, left - corner
+        z = abs(x + y)
+        x, y = abs(x), abs(y)
+        a[k] = (a[k] + (left if x <= y and x <= z else up if y <= z else corner)) & 255
     now[:] = a
 
 
@@ -227,7 +236,7 @@ def _one(name: str, data: bytes, parms: dict, cap: int) -> Decoded:
 
         return fax(data, parms)
     if name in ("FlateDecode", "LZWDecode"):
-        out, problem = flate(data, cap) if name == "FlateDecode" else lzw(data, int(parms.get("EarlyChange", 1)))
+        out, problem = flate(data, cap) if name == "FlateDecode" else lzw(data, int(parms.get("EarlyChange", 1) != 0))
         plain, second = predict(out, *(int(parms.get(k, d)) for k, d in (("Predictor", 1), ("Colors", 1), ("BitsPerComponent", 8), ("Columns", 1))))
         return plain, problem or second
     raise PdfError(f"unknown filter {name}")

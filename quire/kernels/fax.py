@@ -26,7 +26,7 @@ class _Ended(Exception):
     pass
 
 
-class _Reader:
+class _Bits:
     def __init__(self, data: bytes):
         self.bits = "".join(f"{b:08b}" for b in data)
         self.at = 0
@@ -58,7 +58,7 @@ class _Reader:
         return False
 
 
-def _one_dimensional(r: _Reader, columns: int) -> list[int]:
+def _one_dimensional(r: _Bits, columns: int) -> list[int]:
     edges, at, black = [], 0, 0
     while at < columns:
         at += r.run(black)
@@ -69,7 +69,7 @@ def _one_dimensional(r: _Reader, columns: int) -> list[int]:
     return edges
 
 
-def _two_dimensional(r: _Reader, above: list[int], columns: int) -> list[int]:
+def _two_dimensional(r: _Bits, above: list[int], columns: int) -> list[int]:
     edges, at, black = [], -1, 0
     while at < columns:
         start = max(at, 0)
@@ -99,7 +99,7 @@ def fax(data: bytes, parms: dict) -> tuple[bytes, str | None]:
     k, columns, rows = int(parms.get("K", 0)), int(parms.get("Columns", 1728)), int(parms.get("Rows", 0))
     if not 0 < columns <= MOST_COLUMNS or rows < 0 or columns * max(rows, 1) > MOST_PIXELS:
         return b"", "fax: impossible geometry"
-    r, lines, problem = _Reader(data), [], None
+    r, lines, problem = _Bits(data), [], None
     above: list[int] = []
     try:
         while (not rows or len(lines) < rows) and r.at < len(r.bits) and (len(lines) + 1) * columns <= MOST_PIXELS:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from .codecs import decode
-from .syntax import Name, PdfError, Ref, Stream, format_value, headers, kind_of, parse, parse_indirect, references, skip
+from .syntax import Name, PdfError, Stream, format_value, headers, kind_of, parse, parse_indirect, references, skip
 
 TAIL = 4096
 _SUBSECTION = re.compile(rb"[\x00\t\n\x0c\r ]*(\d+)[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]*")
@@ -99,6 +99,8 @@ def section_rows(data: bytes) -> list[dict]:
     """
     out: list[dict] = []
     blank = {"num": None, "offset": None, "gen": None, "strm": None, "trailer": None, "error": None}
+    if head := re.search(rb"%PDF-(...)", data[:1024]):
+        out.append(blank | {"kind": "h", "seq": 0, "trailer": {"Version": head[1].decode("latin-1")}})
     tail = data[-TAIL:]
     mark = tail.rfind(b"startxref")
     try:
@@ -125,13 +127,8 @@ def section_rows(data: bytes) -> list[dict]:
     return out
 
 
-def packed_rows(body: bytes, raw: bytes) -> list[dict]:
-    """The members of an object stream; those that can't be parsed are left out."""
-    entries, _ = parse(body)
-    made = decode(entries, raw)
-    data, first, count = made["data"] or b"", entries.get("First", 0), entries.get("N", 0)
-    if not isinstance(first, int) or not isinstance(count, int) or first < 0:
-        return []
+def packed_rows(first: int, count: int, data: bytes) -> list[dict]:
+    """The members of an object stream from its decoded data; those that can't be parsed are left out."""
     out, at, places = [], 0, []
     for _ in range(min(count, -(-first // 4))):
         try:
@@ -147,8 +144,3 @@ def packed_rows(body: bytes, raw: bytes) -> list[dict]:
         except (PdfError, TypeError, IndexError):
             continue
     return out
-
-
-def as_ref(text: str | None) -> Ref | None:
-    value = parse(text.encode("latin-1"))[0] if text else None
-    return value if isinstance(value, Ref) else None

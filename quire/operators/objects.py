@@ -6,32 +6,59 @@ counts, what a trailer says and which files need repair are joins and aggregates
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from quire.functions.filters import decode_streams
 from quire.kernels import rows
 from quire.plans.rounds import settled
 
 VALUE = "kind: string, body: binary, entries: map<string, string>, refs: array<struct<key: string, ord: int, num: long, gen: long>>, raw: binary"
-SCAN = f"array<struct<num: long, gen: long, offset: long, end: long, {VALUE}, error: string>>"
-SECTION = "array<struct<seq: int, kind: string, num: long, offset: long, gen: long, strm: long, trailer: map<string, string>, error: string>>"
+SCAN = f"num: long, gen: long, offset: long, end: long, {VALUE}, error: string"
+SECTION = "seq int, kind string, num long, offset long, gen long, strm long, trailer map<string, string>, error string"
 PACKED = f"array<struct<num: long, index: int, {VALUE}>>"
 COLUMNS = ["file_id", "num", "gen", "source", "kind", "body", "entries", "refs", "raw"]
+#: Rows of one file that go on together; a file's objects are never all held as one value.
+BATCH = 512
+
+
+def _read(files: DataFrame, keep: tuple[str, ...], **parts) -> DataFrame:
+    """file_id, the columns to keep and, for each of parts (a function of a file's bytes and the columns of its rows), a
+    struct that is set in the rows which that part made. Every file is read once."""
+    kinds = {name: _parse_datatype_string(kind) for name, (_, kind) in parts.items()}
+    own = [files.schema[c] for c in ("file_id", *keep)]
+    schema = StructType([*own, *[StructField(name, kind) for name, kind in kinds.items()]])
+    run = {name: f for name, (f, _) in parts.items()}
+    maps = {name: [f.name for f in kind if f.dataType.typeName() == "map"] for name, kind in kinds.items()}
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            names = batch.schema.names[:-1]
+            for *given, data in zip(*(batch.column(k).to_pylist() for k in range(len(names) + 1)), strict=True):
+                for name, f in run.items():
+                    made = f(bytes(data or b""))
+                    for at in range(0, len(made), BATCH):
+                        some = [dict(zip(names, given, strict=True)) | {name: r | {m: list(r[m].items()) for m in maps[name] if r[m] is not None}} for r in made[at : at + BATCH]]
+                        yield pa.RecordBatch.from_pylist(some, arrow)
 
-def _per_file(files: DataFrame, run, kind: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    made = F.udf(lambda data: run(bytes(data or b"")), kind, useArrow=True)("content")
-    return files.select("file_id", *keep, F.explode(made).alias("x")).select("file_id", *keep, "x.*")
+    return files.select("file_id", *keep, "content").mapInArrow(read, schema)
 
 
 def scan(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Everything in a file that has an object header, whether or not the file still refers to it."""
-    return _per_file(files, rows.object_rows, SCAN, keep)
+    return _read(files, keep, o=(rows.object_rows, SCAN)).select("file_id", *keep, "o.*")
 
 
 def sections(files: DataFrame) -> DataFrame:
-    """Cross-reference entries ('n', 'f', 'o'), trailers ('t') and errors ('e') by section, the newest first."""
-    return _per_file(files, rows.section_rows, SECTION)
+    """Cross-reference entries ('n', 'f', 'o'), trailers ('t'), the header's version ('h') and errors ('e') by section, the newest first."""
+    return _read(files, (), s=(rows.section_rows, SECTION)).select("file_id", "s.*")
 
 
 def merged(entries: DataFrame) -> DataFrame:
@@ -54,24 +81,29 @@ def ref_number(text: Column) -> Column:
 
 def unpacked(streams: DataFrame) -> DataFrame:
     """file_id, strm and the members of object streams among objects."""
-    only = streams.where("kind = 'stream' and entries['Type'] = '/ObjStm'")
-    made = F.udf(lambda body, raw: rows.packed_rows(bytes(body), bytes(raw)), PACKED, useArrow=True)("body", "raw")
-    return only.select("file_id", F.col("num").alias("strm"), F.col("offset").alias("strm_offset"), F.explode(made).alias("x")).select("file_id", "strm", "strm_offset", "x.*")
+    only = streams.where("kind = 'stream' and entries['Type'] = '/ObjStm'").select("file_id", "num", "offset", "entries", "raw")
+    whole = lambda key: F.when(F.col("entries")[key].rlike(r"^\d{1,9}$"), F.col("entries")[key].cast("long"))
+    made = F.udf(lambda first, count, data: rows.packed_rows(first, count, bytes(data)) if first is not None and count is not None and data is not None else [], PACKED, useArrow=True)
+    read = decode_streams(only).select("file_id", F.col("num").alias("strm"), F.col("offset").alias("strm_offset"), F.explode(made(whole("First"), whole("N"), F.col("decoded.data"))).alias("x"))
+    return read.select("file_id", "strm", "strm_offset", "x.*")
 
 
-def _by_table(found: DataFrame, entries: DataFrame) -> DataFrame:
-    """What the cross-reference chain names, where an object of that number stands there."""
+def _by_table(found: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the cross-reference chain names, where an object of that number stands there; and the files of which one stands elsewhere."""
     table = merged(entries)
-    direct = found.where("error is null").join(table.where("kind = 'n'").select("file_id", "num", "offset"), ["file_id", "num", "offset"]).withColumn("source", F.lit("direct"))
+    named = table.where("kind = 'n' and offset > 0").select("file_id", "num", "offset")
+    direct = found.where("error is null").join(named, ["file_id", "num", "offset"]).withColumn("source", F.lit("direct"))
+    misplaced = named.join(found.select("file_id", "num", "offset"), ["file_id", "num", "offset"], "left_anti").select("file_id").distinct()
     packed = unpacked(direct).join(table.where("kind = 'o'").select("file_id", "num", "strm"), ["file_id", "num", "strm"])
     packed = packed.withColumns({"source": F.lit("packed"), "gen": F.lit(0).cast("long")})
-    return direct.select(COLUMNS).unionByName(packed.select(COLUMNS))
+    return direct.select(COLUMNS).unionByName(packed.select(COLUMNS)), misplaced
 
 
 def _by_repair(found: DataFrame) -> DataFrame:
     """Without a table: of each number the last object in the file; members of the last object stream where no object stands directly."""
     value = F.struct("gen", "kind", "body", "entries", "refs", "raw", "offset")
     last = found.where("error is null").groupBy("file_id", "num").agg(F.max_by(value, "offset").alias("v")).select("file_id", "num", "v.*").withColumn("source", F.lit("repair"))
+    last = settled(last)
     inside = unpacked(last).groupBy("file_id", "num").agg(F.max_by(F.struct("kind", "body", "entries", "refs", "raw"), "strm_offset").alias("v")).select("file_id", "num", "v.*")
     inside = inside.join(last.select("file_id", "num"), ["file_id", "num"], "left_anti").withColumns({"source": F.lit("repair packed"), "gen": F.lit(0).cast("long")})
     return last.select(COLUMNS).unionByName(inside.select(COLUMNS))
@@ -92,38 +124,65 @@ def _last_trailers(files: DataFrame) -> DataFrame:
                 out.append({"seq": len(out), "trailer": {str(k): rows.text_of(v) for k, v in value.items()}})
         return out
 
-    return _per_file(files, found, "array<struct<seq: int, trailer: map<string, string>>>")
+    return _read(files, (), t=(found, "seq int, trailer map<string, string>")).select("file_id", "t.*")
+
+
+def _made_up(mended: DataFrame, lost: DataFrame) -> DataFrame:
+    """The last resort for files without a catalogue: a tree of all their page objects (number one above the highest) and a
+    catalogue over it (two above)."""
+    of = mended.join(lost.select("file_id"), "file_id", "left_semi")
+    kept = F.array_sort(F.collect_list(F.when(F.col("entries")["Type"] == "/Page", F.col("num"))))
+    kids = of.groupBy("file_id").agg(kept.alias("k"), F.max("num").alias("high")).where("size(k) > 0")
+    spelled = F.array_join(F.transform("k", lambda n: F.concat(n.cast("string"), F.lit(" 0 R"))), " ")
+    ref = lambda key, ord_, n: F.struct(F.lit(key).alias("key"), ord_.cast("int").alias("ord"), n.alias("num"), F.lit(0).cast("long").alias("gen"))
+    tree = F.create_map(F.lit("Type"), F.lit("/Pages"), F.lit("Count"), F.size("k").cast("string"), F.lit("Kids"), F.concat(F.lit("["), spelled, F.lit("]")))
+    top = F.create_map(F.lit("Type"), F.lit("/Catalog"), F.lit("Pages"), F.concat((F.col("high") + 1).cast("string"), F.lit(" 0 R")))
+    body = lambda e: F.encode(F.concat(F.lit("<<"), F.array_join(F.transform(F.map_entries(e), lambda x: F.concat(F.lit("/"), x["key"], F.lit(" "), x["value"])), ""), F.lit(">>")), "ISO-8859-1")
+    both = F.array(
+        F.struct((F.col("high") + 1).alias("num"), tree.alias("entries"), body(tree).alias("body"), F.transform("k", lambda n, i: ref("Kids", i, n)).alias("refs")),
+        F.struct((F.col("high") + 2).alias("num"), top.alias("entries"), body(top).alias("body"), F.array(ref("Pages", F.lit(0), F.col("high") + 1)).alias("refs")),
+    )
+    new = kids.select("file_id", F.explode(both).alias("x")).select("file_id", "x.*")
+    return new.withColumns({"gen": F.lit(0).cast("long"), "source": F.lit("made up"), "kind": F.lit("dict"), "raw": F.lit(None).cast("binary")}).select(COLUMNS)
 
 
 def opened(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(objects, documents): the objects that count, and file_id, trailer, root (number of the catalogue), repaired, error.
+    """(objects, documents): the objects that count, and file_id, trailer, root (number of the catalogue), version, repaired, error.
 
-    A file whose chain can't be read, or whose catalogue can't be found with it, is repaired: its objects are those that a
-    scan finds, and its root comes from the last trailer that names a catalogue, else from cross-reference streams, else it
-    is the highest-numbered catalogue. A file without any has root null and an error.
+    A file whose chain can't be read, names a place at which its object does not stand, or leads to no catalogue, is
+    repaired: its objects are those that a scan finds, and its root comes from the last trailer that names a catalogue, else
+    from cross-reference streams, else it is the highest-numbered catalogue, else one made up over its pages. A file
+    without any has root null and an error.
     """
-    # each file is read twice, whatever is asked of it later
-    found, entries = settled(scan(files)), settled(sections(files))
-    table = settled(_by_table(found, entries))
+    # each file is read once, whatever is asked of it later
+    both = settled(_read(files, (), o=(rows.object_rows, SCAN), s=(rows.section_rows, SECTION)))
+    found, entries = both.where("o is not null").select("file_id", "o.*"), both.where("s is not null").select("file_id", "s.*")
+    table, misplaced = _by_table(found, entries)
+    table = settled(table)
     catalogues = lambda o: o.where("entries['Type'] = '/Catalog' or entries['Pages'] is not null").select("file_id", F.col("num").alias("root"))
     said = trailers(entries).withColumn("root", ref_number(F.col("trailer")["Root"]))
     broken = entries.where("kind = 'e'").groupBy("file_id").agg(F.first("error").alias("cause"))
+    broken = broken.unionByName(misplaced.withColumn("cause", F.lit("an object is not where the table has it"))).groupBy("file_id").agg(F.min("cause").alias("cause"))
+    head = entries.where("kind = 'h'").select("file_id", F.col("trailer")["Version"].alias("version"))
     whole = said.join(broken, "file_id", "left_anti").join(catalogues(table), ["file_id", "root"], "left_semi").withColumn("repaired", F.lit(False))
     whole = settled(whole.select("file_id", "trailer", "root", "repaired"))
-    rest = settled(files.select("file_id").join(whole.select("file_id"), "file_id", "left_anti"))
+    rest = settled(both.select("file_id").distinct().join(whole.select("file_id"), "file_id", "left_anti"))
     if not rest.limit(1).count():
-        return table, whole.withColumns({"error": F.lit(None).cast("string"), "cause": F.lit(None).cast("string")})
+        return table, whole.withColumns({"error": F.lit(None).cast("string"), "cause": F.lit(None).cast("string")}).join(head, "file_id", "left")
     mended = settled(_by_repair(found.join(rest, "file_id", "left_semi")))
     spoken = _last_trailers(files.join(rest, "file_id", "left_semi")).select("file_id", "seq", "trailer")
     streams = mended.where("entries['Type'] = '/XRef'").select("file_id", (F.lit(1 << 40) - F.col("num")).alias("seq"), F.col("entries").alias("trailer"))
     guess = catalogues(mended).select("file_id", (F.lit(1 << 50) - F.col("root")).alias("seq"), F.create_map(F.lit("Root"), F.concat(F.col("root").cast("string"), F.lit(" 0 R"))).alias("trailer"))
     every = spoken.unionByName(streams).unionByName(guess).withColumn("root", ref_number(F.col("trailer")["Root"]))
     good = every.join(catalogues(mended), ["file_id", "root"], "left_semi")
-    best = good.groupBy("file_id").agg(F.min_by(F.struct("trailer", "root"), "seq").alias("b")).select("file_id", "b.*")
+    best = settled(good.groupBy("file_id").agg(F.min_by(F.struct("trailer", "root"), "seq").alias("b")).select("file_id", "b.*"))
+    more = settled(_made_up(mended, rest.join(best, "file_id", "left_anti")))
+    none = F.lit(None).cast("map<string,string>")
+    best = best.unionByName(more.where("entries['Type'] = '/Catalog'").select("file_id", none.alias("trailer"), F.col("num").alias("root")))
     fixed = rest.join(best, "file_id", "left").withColumn("repaired", F.lit(True))
     documents = whole.select("file_id", "trailer", "root", "repaired").unionByName(fixed.select("file_id", "trailer", "root", "repaired"))
-    documents = documents.join(broken, "file_id", "left").select("file_id", "trailer", "root", "repaired", F.when(F.col("root").isNull(), F.coalesce("cause", F.lit("no catalogue"))).alias("error"), "cause")
-    objects = table.join(whole.select("file_id"), "file_id", "left_semi").unionByName(mended)
+    documents = documents.join(broken, "file_id", "left").join(head, "file_id", "left").select("file_id", "trailer", "root", "repaired", F.when(F.col("root").isNull(), F.coalesce("cause", F.lit("no catalogue"))).alias("error"), "cause", "version")
+    objects = table.join(whole.select("file_id"), "file_id", "left_semi").unionByName(mended).unionByName(more)
     return objects, settled(documents)
 
 
@@ -135,7 +194,25 @@ def resolved(objects: DataFrame, most: int = 64) -> DataFrame:
         if not chased.limit(1).count():
             break
         target = objects.select("file_id", F.col("num").alias("to"), "gen", "source", "kind", "body", "entries", "refs", "raw")
-        step = chased.join(target, ["file_id", "to"], "left")
+        step = settled(chased.join(target, ["file_id", "to"], "left"))
         plain = plain.unionByName(step.where("kind is null or kind != 'ref'").select(COLUMNS))
         chased = step.where("kind = 'ref'").select("file_id", "num", F.col("refs")[0]["num"].alias("to"))
     return plain
+
+
+def inlined(objects: DataFrame, *keys: str) -> DataFrame:
+    """objects whose entries under the given keys are values: a reference there gives way to what stands at its end, spelled,
+    unless that is a stream, which only a reference can name. A reference to nothing is null."""
+    asked = objects.select("file_id", "num", F.explode(F.map_filter("entries", lambda k, v: k.isin(*keys) & v.rlike(r"^\d+ \d+ R$"))).alias("key", "value"))
+    asked = settled(asked.select("file_id", "num", "key", ref_number(F.col("value")).alias("to")))
+    if not asked.limit(1).count():
+        return objects
+    on_the_way = objects.where("kind = 'ref'").select("file_id", F.col("refs")[0]["num"].alias("to"))
+    wanted = asked.select("file_id", "to").unionByName(on_the_way).distinct()
+    ends = objects.where("kind = 'ref'").unionByName(objects.where("kind != 'ref'").join(wanted.withColumnRenamed("to", "num"), ["file_id", "num"], "left_semi").withColumn("raw", F.lit(None).cast("binary")))
+    ends = resolved(settled(ends)).select("file_id", F.col("num").alias("to"), "kind", F.decode("body", "ISO-8859-1").alias("text"))
+    told = asked.join(ends, ["file_id", "to"], "left").where("kind is null or kind != 'stream'")
+    told = told.groupBy("file_id", "num").agg(F.map_from_entries(F.collect_list(F.struct("key", F.coalesce("text", F.lit("null")).alias("value")))).alias("told"))
+    both = objects.join(told, ["file_id", "num"], "left")
+    swapped = F.transform_values("entries", lambda k, v: F.coalesce(F.col("told")[k], v))
+    return both.withColumn("entries", F.when(F.col("told").isNull(), F.col("entries")).otherwise(swapped)).select(*objects.columns)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.filters import decode_stream
+from quire.functions.filters import decode_streams
 from quire.kernels import content as kernel
 from quire.kernels.rows import text_of
-from quire.operators.objects import ref_number
+from quire.operators.objects import inlined, ref_number
 from quire.plans.rounds import settled
 
 #: What pages take from the nodes above them.
@@ -20,10 +20,11 @@ OPERATIONS = "struct<ops: array<struct<operator: string, operands: array<string>
 def page_nodes(objects: DataFrame, documents: DataFrame) -> DataFrame:
     """Nodes of the page trees, level by level: file_id, num, path (ordinals from the root), above (numbers from the root), leaf.
 
-    A node is a leaf if its /Type says page or it has no array of kids. A kid that stands above itself is left out, so that
+    /Kids and /Type may be references. A node is a leaf if its /Type says page or it has no array of kids. A kid that stands above itself is left out, so that
     circles end; so are nodes deeper than DEEPEST.
     """
-    nodes = settled(objects.where("kind = 'dict'").select("file_id", "num", "entries", F.filter("refs", lambda r: r["key"] == "Kids").alias("kids")))
+    dicts = inlined(objects, "Kids", "Type").where("kind = 'dict'")
+    nodes = settled(dicts.select("file_id", "num", "entries", numbers(F.col("entries")["Kids"]).alias("kids")))
     root = documents.join(nodes.withColumnRenamed("num", "root"), ["file_id", "root"]).select("file_id", ref_number(F.col("entries")["Pages"]).alias("num"))
     level = root.where("num is not null").select("file_id", "num", F.array().cast("array<int>").alias("path"), F.array().cast("array<long>").alias("above"))
     done = []
@@ -32,7 +33,7 @@ def page_nodes(objects: DataFrame, documents: DataFrame) -> DataFrame:
         seen = settled(seen)
         done.append(seen.select("file_id", "num", "path", "above", "leaf", "entries"))
         kids = seen.where("not leaf").select("file_id", "path", F.concat("above", F.array("num")).alias("above"), F.posexplode("kids").alias("ord", "kid"))
-        level = kids.select("file_id", F.col("kid.num").alias("num"), F.concat("path", F.array(F.col("ord").cast("int"))).alias("path"), "above").where("not array_contains(above, num)")
+        level = kids.select("file_id", F.col("kid").alias("num"), F.concat("path", F.array(F.col("ord").cast("int"))).alias("path"), "above").where("not array_contains(above, num)")
         if not level.limit(1).count():
             break
     out = done[0]
@@ -64,11 +65,15 @@ def attributes(found: DataFrame, objects: DataFrame) -> DataFrame:
 def contents(found: DataFrame, objects: DataFrame) -> DataFrame:
     """file_id, page_no, content, recovered, image: a page's decoded streams with a line feed between those that are not empty.
 
-    A page without content has an empty one. Bytes that only an image filter could read are not content.
+    A page without content has an empty one. /Contents, /Filter and /DecodeParms may be references, /Contents one to an
+    array too. Bytes that only an image filter could read are not content.
     """
-    wanted = found.select("file_id", "page_no", F.posexplode(content_numbers(found)).alias("ord", "of"))
-    streams = objects.where("kind = 'stream'").select("file_id", F.col("num").alias("of"), decode_stream(F.col("body"), F.col("raw")).alias("d"))
-    read = wanted.join(streams, ["file_id", "of"])
+    own = inlined(objects, "Contents", "Filter", "DecodeParms")
+    held = found.drop("entries").join(own.select("file_id", "num", "entries"), ["file_id", "num"])
+    wanted = held.select("file_id", "page_no", F.posexplode(numbers(F.col("entries")["Contents"])).alias("ord", "of"))
+    streams = own.where("kind = 'stream'").select("file_id", F.col("num").alias("of"), "entries", "raw")
+    streams = settled(streams.join(wanted.select("file_id", "of").distinct(), ["file_id", "of"], "left_semi"))
+    read = wanted.join(decode_streams(streams).select("file_id", "of", F.col("decoded").alias("d")), ["file_id", "of"])
     parts = read.where("d.image is null and octet_length(coalesce(d.data, x'')) > 0").groupBy("file_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("d.data").alias("data")))).alias("parts"))
     flags = read.groupBy("file_id", "page_no").agg(F.max(F.col("d.recovered")).alias("recovered"), F.max("d.image").alias("image"))
     joined = F.aggregate(F.slice("parts", 2, 1 << 30), F.col("parts")[0]["data"], lambda a, x: F.concat(a, F.lit(b"\n"), x["data"]))
@@ -76,10 +81,9 @@ def contents(found: DataFrame, objects: DataFrame) -> DataFrame:
     return both.select("file_id", "page_no", F.coalesce(joined, F.lit(b"")).alias("content"), F.coalesce("recovered", F.lit(False)).alias("recovered"), "image")
 
 
-def content_numbers(found: DataFrame) -> Column:
-    """The numbers of a page's content streams in the order written."""
-    spelled = F.coalesce(found["entries"]["Contents"], F.lit(""))
-    return F.transform(F.regexp_extract_all(spelled, F.lit(r"(\d+) \d+ R"), F.lit(1)), lambda n: n.cast("long"))
+def numbers(spelled: Column) -> Column:
+    """The numbers of the references in a spelled value, in the order written."""
+    return F.transform(F.regexp_extract_all(F.coalesce(spelled, F.lit("")), F.lit(r"(\d+) \d+ R"), F.lit(1)), lambda n: n.cast("long"))
 
 
 def _operations(data: bytes | None) -> dict:
@@ -97,3 +101,19 @@ def operations(content: DataFrame) -> DataFrame:
     keep = [c for c in content.columns if c != "content"]
     each = made.select(*keep, F.posexplode("_o.ops").alias("op_seq", "o"))
     return each.select(*keep, "op_seq", "o.*")
+
+
+def pushed_down(found: DataFrame, objects: DataFrame) -> DataFrame:
+    """objects in which every page states the attributes that it would take from above, and no node of the tree has any. The
+    spelled body follows; other objects stay as they are."""
+    own = attributes(found, objects).groupBy("file_id", "page_no").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("given"))
+    named = found.select("file_id", "page_no", "num").join(own, ["file_id", "page_no"], "left").select("file_id", "num", F.coalesce("given", F.create_map().cast("map<string,string>")).alias("given"))
+    nodes = found.select("file_id", F.explode("above").alias("num")).distinct().withColumn("is_node", F.lit(True))
+    both = objects.join(named, ["file_id", "num"], "left").join(nodes, ["file_id", "num"], "left")
+    keys = F.array(*map(F.lit, INHERITED))
+    plain = F.map_filter("entries", lambda k, _: ~F.array_contains(keys, k))
+    entries = F.when(F.col("given").isNotNull(), F.map_concat(plain, "given")).when(F.col("is_node"), plain).otherwise(F.col("entries"))
+    changed = F.col("given").isNotNull() | F.col("is_node")
+    spelled = F.concat(F.lit("<<"), F.array_join(F.transform(F.array_sort(F.map_entries("entries")), lambda e: F.concat(F.lit("/"), e["key"], F.lit(" "), e["value"])), ""), F.lit(">>"))
+    made = both.withColumn("entries", entries).withColumn("body", F.when(changed, F.encode(spelled, "ISO-8859-1")).otherwise(F.col("body")))
+    return made.select(*objects.columns)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.filters import permissions
+from quire.functions.filters import filter_names, filter_parms, permissions
 from quire.kernels import legacy_crypt as kernel
 from quire.kernels.syntax import Name, PdfError, parse
 from quire.operators.objects import ref_number
@@ -73,14 +73,28 @@ def _rc4(data: Column, key: Column) -> Column:
     return F.udf(lambda d, k: None if d is None or k is None else kernel.rc4(bytes(k), bytes(d)), "binary", useArrow=True)(data, key)
 
 
+def aes_opened(data: Column, key: Column) -> Column:
+    """AES in blocks with the vector in front; padding that can't be padding is kept. Null unless data is two or more whole blocks."""
+    blocks = (F.octet_length(data) % 16 == 0) & (F.octet_length(data) >= 32)
+    # one more block, which opens to sixteen bytes of padding, lets Catalyst hand out all that was there
+    full = F.lit(bytes([16] * 16))
+    last = F.substring(data, F.octet_length(data) - 15, F.lit(16))
+    more = F.substring(F.aes_encrypt(full, key, F.lit("CBC"), F.lit("PKCS"), last), F.lit(17), F.lit(16))
+    plain = F.when(blocks, F.try_aes_decrypt(F.concat(data, more), key, F.lit("CBC"), F.lit("PKCS")))
+    n = F.conv(F.hex(F.substring(plain, F.octet_length(plain), F.lit(1))), 16, 10).cast("int")
+    return F.when(n.between(1, 16), F.substring(plain, F.lit(1), F.octet_length(plain) - n)).otherwise(plain)
+
+
 def decrypted(objects: DataFrame, found: DataFrame) -> DataFrame:
-    """objects with the streams of encrypted files in clear. The encryption dictionary, cross-reference streams and members of
-    object streams stay; so does what isn't whole blocks of AES, as null."""
+    """objects with the streams of encrypted files in clear. The encryption dictionary, cross-reference streams, members of
+    object streams and streams whose first filter is Crypt with Identity stay; what isn't whole blocks of AES is null."""
     both = objects.join(found.where("key is not null").select("file_id", "encrypt_num", "key", "method"), "file_id", "left")
     own = object_key(F.col("key"), F.col("num"), F.col("gen"), F.col("method"))
-    meant = F.col("key").isNotNull() & F.col("raw").isNotNull() & (F.coalesce(F.col("entries")["Type"], F.lit("")) != "/XRef") & ~F.col("source").contains("packed")
-    whole = (F.octet_length("raw") % 16 == 0) & (F.octet_length("raw") >= 32)
-    aes = F.when(whole, F.try_aes_decrypt("raw", own, F.lit("CBC"), F.lit("PKCS")))
+    name = F.regexp_extract(F.coalesce(F.get(filter_parms(F.col("entries")["DecodeParms"]), F.lit(0)), F.lit("")), r"/Name\s*/([^\s/<>\[\]]+)", 1)
+    exempt = F.coalesce(F.get(filter_names(F.col("entries")["Filter"]), F.lit(0)) == "Crypt", F.lit(False)) & name.isin("", "Identity")
+    meant = F.col("key").isNotNull() & F.col("raw").isNotNull() & (F.coalesce(F.col("entries")["Type"], F.lit("")) != "/XRef") & ~F.col("source").contains("packed") & ~exempt
+    meant = meant & (F.col("num") != F.coalesce("encrypt_num", F.lit(-1)))
+    aes = aes_opened(F.when(meant, F.col("raw")), own)
     clear = F.when(~meant, F.col("raw")).when(F.col("method") == "aes", aes).otherwise(_rc4(F.when(meant & (F.col("method") == "rc4"), F.col("raw")), own))
     return both.withColumn("raw", clear).select(*objects.columns)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.kernels.syntax import parse
@@ -20,9 +20,10 @@ def range_verdict(r: Column, length: Column) -> Column:
     return (
         F.when(r.isNull() | (F.size(r) != 4), "not four numbers")
         .when(a != 0, "does not start at the start")
-        .when((b < 0) | (c < 0) | (d < 0), "negative")
-        .when(c < b, "second span before the end of the first")
+        .when(b <= 0, "first span empty or negative")
+        .when(c <= b, "second span before the end of the first")
         .when(c - b < 2, "no gap")
+        .when(d < 0, "second span negative")
         .when((c > length) | (d > length - c), "past the end")
         .otherwise("ok")
     )
@@ -89,3 +90,42 @@ def signatures(files: DataFrame, objects: DataFrame, documents: DataFrame) -> Da
     ok = F.col("verdict") == "ok"
     claims = [F.when(ok, F.col("entries")[key]).alias(column) for column, key in CLAIMS.items()]
     return out.select("file_id", "name", "byte_range", "verdict", (ok & (F.get("byte_range", F.lit(2)) + F.get("byte_range", F.lit(3)) == F.col("length"))).alias("covers_whole_file"), F.when(ok, signed_bytes(F.col("content"), F.col("byte_range"))).alias("signed"), F.when(ok, gap_bytes(F.col("content"), F.col("byte_range"))).alias("contents"), *claims)
+
+
+def bound(gaps: DataFrame, ends: DataFrame) -> DataFrame:
+    """The rows of gaps (file_id, offset, gap_start, signed_end and more) with binding: whether the gap lies in the object at
+    offset, by the first 'endobj' (file_id, at) from offset on and the first from the gap on.
+
+    'outside' if the object ends before the gap, 'tail not signed' if no end of it lies in the signed bytes, else 'bound'.
+    """
+    marked = settled(gaps.withColumn("_gap", F.monotonically_increasing_id()))
+    asked = marked.select("file_id", "_gap", F.explode(F.array(F.struct(F.col("offset").alias("at"), F.lit(0).alias("which")), F.struct(F.col("gap_start").alias("at"), F.lit(1).alias("which")))).alias("a"))
+    asked = asked.select("file_id", "a.at", "_gap", "a.which")
+    none = F.lit(None)
+    every = ends.select("file_id", F.col("at").cast("long").alias("at"), none.cast("long").alias("_gap"), none.cast("int").alias("which")).unionByName(asked)
+    ahead = Window.partitionBy("file_id").orderBy(F.col("at").desc(), F.col("_gap").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = every.withColumn("next", F.min(F.when(F.col("_gap").isNull(), F.col("at"))).over(ahead)).where("_gap is not null")
+    first = found.groupBy("file_id", "_gap").agg(*[F.max(F.when(F.col("which") == k, F.col("next"))).alias(n) for k, n in enumerate(("_end", "_tail"))])
+    outside = (F.col("offset") < 0) | (F.col("offset") > F.col("gap_start")) | F.coalesce(F.col("_end") + 6 <= F.col("gap_start"), F.lit(False))
+    verdict = F.when(outside, "outside").when(F.col("_tail").isNull() | (F.col("_tail") > F.col("signed_end")), "tail not signed").otherwise("bound")
+    return marked.join(first, ["file_id", "_gap"]).withColumn("binding", verdict).drop("_gap", "_end", "_tail")
+
+
+#: Distinct signatures and signed bytes that are verified in a file.
+MOST, MOST_BYTES = 64, 1 << 30
+
+
+def budgeted(found: DataFrame, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The rows of found (file_id, seq, sub_filter, byte_range, contents and more) with same (the seq of the first row with
+    equal sub_filter, ranges and contents) and allowed: whether that one lies within a file's budget, spent in the order of seq.
+    """
+    key = F.sha2(F.concat_ws("|", F.coalesce("sub_filter", F.lit("")), F.concat_ws(",", F.transform("byte_range", lambda x: x.cast("string"))), F.sha2("contents", 256)), 256)
+    keyed = found.withColumn("_key", key)
+    size = F.get("byte_range", F.lit(1)) + F.get("byte_range", F.lit(3))
+    once = keyed.groupBy("file_id", "_key").agg(F.min("seq").alias("same"), F.first(size).alias("size"))
+    queue = once.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("same", "size"))).alias("q"))
+    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<bigint>").alias("ok"))
+    fits = lambda s, x: (F.size(s["ok"]) < most) & (x["size"] <= F.lit(most_bytes) - s["spent"])
+    step = lambda s, x: F.when(fits(s, x), F.struct((s["spent"] + x["size"]).alias("spent"), F.concat(s["ok"], F.array(x["same"])).alias("ok"))).otherwise(s)
+    told = queue.select("file_id", F.aggregate("q", start, step)["ok"].alias("_ok"))
+    return keyed.join(once.drop("size"), ["file_id", "_key"]).join(told, "file_id").withColumn("allowed", F.array_contains("_ok", F.col("same"))).drop("_key", "_ok")

@@ -10,12 +10,15 @@ import base64
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import values
 from quire.functions.filters import decode_filter, permissions, text_string
-from quire.operators import graph, objects, pages, signatures, sink
+from quire.operators import graph, linear, objects, pages, security, signatures, sink
 from quire.operators.sink import bytes_of, deflated, stream_body
+from quire.plans.rounds import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,8 +47,10 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
 
 
-def digests(df: DataFrame, decoded) -> DataFrame:
-    return df.select("doc_id", decoded.alias("d")).select("doc_id", F.md5("d.data").alias("md5"), F.octet_length("d.data").cast("long").alias("bytes"))
+def digests(df: DataFrame, raw: Column, name: str, parms: Column | str = "<<>>") -> DataFrame:
+    """What is left of raw after the filters, by its digest and size."""
+    found = decode_filter(df, raw, name, parms).select("doc_id", F.col("decoded.data").alias("d"))
+    return found.select("doc_id", F.md5("d").alias("md5"), F.octet_length("d").cast("long").alias("bytes"))
 
 
 DIGESTS = "SELECT doc_id, md5(text) AS md5, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents"
@@ -53,13 +58,12 @@ DIGESTS = "SELECT doc_id, md5(text) AS md5, CAST(octet_length(encode(text)) AS B
 
 @query(DIGESTS)
 def f5_ascii_hex(spark, sf_dir):
-    df = texts(spark, sf_dir)
-    return digests(df, decode_filter(bytes_of(F.concat(F.hex("b"), F.lit(">"))), "ASCIIHexDecode"))
+    return digests(texts(spark, sf_dir), bytes_of(F.concat(F.hex("b"), F.lit(">"))), "ASCIIHexDecode")
 
 
 @query(DIGESTS)
 def f6_ascii85(spark, sf_dir):
-    return digests(texts(spark, sf_dir), decode_filter(encoded(lambda b: base64.a85encode(b, adobe=True), F.col("b")), "ASCII85Decode"))
+    return digests(texts(spark, sf_dir), encoded(lambda b: base64.a85encode(b, adobe=True), F.col("b")), "ASCII85Decode")
 
 
 def _zipped(b: bytes, style: int) -> bytes:
@@ -72,41 +76,54 @@ def _zipped(b: bytes, style: int) -> bytes:
 @query(DIGESTS)
 def f3_flate(spark, sf_dir):
     df = texts(spark, sf_dir)
-    raw = F.udf(lambda b, s: _zipped(bytes(b), s), "binary", useArrow=True)("b", F.pmod("doc_id", F.lit(3)).cast("int"))
-    return digests(df.where("b is not null"), decode_filter(raw, "FlateDecode"))
+    raw = F.udf(lambda b, s: None if b is None else _zipped(bytes(b), s), "binary", useArrow=True)("b", F.pmod("doc_id", F.lit(3)).cast("int"))
+    return digests(df, raw, "FlateDecode")
 
 
 def _png_rows(b: bytes, columns: int) -> bytes:
-    out, above = [], [0] * columns
-    for y in range(0, len(b), columns):
-        row = list(b[y : y + columns])
-        kind = (y // columns) % 5
-        guess = []
-        for x in range(len(row)):
-            left, up, corner = row[x - 1] if x else 0, above[x], above[x - 1] if x else 0
-            p = left + up - corner
-            nearest = min((left, up, corner), key=lambda v: abs(p - v))
-            guess.append((0, left, up, (left + up) // 2, nearest)[kind])
-        out.append(bytes([kind, *((v - g) & 255 for v, g in zip(row, guess, strict=True))]))
-        above = row + [0] * (columns - len(row))
-    return zlib.compress(b"".join(out))
+    """Rows of every type in turn, the last one filled with zeros."""
+    rows = np.frombuffer(b.ljust(-(-len(b) // columns) * columns, b"\0"), np.uint8).reshape(-1, columns).astype(np.int16)
+    up = np.vstack([np.zeros((1, columns), np.int16), rows[:-1]]) if len(rows) else rows
+    left, corner = (np.hstack([np.zeros((len(x), 1), np.int16), x[:, :-1]]) for x in (rows, up))
+    near = np.abs(np.stack([up - corner, left - corner, left + up - 2 * corner]))
+    paeth = np.choose(np.argmin(near, axis=0), [left, up, corner])
+    kind = np.arange(len(rows)) % 5
+    guess = np.choose(kind[:, None], [np.zeros_like(rows), left, up, (left + up) // 2, paeth])
+    return zlib.compress(np.hstack([kind[:, None], (rows - guess) & 255]).astype(np.uint8).tobytes())
+
+
+@query("SELECT doc_id, md5(concat(text, repeat(chr(0), CAST((64 - octet_length(encode(text)) % 64) % 64 AS INTEGER)))) AS md5, CAST(octet_length(encode(text)) + (64 - octet_length(encode(text)) % 64) % 64 AS BIGINT) AS bytes FROM documents")
+def f10_png_predictor(spark, sf_dir):
+    return digests(texts(spark, sf_dir), encoded(lambda b: _png_rows(b, 64), F.col("b")), "FlateDecode", "<</Predictor 15/Columns 64>>")
 
 
 @query(DIGESTS)
-def f10_png_predictor(spark, sf_dir):
-    df = texts(spark, sf_dir)
-    return digests(df, decode_filter(encoded(lambda b: _png_rows(b, 64), F.col("b")), "FlateDecode", "<</Predictor 15/Columns 64>>"))
+def f9_crypt(spark, sf_dir):
+    """A Crypt filter that changes nothing, by name or by default, before a filter that does."""
+    parms = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.lit("[<</Name/Identity>> null]"))
+    return digests(texts(spark, sf_dir), bytes_of(F.concat(F.hex("b"), F.lit(">"))), "Crypt AHx", parms)
+
 
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'DCTDecode' ELSE 'JPXDecode' END AS image, md5(text) AS md5 FROM documents")
+def f12_image_stop(spark, sf_dir):
+    """Chains that end in an image filter: its data comes out as it is, by the dictionary of each stream."""
+    from quire.functions.filters import decode_streams
 
-@query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CAST(floor((CAST(x AS DOUBLE) - floor(CAST(x AS DOUBLE))) * 200) AS BIGINT))) AS BIGINT) AS total, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")
+    last = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.lit("/DCT")).otherwise(F.lit("/JPXDecode"))
+    df = texts(spark, sf_dir).select("doc_id", F.create_map(F.lit("Filter"), F.concat(F.lit("[/AHx"), last, F.lit("]"))).alias("entries"), bytes_of(F.concat(F.hex("b"), F.lit(">"))).alias("raw"))
+    return decode_streams(df).select("doc_id", "decoded.image", F.md5("decoded.data").alias("md5"))
+
+
+@query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT) & 65535)) AS BIGINT) AS total, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")
 def f11_tiff_predictor(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor((x.cast("double") - F.floor(x.cast("double"))) * 200).cast("int")).alias("q"))
-    step = F.transform("q", lambda x, i: F.lpad(F.hex(F.pmod(x - F.when(i > 0, F.get("q", i - 1)).otherwise(0), F.lit(256)).cast("long")), 2, "0"))
+    """Components in thousandths as samples of 16 bits, each less the one before."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("long").bitwiseAND(F.lit(65535))).alias("q"))
+    step = F.transform("q", lambda x, i: F.lpad(F.hex(F.pmod(x - F.when(i > 0, F.get("q", i - 1)).otherwise(0), F.lit(65536)).cast("long")), 4, "0"))
     raw = encoded(zlib.compress, F.unhex(F.array_join(step, "")))
-    parms = F.concat(F.lit("<</Predictor 2/Columns "), F.size("q").cast("string"), F.lit(">>"))
-    back = df.select("vec_id", decode_filter(raw, "FlateDecode", parms)["data"].alias("d"))
-    digits = F.transform(F.regexp_extract_all(F.hex("d"), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("long"))
-    return back.select("vec_id", F.aggregate(digits, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.octet_length("d").cast("long").alias("n"))
+    parms = F.concat(F.lit("<</Predictor 2/BitsPerComponent 16/Columns "), F.size("q").cast("string"), F.lit(">>"))
+    back = decode_filter(df, raw, "FlateDecode", parms).select("vec_id", F.col("decoded.data").alias("d"))
+    digits = F.transform(F.regexp_extract_all(F.hex("d"), F.lit("(....)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("long"))
+    return back.select("vec_id", F.aggregate(digits, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.floor(F.octet_length("d") / 2).cast("long").alias("n"))
 
 
 def _lzw(data: bytes, early: int) -> bytes:
@@ -149,22 +166,37 @@ def _lzw(data: bytes, early: int) -> bytes:
 @query(DIGESTS)
 def f4_lzw(spark, sf_dir):
     early = F.pmod("doc_id", F.lit(2)).cast("int")
-    df = texts(spark, sf_dir).withColumn("raw", F.udf(lambda b, e: _lzw(bytes(b), e), "binary", useArrow=True)("b", early))
-    return digests(df, decode_filter(F.col("raw"), "LZWDecode", F.concat(F.lit("<</EarlyChange "), early.cast("string"), F.lit(">>"))))
+    raw = F.udf(lambda b, e: None if b is None else _lzw(bytes(b), e), "binary", useArrow=True)("b", early)
+    return digests(texts(spark, sf_dir), raw, "LZWDecode", F.concat(F.lit("<</EarlyChange "), (early * 5).cast("string"), F.lit(">>")))
 
 
 @query(DIGESTS)
 def f7_run_length_chain(spark, sf_dir):
-    runs = lambda b: b"".join(bytes([len(b[k : k + 128]) - 1]) + b[k : k + 128] for k in range(0, len(b), 128)) + b"\x80"
-    raw = bytes_of(F.concat(F.hex(encoded(runs, F.col("b"))), F.lit(">")))
-    return digests(texts(spark, sf_dir), decode_filter(raw, "AHx RL"))
+    """Literal runs of up to 128 bytes, in hexadecimal, by Catalyst alone."""
+    digits = F.regexp_extract_all(F.hex("b"), F.lit("(..){1,128}"), F.lit(0))
+    runs = F.transform(digits, lambda d: F.concat(F.lpad(F.hex((F.length(d) / 2 - 1).cast("long")), 2, "0"), d))
+    return digests(texts(spark, sf_dir), bytes_of(F.concat(F.array_join(runs, ""), F.lit("80>"))), "AHx RL")
 
 
-@query("SELECT doc_id, true AS recovered, true AS is_prefix FROM documents WHERE length(text) > 200")
+@query("SELECT doc_id, true AS recovered, CAST(octet_length(encode(text)) - octet_length(encode(text)) // 3 AS BIGINT) AS bytes, true AS is_prefix FROM documents WHERE octet_length(encode(text)) > 2")
 def f2_lenient_decode(spark, sf_dir):
-    whole = texts(spark, sf_dir).where("char_length(decode(b, 'UTF-8')) > 200").withColumn("z", encoded(lambda b: zlib.compress(b)[:-6], F.col("b")))
-    found = whole.select("doc_id", "b", decode_filter(F.col("z"), "FlateDecode").alias("d"))
-    return found.select("doc_id", F.col("d.recovered").alias("recovered"), (F.col("d.data") == F.substring("b", F.lit(1), F.octet_length("d.data"))).alias("is_prefix"))
+    """Hex in which a letter stands where the last third begins: what comes before is read, whole texts of any length."""
+    df = texts(spark, sf_dir).where("octet_length(b) > 2")
+    keep = F.octet_length("b") - F.floor(F.octet_length("b") / 3)
+    raw = bytes_of(F.concat(F.substring(F.hex("b"), F.lit(1), (2 * keep).cast("int")), F.lit("x"), F.substring(F.hex("b"), (2 * keep + 1).cast("int"), F.octet_length("b") * 2)))
+    found = decode_filter(df, raw, "ASCIIHexDecode").select("doc_id", "b", F.col("decoded").alias("d"))
+    return found.select("doc_id", F.col("d.recovered").alias("recovered"), F.octet_length("d.data").cast("long").alias("bytes"), (F.col("d.data") == F.substring("b", F.lit(1), F.octet_length("d.data"))).alias("is_prefix"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_partkey AS BIGINT) AS i, CAST(l_quantity AS DOUBLE) AS f, l_returnflag AS n, l_linestatus || '(' AS t, l_returnflag = 'R' AS b, 'int real name string bool ref' AS kinds FROM lineitem")
+def t2_casts(spark, sf_dir):
+    """Values of every kind spelled as objects are, and read as what they are."""
+    text = lambda c: F.col(c).cast("string")
+    spelled = {"i": text("l_partkey"), "f": F.format_string("%.2f", "l_quantity"), "n": F.concat(F.lit("/"), "l_returnflag"), "t": F.concat(F.lit("("), "l_linestatus", F.lit("\\()")), "b": F.when(F.col("l_returnflag") == "R", "true").otherwise("false"), "r": F.concat(text("l_orderkey"), F.lit(" 0 R"))}
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(k) for k, c in spelled.items()])
+    read = {"i": values.to_int, "f": values.to_float, "n": values.to_name, "b": values.to_bool}
+    kinds = F.concat_ws(" ", *[values.kind(F.col(k)) for k in "ifntbr"])
+    return df.select("l_orderkey", "l_linenumber", *[f(F.col(k)).alias(k) for k, f in read.items()], F.decode(values.to_bytes(F.col("t")), "ISO-8859-1").alias("t"), kinds.alias("kinds"))
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -183,30 +215,61 @@ def e6_permissions(spark, sf_dir):
 
 @query("""SELECT l_orderkey, l_linenumber, CASE
   WHEN l_orderkey % 3 = 0 THEN 'does not start at the start'
-  WHEN l_suppkey < l_partkey THEN 'second span before the end of the first'
+  WHEN l_partkey % 5 = 0 THEN 'first span empty or negative'
+  WHEN l_suppkey <= l_partkey THEN 'second span before the end of the first'
   WHEN l_suppkey - l_partkey < 2 THEN 'no gap'
   WHEN l_suppkey > 150 OR l_linenumber * 10 > 150 - l_suppkey THEN 'past the end' ELSE 'ok' END AS verdict FROM lineitem""")
 def g2_byte_range(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
     start = F.when(F.col("l_orderkey") % 3 == 0, F.lit(1)).otherwise(0).cast("long")
-    r = F.array(start, F.col("l_partkey"), F.col("l_suppkey"), (F.col("l_linenumber") * 10).cast("long"))
+    first = F.when(F.col("l_partkey") % 5 == 0, -F.col("l_partkey") % 2).otherwise(F.col("l_partkey"))
+    r = F.array(start, first, F.col("l_suppkey"), (F.col("l_linenumber") * 10).cast("long"))
     return df.select("l_orderkey", "l_linenumber", signatures.range_verdict(r, F.lit(150).cast("long")).alias("verdict"))
 
 
-# Files of one page a document, one file a source.
-def page_objects(docs: DataFrame, shown) -> DataFrame:
-    """Objects of files in which the k-th document of a source is page k: 1 catalogue, 2 root of the tree, then page and content of each."""
-    from pyspark.sql import Window
+# Files of one page a document, one file a source and block of documents.
+BLOCK = 1000
+SHOWN = f"SELECT source || '/' || (doc_id // {BLOCK}) AS file_id, CAST(row_number() OVER (PARTITION BY source, doc_id // {BLOCK} ORDER BY doc_id) AS INTEGER) AS page_no, md5(text) AS md5 FROM documents WHERE source IS NOT NULL AND text IS NOT NULL"
+
+
+def as_string(b: Column, how: Column) -> Column:
+    """Bytes spelled as a string: in hexadecimal, or with escapes where how is 0."""
+    escaped = F.regexp_replace(F.decode(b, "ISO-8859-1"), r"([\\()])", r"\\$1")
+    return F.when(how == 0, F.concat(F.lit("("), F.regexp_replace(escaped, "\r", r"\\r"), F.lit(")"))).otherwise(F.concat(F.lit("<"), F.hex(b), F.lit(">")))
+
+
+def paged(spark, sf_dir) -> DataFrame:
+    """file_id, k (page number), b (what the page shows): the whole text of every document."""
+    docs = table(spark, sf_dir, "documents").where("source is not null and text is not null")
+    own = docs.select(F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / BLOCK).cast("string")).alias("file_id"), "doc_id", F.encode("text", "UTF-8").alias("b"))
+    return own.withColumn("k", F.row_number().over(Window.partitionBy("file_id").orderBy("doc_id")).cast("long"))
+
+
+def page_stream(own: DataFrame) -> Column:
+    return deflated(F.concat(F.lit(b"BT /F1 12 Tf "), bytes_of(as_string(F.col("b"), F.pmod("doc_id", F.lit(2)))), F.lit(b" Tj ET")))
+
+
+def refs_to(nums: Column) -> Column:
+    return F.array_join(F.transform(nums, lambda n: F.concat(n.cast("string"), F.lit(" 0 R"))), " ")
+
+
+def none() -> Column:
+    return F.lit(None).cast("binary")
+
 
-    own = docs.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).select(F.col("source").alias("file_id"), "k", shown.alias("shown"))
-    raw = deflated(bytes_of(F.concat(F.lit("BT /F1 12 Tf "), "shown", F.lit(" Tj ET"))))
-    leaf = own.select("file_id", (2 * F.col("k") + 1).cast("long").alias("num"), bytes_of(F.concat(F.lit("<</Contents "), (2 * F.col("k") + 2).cast("string"), F.lit(" 0 R/Parent 2 0 R/Type/Page>>"))).alias("body"), F.lit(None).cast("binary").alias("raw"))
-    content = own.select("file_id", (2 * F.col("k") + 2).cast("long").alias("num"), raw.alias("raw")).select("file_id", "num", stream_body(F.lit("/Filter/FlateDecode"), F.col("raw")).alias("body"), "raw")
-    kids = own.groupBy("file_id").agg(F.count("*").alias("n"))
-    tree = bytes_of(F.concat(F.lit("<</Count "), F.col("n").cast("string"), F.lit("/Kids["), F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda k: F.concat((2 * k + 1).cast("string"), F.lit(" 0 R"))), " "), F.lit("]/MediaBox[0 0 612 792]/Type/Pages>>")))
-    none = F.lit(None).cast("binary")
-    top = kids.select("file_id", F.lit(2).cast("long").alias("num"), tree.alias("body"), none.alias("raw")).unionByName(kids.select("file_id", F.lit(1).cast("long").alias("num"), F.lit(b"<</Pages 2 0 R/Type/Catalog>>").alias("body"), none.alias("raw")))
-    return leaf.unionByName(content).unionByName(top)
+def tree_objects(counts: DataFrame, first: Callable[[Column], Column]) -> DataFrame:
+    """Objects 1 (catalogue) and 2 (root of the tree) of files with n pages, of which page k is object first(k)."""
+    kids = refs_to(F.transform(F.sequence(F.lit(1).cast("long"), "n"), first))
+    tree = bytes_of(F.concat(F.lit("<</Count "), F.col("n").cast("string"), F.lit("/Kids["), kids, F.lit("]/MediaBox[0 0 612 792]/Type/Pages>>")))
+    both = F.array(F.struct(F.lit(1).cast("long").alias("num"), F.lit(b"<</Pages 2 0 R/Type/Catalog>>").alias("body")), F.struct(F.lit(2).cast("long").alias("num"), tree.alias("body")))
+    return counts.select("file_id", F.explode(both).alias("o")).select("file_id", "o.*", none().alias("raw"))
+
+
+def page_objects(own: DataFrame) -> DataFrame:
+    """Objects of files in which page k is object 2k + 1 and its content 2k + 2."""
+    leaf = own.select("file_id", (2 * F.col("k") + 1).alias("num"), bytes_of(F.concat(F.lit("<</Contents "), (2 * F.col("k") + 2).cast("string"), F.lit(" 0 R/Parent 2 0 R/Type/Page>>"))).alias("body"), none().alias("raw"))
+    content = own.select("file_id", (2 * F.col("k") + 2).alias("num"), page_stream(own).alias("raw")).select("file_id", "num", stream_body(F.lit("/Filter/FlateDecode"), F.col("raw")).alias("body"), "raw")
+    return leaf.unionByName(content).unionByName(tree_objects(own.groupBy("file_id").agg(F.count("*").alias("n")), lambda k: 2 * k + 1))
 
 
 def roots(objs: DataFrame) -> DataFrame:
@@ -214,52 +277,104 @@ def roots(objs: DataFrame) -> DataFrame:
 
 
 def source_files(spark, sf_dir, packed: bool = False) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("source is not null")
-    objs = page_objects(docs, F.concat(F.lit("("), F.md5("text"), F.lit(")")))
-    return (sink.write_packed if packed else sink.write_plain)(objs, roots(objs))
+    own = paged(spark, sf_dir)
+    return (sink.write_packed if packed else sink.write_plain)(page_objects(own), roots(own))
 
 
-def shown(files: DataFrame) -> DataFrame:
-    """file_id, page_no, md5: what each page shows."""
-    objs, documents = objects.opened(files)
-    found = pages.pages(objs, documents)
+def shown_on(found: DataFrame, objs: DataFrame) -> DataFrame:
+    """file_id, page_no, md5 of the string that each page shows."""
     ops = pages.operations(pages.contents(found, objs).select("file_id", "page_no", "content"))
-    return ops.where("operator = 'Tj'").select("file_id", "page_no", F.regexp_extract(F.col("operands")[0], r"\((.*)\)", 1).alias("md5"))
+    return ops.where("operator = 'Tj'").select("file_id", "page_no", F.md5(values.to_bytes(F.col("operands")[0])).alias("md5"))
 
 
-PAGES = "SELECT source, CAST(count(*) AS BIGINT) AS pages, CAST(count(DISTINCT text) AS BIGINT) AS texts FROM documents GROUP BY source"
-SHOWN = "SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page_no, md5(text) AS md5 FROM documents"
+def shown(files: DataFrame) -> DataFrame:
+    objs, documents = objects.opened(files)
+    return shown_on(pages.pages(objs, documents), objs)
 
 
-@query(PAGES)
+@query("SELECT source, CAST(count(*) AS BIGINT) AS pages, CAST(count(DISTINCT text) AS BIGINT) AS texts FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY source")
 def m0_pages_by_source(spark, sf_dir):
     """The flagship: files written, opened, their pages decoded and their strings counted."""
-    return shown(source_files(spark, sf_dir)).groupBy(F.col("file_id").alias("source")).agg(F.count("*").alias("pages"), F.countDistinct("md5").alias("texts"))
+    found = shown(source_files(spark, sf_dir))
+    return found.groupBy(F.regexp_replace("file_id", "/[^/]*$", "").alias("source")).agg(F.count("*").alias("pages"), F.countDistinct("md5").alias("texts"))
 
 
 @query(SHOWN)
 def c1_operations(spark, sf_dir):
-    return shown(source_files(spark, sf_dir)).withColumnRenamed("file_id", "source")
+    return shown(source_files(spark, sf_dir))
 
 
 @query(SHOWN)
 def s10_packed_files(spark, sf_dir):
-    return shown(source_files(spark, sf_dir, packed=True)).withColumnRenamed("file_id", "source")
+    return shown(source_files(spark, sf_dir, packed=True))
+
+
+def without_startxref(files: DataFrame) -> DataFrame:
+    gone = F.unhex(F.regexp_replace(F.hex("content"), F.hex(F.lit(b"startxref")), F.hex(F.lit(b"startxxxx"))))
+    return files.select("file_id", gone.alias("content"))
 
 
 @query(SHOWN)
 def s13_repaired_files(spark, sf_dir):
     """The files cut before their table: objects from a scan, the root from the last catalogue."""
     files = source_files(spark, sf_dir)
-    cut = F.unhex(F.regexp_extract(F.hex("content"), "^(.*)787265660A30", 1))
-    return shown(files.select("file_id", cut.alias("content"))).withColumnRenamed("file_id", "source")
+    cut = F.substring("content", F.lit(1), (F.locate("787265660A30", F.hex("content")) / 2).cast("int"))
+    return shown(files.select("file_id", cut.alias("content")))
+
+
+@query(SHOWN)
+def s15_repaired_packed_files(spark, sf_dir):
+    """Packed files whose table can't be found: pages and catalogue come out of the object streams that a scan finds."""
+    return shown(without_startxref(source_files(spark, sf_dir, packed=True)))
+
+
+@query(SHOWN)
+def s17_lost_catalogue(spark, sf_dir):
+    """Files without catalogue, tree or table: a new one is made up over the pages."""
+    own = paged(spark, sf_dir)
+    chunks = page_objects(own).where("num > 2").select("file_id", "num", sink.object_bytes(F.col("num"), F.col("body"), F.col("raw")).alias("chunk"))
+    return shown(sink.assembled(chunks, own.select("file_id").distinct().withColumn("chunk", F.lit(b"%%EOF\n"))))
 
 
-# Incremental updates: a file a user-number block, a section a batch of events, newest first by /Prev.
+@query("SELECT source || '/' || (doc_id // 1000) AS file_id, CAST(count(*) AS BIGINT) AS pages, CAST(count(*) + 1 AS BIGINT) AS streams, '1.7' AS version FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1")
+def s16_typed_objects(spark, sf_dir):
+    """Objects by their /Type and kind, and the version that the header states."""
+    objs, documents = objects.opened(source_files(spark, sf_dir, packed=True))
+    kinds = objs.groupBy("file_id").agg(F.count_if(F.col("entries")["Type"] == "/Page").alias("pages"), F.count_if((F.col("kind") == "stream") & ~F.coalesce(F.col("entries")["Type"] == "/XRef", F.lit(False))).alias("streams"))
+    return kinds.join(documents.select("file_id", "version"), "file_id")
+
+
+@query(SHOWN)
+def s12_indirect_values(spark, sf_dir):
+    """Files in which /Kids, /Contents, /Filter and /DecodeParms are references, to arrays, names and dictionaries, and one by way of another."""
+    own = paged(spark, sf_dir).withColumn("at", 10 * F.col("k"))
+    at = lambda d: (F.col("at") + d).cast("string")
+    small = own.select("file_id", F.explode(F.array(
+        F.struct(F.col("at").alias("num"), bytes_of(F.concat(F.lit("<</Contents "), at(1), F.lit(" 0 R/Parent 2 0 R/Type/Page>>"))).alias("body")),
+        F.struct((F.col("at") + 1).alias("num"), bytes_of(F.concat(F.lit("["), at(2), F.lit(" 0 R]"))).alias("body")),
+        F.struct((F.col("at") + 3).alias("num"), bytes_of(F.concat(at(4), F.lit(" 0 R"))).alias("body")),
+        F.struct((F.col("at") + 4).alias("num"), F.lit(b"[/FlateDecode]").alias("body")),
+        F.struct((F.col("at") + 5).alias("num"), F.lit(b"<</Predictor 1>>").alias("body")),
+    )).alias("o")).select("file_id", "o.*", none().alias("raw"))
+    content = own.select("file_id", (F.col("at") + 2).alias("num"), F.concat(F.lit("/DecodeParms "), at(5), F.lit(" 0 R/Filter "), at(3), F.lit(" 0 R")).alias("e"), page_stream(own).alias("raw"))
+    content = content.select("file_id", "num", stream_body(F.col("e"), F.col("raw")).alias("body"), "raw")
+    counts = own.groupBy("file_id").agg(F.count("*").alias("n"))
+    kids = refs_to(F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda k: 10 * k))
+    top = counts.select("file_id", F.explode(F.array(
+        F.struct(F.lit(1).cast("long").alias("num"), F.lit(b"<</Pages 2 0 R/Type/Catalog>>").alias("body")),
+        F.struct(F.lit(2).cast("long").alias("num"), bytes_of(F.concat(F.lit("<</Count "), F.col("n").cast("string"), F.lit("/Kids 3 0 R/Type/Pages>>"))).alias("body")),
+        F.struct(F.lit(3).cast("long").alias("num"), bytes_of(F.concat(F.lit("["), kids, F.lit("]"))).alias("body")),
+    )).alias("o")).select("file_id", "o.*", none().alias("raw"))
+    return shown(sink.write_packed(small.unionByName(content).unionByName(top), roots(own)))
+
+
+# Incremental updates: a file a block of users, a section a batch of events, newest first by /Prev.
+USERS = 16
+
 def updated_files(spark, sf_dir, batches: int = 4) -> DataFrame:
-    """Object 10 + user_id of a file has the last value of the user's events; older ones stand in older sections."""
+    """Object 10 + user_id modulo USERS of a file has the last value of the user's events; older ones stand in older sections."""
     ev = table(spark, sf_dir, "events").where("user_id is not null and event_id is not null")
-    ev = ev.select(F.concat(F.lit("u"), F.pmod("user_id", F.lit(7)).cast("string")).alias("file_id"), (F.col("user_id") + 10).alias("num"), "event_id", "value")
+    ev = ev.select(F.floor(F.col("user_id") / USERS).cast("string").alias("file_id"), (F.pmod("user_id", F.lit(USERS)) + 10).cast("long").alias("num"), "event_id", "value")
     bounds = ev.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
     ev = ev.crossJoin(F.broadcast(bounds)).withColumn("batch", F.least(F.floor((F.col("event_id") - F.col("lo")) * batches / (F.col("hi") - F.col("lo") + 1)), F.lit(batches - 1)).cast("int")).drop("lo", "hi")
     last = ev.groupBy("file_id", "batch", "num").agg(F.max_by("value", "event_id").alias("value"))
@@ -287,7 +402,7 @@ def updated_files(spark, sf_dir, batches: int = 4) -> DataFrame:
 
 def _values(files: DataFrame) -> DataFrame:
     objs, _ = objects.opened(files)
-    return objs.where("kind = 'array'").select((F.col("num") - 10).alias("user_id"), F.regexp_extract(F.decode("body", "ISO-8859-1"), r"\[(.*)\]", 1).cast("double").alias("value"))
+    return objs.where("kind = 'array'").select((F.col("file_id").cast("long") * USERS + F.col("num") - 10).alias("user_id"), F.regexp_extract(F.decode("body", "ISO-8859-1"), r"\[(.*)\]", 1).cast("double").alias("value"))
 
 
 NEWEST = "SELECT user_id, CAST(printf('%.6f', arg_max(value, event_id)) AS DOUBLE) AS value FROM events GROUP BY user_id"
@@ -301,58 +416,68 @@ def s9_newest_section(spark, sf_dir):
 @query(NEWEST)
 def s13_last_object(spark, sf_dir):
     """The same files without any startxref: of each number the last object counts."""
-    files = updated_files(spark, sf_dir)
-    gone = F.unhex(F.regexp_replace(F.hex("content"), F.hex(F.encode(F.lit("startxref"), "US-ASCII")), F.hex(F.encode(F.lit("startxxxx"), "US-ASCII"))))
-    return _values(files.select("file_id", gone.alias("content")))
+    return _values(without_startxref(updated_files(spark, sf_dir)))
+
 
+def _boxed(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Objects, documents and pages of files of a block of orders each: a node of the tree a priority, with a box that its orders'
+    pages take from it; every tenth order has one of its own."""
+    orders = table(spark, sf_dir, "orders").where("o_orderkey is not null and o_orderpriority is not null").select(F.floor(F.col("o_orderkey") / BLOCK).cast("string").alias("file_id"), "o_orderkey", F.substring("o_orderpriority", 1, 1).cast("long").alias("p"))
+    own = F.when(F.col("o_orderkey") % 10 == 0, F.lit("/MediaBox[0 0 99 1]")).otherwise("")
+    leaf = orders.select("file_id", (F.col("o_orderkey") + 100).alias("num"), bytes_of(F.concat(F.lit("<</Type/Page/Parent "), (F.col("p") + 10).cast("string"), F.lit(" 0 R"), own, F.lit(">>"))).alias("body"))
+    nodes = orders.groupBy("file_id", "p").agg(F.array_sort(F.collect_list(F.col("o_orderkey") + 100)).alias("k"))
+    node = nodes.select("file_id", (F.col("p") + 10).alias("num"), bytes_of(F.concat(F.lit("<</Count "), F.size("k").cast("string"), F.lit("/Kids["), refs_to(F.col("k")), F.lit("]/MediaBox[0 0 "), F.col("p").cast("string"), F.lit(" 1]/Parent 2 0 R/Type/Pages>>"))).alias("body"))
+    tops = nodes.groupBy("file_id").agg(F.array_sort(F.collect_list(F.col("p") + 10)).alias("k"), F.sum(F.size("k")).alias("n"))
+    top = tops.select("file_id", F.lit(2).cast("long").alias("num"), bytes_of(F.concat(F.lit("<</Count "), F.col("n").cast("string"), F.lit("/Kids["), refs_to(F.col("k")), F.lit("]/Type/Pages>>"))).alias("body"))
+    root = tops.select("file_id", F.lit(1).cast("long").alias("num"), F.lit(b"<</Pages 2 0 R/Type/Catalog>>").alias("body"))
+    made = leaf.unionByName(node).unionByName(top).unionByName(root).withColumn("raw", none())
+    objs, documents = objects.opened(sink.write_packed(made, roots(made)))
+    return objs, documents, pages.pages(objs, documents)
 
-@query("SELECT n_nationkey, CAST(r_regionkey + 1 AS BIGINT) AS width FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+BOXES = "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 99 ELSE CAST(substr(o_orderpriority, 1, 1) AS BIGINT) END AS width FROM orders WHERE o_orderkey IS NOT NULL AND o_orderpriority IS NOT NULL"
+
+
+def width_of(box: Column) -> Column:
+    return F.regexp_extract(box, r"\[0 0 (\d+) 1\]", 1).cast("long").alias("width")
+
+
+@query(BOXES)
 def s20_inherited_box(spark, sf_dir):
-    """A node of the tree a region, with the box that its nations' pages take from it."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    one = F.lit("world").alias("file_id")
-    leaf = nation.select(one, (F.col("n_nationkey") + 100).cast("long").alias("num"), bytes_of(F.concat(F.lit("<</Type/Page/Parent "), (F.col("n_regionkey") + 10).cast("string"), F.lit(" 0 R>>"))).alias("body"))
-    kids = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("k"))
-    spelled = F.array_join(F.transform("k", lambda k: F.concat((k + 100).cast("string"), F.lit(" 0 R"))), " ")
-    node = region.join(kids, region["r_regionkey"] == kids["n_regionkey"]).select(one, (F.col("r_regionkey") + 10).cast("long").alias("num"), bytes_of(F.concat(F.lit("<</Count "), F.size("k").cast("string"), F.lit("/Kids["), spelled, F.lit("]/MediaBox[0 0 "), (F.col("r_regionkey") + 1).cast("string"), F.lit(" 1]/Parent 2 0 R/Type/Pages>>"))).alias("body"))
-    all_ = F.array_join(F.transform(F.array_sort(F.collect_list("r_regionkey")), lambda k: F.concat((k + 10).cast("string"), F.lit(" 0 R"))), " ")
-    top = region.agg(all_.alias("k")).select(one, F.lit(2).cast("long").alias("num"), bytes_of(F.concat(F.lit("<</Count 25/Kids["), "k", F.lit("]/Type/Pages>>"))).alias("body"))
-    root = top.select("file_id", F.lit(1).cast("long").alias("num"), F.lit(b"<</Pages 2 0 R/Type/Catalog>>").alias("body"))
-    made = leaf.unionByName(node).unionByName(top).unionByName(root).withColumn("raw", F.lit(None).cast("binary"))
-    objs, documents = objects.opened(sink.write_plain(made, roots(made)))
-    found = pages.pages(objs, documents)
+    objs, _, found = _boxed(spark, sf_dir)
     box = pages.attributes(found, objs).where("key = 'MediaBox'")
-    return found.join(box, ["file_id", "page_no"]).select((F.col("num") - 100).cast("int").alias("n_nationkey"), F.regexp_extract("value", r"\[0 0 (\d+) 1\]", 1).cast("long").alias("width"))
+    return found.join(box, ["file_id", "page_no"]).select((F.col("num") - 100).alias("o_orderkey"), width_of(F.col("value")))
 
 
-def _merged_sources(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return objects.opened(source_files(spark, sf_dir))
+@query(BOXES)
+def h9_pushed_down(spark, sf_dir):
+    """The same boxes, stated by the pages alone after the rewrite."""
+    objs, _, found = _boxed(spark, sf_dir)
+    new = pages.pushed_down(found, objs)
+    left = new.where("entries['Type'] = '/Pages' and entries['MediaBox'] is not null").select("file_id")
+    made = new.where("entries['Type'] = '/Page'").join(left, "file_id", "left_anti")
+    return made.select((F.col("num") - 100).alias("o_orderkey"), width_of(F.regexp_extract(F.decode("body", "ISO-8859-1"), r"/MediaBox *(\[[^\]]*\])", 1)))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS pages, CAST(count(DISTINCT text) AS BIGINT) AS texts, CAST(count(DISTINCT source) AS BIGINT) AS sources FROM documents")
-def w6_merged_file(spark, sf_dir):
-    """All files copied into one, with a new catalogue over their page trees; then opened and read again."""
-    objs, documents = _merged_sources(spark, sf_dir)
-    one = sink.renumbered(objs.join(documents.select("file_id", F.col("root").alias("num")), ["file_id", "num"], "left_anti"), "all")
+@query("SELECT doc_id // 1000 AS block, CAST(count(*) AS BIGINT) AS pages, CAST(count(DISTINCT text) AS BIGINT) AS texts, CAST(count(DISTINCT source) AS BIGINT) AS sources FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1")
+def w6_merged_files(spark, sf_dir):
+    """The files of all sources of a block copied into one, with a new catalogue over their page trees; then opened and read again."""
+    objs, documents = objects.opened(source_files(spark, sf_dir))
+    groups = documents.select("file_id", F.regexp_extract("file_id", r"(\d+)$", 1).alias("into"))
+    one = settled(sink.renumbered(objs.join(documents.select("file_id", F.col("root").alias("num")), ["file_id", "num"], "left_anti"), groups))
     trees = documents.join(objs.withColumnRenamed("num", "root"), ["file_id", "root"]).select(F.col("file_id").alias("of"), objects.ref_number(F.col("entries")["Pages"]).alias("old"))
-    from quire.plans.rounds import settled
-
-    one = settled(one)
-    kids = one.join(trees, ["of", "old"]).agg(F.array_sort(F.collect_list("num")).alias("k"), F.count("*").alias("n"))
-    high = one.agg(F.max("num").alias("high"))
-    spelled = F.array_join(F.transform("k", lambda k: F.concat(k.cast("string"), F.lit(" 0 R"))), " ")
-    tree = kids.crossJoin(high).select(F.lit("all").alias("file_id"), (F.col("high") + 1).alias("num"), bytes_of(F.concat(F.lit("<</Count "), F.col("n").cast("string"), F.lit("/Kids["), spelled, F.lit("]/Type/Pages>>"))).alias("body"))
-    root = high.select(F.lit("all").alias("file_id"), (F.col("high") + 2).alias("num"), bytes_of(F.concat(F.lit("<</Pages "), (F.col("high") + 1).cast("string"), F.lit(" 0 R/Type/Catalog>>"))).alias("body"))
-    new = tree.unionByName(root).withColumn("raw", F.lit(None).cast("binary"))
-    made = one.select("file_id", "num", "body", "raw").unionByName(new)
-    pages_ = shown(sink.write_packed(made, root.select("file_id", F.col("num").alias("root"))))
-    return pages_.agg(F.count("*").alias("pages"), F.countDistinct("md5").alias("texts")).crossJoin(trees.agg(F.count("*").alias("sources")))
+    kids = one.join(trees, ["of", "old"]).groupBy("file_id").agg(F.array_sort(F.collect_list("num")).alias("k"), F.count("*").alias("n"))
+    both = kids.join(one.groupBy("file_id").agg(F.max("num").alias("high")), "file_id")
+    tree = both.select("file_id", (F.col("high") + 1).alias("num"), bytes_of(F.concat(F.lit("<</Count "), F.col("n").cast("string"), F.lit("/Kids["), refs_to(F.col("k")), F.lit("]/Type/Pages>>"))).alias("body"))
+    root = both.select("file_id", (F.col("high") + 2).alias("num"), bytes_of(F.concat(F.lit("<</Pages "), (F.col("high") + 1).cast("string"), F.lit(" 0 R/Type/Catalog>>"))).alias("body"))
+    made = one.select("file_id", "num", "body", "raw").unionByName(tree.unionByName(root).withColumn("raw", none()))
+    found = shown(sink.write_packed(made, root.select("file_id", F.col("num").alias("root"))))
+    counts = found.groupBy("file_id").agg(F.count("*").alias("pages"), F.countDistinct("md5").alias("texts"))
+    return counts.join(kids.select("file_id", F.col("n").alias("sources")), "file_id").select(F.col("file_id").cast("long").alias("block"), "pages", "texts", "sources")
 
 
 def _order_file(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A file a block of orders: a page an order, an object a part, which the orders that have it share."""
-    from pyspark.sql import Window
-
     items = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 100).cast("string").alias("file_id"), "l_orderkey", "l_partkey").distinct()
     orders = items.groupBy("file_id", "l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
     part_num, page_num = lambda k: k + 10_000_000, lambda k: k + 100
@@ -384,40 +509,149 @@ def p3_reach(spark, sf_dir):
     return graph.reach(pages.pages(objs, documents), objs).groupBy("file_id", "page_no").agg(F.count("*").alias("reached"))
 
 
-@query("SELECT doc_id, CAST(1 + doc_id % 16 AS BIGINT) AS width, md5(text) AS md5 FROM documents")
+@query(ORDERS + "SELECT i.file_id, CAST(row_number() OVER (PARTITION BY i.file_id ORDER BY CASE WHEN l_orderkey = f.first THEN 0 ELSE 1 END, l_orderkey) AS INTEGER) AS page_no, CAST(l_orderkey AS BIGINT) AS l_orderkey FROM (SELECT DISTINCT file_id, l_orderkey FROM i) i JOIN f ON i.file_id = f.file_id")
+def p5_layout(spark, sf_dir):
+    """Page objects in the order in which a linearized file has them."""
+    objs, documents = _order_file(spark, sf_dir)
+    found = pages.pages(objs, documents)
+    laid = graph.layout(graph.partition(graph.reach(found, objs), objs, documents), found)
+    own = found.select("file_id", "num").join(laid, ["file_id", "num"])
+    order = F.row_number().over(Window.partitionBy("file_id").orderBy("new_num")).alias("page_no")
+    return own.select("file_id", order, (F.col("num") - 100).alias("l_orderkey"))
+
+
+@query(ORDERS + ", p AS (SELECT i.file_id, l_partkey, min(l_orderkey) = any_value(f.first) AS on_first, count(*) AS n FROM i JOIN f ON i.file_id = f.file_id GROUP BY 1, 2) SELECT file_id, l_partkey, CAST(row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN on_first THEN 0 ELSE 1 END, l_partkey) AS INTEGER) AS identifier FROM p WHERE on_first OR n > 1")
+def p6_shared_identifiers(spark, sf_dir):
+    """Identifiers of shared objects; the first page's own object is number 0."""
+    objs, documents = _order_file(spark, sf_dir)
+    found = pages.pages(objs, documents)
+    laid = graph.layout(graph.partition(graph.reach(found, objs), objs, documents), found)
+    named = graph.shared_identifiers(laid).where("num >= 10000000")
+    return named.select("file_id", (F.col("num") - 10_000_000).alias("l_partkey"), "identifier")
+
+
+@query(ORDERS + ", p AS (SELECT i.file_id, l_partkey, min(l_orderkey) AS o, min(l_orderkey) = any_value(f.first) AS on_first, count(*) AS n FROM i JOIN f ON i.file_id = f.file_id GROUP BY 1, 2), g AS (SELECT DISTINCT file_id, l_orderkey FROM i), c AS (SELECT g.file_id, g.l_orderkey, count(p.o) + 1 AS k FROM g LEFT JOIN p ON p.file_id = g.file_id AND p.o = g.l_orderkey AND (on_first OR n = 1) GROUP BY 1, 2) SELECT file_id, CAST(min(k) AS BIGINT) AS least_objects, CAST(greatest(1, length(bin(max(k) - min(k)))) AS INTEGER) AS object_bits, CAST(min(k) * 10 AS BIGINT) AS least_bytes, CAST((count(*) * greatest(1, length(bin(max(k) - min(k)))) + 7) // 8 AS BIGINT) AS size FROM c GROUP BY 1")
+def h7_page_hints(spark, sf_dir):
+    """The head of the page hint table, and the bytes that its column of object counts takes; every object counts as ten bytes long."""
+    objs, documents = _order_file(spark, sf_dir)
+    found = pages.pages(objs, documents)
+    placed = graph.partition(graph.reach(found, objs), objs, documents)
+    hints = linear.hint_columns(linear.page_lengths(placed, objs.select("file_id", "num", F.lit(10).cast("long").alias("extent"))))
+    return hints.select("file_id", "least_objects", "object_bits", "least_bytes", F.octet_length("objects").cast("long").alias("size"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Encrypt' WHEN o_orderkey % 5 = 1 THEN 'OpenAction' WHEN o_orderkey % 5 = 2 THEN 'PageMode' WHEN o_orderkey % 5 = 3 THEN 'Thumb' END AS reason FROM orders")
+def p2_refusals(spark, sf_dir):
+    """A small file an order; four of five have something that keeps them from being laid out anew."""
+    k = F.col("o_orderkey") % 5
+    top = F.when(k == 1, "/OpenAction 3 0 R").when(k == 2, "/PageMode 3 0 R").otherwise("")
+    body = F.concat(F.lit("1 0 obj <</Pages 2 0 R/Type/Catalog"), top, F.lit(">> endobj 2 0 obj <</Kids[3 0 R]/Type/Pages>> endobj 3 0 obj <</Type/Page"), F.when(k == 3, "/Thumb 1 0 R").otherwise(""), F.lit(">> endobj trailer <</Root 1 0 R"), F.when(k == 0, "/Encrypt 3 0 R").otherwise(""), F.lit(">>"))
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file_id"), bytes_of(body).alias("content"))
+    objs, documents = objects.opened(files)
+    return security.refusal(objs, documents).select(F.col("file_id").cast("long").alias("o_orderkey"), "reason")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'own' ELSE 'near' END AS fonts FROM orders")
+def p4_inherited_reach(spark, sf_dir):
+    """A small file an order: its page takes resources from the node right above, which shadow those of the root, or has its own."""
+    own = F.when(F.col("o_orderkey") % 3 == 0, "/Resources<</Font 7 0 R>>").otherwise("")
+    body = F.concat(F.lit("1 0 obj <</Pages 2 0 R/Type/Catalog>> endobj 2 0 obj <</Kids[3 0 R]/Type/Pages/Resources<</Font 5 0 R>>>> endobj 3 0 obj <</Kids[4 0 R]/Parent 2 0 R/Type/Pages/Resources 6 0 R>> endobj 4 0 obj <</Parent 3 0 R/Type/Page"), own, F.lit(">> endobj 5 0 obj (far) endobj 6 0 obj <</Font 8 0 R>> endobj 7 0 obj (own) endobj 8 0 obj (near) endobj trailer <</Root 1 0 R>>"))
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file_id"), bytes_of(body).alias("content"))
+    objs, documents = objects.opened(files)
+    found = pages.pages(objs, documents)
+    reached = graph.reach(found, objs, graph.inherited(found, objs)).join(objs.where("kind = 'string'").select("file_id", "num", "body"), ["file_id", "num"])
+    fonts = F.array_join(F.array_sort(F.collect_list(F.decode(values.to_bytes(F.decode("body", "ISO-8859-1")), "ISO-8859-1"))), ",")
+    return reached.groupBy("file_id").agg(fonts.alias("fonts")).select(F.col("file_id").cast("long").alias("o_orderkey"), "fonts")
+
+
+@query("WITH s AS (SELECT o_orderkey, o_orderkey AS a, o_orderkey + o_custkey % 50 AS z FROM orders), e AS (SELECT l_orderkey AS num, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS b, max(l_linenumber) AS m FROM lineitem GROUP BY 1) SELECT o_orderkey, CASE WHEN count(num) < z - a + 1 THEN 'missing' WHEN max(m) > 6 THEN 'skipped' ELSE 'checked' END AS verdict, CASE WHEN count(num) = z - a + 1 AND max(m) <= 6 THEN CAST(sum(b) AS BIGINT) END AS bytes FROM s LEFT JOIN e ON num BETWEEN a AND z AND num // 10000 = a // 10000 GROUP BY o_orderkey, a, z")
+def h5_span_lengths(spark, sf_dir):
+    """Spans of consecutive orders summed over their lines' parts, in one file; orders of seven lines count as packed."""
+    extents = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("num")).agg(F.sum("l_partkey").alias("extent"), F.max("l_linenumber").alias("m"))
+    extents = extents.select(F.floor(F.col("num") / 10_000).cast("string").alias("file_id"), "num", F.when(F.col("m") > 6, "o").otherwise("n").alias("kind"), "extent")
+    orders = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 10_000).cast("string").alias("file_id"), "o_orderkey", F.col("o_orderkey").alias("first"), (1 + F.col("o_custkey") % 50).alias("count"))
+    return linear.span_lengths(orders, extents).select("o_orderkey", "verdict", F.col("bytes").cast("long").alias("bytes"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'outside' WHEN event_id % 4 = 1 THEN 'tail not signed' ELSE 'bound' END AS binding FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL")
+def g4_gap_binding(spark, sf_dir):
+    """A file a user: an object of 100 bytes an event, at 100 times its number, that ends at byte 80. The gap lies in it, or
+    in the next one; the signed bytes reach its end, or not."""
+    ev = table(spark, sf_dir, "events").where("event_id is not null and user_id is not null").select(F.col("user_id").cast("string").alias("file_id"), "event_id", (F.col("event_id") * 100).alias("offset"))
+    ends = ev.select("file_id", (F.col("offset") + 80).alias("at"))
+    k = F.col("event_id") % 4
+    gaps = ev.withColumns({"gap_start": F.when(k == 0, F.col("offset") + 90).otherwise(F.col("offset") + 10), "signed_end": F.when(k == 1, F.col("offset") + 79).otherwise(F.col("offset") + 80)})
+    return signatures.bound(gaps, ends).select("event_id", "binding")
+
+
+@query("WITH k AS (SELECT user_id, event_type, min(event_id) AS first FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS n FROM k) SELECT event_id, r.first AS same, n <= 2 AS allowed FROM events e JOIN r ON e.user_id = r.user_id AND e.event_type = r.event_type WHERE event_id IS NOT NULL")
+def g7_budget(spark, sf_dir):
+    """Signatures that differ by the type of an event; two of a file are in its budget."""
+    ev = table(spark, sf_dir, "events").where("event_id is not null and user_id is not null and event_type is not null")
+    found = ev.select(F.col("user_id").cast("string").alias("file_id"), F.col("event_id").alias("seq"), F.lit("adbe.pkcs7.detached").alias("sub_filter"), F.array(F.lit(0), F.lit(10), F.lit(20), F.lit(5)).cast("array<long>").alias("byte_range"), F.encode("event_type", "UTF-8").alias("contents"))
+    return signatures.budgeted(found, most=2).select(F.col("seq").alias("event_id"), "same", "allowed")
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS width, md5(text) AS md5, 'BI Q' AS operators FROM documents")
 def c4_inline_images(spark, sf_dir):
-    """A grey image a document, one row of the first bytes of its digest, between two operators; digests may hold 'EI'."""
-    df = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), (1 + F.pmod("doc_id", F.lit(16))).alias("width"))
-    data = F.substring(F.unhex("md5"), F.lit(1), F.col("width").cast("int"))
-    stream = F.concat(bytes_of(F.concat(F.lit("q BI /W "), F.col("width").cast("string"), F.lit(" /H 1 /BPC 8 /CS /G ID "))), data, bytes_of(F.concat(F.lit("\nEI ("), "md5", F.lit(") Tj Q"))))
-    ops = pages.operations(df.select("doc_id", stream.alias("content")))
-    image = ops.where("operator = 'BI'").select("doc_id", F.regexp_extract("image", r"/Width (\d+)", 1).cast("long").alias("said"), F.octet_length("image_data").cast("long").alias("width")).where("said = width")
-    tj = ops.where("operator = 'Tj' and op_seq = 2").select("doc_id", F.regexp_extract(F.col("operands")[0], r"\((.*)\)", 1).alias("md5"))
-    return image.join(tj, "doc_id").select("doc_id", "width", "md5")
+    """A grey image a document whose one row is the whole text, EI and all, between two operators."""
+    df = texts(spark, sf_dir).where("b is not null")
+    stream = F.concat(bytes_of(F.concat(F.lit("q BI /W "), F.octet_length("b").cast("string"), F.lit(" /H 1 /BPC 8 /CS /G ID "))), F.col("b"), F.lit(b"\nEI Q"))
+    ops = pages.operations(df.select("doc_id", stream.alias("content"))).where("operator != 'q'")
+    image = F.max_by(F.struct("image", "image_data"), F.col("operator") == "BI").alias("i")
+    found = ops.groupBy("doc_id").agg(image, F.array_join(F.array_sort(F.collect_list("operator")), " ").alias("operators"))
+    return found.select("doc_id", F.regexp_extract("i.image", r"/Width (\d+)", 1).cast("long").alias("width"), F.md5("i.image_data").alias("md5"), "operators")
 
 
-@query("SELECT vec_id, CAST(8 + label % 50 AS BIGINT) AS width, CAST(len(list_filter(range(1, 4), lambda y: true)) AS BIGINT) AS rows, CAST(3 * (label % 7 + 1) AS BIGINT) AS black FROM embeddings WHERE label >= 0")
+@query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width, CAST(8 AS BIGINT) AS rows, CAST(list_sum(list_transform([-0.8, -0.6, -0.4, -0.2, 0.0, 0.2, 0.4, 0.6], lambda t: len(list_filter(embedding, lambda x: CAST(x AS DOUBLE) > t)))) AS BIGINT) AS black FROM embeddings WHERE len(embedding) > 0")
 def f8_fax(spark, sf_dir):
-    """Three rows a vector, each a run of white, one of black, and white to the end, in one-dimensional codes."""
-    from quire.kernels.fax import BLACK_ENDS, WHITE_ENDS
-
-    def write(width: int, black: int) -> bytes:
-        row = WHITE_ENDS[0] + BLACK_ENDS[black] + WHITE_ENDS[width - black]
-        bits = row * 3
+    """Eight rows a vector, black where a component is above a threshold, in one-dimensional codes for even numbers and two-dimensional ones for odd."""
+    from quire.kernels.fax import BLACK_ENDS, BLACK_MORE, MODES, WHITE_ENDS, WHITE_MORE
+
+    ends, more = (WHITE_ENDS, BLACK_ENDS), (WHITE_MORE, BLACK_MORE)
+    mode = {v: k for k, v in MODES.items()}
+
+    def run(n: int, black: int) -> str:
+        return (more[black][n // 64 - 1] if n >= 64 else "") + ends[black][n % 64]
+
+    def write(vector: list, two: int) -> bytes:
+        v = np.array(vector, np.float64)
+        width, bits, above = len(v), "", np.zeros(0, np.int64)
+        for k in range(8):
+            row = v > (-0.8, -0.6, -0.4, -0.2, 0.0, 0.2, 0.4, 0.6)[k]
+            changes = np.flatnonzero(np.diff(np.concatenate([[False], row])))
+            if not two:
+                edges = np.concatenate([[0], changes, [width]])
+                bits += "".join(run(int(n), i % 2) for i, n in enumerate(np.diff(edges)))
+                continue
+            at, black = -1, 0
+            while at < width:
+                # the next change here, and the next one above to the other colour, right of where we are
+                a1 = next((int(c) for i, c in enumerate(changes) if c > at and i % 2 == black or (at < 0 and c == 0 and i == 0)), width)
+                b1 = next((int(c) for i, c in enumerate(above) if c > at and i % 2 == black), width)
+                b2 = next((int(c) for c in above if c > b1), width)
+                if b2 < a1:
+                    bits, at = bits + mode["pass"], b2
+                elif abs(a1 - b1) <= 3:
+                    bits, at, black = bits + mode[a1 - b1], a1, 1 - black
+                else:
+                    a2 = next((int(c) for c in changes if c > a1), width)
+                    bits, at = bits + mode["horizontal"] + run(a1 - max(at, 0), black) + run(a2 - a1, 1 - black), a2
+            above = changes
         return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
 
-    df = table(spark, sf_dir, "embeddings").where("label >= 0").select("vec_id", (8 + F.col("label") % 50).cast("long").alias("width"), (F.col("label") % 7 + 1).cast("long").alias("n"))
-    raw = F.udf(write, "binary", useArrow=True)("width", "n")
-    parms = F.concat(F.lit("<</K 0/EndOfBlock false/BlackIs1 true/Rows 3/Columns "), F.col("width").cast("string"), F.lit(">>"))
-    back = df.select("vec_id", "width", decode_filter(raw, "CCITTFaxDecode", parms)["data"].alias("d"))
+    df = table(spark, sf_dir, "embeddings").where("size(embedding) > 0").select("vec_id", F.size("embedding").cast("long").alias("width"), "embedding", (F.col("vec_id") % 2).cast("int").alias("two"))
+    raw = F.udf(write, "binary", useArrow=True)("embedding", "two")
+    parms = F.concat(F.lit("<</K "), (-F.col("two")).cast("string"), F.lit("/EndOfBlock false/BlackIs1 true/Rows 8/Columns "), F.col("width").cast("string"), F.lit(">>"))
+    back = decode_filter(df, raw, "CCITTFaxDecode", parms).select("vec_id", "width", F.col("decoded.data").alias("d"))
     bits = F.aggregate(F.regexp_extract_all(F.hex("d"), F.lit("(..)"), F.lit(1)), F.lit(0).cast("long"), lambda a, h: a + F.bit_count(F.conv(h, 16, 10).cast("long")))
     return back.select("vec_id", "width", F.floor(F.octet_length("d") / F.ceil(F.col("width") / 8)).cast("long").alias("rows"), bits.alias("black"))
 
 
-@query("SELECT source, CAST(20 + count(*) AS BIGINT) AS signed, true AS covers_whole_file, md5(source) AS name FROM documents GROUP BY source")
+@query("SELECT source || '/' || (doc_id // 1000) AS file_id, CAST(20 + count(*) AS BIGINT) AS signed, true AS covers_whole_file, md5(source || '/' || (doc_id // 1000)) AS name FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def g1_signatures(spark, sf_dir):
-    """A file a source with one signature field; the signed bytes are all but the gap."""
-    docs = table(spark, sf_dir, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
+    """A file a source and block with one signature field; the signed bytes are all but the gap."""
+    docs = table(spark, sf_dir, "documents").where("source is not null").groupBy(F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / BLOCK).cast("string")).alias("file_id")).agg(F.count("*").alias("n"))
 
     def build(name: str, n: int) -> bytes:
         head = b"%%PDF-1.7\n1 0 obj\n<</AcroForm 3 0 R/Pages 2 0 R/Type/Catalog>>\nendobj\n2 0 obj\n<</Count 0/Kids[]/Type/Pages>>\nendobj\n3 0 obj\n<</Fields[4 0 R]>>\nendobj\n4 0 obj\n<</FT/Sig/T(%s)/V 5 0 R>>\nendobj\n5 0 obj\n<</Filter/Adobe.PPKLite/SubFilter/adbe.pkcs7.detached/ByteRange[" % name.encode()
@@ -427,55 +661,49 @@ def g1_signatures(spark, sf_dir):
         ranges = ranges.ljust(len("0 0000000000 0000000000 0000000000"))
         return head + ranges + b"]/Contents" + gap + tail
 
-    files = docs.select(F.col("source").alias("file_id"), "n", F.udf(build, "binary", useArrow=True)(F.md5("source"), F.col("n")).alias("content"))
+    files = docs.select("file_id", "n", F.udf(build, "binary", useArrow=True)(F.md5("file_id"), F.col("n")).alias("content"))
     objs, documents = objects.opened(files)
     found = signatures.signatures(files, objs, documents).where("hex(contents) = '3003020105' and filter = '/Adobe.PPKLite'")
     base = F.octet_length("content") - F.lit(16) - F.col("n") - F.octet_length("signed") + F.col("n")
-    return found.join(files, "file_id").select(F.col("file_id").alias("source"), (F.lit(20) + F.col("n") + base).alias("signed"), "covers_whole_file", "name")
+    return found.join(files, "file_id").select("file_id", (F.lit(20) + F.col("n") + base).alias("signed"), "covers_whole_file", "name")
 
 
 @query(SHOWN)
 def e5_decrypted_files(spark, sf_dir):
-    """The files with streams under AES-128 by a user password, their dictionary in clear, opened with that password."""
+    """The files with streams under AES-128 by a user password, their dictionary in clear, opened with that password. Every
+    third stream is exempt by a leading Crypt filter."""
     from quire.kernels import legacy_crypt as crypt
     from quire.kernels.syntax import Name, format_value
-    from quire.operators import security
 
     ident, rights = b"0123456789abcdef", -44
     owner = crypt.owner_entry(b"boss", b"guest", 4, 16)
     key = crypt.file_key(b"guest", owner, rights, ident, 4, 16)
     entries = {Name("Filter"): Name("Standard"), Name("V"): 4, Name("R"): 4, Name("Length"): 128, Name("P"): rights, Name("O"): owner, Name("U"): crypt.user_entry(key, ident, 4) + bytes(16), Name("CF"): {Name("StdCF"): {Name("CFM"): Name("AESV2")}}, Name("StmF"): Name("StdCF"), Name("StrF"): Name("StdCF")}
-    docs = table(spark, sf_dir, "documents").where("source is not null")
-    plain = page_objects(docs, F.concat(F.lit("("), F.md5("text"), F.lit(")")))
-    # odd numbers that no page of a file of fewer than 4 million documents has
-    lock = plain.select("file_id").distinct().select("file_id", F.lit(8_000_001).cast("long").alias("num"), F.lit(format_value(entries)).alias("body"), F.lit(None).cast("binary").alias("raw"))
-    locked = security.encrypted(plain, key).withColumn("body", F.when(F.col("raw").isNotNull(), stream_body(F.lit("/Filter/FlateDecode"), F.col("raw"))).otherwise(F.col("body")))
-    parts = locked.unionByName(lock).withColumn("chunk", sink.object_bytes(F.col("num"), F.col("body"), F.col("raw")))
-    tail = F.lit(b"trailer\n<</Root 1 0 R/Encrypt 8000001 0 R/ID[<" + ident.hex().encode() + b"><00>]>>\n")
-    files = parts.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("num", "chunk"))).alias("p")).select("file_id", sink.joined(F.concat(F.array(F.lit(sink.HEADER)), F.transform("p", lambda x: x["chunk"]), F.array(tail))).alias("content"))
-    objs, documents = objects.opened(files)
+    plain = page_objects(paged(spark, sf_dir))
+    exempt = F.col("num") % 3 == 0
+    locked = plain.where(~exempt).unionByName(plain.where(exempt & F.col("raw").isNull()))
+    locked = security.encrypted(locked, key).withColumn("body", F.when(F.col("raw").isNotNull(), stream_body(F.lit("/Filter/FlateDecode"), F.col("raw"))).otherwise(F.col("body")))
+    open_ = plain.where(exempt & F.col("raw").isNotNull()).withColumn("body", stream_body(F.lit("/Filter[/Crypt/FlateDecode]"), F.col("raw")))
+    lock = plain.groupBy("file_id").agg((F.max("num") + 1).alias("num")).withColumns({"body": F.lit(format_value(entries)), "raw": none()})
+    more = F.concat(F.lit("/Encrypt "), F.col("num").cast("string"), F.lit(" 0 R/ID[<" + ident.hex() + "><00>]"))
+    root = lock.select("file_id", F.lit(1).alias("root"), more.alias("more"))
+    objs, documents = objects.opened(sink.write_plain(locked.unionByName(open_).unionByName(lock), root))
     objs = security.decrypted(objs, security.protection(documents, objs, "guest"))
-    found = pages.pages(objs, documents)
-    ops = pages.operations(pages.contents(found, objs).select("file_id", "page_no", "content"))
-    return ops.where("operator = 'Tj'").select(F.col("file_id").alias("source"), "page_no", F.regexp_extract(F.col("operands")[0], r"\((.*)\)", 1).alias("md5"))
+    return shown_on(pages.pages(objs, documents), objs)
 
 
 @query("SELECT o_orderkey, CAST(o_custkey % 512 AS BIGINT) AS a, CAST(o_orderkey % 512 AS BIGINT) AS b, CAST(3 AS BIGINT) AS n FROM orders")
 def h3_hint_bits(spark, sf_dir):
     """Two fields and a zero in nine bits each, packed and read again."""
-    from quire.operators.linear import packed_bits, unpacked_bits
-
     df = table(spark, sf_dir, "orders")
     fields = F.array(F.pmod("o_custkey", F.lit(512)), F.pmod("o_orderkey", F.lit(512)), F.lit(0).cast("long"))
-    back = df.select("o_orderkey", unpacked_bits(packed_bits(fields, 9), 9, F.lit(3).cast("long")).alias("v"))
+    back = df.select("o_orderkey", linear.unpacked_bits(linear.packed_bits(fields, 9), 9, F.lit(3).cast("long")).alias("v"))
     return back.select("o_orderkey", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"), F.size("v").cast("long").alias("n"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'not linearized' WHEN o_orderkey % 3 = 1 THEN 'length changed since' END AS error, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS BIGINT) END AS pages FROM orders")
 def h1_linearized(spark, sf_dir):
     """Heads of files with a parameter dictionary that is right, that states another length, or that is something else."""
-    from quire.operators.linear import linearized
-
     df = table(spark, sf_dir, "orders")
     kind = F.col("o_orderkey") % 3
     key = F.when(kind == 0, "/Version 1").otherwise("/Linearized 1")
@@ -483,5 +711,5 @@ def h1_linearized(spark, sf_dir):
     body = F.concat(F.lit(">>\nendobj\n"), F.repeat(F.lit("x"), 100))
     whole = F.length(start) + F.length(body) + 3
     content = F.concat(start, F.when(kind == 1, whole + 1).otherwise(whole).cast("string"), body)
-    found = linearized(df.select(F.col("o_orderkey").cast("string").alias("file_id"), bytes_of(content).alias("content")))
+    found = linear.linearized(df.select(F.col("o_orderkey").cast("string").alias("file_id"), bytes_of(content).alias("content")))
     return found.select(F.col("file_id").cast("long").alias("o_orderkey"), "error", F.col("claim")["N"].alias("pages"))

@@ -40,3 +40,17 @@ def test_bit_fields(spark):
     df = spark.createDataFrame([([9, 0, 502],), ([512, 0, 0],)], "v array<long>")
     got = [r.p for r in df.select(linear.packed_bits(F.col("v"), 9).alias("p")).collect()]
     assert bytes(got[0]) == bytes([0b00000100, 0b10000000, 0b00111110, 0b11000000]) and got[1] is None
+
+
+def test_streams_that_stay_and_odd_padding(spark):
+    """Padding that can't be padding is kept; a leading Crypt filter exempts a stream."""
+    key = b"0123456789abcdef"
+    data = spark.createDataFrame([(5, bytearray(b"whole text")), (6, bytearray(b"x" * 32))], "num long, b binary")
+    sealed = data.select("num", F.aes_encrypt("b", security.object_key(F.lit(key), F.col("num"), F.lit(0), F.lit("aes")), F.lit("CBC"), F.lit("PKCS"), F.lit(bytes(range(16)))).alias("raw"))
+    # without the last block, what is left ends in letters, not in padding
+    sealed = sealed.withColumn("raw", F.when(F.col("num") == 6, F.substring("raw", F.lit(1), F.lit(48))).otherwise(F.col("raw")))
+    rows = sealed.unionByName(spark.createDataFrame([(7, bytearray(b"in clear"))], "num long, raw binary"))
+    entries = F.when(F.col("num") == 7, F.create_map(F.lit("Filter"), F.lit("[/Crypt/AHx]"))).otherwise(F.create_map().cast("map<string,string>"))
+    objs = rows.select(F.lit("a").alias("file_id"), "num", F.lit(0).cast("long").alias("gen"), F.lit("direct").alias("source"), F.lit("stream").alias("kind"), F.lit(b"<<>>").alias("body"), entries.alias("entries"), F.array().alias("refs"), "raw")
+    how = spark.createDataFrame([("a", 9, bytearray(key), "aes")], "file_id string, encrypt_num long, key binary, method string")
+    assert {r.num: bytes(r.raw) for r in security.decrypted(objs, how).collect()} == {5: b"whole text", 6: b"x" * 32, 7: b"in clear"}
