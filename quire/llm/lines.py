@@ -6,8 +6,9 @@ similarity is computed exactly from their whole shingle sets; and a distributed
 first line, by doc_id and place, of every component.
 
 A line is first held against one leader of its buckets, LEADERS times, which joins most copies to components at
-the cost of a row each. Then every pair of a bucket that is not in one component yet is compared, block against
-block. Only pairs whose signatures agree so little that they are unlike, but for one in a million, are spared the
+the cost of a row each; the first leader is the line that shares its bands with the most others, as the middle of a group of
+copies does. Then every pair of a bucket that is not in one component yet is compared, the lines outside of the largest
+component against blocks of all. Only pairs whose signatures agree so little that they are unlike, but for one in a million, are spared the
 comparison; those in one component can't change it.
 """
 
@@ -36,7 +37,7 @@ TAGS, AGREE = 32, 18
 #: Shingles that one row stands for while signatures are made.
 STEP = 8
 #: Leaders that a bucket has before all its pairs are compared, and the members of a block then.
-LEADERS, BLOCK = 2, 256
+LEADERS, BLOCK = 4, 256
 #: Lines with fewer characters, which are the empty ones, are never held to be copies.
 SHORTEST = 1
 
@@ -109,13 +110,16 @@ def similar(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
 
 
 def _members(signed: DataFrame) -> DataFrame:
-    """bucket, id, tags of the lines in buckets that distinct lines share; bands of one slope at a time."""
+    """bucket, id, tags, score of the lines in buckets that distinct lines share; bands of one slope at a time. The score is
+    the number of lines in all buckets of a line."""
     parts = []
     for k in range(len(SLOPES)):
         each = signed.select("id", F.explode(F.slice("bands", k * GROUPS + 1, GROUPS)).alias("bucket"))
-        shared = each.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
+        shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         parts.append(stage(each.join(shared, "bucket"), "shared"))
-    found = stage(reduce(DataFrame.unionByName, parts).join(signed.select("id", "tags"), "id"), "members")
+    every = reduce(DataFrame.unionByName, parts)
+    scores = every.groupBy("id").agg(F.sum("n").alias("score")).join(signed.select("id", "tags"), "id")
+    found = stage(every.drop("n").join(scores, "id"), "members")
     drop(*parts)
     return found
 
@@ -139,25 +143,30 @@ def _mixed(members: DataFrame, links: DataFrame | None) -> DataFrame:
     return found
 
 
+def _heads(rows: DataFrame, step: int, *columns: str) -> DataFrame:
+    """bucket and columns, as head_..., of one member of each bucket: the one of the highest score first, then others at random."""
+    if step:
+        return rows.groupBy("bucket").agg(*[F.min_by(c, F.xxhash64("id", F.lit(step))).alias(f"head_{c}") for c in columns])
+    best = rows.groupBy("bucket").agg(F.max("score").alias("score"))
+    return rows.join(best, ["bucket", "score"]).groupBy("bucket").agg(*[F.min_by(c, "id").alias(f"head_{c}") for c in columns])
+
+
 def _led(rows: DataFrame, step: int) -> DataFrame:
     """a, b: each line b with one leader a of its buckets that is of another component and may be similar."""
-    order = lambda c: F.xxhash64(c, F.lit(step))
-    heads = rows.groupBy("bucket").agg(*[F.min_by(c, order("id")).alias(f"head_{c}") for c in ("id", "root", "tags")])
-    held = rows.join(heads, "bucket").where((F.col("root") != F.col("head_root")) & _possible(F.col("tags"), F.col("head_tags")))
-    return held.groupBy(F.col("id").alias("b")).agg(F.min_by("head_id", order("head_id")).alias("a")).select("a", "b")
+    held = rows.join(_heads(rows, step, "id", "root", "tags"), "bucket").where((F.col("root") != F.col("head_root")) & _possible(F.col("tags"), F.col("head_tags")))
+    return held.groupBy(F.col("id").alias("b")).agg(F.min_by("head_id", F.xxhash64("head_id", F.lit(step))).alias("a")).select("a", "b")
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
     """a, b: every pair of members of a bucket that are of different components and may be similar. Members are dealt over
-    blocks of about BLOCK, and a task gets one block against one."""
+    blocks of about BLOCK; those outside of the leader's component, of which every such pair has one, go to each block."""
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = rows.join(sizes.join(_heads(rows, 0, "root"), "bucket"), "bucket")
     own = ["id", "root", "tags"]
-    x = dealt.select("*", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other")).select("bucket", F.col("block").alias("lo"), F.col("other").alias("hi"), *own).alias("x")
-    y = dealt.select("*", F.explode(F.sequence(F.lit(0), "block")).alias("other")).select("bucket", F.col("other").alias("lo"), F.col("block").alias("hi"), *own).alias("y")
-    met = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("bucket", "lo", "hi")]
-    once = (F.col("x.lo") < F.col("x.hi")) | (F.col("x.id") < F.col("y.id"))
-    pairs = x.join(y, reduce(Column.__and__, [*met, F.col("x.root") != F.col("y.root"), once, _possible(F.col("x.tags"), F.col("y.tags"))]))
+    x = dealt.where("root != head_root").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *own).alias("x")
+    y = dealt.select("bucket", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int").alias("block"), *own).alias("y")
+    met = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("bucket", "block")]
+    pairs = x.join(y, reduce(Column.__and__, [*met, F.col("x.root") != F.col("y.root"), _possible(F.col("x.tags"), F.col("y.tags"))]))
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 

@@ -85,7 +85,7 @@ def test_template_bucket_and_chains(spark):
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in numbered], DOCS)
     # one bucket for all, so that chance has no part in it
     texts = L._distinct(L._numbered(df.select("doc_id", "text")))
-    members = L._signed(texts).select("id", "tags", F.lit(1).cast("long").alias("bucket"))
+    members = L._signed(texts).select("id", "tags", F.lit(1).cast("long").alias("bucket"), F.pmod("id", F.lit(7)).alias("score"))
     links = L._links(texts, members, L.SIMILARITY)
     found = components(links, "a", "b").groupBy("root").count()
     want = {}
