@@ -2,7 +2,7 @@
 
 Blocks of documents send their distinct words, with counts, to buckets by hash; a bucket adds them up and tells
 every block the corpus count of each of its words, so that no vocabulary is ever held whole. Only the frequent
-words, of fixed number, and sums reach the driver; so do the model's weights, of fixed size.
+words, of fixed number, and sums reach the driver; so do the summed gradients of a round and the weights, of fixed size.
 """
 
 from __future__ import annotations
@@ -19,16 +19,47 @@ from pyspark.sql import functions as F
 
 from . import maxent as M
 from .common import ship, stage, table
-from .suffix_dedup import NO_ID, _press, _to_blocks, _unpress
+from .suffix_dedup import NO_ID, _press, _unpress
 
 BLOCK, BUCKET = 2 << 20, 24 << 20
 FOLDS, HELD_OUT = 5, 1
-#: Lists of frequent words, or chunks of weights, that one task joins; more go through further rounds.
+#: Lists of frequent words, or chunks of gradients, that one task joins; more go through further rounds.
 FAN_IN = 64
 
 
+def number_of(doc_id: int, known: bool) -> int:
+    return zlib.crc32(str(doc_id).encode() if known else b"")
+
+
 def held_out(doc_id: int, known: bool) -> bool:
-    return zlib.crc32(str(doc_id).encode() if known else b"") % FOLDS == HELD_OUT
+    return number_of(doc_id, known) % FOLDS == HELD_OUT
+
+
+def _to_blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Documents in blocks of about `most` bytes, each of documents of one round."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 33
+    held: list[list[tuple[int, bool, bytes]]] = [[] for _ in M.ROUNDS]
+    sizes = [0] * len(M.ROUNDS)
+
+    def made(k: int) -> pd.DataFrame:
+        nonlocal number
+        rows, held[k], size, sizes[k] = held[k], [], sizes[k], 0
+        number += 1
+        ids, known, texts = zip(*rows, strict=True)
+        return pd.DataFrame({"block": [number], "round": [k], "ids": [np.array(ids, np.int64).tobytes()], "known": [np.array(known, np.uint8).tobytes()], "lens": [np.array([len(t) for t in texts], np.int64).tobytes()], "data": [_press(b"".join(texts))], "raw": [size]})
+
+    for batch in batches:
+        for i, ok, t in zip(batch["id"], batch["known"], batch["text"], strict=True):
+            k = M.round_of(number_of(i, ok))
+            held[k].append((i, ok, t.encode("utf-8", "surrogatepass") if t else b""))
+            sizes[k] += len(held[k][-1][2])
+            if sizes[k] >= most:
+                yield made(k)
+    for k, rows in enumerate(held):
+        if rows:
+            yield made(k)
 
 
 class Words:
@@ -150,38 +181,43 @@ def _vocabulary(counted: DataFrame, buckets: int) -> M.Vocabulary:
     return M.Vocabulary([w for w, _ in top], [c for _, c in top], n.astype(float), v.astype(float), total, types)
 
 
-def _fit(known: DataFrame, v: M.Vocabulary, buckets: int) -> M.Weights:
-    spark = known.sparkSession
-    held = spark.sparkContext.broadcast(v)
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        trainer = M.Trainer(M.Weights(held.value))
-        for batch in batches:
-            for row in batch.itertuples():
-                b = Words(row, buckets)
-                trainer.learn(*b.inputs(held.value, ~b.held[b.owner]))
-        if trainer.tokens:
-            made = list(M.rows_of(trainer.w))
-            yield pd.DataFrame(made, columns=["name", "chunk", "weights", "used"]).assign(part=TaskContext.get().partitionId())
+def _fit(blocks: DataFrame, v: M.Vocabulary, buckets: int) -> M.Weights:
+    """The weights after all rounds: of each, tasks sum gradients at the same weights, and chunks of them are joined."""
+    spark = blocks.sparkSession
+    w = M.Weights(v)
+    kind = "name string, chunk int, means binary, used binary, part int"
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        weights, used = M.averaged(list(zip(group["weights"], group["used"], strict=True)))
-        return group.iloc[:1].assign(weights=[weights], used=[used], part=group["part"] // FAN_IN)[["name", "chunk", "weights", "used", "part"]]
-
-    kind = "name string, chunk int, weights binary, used binary, part int"
-    parts, tasks = known.mapInPandas(learn, kind), known.rdd.getNumPartitions()
-    while True:
-        parts = parts.groupBy("name", "chunk", F.floor(F.col("part") / FAN_IN)).applyInPandas(join, kind)
-        tasks = -(-tasks // FAN_IN)
-        if tasks <= 1:
-            break
-    w = M.Weights(v)
-    for r in parts.collect():
-        x = getattr(w, r["name"])
-        got = np.frombuffer(r["weights"], "<f4").reshape(-1, x.shape[1])
-        x[r["chunk"] : r["chunk"] + len(got)] = got
+        g, used = M.joined(list(zip(group["means"], group["used"], strict=True)))
+        means = (g / np.maximum(used, 1)[:, None]).astype("<f2").tobytes()
+        return group.iloc[:1].assign(means=[means], used=[used.astype("<f4").tobytes()], part=group["part"] // FAN_IN)[["name", "chunk", "means", "used", "part"]]
+
+    for k in range(len(M.ROUNDS)):
+        given = spark.sparkContext.broadcast((v, w))
+
+        def learn(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            v, w = given.value
+            sums = M.Sums(w)
+            for batch in batches:
+                for row in batch.itertuples():
+                    b = Words(row, buckets)
+                    sums.add(*b.inputs(v, ~b.held[b.owner]))
+            if sums.tokens:
+                yield pd.DataFrame(list(M.rows_of(sums)), columns=["name", "chunk", "means", "used"]).assign(part=TaskContext.get().partitionId())
+
+        own = blocks.where(F.col("round") == k)
+        parts, tasks = own.mapInPandas(learn, kind), own.rdd.getNumPartitions()
+        while True:
+            parts = parts.groupBy("name", "chunk", F.floor(F.col("part") / FAN_IN)).applyInPandas(join, kind)
+            tasks = -(-tasks // FAN_IN)
+            if tasks <= 1:
+                break
+        for r in parts.collect():
+            g, used = M.joined([(r["means"], r["used"])])
+            w.step(r["name"], r["chunk"] + np.arange(len(g)), g, used)
+        given.unpersist()
     return w
 
 
@@ -190,12 +226,14 @@ def scored(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> DataFra
 
     The model learns from the rows whose crc32 of doc_id as text leaves another remainder than 1 by 5; a null doc_id
     counts as the empty text. A null or empty text has one token, its end. Rows that repeat a doc_id all count. Without
-    training rows every token has the base's probability of an unknown one. An empty table gives no rows.
+    training rows every token has the base's probability of an unknown one. Words of equal count are ranked by their bytes.
+    Texts of any length are taken whole; one makes a block of its own. An empty table gives no rows; other columns are not
+    looked at, and doc_id is taken as a long.
     """
     spark = docs.sparkSession
     ship(spark)
     given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("id"), F.col("doc_id").isNotNull().alias("known"), "text")
-    blocks = stage(given.mapInPandas(lambda b: _to_blocks(b, block), "block long, ids binary, known binary, lens binary, data binary, raw long"), "blocks")
+    blocks = stage(given.mapInPandas(lambda b: _to_blocks(b, block), "block long, round int, ids binary, known binary, lens binary, data binary, raw long"), "blocks")
     raw = blocks.agg(F.sum("raw")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-raw // bucket))
     counted = _counted(blocks, buckets)

@@ -4,9 +4,12 @@ The CLASSES * PER_CLASS - 1 most frequent words and the end of a text form class
 words fall into RARE classes by their last two bytes, in which a word has its smoothed count's share, so that
 the model gives every word, seen or not, a probability. The class, and the word within a frequent class, are
 softmaxes over hashed features: of the class the word before, the two words before together, and the word before
-the last (a skip); of the word within its class the word before. Biases start at the logarithms of the counts. Every partition goes once through all its training
-tokens with adaptive gradient steps in sparse batches; the partitions' weights are averaged by how often each
-row was used.
+the last (a skip); of the word within its class the word before and, again, the word before the last. Each softmax has
+a bias, of each class in the second, that starts at the logarithms of the counts and is trained like all other weights.
+
+Training goes in ROUNDS. A round has its own share of the documents; its gradients are summed over all of them at the
+same weights, and then one step is taken, a weight's gradient over the curvature that its feature has gathered
+so far. So the weights depend on the documents alone, however they are dealt over tasks.
 """
 
 from __future__ import annotations
@@ -16,16 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CLASSES, PER_CLASS, RARE = 24, 64, 8
+CLASSES, PER_CLASS, RARE = 64, 64, 16
 ALL = CLASSES + RARE
 #: Hash rows of the class features and of the word features.
 ROWS = 1 << 14
 BATCH = 8192
-RATE = 0.15
+#: Shares of the documents, in sixteenths, by round: steps are cheap while the weights are far off.
+ROUNDS = (1, 1, 2, 4, 8)
+#: Of a step: its length, what is added to the curvature, and the most that a weight moves.
+RATE, CALM, MOST = 0.7, 2.0, 1.5
 END = b"\n"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+def round_of(number: int) -> int:
+    """The round of a document, by the crc32 of its id as text."""
+    return int(np.searchsorted(np.cumsum(ROUNDS), (number >> 8) % sum(ROUNDS), side="right"))
+
+
 def rare_class(word: bytes) -> int:
     return CLASSES + zlib.crc32(word[-2:]) % RARE
 
@@ -55,21 +66,33 @@ class Vocabulary:
 
 
 class Weights:
+    """Two tables: features of the class (the last row is the bias), and of the word (the last CLASSES rows are biases)."""
+
+    PARTS = ("classes", "words")
+
     def __init__(self, vocabulary: Vocabulary):
         n = len(vocabulary.counts)
-        within = np.full((CLASSES, PER_CLASS), -30.0)
         k = np.arange(n)
+        within = np.full((CLASSES, PER_CLASS), -30.0)
         within[k % CLASSES, k // CLASSES] = np.log(vocabulary.counts + 0.5)
+        within -= np.log(np.exp(within).sum(axis=1, keepdims=True))
         cls = np.full(ALL, 0.5)
         np.add.at(cls, k % CLASSES, vocabulary.counts)
         cls[CLASSES:] += vocabulary.rare_tokens
-        self.class_bias = np.log(cls / cls.sum()).astype(np.float32)
-        self.word_bias = (within - np.log(np.exp(within).sum(axis=1, keepdims=True))).astype(np.float32)
-        self.class_rows = np.zeros((ROWS, ALL), np.float32)
-        self.word_rows = np.zeros((ROWS, PER_CLASS), np.float32)
-        self.used = {"class_rows": np.zeros(ROWS), "word_rows": np.zeros(ROWS), "class_bias": np.zeros(1), "word_bias": np.zeros(CLASSES)}
-
-    PARTS = ("class_bias", "word_bias", "class_rows", "word_rows")
+        cls /= cls.sum()
+        self.classes = np.zeros((ROWS + 1, ALL), np.float32)
+        self.words = np.zeros((ROWS + CLASSES, PER_CLASS), np.float32)
+        self.classes[ROWS], self.words[ROWS:] = np.log(cls), within
+        share = np.exp(within).mean(axis=0)
+        #: variance of each outcome at the start, and how often each row was used
+        self.spread = {"classes": cls * (1 - cls), "words": share * (1 - share)}
+        self.used = {name: np.zeros(len(getattr(self, name))) for name in self.PARTS}
+
+    def step(self, name: str, rows: np.ndarray, gradient: np.ndarray, used: np.ndarray) -> None:
+        """One step of the given rows along their summed gradients (observed less expected)."""
+        self.used[name][rows] += used
+        curve = CALM + self.used[name][rows][:, None] * self.spread[name]
+        getattr(self, name)[rows] += np.clip(RATE * gradient / curve, -MOST, MOST)
 
 
 def contexts(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,30 +104,24 @@ def contexts(hashes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _row(x: np.ndarray) -> np.ndarray:
-    x = x * _M[0]
-    return (x >> np.uint64(50)).astype(np.int64)
-
-
-def class_features(before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-    return np.stack([_row(before), _row(before * _M[1] ^ earlier * _M[2]), _row(earlier ^ _M[2])], axis=1)
+    return (x * _M[0] >> np.uint64(50)).astype(np.uint16)
 
 
-def word_features(cls: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return _row(before ^ (cls + 3).astype(np.uint64) * _M[1])[:, None]
+def class_features(before: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
+    return [_row(before), _row(before * _M[1] ^ earlier * _M[2]), _row(earlier ^ _M[2])]
 
 
-def _logits(bias: np.ndarray, rows: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = bias + rows[features[:, 0]]
-    for k in range(1, features.shape[1]):
-        z += rows[features[:, k]]
-    return z
+def word_features(cls: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
+    salt = (cls + 3).astype(np.uint64) * _M[1]
+    return [_row(before ^ salt), _row(earlier * _M[2] ^ salt)]
 
 
-def _soft(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z - top) and its sum, with z lowered in place."""
+def _logits(table: np.ndarray, bias: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    z = table[features[0]] + bias
+    for f in features[1:]:
+        z += table[f]
     z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return e, e.sum(axis=1)
+    return z
 
 
 def log_probability(w: Weights, v: Vocabulary, cls: np.ndarray, place: np.ndarray, count: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
@@ -112,76 +129,76 @@ def log_probability(w: Weights, v: Vocabulary, cls: np.ndarray, place: np.ndarra
     out = np.empty(len(cls))
     for at in range(0, len(cls), BATCH):
         s = slice(at, at + BATCH)
-        z = _logits(w.class_bias, w.class_rows, class_features(before[s], earlier[s]))
-        _, total = _soft(z)
-        out[s] = z[np.arange(len(z)), cls[s]] - np.log(total)
+        z = _logits(w.classes, w.classes[ROWS], class_features(before[s], earlier[s]))
+        own = z[np.arange(len(z)), cls[s]]
+        out[s] = own - np.log(np.exp(z, out=z).sum(axis=1))
         often = at + np.flatnonzero(place[s] >= 0)
         if len(often):
-            z = _logits(w.word_bias[cls[often]], w.word_rows, word_features(cls[often], before[often]))
-            _, total = _soft(z)
-            out[often] += z[np.arange(len(z)), place[often]] - np.log(total)
+            c = cls[often]
+            z = _logits(w.words, w.words[ROWS + c], word_features(c, before[often], earlier[often]))
+            own = z[np.arange(len(z)), place[often]]
+            out[often] += own - np.log(np.exp(z, out=z).sum(axis=1))
     rare = place < 0
     r = cls[rare] - CLASSES
     out[rare] += np.log((count[rare] + 0.5) / (v.rare_tokens[r] + 0.5 * (v.rare_types[r] + 1)))
     return out / np.log(10)
 
 
-class Trainer:
-    """Adaptive steps on copies of given weights; the squares that set the rates are kept by row."""
+class Sums:
+    """Gradients (observed less expected) at fixed weights, summed by row, and how many tokens used each row."""
 
     def __init__(self, w: Weights):
         self.w = w
-        self.squares = {k: np.full(len(x), 1e-4, np.float32) for k, x in (("class_rows", w.class_rows), ("word_rows", w.word_rows), ("word_bias", w.word_bias), ("class_bias", w.class_bias[None]))}
+        self.gradient = {name: np.zeros_like(getattr(w, name)) for name in w.PARTS}
+        self.used = {name: np.zeros(len(getattr(w, name))) for name in w.PARTS}
         self.tokens = 0
 
-    def _step(self, name: str, rows: np.ndarray, features: np.ndarray, g: np.ndarray) -> None:
-        flat = features.T.ravel()
-        used = np.bincount(flat, minlength=len(rows))
-        row = np.flatnonzero(used)
-        n = used[row]
-        compact = np.empty(len(rows), np.int64)
-        compact[row] = np.arange(len(row))
-        at = compact[flat]
-        # a column at a time: far faster than summing rows of sorted features
-        grad = np.stack([np.bincount(at, np.tile(column, features.shape[1]), len(row)) for column in g.T.astype(np.float64)], axis=1)
-        grad = (grad / np.sqrt(n)[:, None]).astype(np.float32)
-        squares = self.squares[name]
-        squares[row] += np.einsum("ij,ij->i", grad, grad)
-        rows[row] -= (RATE / np.sqrt(squares[row]))[:, None] * grad
-        self.w.used[name][row] += n
-
-    def learn(self, cls: np.ndarray, place: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> None:
+    def _scatter(self, name: str, feature: np.ndarray, g: np.ndarray) -> None:
+        order = np.argsort(feature, kind="stable")
+        f = feature[order]
+        first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+        self.gradient[name][f[first]] += np.add.reduceat(g[order], first, axis=0)
+        self.used[name][f[first]] += np.diff(np.append(first, len(f)))
+
+    def add(self, cls: np.ndarray, place: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> None:
         w = self.w
         for at in range(0, len(cls), BATCH):
             s = slice(at, at + BATCH)
-            own = cls[s]
-            f = class_features(before[s], earlier[s])
-            e, total = _soft(_logits(w.class_bias, w.class_rows, f))
-            e /= total[:, None]
-            e[np.arange(len(own)), own] -= 1
-            self._step("class_rows", w.class_rows, f, e)
+            features = class_features(before[s], earlier[s])
+            g = self._residual(_logits(w.classes, w.classes[ROWS], features), cls[s])
+            for f in features:
+                self._scatter("classes", f, g)
+            self.gradient["classes"][ROWS] += g.sum(axis=0)
+            self.used["classes"][ROWS] += len(g)
             often = at + np.flatnonzero(place[s] >= 0)
             if len(often):
                 c = cls[often]
-                f = word_features(c, before[often])
-                e, total = _soft(_logits(w.word_bias[c], w.word_rows, f))
-                e /= total[:, None]
-                e[np.arange(len(c)), place[often]] -= 1
-                self._step("word_rows", w.word_rows, f, e)
-            self.tokens += len(own)
-
-
-def rows_of(w: Weights, chunk: int = 512) -> Iterator[tuple[str, int, bytes, bytes]]:
-    """(part, chunk, weights, uses) of the rows that were used."""
-    for name in ("class_rows", "word_rows"):
-        x, used = getattr(w, name), w.used[name]
-        for at in range(0, ROWS, chunk):
-            yield name, at, x[at : at + chunk].astype("<f4").tobytes(), used[at : at + chunk].astype("<f8").tobytes()
-
-
-def averaged(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-    """Weighted means of the same chunk from several partitions, and the uses in all."""
-    used = [np.frombuffer(u, "<f8") for _, u in parts]
-    total = sum(used)
-    mean = sum(np.frombuffer(x, "<f4").reshape(len(u), -1) * u[:, None] for (x, _), u in zip(parts, used, strict=True)) / np.maximum(total, 1)[:, None]
-    return mean.astype("<f4").tobytes(), total.tobytes()
+                features = word_features(c, before[often], earlier[often])
+                g = self._residual(_logits(w.words, w.words[ROWS + c], features), place[often])
+                for f in features:
+                    self._scatter("words", f, g)
+                self._scatter("words", (ROWS + c).astype(np.uint16), g)
+            self.tokens += len(cls[s])
+
+    @staticmethod
+    def _residual(z: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        np.exp(z, out=z)
+        z /= -z.sum(axis=1, keepdims=True)
+        z[np.arange(len(z)), outcome] += 1
+        return z
+
+
+def rows_of(sums: Sums, chunk: int = 1024) -> Iterator[tuple[str, int, bytes, bytes]]:
+    """(table, chunk, means, uses): of the rows in each chunk the gradient for each use, in half precision, and the uses."""
+    for name, g in sums.gradient.items():
+        for at in range(0, len(g), chunk):
+            used = sums.used[name][at : at + chunk]
+            if used.any():
+                yield name, at, (g[at : at + chunk] / np.maximum(used, 1)[:, None]).astype("<f2").tobytes(), used.astype("<f4").tobytes()
+
+
+def joined(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Summed gradients and uses of the same chunk from several tasks."""
+    used = [np.frombuffer(u, "<f4").astype(np.float64) for _, u in parts]
+    total = sum(np.frombuffer(x, "<f2").reshape(len(u), -1) * u[:, None] for (x, _), u in zip(parts, used, strict=True))
+    return total, sum(used)
