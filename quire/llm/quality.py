@@ -131,7 +131,8 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CumulativeLink:
-    """Fits on at most `sample` labelled documents, the first by hash of doc_id.
+    """Fits on at most `sample` labelled documents, the first by hash of doc_id; where rows repeat a doc_id, on at most
+    2 * `sample` rows, the first by hash of their features.
 
     Features are made where the documents are; only the sample's features meet, in one task, and only
     weights and thresholds, of fixed size, reach the driver. Without labelled rows the model keeps every row.
@@ -152,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cumulativ
         return pd.DataFrame({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.astype(np.float64).tobytes()]})
 
     made = both.mapInPandas(make, "doc_id long, grade int, slots binary, vals binary").withColumn("all", F.lit(1))
-    made = made.limit(2 * sample)  # a repeated doc_id may bring more rows than labels
+    made = made.orderBy(F.xxhash64("doc_id", "slots", "vals"), "doc_id").limit(2 * sample)
     found = made.groupBy("all").applyInPandas(solve, "weights binary, thresholds binary").first()
     if found is None:
         return fit([], np.zeros(0, np.int64))
@@ -162,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cumulativ
 def rate(docs: DataFrame, model: CumulativeLink, tail: float = TAIL) -> DataFrame:
     """docs and, last, expected_grade, p_not_toxic, p_good and kept.
 
-    A null or empty text, or one without words, has score 0; equal texts rate alike; an empty table gives no rows.
+    A null or empty text, or one without words, has score 0; equal texts rate alike; texts of any length are taken whole; an
+    empty table gives no rows. Columns of docs that have one of these names give way to them; others stay as they are.
     """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -58,3 +59,40 @@ def test_odd_rows(spark):
     assert {r.doc_id: r.grade for r in Q.graded(labels).collect()} == {1: 1, 2: 0}
     assert Q.select_good(docs, labels).count() <= 4
     assert Q.rate(docs.limit(0), model).count() == 0
+
+
+def test_fit_against_numerical_gradients():
+    """The fit, step by step, with gradients taken as differences of the likelihood that its docstring names."""
+    rng = np.random.default_rng(2)
+    rows = [(np.sort(rng.choice(6, 3, replace=False)).astype(np.int32), rng.random(3).astype(np.float32)) for _ in range(12)]
+    grades = np.array([0, 1, 2, 2, 1, 0, 2, 1, 0, 2, 2, 1])
+    got = Q.fit(rows, grades, epochs=2, batch=4)
+    share = np.bincount(grades, minlength=Q.GRADES)
+    weight = (len(rows) / (Q.GRADES * share)) ** 0.5
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def loss(w, at, pick):
+        total = 0.0
+        for i in pick:
+            s = sum(w[k] * v for k, v in zip(*rows[i], strict=True))
+            cut = [0.0, *[sigmoid(t - s) for t in at], 1.0]
+            total -= weight[grades[i]] * math.log(cut[grades[i] + 1] - cut[grades[i]])
+        used = sorted({int(k) for i in pick for k in rows[i][0]})
+        return total / len(pick) + 1e-4 / 2 * sum(w[k] ** 2 for k in used), used
+
+    w, squares = np.zeros(6), np.full(6, 1e-3)
+    at, at_squares = np.linspace(-1, 1, Q.GRADES - 1), np.full(Q.GRADES - 1, 1e-2)
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        every = order.permutation(len(rows))
+        for k in range(0, len(every), 4):
+            pick = every[k : k + 4]
+            step = lambda x, j: np.where(np.arange(len(x)) == j, 1e-5, 0)
+            gw = [(loss(w + step(w, j), at, pick)[0] - loss(w - step(w, j), at, pick)[0]) / 2e-5 for j in range(6)]
+            ga = np.array([(loss(w, at + step(at, j), pick)[0] - loss(w, at - step(at, j), pick)[0]) / 2e-5 for j in range(len(at))])
+            for j in loss(w, at, pick)[1]:
+                squares[j] += gw[j] ** 2
+                w[j] -= 0.3 * gw[j] / squares[j] ** 0.5
+            at_squares += ga**2
+            at = np.sort(at - 0.3 * ga / at_squares**0.5)
+    assert np.allclose(got.weights[:6], w, atol=1e-4) and np.allclose(got.thresholds, at, atol=1e-4)
