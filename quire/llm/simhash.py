@@ -4,13 +4,14 @@ Fingerprints of distinct value are dealt into tiles of one population count and
 TILE rows. Two fingerprints within the radius differ in population count by the radius at
 most, so only tile pairs that close are compared, each by numpy exclusive-or and bit counts.
 A tile pair reports a spanning forest of the links it finds, never all pairs, and the forests
-meet in a distributed union-find. The comparison is exact at any size; its work grows with the
+meet in a distributed union-find. Tasks form a grid, and a tile is sent to one row and one column of it: what moves
+is a fingerprint for each side of the grid, not for each pair of tiles. The comparison is exact at any size; its work grows with the
 square of the number of distinct fingerprints, which is the price of the method.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -18,10 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_words, conf, narrow, ship, stage, table
+from .common import byte_words, narrow, ship, stage, table
 from .graph import components
 
 TILE = 16384
+#: Fingerprints on one side of a task of the grid.
+SIDE = 1 << 21
 
 
 def fingerprint(words: list[bytes], width: int = 4) -> int:
@@ -98,21 +101,26 @@ def links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     dealt = dealt.select("pc", F.expr("pmod(xxhash64(fp, 7), 2 * parts)").alias("part"), "fp")
     tiles = dealt.groupBy("pc", "part").agg(F.collect_list("fp").alias("fps"))
     tiles = stage(tiles.select("pc", "part", "fps"), "tiles")
-    name = F.struct("pc", "part")
-    left = tiles.select(name.alias("i"), F.col("fps").alias("a"), F.explode(F.expr(f"sequence(pc, least(64, pc + {radius}))")).alias("pc"))
-    right = tiles.select("pc", name.alias("j"), F.col("fps").alias("b"))
-    pairs = left.join(right, "pc").where("i <= j").select("i", "j", "a", F.when(F.col("i") != F.col("j"), F.col("b")).alias("b"))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                u, v = _forest(np.asarray(a, np.int64).view(np.uint64), None if b is None else np.asarray(b, np.int64).view(np.uint64), radius)
-                yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    pairs = pairs.repartition(count, "i", "j")
-    with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="16"):
-        return stage(pairs.select("a", "b").mapInPandas(compare, "u long, v long"), "near")
+    # tiles are dealt over the sides of a grid of tasks: each goes to one row and one column of it, and a pair of tiles meets once
+    size = tiles.agg(F.sum(F.size("fps"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    side = max(math.isqrt(2 * tasks), -(-size // SIDE))
+    own = tiles.withColumn("g", F.pmod(F.xxhash64("pc", "part"), F.lit(side)).cast("int"))
+    sent = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(side - 1)))).select(F.least("g", "k").alias("gi"), F.greatest("g", "k").alias("gj"), "g", "pc", "part", "fps")
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        rows = [(g, (pc, part), np.asarray(fps, np.int64).view(np.uint64)) for g, pc, part, fps in zip(cell["g"], cell["pc"], cell["part"], cell["fps"], strict=True)]
+        gi, gj = int(cell["gi"].iloc[0]), int(cell["gj"].iloc[0])
+        us, vs = [], []
+        for a in (r for r in rows if r[0] == gi):
+            for b in (r for r in rows if r[0] == gj):
+                if abs(a[1][0] - b[1][0]) <= radius and (gi != gj or a[1] <= b[1]):
+                    u, v = _forest(a[2], None if a[1] == b[1] else b[2], radius)
+                    us.append(u), vs.append(v)
+        none = np.zeros(0, np.uint64)
+        return pd.DataFrame({"u": np.concatenate([none, *us]).view(np.int64), "v": np.concatenate([none, *vs]).view(np.int64)})
+
+    return stage(sent.groupBy("gi", "gj").applyInPandas(compare, "u long, v long"), "near")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
