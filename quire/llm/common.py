@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,6 +57,12 @@ def drop(*staged: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nobody holds any more, before the next ones are written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def laid_out(df: DataFrame, column: str, label: str) -> Iterator[DataFrame]:
     """df as a table in the shared folder that is bucketed by a column, so that joins and groups on it don't move its
@@ -64,6 +71,7 @@ def laid_out(df: DataFrame, column: str, label: str) -> Iterator[DataFrame]:
     name = f"quire_{label}_{uuid.uuid4().hex}"
     path = f"{scratch_dir(spark)}/{name}"
     df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(name)
+    forget(spark)
     found = spark.table(name)
     found._quire_path = path
     try:

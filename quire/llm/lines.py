@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, laid_out, narrow, stage, table
+from .common import drop, forget, laid_out, narrow, stage, table
 from .graph import components
 
 SHINGLE = 5
@@ -117,6 +117,7 @@ def _members(signed: DataFrame) -> DataFrame:
         each = signed.select("id", F.explode(F.slice("bands", k * GROUPS + 1, GROUPS)).alias("bucket"))
         shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         parts.append(stage(each.join(shared, "bucket"), "shared"))
+        forget(signed.sparkSession)
     every = reduce(DataFrame.unionByName, parts)
     scores = every.groupBy("id").agg(F.sum("n").alias("score")).join(signed.select("id", "tags"), "id")
     found = stage(every.drop("n").join(scores, "id"), "members")

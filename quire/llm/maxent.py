@@ -157,7 +157,10 @@ class Sums:
         order = np.argsort(feature, kind="stable")
         f = feature[order]
         first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-        self.gradient[name][f[first]] += np.add.reduceat(g[order], first, axis=0)
+        # differences of running sums: far faster than a sum for each row
+        part = np.cumsum(g[order], axis=0, dtype=np.float64)[np.append(first[1:], len(f)) - 1]
+        part[1:] -= part[:-1].copy()
+        self.gradient[name][f[first]] += part
         self.used[name][f[first]] += np.diff(np.append(first, len(f)))
 
     def add(self, cls: np.ndarray, place: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> None:
@@ -177,7 +180,8 @@ class Sums:
                 g = self._residual(_logits(w.words, w.words[ROWS + c], features), place[often])
                 for f in features:
                     self._scatter("words", f, g)
-                self._scatter("words", (ROWS + c).astype(np.uint16), g)
+                self.gradient["words"][ROWS:] += (c == np.arange(CLASSES)[:, None]).astype(np.float32) @ g
+                self.used["words"][ROWS:] += np.bincount(c, minlength=CLASSES)
             self.tokens += len(cls[s])
 
     @staticmethod
