@@ -36,7 +36,7 @@ def held_out(doc_id: int, known: bool) -> bool:
 
 
 def _to_blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """Documents in blocks of about `most` bytes, each of documents of one round."""
+    """Documents in blocks of about `most` bytes, each of documents of one round: distinct words by number, and the numbers of all tokens."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 33
@@ -48,7 +48,14 @@ def _to_blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFr
         rows, held[k], size, sizes[k] = held[k], [], sizes[k], 0
         number += 1
         ids, known, texts = zip(*rows, strict=True)
-        return pd.DataFrame({"block": [number], "round": [k], "ids": [np.array(ids, np.int64).tobytes()], "known": [np.array(known, np.uint8).tobytes()], "lens": [np.array([len(t) for t in texts], np.int64).tobytes()], "data": [_press(b"".join(texts))], "raw": [size]})
+        words: defaultdict[bytes, int] = defaultdict(count().__next__)
+        end = np.full(1, words[M.END], np.uint32)
+        tokens, lens = [], []
+        for text in texts:
+            own = text.lower().split()
+            tokens += [np.fromiter(map(words.__getitem__, own), np.uint32, len(own)), end]
+            lens.append(len(own) + 1)
+        return pd.DataFrame({"block": [number], "round": [k], "ids": [np.array(ids, np.int64).tobytes()], "known": [np.array(known, np.uint8).tobytes()], "lens": [np.array(lens, np.int64).tobytes()], "words": [_press(b" ".join(words))], "tokens": [_press(np.concatenate(tokens).tobytes())], "raw": [size]})
 
     for batch in batches:
         for i, ok, t in zip(batch["id"], batch["known"], batch["text"], strict=True):
@@ -68,19 +75,10 @@ class Words:
     def __init__(self, row, buckets: int):
         ids = np.frombuffer(row.ids, np.int64)
         known = np.frombuffer(row.known, np.uint8).astype(bool)
-        starts = np.concatenate([[0], np.cumsum(np.frombuffer(row.lens, np.int64))])
-        data = _unpress(row.data)
         self.ids, self.known = ids, known
         self.held = np.array([held_out(i, k) for i, k in zip(ids.tolist(), known, strict=True)], bool)
-        number: defaultdict[bytes, int] = defaultdict(count().__next__)
-        end = np.full(1, number[M.END])
-        lists = []
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            words = data[a:b].lower().split()
-            lists.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-        tokens = np.concatenate([x for own in lists for x in (own, end)]) if lists else end[:0]
-        self.begin = np.cumsum([0, *(len(x) + 1 for x in lists)])
-        words = list(number)
+        self.begin = np.concatenate([[0], np.cumsum(np.frombuffer(row.lens, np.int64))])
+        words, tokens = _unpress(row.words).split(b" "), np.frombuffer(_unpress(row.tokens), np.uint32)
         self.hash = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
         bucket = (self.hash % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -89,7 +87,7 @@ class Words:
         self.words = [words[k] for k in order.tolist()]
         self.hash, self.bucket = self.hash[order], bucket[order]
         self.tokens = back[tokens]
-        self.owner = np.repeat(np.arange(len(lists)), np.diff(self.begin))
+        self.owner = np.repeat(np.arange(len(ids)), np.diff(self.begin))
         self.first = np.zeros(len(self.tokens), bool)
         self.first[self.begin[:-1]] = True
 
@@ -233,7 +231,7 @@ def scored(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> DataFra
     spark = docs.sparkSession
     ship(spark)
     given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("id"), F.col("doc_id").isNotNull().alias("known"), "text")
-    blocks = stage(given.mapInPandas(lambda b: _to_blocks(b, block), "block long, round int, ids binary, known binary, lens binary, data binary, raw long"), "blocks")
+    blocks = stage(given.mapInPandas(lambda b: _to_blocks(b, block), "block long, round int, ids binary, known binary, lens binary, words binary, tokens binary, raw long"), "blocks")
     raw = blocks.agg(F.sum("raw")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-raw // bucket))
     counted = _counted(blocks, buckets)

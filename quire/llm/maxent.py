@@ -23,7 +23,7 @@ CLASSES, PER_CLASS, RARE = 64, 64, 16
 ALL = CLASSES + RARE
 #: Hash rows of the class features and of the word features.
 ROWS = 1 << 14
-BATCH = 8192
+BATCH = 1 << 15
 #: Shares of the documents, in sixteenths, by round: steps are cheap while the weights are far off.
 ROUNDS = (1, 1, 2, 4, 8)
 #: Of a step: its length, what is added to the curvature, and the most that a weight moves.
@@ -153,15 +153,19 @@ class Sums:
         self.used = {name: np.zeros(len(getattr(w, name))) for name in w.PARTS}
         self.tokens = 0
 
-    def _scatter(self, name: str, feature: np.ndarray, g: np.ndarray) -> None:
-        order = np.argsort(feature, kind="stable")
-        f = feature[order]
-        first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-        # differences of running sums: far faster than a sum for each row
-        part = np.cumsum(g[order], axis=0, dtype=np.float64)[np.append(first[1:], len(f)) - 1]
-        part[1:] -= part[:-1].copy()
-        self.gradient[name][f[first]] += part
-        self.used[name][f[first]] += np.diff(np.append(first, len(f)))
+    def _scatter(self, name: str, features: list[np.ndarray], g: np.ndarray) -> None:
+        """Adds g to the rows of each of the features, a column at a time, which is far faster than row by row."""
+        flat = np.concatenate(features)
+        used = np.bincount(flat, minlength=len(self.used[name]))
+        rows = np.flatnonzero(used)
+        place = np.empty(len(used), np.int64)
+        place[rows] = np.arange(len(rows))
+        at = place[flat]
+        out = np.empty((g.shape[1], len(rows)))
+        for k, column in enumerate(np.ascontiguousarray(g.T, np.float64)):
+            out[k] = np.bincount(at, np.tile(column, len(features)), len(rows))
+        self.gradient[name][rows] += out.T
+        self.used[name][rows] += used[rows]
 
     def add(self, cls: np.ndarray, place: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> None:
         w = self.w
@@ -169,8 +173,7 @@ class Sums:
             s = slice(at, at + BATCH)
             features = class_features(before[s], earlier[s])
             g = self._residual(_logits(w.classes, w.classes[ROWS], features), cls[s])
-            for f in features:
-                self._scatter("classes", f, g)
+            self._scatter("classes", features, g)
             self.gradient["classes"][ROWS] += g.sum(axis=0)
             self.used["classes"][ROWS] += len(g)
             often = at + np.flatnonzero(place[s] >= 0)
@@ -178,10 +181,7 @@ class Sums:
                 c = cls[often]
                 features = word_features(c, before[often], earlier[often])
                 g = self._residual(_logits(w.words, w.words[ROWS + c], features), place[often])
-                for f in features:
-                    self._scatter("words", f, g)
-                self.gradient["words"][ROWS:] += (c == np.arange(CLASSES)[:, None]).astype(np.float32) @ g
-                self.used["words"][ROWS:] += np.bincount(c, minlength=CLASSES)
+                self._scatter("words", [*features, ROWS + c], g)
             self.tokens += len(cls[s])
 
     @staticmethod
