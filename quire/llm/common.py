@@ -81,20 +81,6 @@ def laid_out(df: DataFrame, column: str, label: str) -> Iterator[DataFrame]:
         drop(found)
 
 
-@contextmanager
-def conf(spark: SparkSession, **settings: str):
-    """Session settings for an action that runs inside the block; dots are written as __."""
-    names = {k.replace("__", "."): v for k, v in settings.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

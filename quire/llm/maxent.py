@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 
@@ -41,6 +43,20 @@ def rare_class(word: bytes) -> int:
     return CLASSES + zlib.crc32(word[-2:]) % RARE
 
 
+@cache
+def _by_ending() -> np.ndarray:
+    """rare_class of words by their last two bytes; a word of one byte counts from 65,536 on."""
+    return np.array([rare_class(bytes([k >> 8, k & 255])) for k in range(65536)] + [rare_class(bytes([k])) for k in range(256)])
+
+
+def rare_classes(words: list[bytes]) -> np.ndarray:
+    """rare_class of each of many words, none empty."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    last = np.cumsum(sizes) - 1
+    return _by_ending()[np.where(sizes > 1, data[last - (sizes > 1)] << 8 | data[last], 65536 + data[last])]
+
+
 class Vocabulary:
     """words: the frequent ones with END among them, most frequent first; counts of them, and of the rare classes in all.
 
@@ -58,10 +74,8 @@ class Vocabulary:
 
     def slots(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Class of each word, and its place in a frequent class or -1."""
-        place = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
-        cls = np.where(place >= 0, place % CLASSES, 0)
-        rare = np.flatnonzero(place < 0)
-        cls[rare] = [rare_class(words[k]) for k in rare]
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        cls = np.where(place >= 0, place % CLASSES, rare_classes(words)) if words else place
         return cls, np.where(place >= 0, place // CLASSES, -1)
 
 

@@ -39,6 +39,11 @@ def test_no_rows_or_no_training(spark):
     assert L.scored(df.limit(0)).count() == 0
 
 
+def test_classes_of_many_words():
+    words = [b"a", b"ab", b"cab", b"\n", b"\xff\xfe", bytes([7]), b"long word"]
+    assert M.rare_classes(words).tolist() == [M.rare_class(w) for w in words]
+
+
 def test_probabilities_sum_to_one():
     words = [b"w%d" % k for k in range(M.CLASSES * M.PER_CLASS - 1)] + [M.END]
     rng = np.random.default_rng(0)
