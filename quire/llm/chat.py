@@ -28,6 +28,7 @@ ROLES = ("", "system", "user", "assistant")
 RELABEL, MERGE, MERGE_RELABEL, INSERT = 4.0, 1.0, 5.0, 2.0
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
 PART = 20_000
+PART_CHARS = 1 << 24
 
 
 def _inserted(state: int, role: int) -> int | None:
@@ -157,14 +158,16 @@ def repaired(turns: DataFrame, part: int = PART) -> DataFrame:
     a conv_id joined in the order of position.
 
     Turns go by turn, then role, then text, nulls first; rows that are equal all count. Rows of null conv_id form a
-    conversation of their own; a null or strange role may become any; a null text is empty. An empty table gives no
-    rows; other columns are not looked at.
+    conversation of their own; a null or strange role may become any; a null text is empty. Texts of any
+    length stay whole; parts have about `part` rows and about PART_CHARS characters. An empty table gives no rows; other
+    columns are not looked at.
     """
     spark = turns.sparkSession
     ship(spark)
     given = turns.select("conv_id", "turn", "role", "text", F.concat(F.when(F.col("conv_id").isNull(), "").otherwise("="), F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).alias("conv"))
     keys = ["conv", "turn", "role", "text", "_tie"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-given.count() // part))
+    size = given.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["rows"] // part), -(-size["chars"] // PART_CHARS))
     dealt = given.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_tie")
     # written, so that parts and positions stay what they are
     rows = stage(dealt.withColumn("part", F.spark_partition_id()).withColumn("position", F.monotonically_increasing_id()), "turns")

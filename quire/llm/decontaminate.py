@@ -244,7 +244,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int
     """doc_id, n_words, spans (array of first word and number of words, merged), items (item_ids), a row for each of docs.
 
     Null texts have no words; items of null text or null item_id ask for nothing; rows of equal text give
-    equal results. With no phrase at all, or no rows, the spans or the result are empty.
+    equal results, rows that repeat a doc_id each their own. A text of more than `shard` words is a shard of its own. Words are
+    compared by their bytes; other columns are not looked at. With no phrase at all, or no rows, the spans or the result are empty.
     """
     return _with_spans(narrow(docs, "doc_id", "text"), benchmark, window, shard, block).select("doc_id", "_found.n_words", "_found.spans", "_found.items")
 

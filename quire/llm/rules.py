@@ -91,7 +91,8 @@ measure.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd
 def judged(docs: DataFrame, most_covered: float = MOST_COVERED, longest: int = LONGEST) -> DataFrame:
     """doc_id, the columns of COLUMNS, base_failed and kept, for every row of docs.
 
-    A null or empty text has no words and fails for too few. Rows of equal text are judged alike; an empty
+    A null or empty text has no words and fails for too few. Rows of equal text are judged alike, rows that
+    repeat a doc_id on their own. A text of more than BATCH_WORDS words is measured whole, in a call of its own. An empty
     table gives no rows; columns besides doc_id and text are not looked at.
     """
     ship(docs.sparkSession)

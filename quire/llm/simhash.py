@@ -128,6 +128,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, tile: int = TILE) -> DataF
 
     Nulls: a null text has no words, so fingerprint zero, linked like any other; a null doc_id stays null
     and never names a component unless all its members are null. Rows of equal text share a fingerprint.
+    Rows that repeat a doc_id are rows of their own; of very long texts every shingle counts, in slices.
     An empty table gives no rows. Columns besides doc_id and text are not looked at.
     """
     spark = docs.sparkSession

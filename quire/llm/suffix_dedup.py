@@ -401,7 +401,8 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, bucket: int = BUCKET, ho
 
     A null text is empty. A null doc_id counts as larger than every other, so that such rows lose what others have
     and take nothing away; rows that share a doc_id take nothing from one another. Bytes are judged on the input
-    alone. An empty table gives no rows; columns besides doc_id and text are not looked at.
+    alone. A text of more than `block` bytes makes a block of its own. An empty table gives no rows; columns besides doc_id (taken as
+    a long) and text are not looked at.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -119,7 +119,7 @@ def pre_tokens(text: str | None) -> list[str]:
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_pre_tokens, n_distinct, n_tokens for every row of docs.
+    """doc_id, n_pre_tokens, n_distinct, n_tokens for every row of docs. Pre-tokens end at every Unicode blank, as str.split() has it.
 
     Null, empty and blank texts have none; equal texts have equal counts; an empty table gives no rows; columns
     besides doc_id and text are not looked at. A word of any length is one pre-token, counted whole.
