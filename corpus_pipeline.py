@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Documents of null or empty text have the score 0 of the classifier, which decides on them as on all others; those that stay pass
+the other stages and end as one token. Rows of null doc_id are never near copies of others. Rows that repeat a doc_id count as
+copies of one document for lines and near copies, and are packed each on its own. Texts of any length are processed whole. Columns
+besides doc_id, text and n_chars are handed on as they are, whatever their names. An empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
