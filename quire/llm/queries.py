@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import search
+from .bpe import op11_byte_level_bpe
 from .chat import op2_chat_formatting
 from .decontaminate import op10_benchmark_decontamination
 from .lines import op1_line_dedup
@@ -13,9 +15,11 @@ from .lm import op4_lm_scoring
 from .packing import op8_packing
 from .quality import op3_quality_classifier
 from .rules import op5_quality_rules
+from .search import op12_ranked_search
 from .simhash import op6_simhash_near_dedup
 from .suffix_dedup import op9_suffix_array_dedup
 from .token_counts import op7_token_counts
+from .whitening import op13_embedding_whitening
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_line_dedup,
@@ -28,6 +32,9 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op8_packing,
     op9_suffix_array_dedup,
     op10_benchmark_decontamination,
+    op11_byte_level_bpe,
+    op12_ranked_search,
+    op13_embedding_whitening,
 ]
 
 
@@ -36,4 +43,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_ranked_search": search.SQL}
