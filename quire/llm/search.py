@@ -3,7 +3,7 @@
 The index has for each document its distinct terms with their counts, and a sketch of fixed size: terms are hashed to `SLOTS`
 places, and each place holds the greatest impact of its terms, rounded up to one byte. A query's bound on a document is the sum of
 its terms' weights times what stands at their places: never below the score. A block of queries is looked up for many documents
-at once, as a product of matrices.
+at once.
 
 The twenty documents of the highest bounds are rescored first; the twentieth of their scores is a threshold that no result lies
 under. Then every task walks the documents whose bounds reach the threshold, from the highest bound down, rescores them exactly and
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import narrow, ship, stage, table
 
-SLOTS = 1024
+SLOTS = 4096
 #: Impacts are below a million; a byte of the sketch counts steps of this size.
 STEP = 3922
 TOP = 20
@@ -36,7 +36,7 @@ BLOCK_ITEMS = 2048
 #: What a term is made of. Bytes from 0x80 on belong to characters beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-INDEX = "n long, sketch binary, terms array<binary>, counts array<int>"
+INDEX = "doc_id long, n long, sketch binary, terms array<binary>, counts array<int>"
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -48,6 +48,14 @@ def slot(term: bytes) -> int:
     return zlib.crc32(term) % SLOTS
 
 
+class _Slots(dict):
+    """slot() of the terms met so far."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = found = slot(term)
+        return found
+
+
 def burden(n: np.ndarray, docs: int, total: int) -> np.ndarray:
     """m of documents with n terms each, among `docs` documents that have `total` terms."""
     return 75 + 25 * n * docs // total
@@ -70,29 +78,33 @@ def build_index(docs: DataFrame, size: tuple[int, int] | None = None) -> DataFra
     ship(spark)
     many, total = size or statistics(docs)
 
-    def rows(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        places: dict[bytes, int] = {}
-        for batch in texts:
-            out = []
-            for text in batch:
+    def rows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        places = _Slots()
+        for batch in _batches(batches):
+            sizes, sketches, flat, counts = [], [], [], []
+            keep = []
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 counted = Counter(terms(text))
+                if not counted:
+                    continue
                 if len(places) > 500_000:
                     places.clear()
-                for term in counted.keys() - places.keys():
-                    places[term] = slot(term)
+                keep.append(k), flat.extend(counted)
                 tf = np.fromiter(counted.values(), np.int64, len(counted))
-                n = int(tf.sum())
-                impact = 1_000_000_000 * tf // (1000 * tf + 12 * int(burden(n, many, total or 1)))
+                sizes.append(int(tf.sum())), counts.append(tf.astype(np.int32))
+                impact = 1_000_000_000 * tf // (1000 * tf + 12 * int(burden(sizes[-1], many, total)))
                 sketch = np.zeros(SLOTS, np.uint8)
                 np.maximum.at(sketch, np.fromiter(map(places.__getitem__, counted), np.int64, len(counted)), (-(-impact // STEP)).astype(np.uint8))
-                out.append((n, sketch.tobytes(), list(counted), tf.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["n", "sketch", "terms", "counts"])
+                sketches.append(sketch.tobytes())
+            if keep:
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, v) for v in (pa.array(flat, pa.binary()), pa.array(np.concatenate(counts)))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(keep)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), *lists], ["doc_id", "n", "sketch", "terms", "counts"])
 
-    rows.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    # told apart from what may be evaluated twice, or the filter would make every row again
-    made = F.pandas_udf(rows, INDEX).asNondeterministic()("text")
-    given = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), made.alias("i"))
-    return stage(given.where("i.n > 0").select(F.monotonically_increasing_id().alias("row"), "doc_id", "i.*"), "index")
+    given = narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stage(given.mapInArrow(rows, INDEX).withColumn("row", F.monotonically_increasing_id()), "index")
 
 
 def _asked(items: DataFrame, index: DataFrame) -> DataFrame:
@@ -137,21 +149,23 @@ class Block:
         self.weights: list[list[tuple[bytes, int]]] = [[] for _ in self.items]
         for r in rows:
             self.weights[place[r["item"]]].append((bytes(r["term"]), r["times"] * math.floor(1000 * math.log((2 * docs + 2) / (2 * r["df"] + 1)))))
-        self.used = sorted({slot(t) for w in self.weights for t, _ in w})
-        at = {s: k for k, s in enumerate(self.used)}
-        # whole numbers below 2**53, for which a product of doubles is exact
-        self.matrix = np.zeros((len(self.used), len(self.items)))
-        for k, own in enumerate(self.weights):
-            for term, weight in own:
-                self.matrix[at[slot(term)], k] += weight * STEP
+        self.slots = [np.array([slot(t) for t, _ in own], np.int64) for own in self.weights]
+        # whole numbers below 2**53, for which sums of doubles are exact
+        self.steps = [np.array([w * STEP for _, w in own], np.float64) for own in self.weights]
 
     def bounds(self, sketches: list[bytes]) -> np.ndarray:
         """A row for each sketch, a column for each item."""
-        dense = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SLOTS)
-        return dense[:, self.used].astype(np.float64) @ self.matrix
+        by_slot = np.ascontiguousarray(np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SLOTS).T)
+        return np.stack([w @ by_slot[s] for w, s in zip(self.steps, self.slots, strict=True)], axis=1)
+
+    def impacts(self, found: list[bytes], counts: np.ndarray, n: int) -> dict[bytes, int]:
+        """The impact of each term of a document of n terms."""
+        tf = counts.astype(np.int64)
+        return dict(zip(found, (1_000_000_000 * tf // (1000 * tf + 12 * int(burden(n, self.docs, self.total)))).tolist(), strict=True))
 
-    def score(self, item: int, counted: dict[bytes, int], m: int) -> int:
-        return sum(w * (1_000_000_000 * tf // (1000 * tf + 12 * m)) for term, w in self.weights[item] if (tf := counted.get(term)))
+    def score(self, item: int, impacts: dict[bytes, int]) -> int:
+        get = impacts.get
+        return sum([w * get(t, 0) for t, w in self.weights[item]])
 
 
 def _batches(batches: Iterator, size: int = ROWS) -> Iterator:
@@ -196,9 +210,9 @@ def _seeds(index: DataFrame, block, chosen: DataFrame, top: int) -> dict[int, in
         for batch in _batches(batches):
             items, scores = [], []
             for r in batch.to_pylist():
-                counted, m = dict(zip(r["terms"], r["counts"], strict=True)), int(burden(r["n"], own.docs, own.total))
+                impacts = own.impacts(r["terms"], np.array(r["counts"]), r["n"])
                 for item in r["items"]:
-                    items.append(item), scores.append(own.score(place[item], counted, m))
+                    items.append(item), scores.append(own.score(place[item], impacts))
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(scores, pa.int64())], ["item", "score"])
 
     # at most `top` rows for each of the BLOCK_ITEMS items of a block
@@ -223,15 +237,15 @@ def _rescored(index: DataFrame, block, floor: dict[int, int], top: int) -> DataF
             reach = bounds >= least
             docs, n = batch.column("doc_id").to_pylist(), batch.column("n").to_pylist()
             columns = batch.column("terms"), batch.column("counts")
-            known: dict[int, tuple[dict[bytes, int], int]] = {}
+            known: dict[int, dict[bytes, int]] = {}
             for item in np.flatnonzero(reach.any(axis=0)).tolist():
                 heap, rows = heaps[item], np.flatnonzero(reach[:, item])
                 for row in rows[np.argsort(-bounds[rows, item], kind="stable")].tolist():
                     if bounds[row, item] < least[item]:
                         break
                     if row not in known:
-                        known[row] = dict(zip(columns[0][row].as_py(), columns[1][row].as_py(), strict=True)), int(burden(n[row], own.docs, own.total))
-                    score = own.score(item, *known[row])
+                        known[row] = own.impacts(columns[0][row].as_py(), columns[1][row].values.to_numpy(), n[row])
+                    score = own.score(item, known[row])
                     if score < least[item]:
                         continue
                     doc = docs[row]
