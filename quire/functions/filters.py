@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.kernels import codecs
-from quire.kernels.syntax import parse
+from quire.kernels.syntax import Name, parse
 
 DECODED = "struct<data: binary, undecoded: binary, image: string, recovered: boolean, cause: string, filter: string>"
 STEP = "struct<data: binary, problem: string>"
@@ -87,7 +87,7 @@ def _apply(name: Column, data: Column, parms: Column, used: set[str]) -> Pair:
     plain = {"ASCIIHexDecode": ascii_hex, "ASCII85Decode": ascii85, "RunLengthDecode": run_length}
     made = {n: f(of(n)) for n, f in plain.items() if n in used}
     if "Crypt" in used:
-        same = F.coalesce(F.nullif(F.regexp_extract(parms, r"/Name\s*/([^\s/<>\[\]]+)", 1), F.lit("")), F.lit("Identity")) == "Identity"
+        same = F.coalesce(F.nullif(F.regexp_extract(parms, r"/Name\s*+/([^\s/<>\[\]]++)", 1), F.lit("")), F.lit("Identity")) == "Identity"
         made["Crypt"] = F.when(same, data).otherwise(F.lit(b"")), F.when(~same, "crypt: a filter other than Identity")
     if "FlateDecode" in used:
         made["FlateDecode"] = _small(codecs.flate, of("FlateDecode"))
@@ -110,34 +110,90 @@ SHORT = {"AHx": "ASCIIHexDecode", "A85": "ASCII85Decode", "LZW": "LZWDecode", "F
 IMAGES = ("DCTDecode", "JPXDecode", "JBIG2Decode")
 
 
+NAME = r"/[^\s/<>\[\]()]++"
+
+
 def filter_names(spelled: Column) -> Column:
     """The long names in the value of /Filter, a name or an array of names; null if it is anything else."""
     long = F.create_map(*[F.lit(x) for pair in SHORT.items() for x in pair])
-    each = F.transform(F.regexp_extract_all(spelled, F.lit(r"/([^\s/<>\[\]()]+)"), F.lit(1)), lambda n: F.coalesce(long[n], n))
-    good = spelled.rlike(r"^(/[^\s/<>\[\]()]+|\[\s*(/[^\s/<>\[\]()]+\s*)*\])$")
+    each = F.transform(F.regexp_extract_all(spelled, F.lit(rf"({NAME})"), F.lit(1)), lambda n: F.coalesce(long[F.substring(n, F.lit(2), F.length(n))], F.substring(n, F.lit(2), F.length(n))))
+    # what is left without the names tells whether there was anything else; no pattern repeats a group
+    good = spelled.rlike(f"^{NAME}$") | F.regexp_replace(spelled, NAME, "").rlike(r"^\[\s*+\]$")
     return F.when(spelled.isNull() | (spelled == "null"), F.array().cast("array<string>")).when(good, each)
 
 
+def without_strings(spelled: Column) -> Column:
+    """A spelled value with nothing in its literal strings, in which every bracket is escaped."""
+    return F.regexp_replace(F.regexp_replace(spelled, r"(?s)\\.", " "), r"\([^()]*+\)", "()")
+
+
+def _flat(spelled: str | None) -> list[str] | None:
+    """The dictionaries in a value with nothing but plain entries, spelled; None if it isn't one or an array of them."""
+    from quire.kernels.syntax import format_value
+
+    if spelled is None:
+        return None
+    try:
+        value, _ = parse(spelled.encode("latin-1", "replace"))
+    except ValueError:
+        return None
+    rows = value if isinstance(value, list) else [value]
+    if not all(r is None or isinstance(r, dict) for r in rows):
+        return None
+    plain = [{k: v for k, v in (r or {}).items() if v is None or isinstance(v, (bool, int, float, str))} for r in rows]
+    return [format_value(r).decode("latin-1") for r in plain]
+
+
 def filter_parms(spelled: Column) -> Column:
-    """The dictionaries in the value of /DecodeParms, spelled; a lone one goes with the first filter. Null if it is anything else."""
-    each = F.regexp_extract_all(spelled, F.lit(r"<<.*?>>|null"), F.lit(0))
-    return F.when(spelled.isNull(), F.array().cast("array<string>")).when(spelled.rlike(r"(?s)^(null|<<.*>>|\[\s*((<<.*?>>|null)\s*)*\])$"), each)
+    """The dictionaries in the value of /DecodeParms, spelled, of the nested ones only the plain entries; a lone one goes with the
+    first filter. Null if it is anything else."""
+    one = r"<<[^<>()\[\]]*+>>|null"
+    flat = spelled.rlike(f"^(?:{one})$") | F.regexp_replace(spelled, one, "").rlike(r"^\[\s*+\]$")
+    nested = F.udf(_flat, "array<string>", useArrow=True)(F.when(~flat, spelled))
+    return F.when(spelled.isNull(), F.array().cast("array<string>")).when(flat, F.regexp_extract_all(spelled, F.lit(f"({one})"), F.lit(1))).otherwise(nested)
+
+
+#: Filters of a chain that stand in the plan; what comes behind them goes through the kernel, a row at a time. Longer chains than LONGEST are refused.
+UNROLLED, LONGEST = 4, 1024
+
+
+def _rest(data: bytes | None, names: list[str], parms: list[str]) -> dict | None:
+    """The filters beyond those of the plan."""
+    if data is None:
+        return None
+    entries = {"Filter": [Name(n) for n in names], "DecodeParms": [parse(p.encode("latin-1"))[0] if p else None for p in parms]}
+    made = codecs.decode(entries, bytes(data))
+    return {"data": made["data"] or b"", "problem": made["cause"], "image": made["image"], "filter": made["filter"]}
+
+
+def _once(df: DataFrame, *columns: str) -> DataFrame:
+    """df with these columns made before anything that uses them. Catalyst puts a column's expression in place of each use of it, which
+    multiplies from step to step of a chain; it does not do so through a generator."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.inline(F.array(F.struct(*columns))))
 
 
 def _steps(df: DataFrame, raw: str, names: str, parms: str, used: list[set[str]]) -> DataFrame:
     """df with column decoded (DECODED), one filter of every chain after the other."""
     blank = F.lit(None).cast("string")
-    wrong = F.when(F.col(names).isNull(), "filter: neither a name nor a list of names").when(F.col(parms).isNull(), "filter: parameters of the wrong kind")
+    wrong = F.when(F.col(names).isNull(), "filter: neither a name nor a list of names").when(F.size(names) > LONGEST, "filter: too many in a chain").when(F.col(parms).isNull(), "filter: parameters of the wrong kind")
     df = df.withColumns({"_now": F.col(raw), "_image": blank, "_at": blank, "_problem": wrong})
-    for k, some in enumerate(used):
+    for k, some in enumerate(used[:UNROLLED]):
         name = F.get(names, F.lit(k))
         live = name.isNotNull() & F.col("_problem").isNull() & F.col("_image").isNull()
         df = df.withColumn("_name", F.when(live, name)).withColumn("_parm", F.coalesce(F.get(parms, F.lit(k)), F.lit("")))
-        df = df.withColumns({"_image": F.coalesce("_image", F.when(F.col("_name").isin(*IMAGES), F.col("_name"))), "_name": F.when(~F.col("_name").isin(*IMAGES), F.col("_name"))})
+        df = _once(df.withColumns({"_image": F.coalesce("_image", F.when(F.col("_name").isin(*IMAGES), F.col("_name"))), "_name": F.when(~F.col("_name").isin(*IMAGES), F.col("_name"))}), "_name", "_parm", "_image")
         out, problem = _apply(F.col("_name"), F.col("_now"), F.col("_parm"), some)
         go = F.col("_name").isNotNull()
         df = df.withColumn("_made", F.when(go, F.struct(out.alias("data"), problem.alias("problem"))))
-        df = df.withColumns({"_now": F.when(go, F.col("_made.data")).otherwise(F.col("_now")), "_problem": F.coalesce("_problem", "_made.problem"), "_at": F.when(F.col("_made.problem").isNotNull(), F.col("_name")).otherwise(F.col("_at"))})
+        df = _once(df, "_made").withColumns({"_now": F.when(go, F.col("_made.data")).otherwise(F.col("_now")), "_problem": F.coalesce("_problem", "_made.problem"), "_at": F.when(F.col("_made.problem").isNotNull(), F.col("_name")).otherwise(F.col("_at"))})
+        df = _once(df, "_now", "_problem", "_at")
+    if len(used) > UNROLLED:
+        behind = lambda c: F.slice(c, UNROLLED + 1, LONGEST)
+        more = (F.size(names) > UNROLLED) & F.col("_problem").isNull() & F.col("_image").isNull()
+        made = F.udf(_rest, "struct<data: binary, problem: string, image: string, filter: string>", useArrow=True)(F.when(more, F.col("_now")), behind(names), behind(parms))
+        df = df.withColumn("_made", F.when(more, made))
+        df = df.withColumns({"_now": F.when(more, F.col("_made.data")).otherwise(F.col("_now")), "_problem": F.coalesce("_problem", "_made.problem"), "_image": F.coalesce("_image", "_made.image"), "_at": F.coalesce("_made.filter", "_at")})
     bad = F.col("_problem").isNotNull()
     some = F.octet_length("_now") > 0
     untouched = bad & (wrong.isNotNull() | ~some)
@@ -153,7 +209,7 @@ def decode_streams(streams: DataFrame) -> DataFrame:
     their codecs are in the plan.
     """
     plan = streams.withColumns({"_names": filter_names(F.col("entries")["Filter"]), "_parms": filter_parms(F.col("entries")["DecodeParms"])})
-    each = plan.select(F.posexplode("_names").alias("k", "name"), F.coalesce(F.array_join("_parms", ""), F.lit("")).contains("/Predictor").alias("p"))
+    each = plan.where(F.size("_names") <= LONGEST).select(F.posexplode("_names").alias("k", "name"), F.coalesce(F.array_join("_parms", ""), F.lit("")).contains("/Predictor").alias("p"))
     known = each.where(F.col("name").isin(*KNOWN)).groupBy("k", "name").agg(F.max("p").alias("p"))
     rows = known.collect() + each.agg(F.max("k").alias("k")).withColumns({"name": F.lit(None), "p": F.lit(False)}).collect()
     used: list[set[str]] = [set() for _ in range(1 + max((r["k"] for r in rows if r["k"] is not None), default=-1))]

@@ -92,6 +92,18 @@ def _stream(data: bytes, at: int) -> tuple[list[dict], dict]:
     return rows, value.entries
 
 
+def _beside(data: bytes, at: object, place: int, blank: dict) -> list[dict]:
+    """The entries of the stream that a table of a hybrid file names. Its own /Prev is not followed, as that of the table is;
+    one that can't be read is as good as none."""
+    try:
+        if not isinstance(at, int) or not 0 <= at < len(data):
+            return []
+        rows, _ = _stream(data, skip(data, at))
+    except (PdfError, ValueError, IndexError, TypeError):
+        return []
+    return [blank | r | {"seq": 2 * place + 1} for r in rows]
+
+
 def section_rows(data: bytes) -> list[dict]:
     """Entries and trailers of every section of the /Prev chain, newest first: seq tells the section.
 
@@ -117,11 +129,12 @@ def section_rows(data: bytes) -> list[dict]:
             at = skip(data, at)
             seen.add(at)
             rows, trailer = (_table if data.startswith(b"xref", at) else _stream)(data, at)
-            out += [blank | r | {"seq": len(seen)} for r in rows]
-            out.append(blank | {"kind": "t", "seq": len(seen), "trailer": {str(k): text_of(v) for k, v in trailer.items()}})
-            todo = [trailer[k] for k in ("XRefStm", "Prev") if k in trailer]
-            if "XRefStm" in trailer and "Prev" in trailer:
-                todo = [trailer["XRefStm"], trailer["Prev"]]
+            # a section's place in the chain, twice: entries of the stream beside a table come after the table's own
+            out += [blank | r | {"seq": 2 * len(seen)} for r in rows]
+            out.append(blank | {"kind": "t", "seq": 2 * len(seen), "trailer": {str(k): text_of(v) for k, v in trailer.items()}})
+            if "XRefStm" in trailer and data.startswith(b"xref", at):
+                out += _beside(data, trailer["XRefStm"], len(seen), blank)
+            todo = [trailer["Prev"]] if "Prev" in trailer else []
     except (PdfError, ValueError, IndexError, TypeError) as e:
         out.append(blank | {"kind": "e", "seq": 0, "error": str(e)})
     return out

@@ -304,3 +304,37 @@ def references(value: object) -> list[tuple[str, int, int, int]]:
             elif isinstance(v, dict):
                 todo += reversed(list(v.values()))
     return out
+
+
+#: Steps of a path that are told; deeper leaves have the path of the node that many steps down.
+DEEPEST = 64
+
+
+def leaves(value: object) -> list[dict]:
+    """What a value has that is neither array nor dictionary, in the order of its spelling: path (keys, and places in arrays), kind,
+    before (what is spelled since the last one), text, and num of a reference. A last row of kind 'end' has what closes the value, so
+    that all before and text in order are the value's spelling, also with other texts in place of some."""
+    out: list[dict] = []
+    pending: list[bytes] = []
+    todo: list[tuple[object, list[str]]] = [(value.entries if isinstance(value, Stream) else value, [])]
+    row = lambda path, kind, text, num: {"seq": len(out), "path": path, "kind": kind, "before": b"".join(pending).decode("latin-1"), "text": text, "num": num}
+    while todo:
+        v, path = todo.pop()
+        deeper = len(path) < DEEPEST
+        if isinstance(v, Keyword):
+            pending.append(bytes(v))
+        elif isinstance(v, list):
+            todo.append((Keyword(b"]"), path))
+            for k in reversed(range(len(v))):
+                todo += [(v[k], [*path, str(k)] if deeper else path)] + [(Keyword(b" "), path)] * (k > 0)
+            pending.append(b"[")
+        elif isinstance(v, dict):
+            todo.append((Keyword(b">>"), path))
+            for k in sorted(v, reverse=True):
+                todo += [(v[k], [*path, str(k)] if deeper else path), (Keyword(b" "), path), (Keyword(_slashed(k)), path)]
+            pending.append(b"<<")
+        else:
+            out.append(row(path, kind_of(v), format_value(v).decode("latin-1"), v.num if isinstance(v, Ref) else None))
+            pending.clear()
+    out.append(row([], "end", "", None))
+    return out

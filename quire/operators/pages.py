@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.filters import decode_streams
+from quire.functions.filters import decode_streams, without_strings
 from quire.kernels import content as kernel
 from quire.kernels.rows import text_of
+from quire.operators.leaves import inlined_deep
 from quire.operators.objects import inlined, ref_number
 from quire.plans.rounds import settled
 
@@ -66,24 +67,24 @@ def contents(found: DataFrame, objects: DataFrame) -> DataFrame:
     """file_id, page_no, content, recovered, image: a page's decoded streams with a line feed between those that are not empty.
 
     A page without content has an empty one. /Contents, /Filter and /DecodeParms may be references, /Contents one to an
-    array too. Bytes that only an image filter could read are not content.
+    array too, and what stands in the latter two may be references at any depth. Bytes that only an image filter could read are not content.
     """
-    own = inlined(objects, "Contents", "Filter", "DecodeParms")
+    own = inlined_deep(inlined(objects, "Contents", "Filter", "DecodeParms"), "Filter", "DecodeParms")
     held = found.drop("entries").join(own.select("file_id", "num", "entries"), ["file_id", "num"])
     wanted = held.select("file_id", "page_no", F.posexplode(numbers(F.col("entries")["Contents"])).alias("ord", "of"))
     streams = own.where("kind = 'stream'").select("file_id", F.col("num").alias("of"), "entries", "raw")
     streams = settled(streams.join(wanted.select("file_id", "of").distinct(), ["file_id", "of"], "left_semi"))
     read = wanted.join(decode_streams(streams).select("file_id", "of", F.col("decoded").alias("d")), ["file_id", "of"])
-    parts = read.where("d.image is null and octet_length(coalesce(d.data, x'')) > 0").groupBy("file_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("d.data").alias("data")))).alias("parts"))
-    flags = read.groupBy("file_id", "page_no").agg(F.max(F.col("d.recovered")).alias("recovered"), F.max("d.image").alias("image"))
-    joined = F.aggregate(F.slice("parts", 2, 1 << 30), F.col("parts")[0]["data"], lambda a, x: F.concat(a, F.lit(b"\n"), x["data"]))
-    both = found.select("file_id", "page_no").join(parts, ["file_id", "page_no"], "left").join(flags, ["file_id", "page_no"], "left")
+    part = F.when(F.expr("d.image is null and octet_length(coalesce(d.data, x'')) > 0"), F.struct("ord", F.col("d.data").alias("data")))
+    parts = read.groupBy("file_id", "page_no").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max(F.col("d.recovered")).alias("recovered"), F.max("d.image").alias("image"))
+    joined = F.aggregate(F.slice("parts", 2, 1 << 30), F.get("parts", F.lit(0))["data"], lambda a, x: F.concat(a, F.lit(b"\n"), x["data"]))
+    both = found.select("file_id", "page_no").join(parts, ["file_id", "page_no"], "left")
     return both.select("file_id", "page_no", F.coalesce(joined, F.lit(b"")).alias("content"), F.coalesce("recovered", F.lit(False)).alias("recovered"), "image")
 
 
 def numbers(spelled: Column) -> Column:
-    """The numbers of the references in a spelled value, in the order written."""
-    return F.transform(F.regexp_extract_all(F.coalesce(spelled, F.lit("")), F.lit(r"(\d+) \d+ R"), F.lit(1)), lambda n: n.cast("long"))
+    """The numbers of the references in a spelled value, in the order written; what strings say is none."""
+    return F.transform(F.regexp_extract_all(without_strings(F.coalesce(spelled, F.lit(""))), F.lit(r"(\d+) \d+ R"), F.lit(1)), lambda n: n.cast("long"))
 
 
 def _operations(data: bytes | None) -> dict:

@@ -85,7 +85,9 @@ def signatures(files: DataFrame, objects: DataFrame, documents: DataFrame) -> Da
     """file_id, name, byte_range, verdict, covers_whole_file, signed (the bytes), contents (from the gap), and the claims as spelled; claims are null unless the verdict is ok."""
     held = fields(objects, documents).join(objects.select("file_id", F.col("num").alias("value"), "entries"), ["file_id", "value"]).join(files.select("file_id", "content"), "file_id")
     spelled = F.col("entries")["ByteRange"]
-    r = F.when(spelled.rlike(r"^\[(-?\d+ ?)*\]$"), F.transform(F.regexp_extract_all(spelled, F.lit(r"(-?\d+)"), F.lit(1)), lambda x: x.cast("long")))
+    each = F.split(F.regexp_replace(spelled, r"^\[|\]$", ""), " ")
+    r = F.when(spelled.rlike(r"^\[[-0-9 ]*+\]$") & F.forall(each, lambda x: x.rlike(r"^-?\d+$") | (x == "")), F.transform(F.filter(each, lambda x: x != ""), lambda x: x.try_cast("long")))
+    r = F.when(~F.exists(r, lambda x: x.isNull()), r)
     out = held.withColumn("byte_range", r).withColumn("length", F.octet_length("content").cast("long")).withColumn("verdict", range_verdict(F.col("byte_range"), F.col("length")))
     ok = F.col("verdict") == "ok"
     claims = [F.when(ok, F.col("entries")[key]).alias(column) for column, key in CLAIMS.items()]

@@ -368,11 +368,34 @@ def s12_indirect_values(spark, sf_dir):
     return shown(sink.write_packed(small.unionByName(content).unionByName(top), roots(own)))
 
 
+@query(SHOWN)
+def f1_nested_references(spark, sf_dir):
+    """Streams of two filters, the first named by a reference inside the array of names, the other's parameters by one to a
+    dictionary whose numbers are references, beside a nested dictionary and a string of brackets that mean nothing."""
+    own = paged(spark, sf_dir).withColumn("at", 10 * F.col("k"))
+    at = lambda d: (F.col("at") + d).cast("string")
+    small = own.select("file_id", F.explode(F.array(
+        F.struct(F.col("at").alias("num"), bytes_of(F.concat(F.lit("<</Contents "), at(1), F.lit(" 0 R/Parent 2 0 R/Type/Page>>"))).alias("body")),
+        F.struct((F.col("at") + 2).alias("num"), bytes_of(F.concat(at(3), F.lit(" 0 R"))).alias("body")),
+        F.struct((F.col("at") + 3).alias("num"), F.lit(b"/AHx").alias("body")),
+        F.struct((F.col("at") + 4).alias("num"), bytes_of(F.concat(F.lit("<</Columns "), at(5), F.lit(" 0 R/Predictor "), at(6), F.lit(" 0 R/A<</Columns 3/B[1 "), at(5), F.lit(" 0 R]>>/T(\\)>> /Columns 9 5 0 R)>>"))).alias("body")),
+        F.struct((F.col("at") + 5).alias("num"), F.lit(b"16").alias("body")),
+        F.struct((F.col("at") + 6).alias("num"), F.lit(b"15").alias("body")),
+    )).alias("o")).select("file_id", "o.*", none().alias("raw"))
+    shows = F.concat(F.lit(b"BT /F1 12 Tf "), bytes_of(as_string(F.col("b"), F.pmod("doc_id", F.lit(2)))), F.lit(b" Tj ET "))
+    spaced = encoded(lambda b: _png_rows(b.ljust(-(-len(b) // 16) * 16), 16), shows)
+    content = own.select("file_id", (F.col("at") + 1).alias("num"), F.concat(F.lit("/Filter["), at(2), F.lit(" 0 R/Fl]/DecodeParms[null "), at(4), F.lit(" 0 R]")).alias("e"), bytes_of(F.hex(spaced)).alias("raw"))
+    content = content.select("file_id", "num", stream_body(F.col("e"), F.col("raw")).alias("body"), "raw")
+    objs = small.unionByName(content).unionByName(tree_objects(own.groupBy("file_id").agg(F.count("*").alias("n")), lambda k: 10 * k))
+    return shown(sink.write_packed(objs, roots(own)))
+
+
 # Incremental updates: a file a block of users, a section a batch of events, newest first by /Prev.
 USERS = 16
 
-def updated_files(spark, sf_dir, batches: int = 4) -> DataFrame:
-    """Object 10 + user_id modulo USERS of a file has the last value of the user's events; older ones stand in older sections."""
+def updated_files(spark, sf_dir, batches: int = 4, hybrid: bool = False) -> DataFrame:
+    """Object 10 + user_id modulo USERS of a file has the last value of the user's events; older ones stand in older sections. In a
+    hybrid file a stream beside each table lists every third object, and wrongly one of those that the table lists."""
     ev = table(spark, sf_dir, "events").where("user_id is not null and event_id is not null")
     ev = ev.select(F.floor(F.col("user_id") / USERS).cast("string").alias("file_id"), (F.pmod("user_id", F.lit(USERS)) + 10).cast("long").alias("num"), "event_id", "value")
     bounds = ev.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
@@ -387,12 +410,21 @@ def updated_files(spark, sf_dir, batches: int = 4) -> DataFrame:
         """Sections in order, each with its objects and its own table; offsets only are computed here."""
         out, prev = bytearray(sink.HEADER), None
         for s in sorted(sections, key=lambda s: s["batch"]):
-            lines = []
-            for p in sorted(s["parts"], key=lambda p: p["num"]):
-                lines.append(b"%d 1\n%010d 00000 n \n" % (p["num"], len(out)))
+            lines, beside = [], []
+            for k, p in enumerate(sorted(s["parts"], key=lambda p: p["num"])):
+                if hybrid and k % 3 == 2:
+                    beside.append((p["num"], len(out)))
+                else:
+                    lines.append(b"%d 1\n%010d 00000 n \n" % (p["num"], len(out)))
+                    beside += [(p["num"], 1)] * (hybrid and k == 0)
                 out += bytes(p["chunk"])
+            more = b""
+            if beside:
+                more = b"/XRefStm %d" % (len(out) if len(beside) > 1 else 3)
+                index, data = b" ".join(b"%d 1" % n for n, _ in beside), b"".join(b"\1" + o.to_bytes(4, "big") + b"\0" for _, o in beside)
+                out += b"9 0 obj\n<</Type/XRef/W[1 4 1]/Size 99999/Prev 1/Index[%b]/Length %d>>\nstream\n%b\nendstream\nendobj\n" % (index, len(data), data)
             at = len(out)
-            out += b"xref\n" + b"".join(lines) + b"trailer\n<</Root 1 0 R/Size 99999" + (b"/Prev %d" % prev if prev is not None else b"") + b">>\nstartxref\n%d\n%%%%EOF\n" % at
+            out += b"xref\n" + b"".join(lines) + b"trailer\n<</Root 1 0 R/Size 99999" + more + (b"/Prev %d" % prev if prev is not None else b"") + b">>\nstartxref\n%d\n%%%%EOF\n" % at
             prev = at
         return bytes(out)
 
@@ -413,6 +445,13 @@ def s9_newest_section(spark, sf_dir):
     return _values(updated_files(spark, sf_dir))
 
 
+@query(NEWEST)
+def s9_hybrid_sections(spark, sf_dir):
+    """The same files as hybrid ones: every third object of a section stands in the stream beside its table, which also names one of
+    the table's own objects at a wrong place, and whose /Prev leads nowhere; where there is nothing for it, the stream's place is wrong."""
+    return _values(updated_files(spark, sf_dir, hybrid=True))
+
+
 @query(NEWEST)
 def s13_last_object(spark, sf_dir):
     """The same files without any startxref: of each number the last object counts."""
