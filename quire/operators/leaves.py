@@ -29,10 +29,11 @@ def leaves_of(spelled: Column) -> Column:
 
 
 def leaves(values: DataFrame) -> DataFrame:
-    """The columns of values but `spelled`, and seq (an array, ordered as spelled), path, kind, before, text, num of each leaf."""
+    """The columns of values but `spelled`, and seq (an array, ordered as spelled), path, kind, before, text and to (where a reference leads)
+    of each leaf."""
     keep = [c for c in values.columns if c != "spelled"]
     rows = values.select(*keep, F.explode(leaves_of(F.col("spelled"))).alias("l"))
-    return rows.select(*keep, F.array("l.seq").alias("seq"), "l.path", "l.kind", "l.before", "l.text", "l.num")
+    return rows.select(*keep, F.array("l.seq").alias("seq"), "l.path", "l.kind", "l.before", "l.text", F.col("l.num").alias("to"))
 
 
 def spelled(rows: DataFrame, *keys: str) -> DataFrame:
@@ -48,23 +49,23 @@ def followed(rows: DataFrame, objects: DataFrame, *keys: str) -> DataFrame:
     References to streams stay, as only these can name one. A reference to nothing, to what it stands in itself, or beyond ROUNDS is null,
     and so are those of a value that has come to more than MOST leaves; a round only touches values that still have references.
     """
-    columns = [*keys, "seq", "path", "kind", "before", "text", "num", "via"]
+    columns = [*keys, "seq", "path", "kind", "before", "text", "to", "via"]
     live = settled(rows.withColumn("via", F.array().cast("array<long>")).select(*columns))
     done = live.where("kind != 'ref'")
     live = live.where("kind = 'ref'")
     nothing = F.lit("null")
     for turn in range(ROUNDS + 1):
         wide = live.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > MOST).select(*keys, F.lit(True).alias("wide"))
-        wanted = live.select("file_id", "num").distinct()
-        found = objects.join(wanted, ["file_id", "num"], "left_semi").select("file_id", "num", (F.col("kind") == "stream").alias("is_stream"), leaves_of(F.when(F.col("kind") != "stream", F.decode("body", "ISO-8859-1"))).alias("new"))
-        step = live.join(found, ["file_id", "num"], "left").join(wide, list(keys), "left")
-        lost = F.array_contains("via", F.col("num")) | F.col("wide").isNotNull() | F.lit(turn == ROUNDS) | F.col("is_stream").isNull()
+        wanted = live.select("file_id", F.col("to").alias("num")).distinct()
+        found = objects.join(wanted, ["file_id", "num"], "left_semi").select("file_id", F.col("num").alias("to"), (F.col("kind") == "stream").alias("is_stream"), leaves_of(F.when(F.col("kind") != "stream", F.decode("body", "ISO-8859-1"))).alias("new"))
+        step = live.join(found, ["file_id", "to"], "left").join(wide, list(keys), "left")
+        lost = F.array_contains("via", F.col("to")) | F.col("wide").isNotNull() | F.lit(turn == ROUNDS) | F.col("is_stream").isNull()
         step = settled(step.withColumn("fate", F.when(F.col("is_stream"), "stays").when(lost, "lost").otherwise("goes on")).select(*columns, "fate", "new"))
         ended = step.where("fate != 'goes on'").withColumns({"text": F.when(F.col("fate") == "lost", nothing).otherwise(F.col("text")), "kind": F.when(F.col("fate") == "lost", nothing).otherwise(F.col("kind"))})
         done = done.unionByName(ended.select(*columns))
-        more = step.where("fate = 'goes on'").select(*keys, "seq", "path", "before", F.concat("via", F.array("num")).alias("via"), F.explode("new").alias("l"))
+        more = step.where("fate = 'goes on'").select(*keys, "seq", "path", "before", F.concat("via", F.array("to")).alias("via"), F.explode("new").alias("l"))
         first = F.when(F.col("l.seq") == 0, F.concat("before", F.col("l.before"))).otherwise(F.col("l.before"))
-        more = settled(more.select(*keys, F.concat("seq", F.array("l.seq")).alias("seq"), F.concat("path", F.col("l.path")).alias("path"), "l.kind", first.alias("before"), "l.text", "l.num", "via").select(*columns))
+        more = settled(more.select(*keys, F.concat("seq", F.array("l.seq")).alias("seq"), F.concat("path", F.col("l.path")).alias("path"), "l.kind", first.alias("before"), "l.text", F.col("l.num").alias("to"), "via").select(*columns))
         done = done.unionByName(more.where("kind != 'ref'"))
         live = more.where("kind = 'ref'")
         if not live.limit(1).count():

@@ -88,25 +88,47 @@ def unpacked(streams: DataFrame) -> DataFrame:
     return read.select("file_id", "strm", "strm_offset", "x.*")
 
 
-def _by_table(found: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What the cross-reference chain names, where an object of that number stands there; and the files of which one stands elsewhere."""
+def _by_table(found: DataFrame, entries: DataFrame, password: str | DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """What the cross-reference chain names, where an object of that number stands there; the files of which one stands elsewhere; and
+    with a password, for which all is in clear before object streams are opened, the files' protection."""
     table = merged(entries)
     named = table.where("kind = 'n' and offset > 0").select("file_id", "num", "offset")
     direct = found.where("error is null").join(named, ["file_id", "num", "offset"]).withColumn("source", F.lit("direct"))
     misplaced = named.join(found.select("file_id", "num", "offset"), ["file_id", "num", "offset"], "left_anti").select("file_id").distinct()
+    locked = None
+    if password is not None:
+        direct, locked = _in_clear(direct, trailers(entries).where(F.col("trailer")["Encrypt"].isNotNull()), password)
     packed = unpacked(direct).join(table.where("kind = 'o'").select("file_id", "num", "strm"), ["file_id", "num", "strm"])
     packed = packed.withColumns({"source": F.lit("packed"), "gen": F.lit(0).cast("long")})
-    return direct.select(COLUMNS).unionByName(packed.select(COLUMNS)), misplaced
+    return direct.select(COLUMNS).unionByName(packed.select(COLUMNS)), misplaced, locked
 
 
-def _by_repair(found: DataFrame) -> DataFrame:
-    """Without a table: of each number the last object in the file; members of the last object stream where no object stands directly."""
+def _by_repair(found: DataFrame, spoken: DataFrame, password: str | DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Without a table: of each number the last object in the file; members of the last object stream where no object stands directly.
+    With a password, both in clear, and the protection of each file by its last trailer (file_id, seq, trailer) that tells of one."""
     value = F.struct("gen", "kind", "body", "entries", "refs", "raw", "offset")
     last = found.where("error is null").groupBy("file_id", "num").agg(F.max_by(value, "offset").alias("v")).select("file_id", "num", "v.*").withColumn("source", F.lit("repair"))
     last = settled(last)
+    locked = None
+    if password is not None:
+        said = spoken.unionByName(_stream_trailers(last)).where(F.col("trailer")["Encrypt"].isNotNull())
+        last, locked = _in_clear(last, said.groupBy("file_id").agg(F.min_by("trailer", "seq").alias("trailer")), password)
     inside = unpacked(last).groupBy("file_id", "num").agg(F.max_by(F.struct("kind", "body", "entries", "refs", "raw"), "strm_offset").alias("v")).select("file_id", "num", "v.*")
     inside = inside.join(last.select("file_id", "num"), ["file_id", "num"], "left_anti").withColumns({"source": F.lit("repair packed"), "gen": F.lit(0).cast("long")})
-    return last.select(COLUMNS).unionByName(inside.select(COLUMNS))
+    return last.select(COLUMNS).unionByName(inside.select(COLUMNS)), locked
+
+
+def _stream_trailers(objects: DataFrame) -> DataFrame:
+    """file_id, seq, trailer: dictionaries of cross-reference streams, behind all trailers found by their keyword."""
+    return objects.where("entries['Type'] = '/XRef'").select("file_id", (F.lit(1 << 40) - F.col("num")).alias("seq"), F.col("entries").alias("trailer"))
+
+
+def _in_clear(objects: DataFrame, said: DataFrame, password: str | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """objects decrypted, and the protection of the files, whose trailers said has."""
+    from quire.operators import security  # which is built on this module
+
+    locked = settled(security.protection(said, objects, password))
+    return settled(security.decrypted(objects, locked)), locked
 
 
 def _last_trailers(files: DataFrame) -> DataFrame:
@@ -146,32 +168,45 @@ def _made_up(mended: DataFrame, lost: DataFrame) -> DataFrame:
     return new.withColumns({"gen": F.lit(0).cast("long"), "source": F.lit("made up"), "kind": F.lit("dict"), "raw": F.lit(None).cast("binary")}).select(COLUMNS)
 
 
-def opened(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def opened(files: DataFrame, password: str | DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(objects, documents): the objects that count, and file_id, trailer, root (number of the catalogue), version, repaired, error.
 
     A file whose chain can't be read, names a place at which its object does not stand, or leads to no catalogue, is
     repaired: its objects are those that a scan finds, and its root comes from the last trailer that names a catalogue, else
     from cross-reference streams, else it is the highest-numbered catalogue, else one made up over its pages. A file
     without any has root null and an error.
+
+    With a password, one for all files or (file_id, password), encrypted files come out in clear: their protection is found first, then
+    streams and strings are decrypted, and only then object streams opened, in repair too. An encrypted file that it doesn't fit has
+    root null and says so in its error. Without one, nothing is decrypted.
     """
     # each file is read once, whatever is asked of it later
     both = settled(_read(files, (), o=(rows.object_rows, SCAN), s=(rows.section_rows, SECTION)))
     found, entries = both.where("o is not null").select("file_id", "o.*"), both.where("s is not null").select("file_id", "s.*")
-    table, misplaced = _by_table(found, entries)
+    table, misplaced, locked = _by_table(found, entries, password)
     table = settled(table)
     catalogues = lambda o: o.where("entries['Type'] = '/Catalog' or entries['Pages'] is not null").select("file_id", F.col("num").alias("root"))
     said = trailers(entries).withColumn("root", ref_number(F.col("trailer")["Root"]))
     broken = entries.where("kind = 'e'").groupBy("file_id").agg(F.first("error").alias("cause"))
     broken = broken.unionByName(misplaced.withColumn("cause", F.lit("an object is not where the table has it"))).groupBy("file_id").agg(F.min("cause").alias("cause"))
+    shut = None
+    if locked is not None:
+        shut = locked.where("error is not null").select("file_id", "error")
+        said = said.join(shut.select("file_id"), "file_id", "left_anti")
     head = entries.where("kind = 'h'").select("file_id", F.col("trailer")["Version"].alias("version"))
     whole = said.join(broken, "file_id", "left_anti").join(catalogues(table), ["file_id", "root"], "left_semi").withColumn("repaired", F.lit(False))
     whole = settled(whole.select("file_id", "trailer", "root", "repaired"))
     rest = settled(both.select("file_id").distinct().join(whole.select("file_id"), "file_id", "left_anti"))
     if not rest.limit(1).count():
-        return table, whole.withColumns({"error": F.lit(None).cast("string"), "cause": F.lit(None).cast("string")}).join(head, "file_id", "left")
-    mended = settled(_by_repair(found.join(rest, "file_id", "left_semi")))
-    spoken = _last_trailers(files.join(rest, "file_id", "left_semi")).select("file_id", "seq", "trailer")
-    streams = mended.where("entries['Type'] = '/XRef'").select("file_id", (F.lit(1 << 40) - F.col("num")).alias("seq"), F.col("entries").alias("trailer"))
+        return table.join(whole.select("file_id"), "file_id", "left_semi") if locked is not None else table, whole.withColumns({"error": F.lit(None).cast("string"), "cause": F.lit(None).cast("string")}).join(head, "file_id", "left")
+    spoken = settled(_last_trailers(files.join(rest, "file_id", "left_semi")).select("file_id", "seq", "trailer"))
+    mended, locked = _by_repair(found.join(rest, "file_id", "left_semi"), spoken, password)
+    mended = settled(mended)
+    if locked is not None:
+        shut = shut.unionByName(locked.where("error is not null").select("file_id", "error")).groupBy("file_id").agg(F.first("error").alias("error"))
+        mended = mended.join(shut.select("file_id"), "file_id", "left_anti")
+        spoken = spoken.join(shut.select("file_id"), "file_id", "left_anti")
+    streams = _stream_trailers(mended)
     guess = catalogues(mended).select("file_id", (F.lit(1 << 50) - F.col("root")).alias("seq"), F.create_map(F.lit("Root"), F.concat(F.col("root").cast("string"), F.lit(" 0 R"))).alias("trailer"))
     every = spoken.unionByName(streams).unionByName(guess).withColumn("root", ref_number(F.col("trailer")["Root"]))
     good = every.join(catalogues(mended), ["file_id", "root"], "left_semi")
@@ -181,7 +216,10 @@ def opened(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = best.unionByName(more.where("entries['Type'] = '/Catalog'").select("file_id", none.alias("trailer"), F.col("num").alias("root")))
     fixed = rest.join(best, "file_id", "left").withColumn("repaired", F.lit(True))
     documents = whole.select("file_id", "trailer", "root", "repaired").unionByName(fixed.select("file_id", "trailer", "root", "repaired"))
-    documents = documents.join(broken, "file_id", "left").join(head, "file_id", "left").select("file_id", "trailer", "root", "repaired", F.when(F.col("root").isNull(), F.coalesce("cause", F.lit("no catalogue"))).alias("error"), "cause", "version")
+    if shut is None:
+        shut = broken.select("file_id", F.lit(None).cast("string").alias("error")).limit(0)
+    documents = documents.join(broken, "file_id", "left").join(head, "file_id", "left").join(shut, "file_id", "left")
+    documents = documents.select("file_id", "trailer", "root", "repaired", F.when(F.col("root").isNull(), F.coalesce("error", "cause", F.lit("no catalogue"))).alias("error"), "cause", "version")
     objects = table.join(whole.select("file_id"), "file_id", "left_semi").unionByName(mended).unionByName(more)
     return objects, settled(documents)
 

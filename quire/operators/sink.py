@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,8 +73,13 @@ def write_plain(objects: DataFrame, root: DataFrame) -> DataFrame:
     return assembled(placed, files.join(root, "file_id").select("file_id", bytes_of(tail).alias("chunk")))
 
 
-def write_packed(objects: DataFrame, root: DataFrame) -> DataFrame:
-    """As write_plain, with objects other than streams in object streams of PER_STREAM, and a cross-reference stream that lists only the numbers in use."""
+def write_packed(objects: DataFrame, root: DataFrame, seal: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """As write_plain, with objects other than streams in object streams of PER_STREAM, and a cross-reference stream that lists only the numbers in use.
+
+    seal is what becomes of the streams (file_id, num, body, raw), object streams included, before they get their places.
+    """
+    if "more" not in root.columns:
+        root = root.withColumn("more", F.lit(None).cast("string"))
     order = Window.partitionBy("file_id").orderBy("num")
     loose = objects.where("raw is null").withColumn("rn", F.row_number().over(order) - 1).withColumns({"bucket": F.floor(F.col("rn") / PER_STREAM), "index": F.col("rn") % PER_STREAM})
     high = objects.groupBy("file_id").agg(F.max("num").alias("high"))
@@ -85,6 +91,7 @@ def write_packed(objects: DataFrame, root: DataFrame) -> DataFrame:
     entries = F.concat(F.lit("/Filter/FlateDecode/First "), F.octet_length("head").cast("string"), F.lit("/N "), F.size("m").cast("string"), F.lit("/Type/ObjStm"))
     streams = streams.select("file_id", F.col("strm").alias("num"), stream_body(entries, F.col("raw")).alias("body"), "raw")
     direct = objects.where("raw is not null").select("file_id", "num", "body", "raw").unionByName(streams)
+    direct = seal(direct) if seal else direct
     placed = _placed(direct.withColumn("chunk", object_bytes(F.col("num"), F.col("body"), F.col("raw"))))
     table = placed.select("file_id", "num", F.lit(1).alias("kind"), "offset", F.lit(0).alias("third")).unionByName(loose.select("file_id", "num", F.lit(2).alias("kind"), F.col("strm").alias("offset"), F.col("index").cast("int").alias("third")))
     digits = lambda x, n: F.lpad(F.hex(x.cast("long")), n, "0")
@@ -95,7 +102,7 @@ def write_packed(objects: DataFrame, root: DataFrame) -> DataFrame:
     index = F.concat(F.lit("0 1 "), F.array_join(F.transform("at", lambda x: F.concat(x["num"].cast("string"), F.lit(" 1 "))), ""), (F.col("top") + 1).cast("string"), F.lit(" 1"))
     files = files.withColumn("raw", deflated(F.unhex(rows)))
     size = (F.col("top") + 2).cast("string")
-    entries = F.concat(F.lit("/Filter/FlateDecode/Index["), index, F.lit("]/Root "), F.col("root").cast("string"), F.lit(" 0 R/Size "), size, F.lit("/Type/XRef/W[1 4 2]"))
+    entries = F.concat(F.lit("/Filter/FlateDecode/Index["), index, F.lit("]/Root "), F.col("root").cast("string"), F.lit(" 0 R"), F.coalesce("more", F.lit("")), F.lit("/Size "), size, F.lit("/Type/XRef/W[1 4 2]"))
     last = object_bytes(F.col("top") + 1, stream_body(entries, F.col("raw")), F.col("raw"))
     tail = bytes_of(F.concat(F.lit("startxref\n"), F.col("xref").cast("string"), F.lit("\n%%EOF\n")))
     return assembled(placed, files.select("file_id", F.concat(last, tail).alias("chunk")))

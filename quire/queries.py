@@ -731,6 +731,57 @@ def e5_decrypted_files(spark, sf_dir):
     return shown_on(pages.pages(objs, documents), objs)
 
 
+def _locked_files(spark, sf_dir, packed: bool) -> tuple[DataFrame, DataFrame]:
+    """(files, passwords): the files under a password each; every page has a title, in an array of a dictionary, which is encrypted where
+    strings are: in files of an even block. Of a packed file only the streams are, object streams among them."""
+    own = paged(spark, sf_dir)
+    plain = page_objects(own)
+    title = F.concat(F.lit("<</Contents "), (2 * F.col("k") + 2).cast("string"), F.lit(" 0 R/Info[<</T<"), F.hex(F.unhex(F.md5("b"))), F.lit(">>>()]/Parent 2 0 R/Type/Page>>"))
+    titled = plain.join(own.select("file_id", (2 * F.col("k") + 1).alias("num"), bytes_of(title).alias("new")), ["file_id", "num"], "left").withColumn("body", F.coalesce("new", "body")).drop("new")
+    block = F.regexp_extract("file_id", r"(\d+)$", 1).cast("long")
+    asked = own.select("file_id").distinct().select("file_id", F.concat(F.lit("guest of "), "file_id").alias("user"), F.lit("boss").alias("owner"), F.lit(-44).alias("rights"), (block % 2 == 0).alias("strings"))
+    made = settled(security.locks(asked))
+    root = roots(plain).join(security.trailer_of(made), "file_id")
+    with_strings = made.join(asked.where("strings").select("file_id"), "file_id", "left_semi")
+    if packed:
+        files = sink.write_packed(titled, root, lambda streams: security.encrypted(streams, made))
+    else:
+        without = titled.join(with_strings.select("file_id"), "file_id", "left_anti")
+        streams = security.encrypted(without.where("raw is not null"), made).unionByName(without.where("raw is null").select("file_id", "num", "body", "raw"))
+        files = sink.write_plain(security.encrypted(titled.join(with_strings.select("file_id"), "file_id", "left_semi"), made).unionByName(streams), root)
+    return files, asked.select("file_id", F.when(block % 3 == 0, "boss").otherwise(F.col("user")).alias("password"))
+
+
+def _titled(files: DataFrame, passwords: DataFrame) -> DataFrame:
+    """file_id, page_no, md5 of what a page shows, whether its title says the same, as opened with the passwords."""
+    objs, documents = objects.opened(files, passwords)
+    found = settled(pages.pages(objs, documents))
+    titles = found.select("file_id", "page_no", F.regexp_extract(F.col("entries")["Info"], r"/T ?<([0-9a-f]{32})>", 1).alias("title"))
+    return shown_on(found, objs).join(titles, ["file_id", "page_no"]).select("file_id", "page_no", "md5", (F.col("title") == F.col("md5")).alias("same_title"))
+
+
+LOCKED = "SELECT file_id, page_no, md5, true AS same_title FROM (" + SHOWN + ")"
+
+
+@query(LOCKED)
+def e7_locked_files(spark, sf_dir):
+    """Files with passwords, keys and identifiers of their own, strings encrypted in every other, opened by the user or the owner."""
+    return _titled(*_locked_files(spark, sf_dir, False))
+
+
+@query(LOCKED)
+def s1_locked_packed_files(spark, sf_dir):
+    """The same with objects in encrypted object streams."""
+    return _titled(*_locked_files(spark, sf_dir, True))
+
+
+@query(LOCKED)
+def s14_locked_repaired_files(spark, sf_dir):
+    """The same files of encrypted object streams without the way to their table."""
+    files, passwords = _locked_files(spark, sf_dir, True)
+    return _titled(without_startxref(files), passwords)
+
+
 @query("SELECT o_orderkey, CAST(o_custkey % 512 AS BIGINT) AS a, CAST(o_orderkey % 512 AS BIGINT) AS b, CAST(3 AS BIGINT) AS n FROM orders")
 def h3_hint_bits(spark, sf_dir):
     """Two fields and a zero in nine bits each, packed and read again."""
