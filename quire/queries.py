@@ -542,6 +542,17 @@ def p1_partition(spark, sf_dir):
     return placed.join(parts, ["file_id", "num"]).select("file_id", (F.col("num") - 10_000_000).alias("l_partkey"), "part", "readers")
 
 
+@query(ORDERS + ", n AS (SELECT file_id, l_orderkey, row_number() OVER (PARTITION BY file_id ORDER BY l_orderkey) AS page_no FROM (SELECT DISTINCT file_id, l_orderkey FROM i)) SELECT i.file_id, l_partkey, CAST(CASE WHEN min(page_no) = 1 THEN 6 WHEN count(*) = 1 THEN 7 ELSE 8 END AS INTEGER) AS part, CAST(min(page_no) AS INTEGER) AS first, CAST(max(page_no) AS INTEGER) AS last FROM i JOIN n ON i.file_id = n.file_id AND i.l_orderkey = n.l_orderkey GROUP BY 1, 2")
+def p1_labels(spark, sf_dir):
+    """The same partition from the first and the last page that reach a part, a row an object in every round."""
+    objs, documents = _order_file(spark, sf_dir)
+    found = pages.pages(objs, documents)
+    told = graph.labels(found, objs)
+    placed = graph.partition(told, objs, documents).join(told, ["file_id", "num"])
+    parts = objs.where("entries['Key'] is not null").select("file_id", "num")
+    return placed.join(parts, ["file_id", "num"]).select("file_id", (F.col("num") - 10_000_000).alias("l_partkey"), "part", "first", "last")
+
+
 @query(ORDERS + "SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY l_orderkey) AS INTEGER) AS page_no, CAST(count(*) + 1 AS BIGINT) AS reached FROM i GROUP BY file_id, l_orderkey")
 def p3_reach(spark, sf_dir):
     objs, documents = _order_file(spark, sf_dir)
@@ -553,7 +564,7 @@ def p5_layout(spark, sf_dir):
     """Page objects in the order in which a linearized file has them."""
     objs, documents = _order_file(spark, sf_dir)
     found = pages.pages(objs, documents)
-    laid = graph.layout(graph.partition(graph.reach(found, objs), objs, documents), found)
+    laid = graph.layout(graph.partition(graph.labels(found, objs), objs, documents), found)
     own = found.select("file_id", "num").join(laid, ["file_id", "num"])
     order = F.row_number().over(Window.partitionBy("file_id").orderBy("new_num")).alias("page_no")
     return own.select("file_id", order, (F.col("num") - 100).alias("l_orderkey"))
@@ -564,7 +575,7 @@ def p6_shared_identifiers(spark, sf_dir):
     """Identifiers of shared objects; the first page's own object is number 0."""
     objs, documents = _order_file(spark, sf_dir)
     found = pages.pages(objs, documents)
-    laid = graph.layout(graph.partition(graph.reach(found, objs), objs, documents), found)
+    laid = graph.layout(graph.partition(graph.labels(found, objs), objs, documents), found)
     named = graph.shared_identifiers(laid).where("num >= 10000000")
     return named.select("file_id", (F.col("num") - 10_000_000).alias("l_partkey"), "identifier")
 
@@ -574,11 +585,66 @@ def h7_page_hints(spark, sf_dir):
     """The head of the page hint table, and the bytes that its column of object counts takes; every object counts as ten bytes long."""
     objs, documents = _order_file(spark, sf_dir)
     found = pages.pages(objs, documents)
-    placed = graph.partition(graph.reach(found, objs), objs, documents)
+    placed = graph.partition(graph.labels(found, objs), objs, documents)
     hints = linear.hint_columns(linear.page_lengths(placed, objs.select("file_id", "num", F.lit(10).cast("long").alias("extent"))))
     return hints.select("file_id", "least_objects", "object_bits", "least_bytes", F.octet_length("objects").cast("long").alias("size"))
 
 
+def _hinted(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, references, groups) of files of 100 orders each: a page an order, a shared object a part of its lines."""
+    items = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 100).cast("string").alias("file_id"), "l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("q"))
+    named = items.select("file_id", "l_partkey").distinct().withColumn("identifier", (F.row_number().over(Window.partitionBy("file_id").orderBy("l_partkey")) - 1).cast("long"))
+    told = items.groupBy("file_id", "l_orderkey").agg(F.countDistinct("l_partkey").alias("objects"), F.sum("q").alias("bytes"))
+    told = told.withColumns({"page_no": F.row_number().over(Window.partitionBy("file_id").orderBy("l_orderkey")), "content_at": F.col("l_orderkey") % 1000 * 70_000, "content": F.col("l_orderkey") % 7})
+    refs = items.select("file_id", "l_orderkey", "l_partkey").distinct().join(named, ["file_id", "l_partkey"]).join(told.select("file_id", "l_orderkey", "page_no"), ["file_id", "l_orderkey"])
+    refs = refs.select("file_id", "page_no", (F.row_number().over(Window.partitionBy("file_id", "page_no").orderBy("identifier")) - 1).cast("long").alias("ord"), "identifier")
+    return told, refs, named.withColumn("bytes", F.col("l_partkey") * 3)
+
+
+HINTED = """WITH i AS (SELECT CAST(l_orderkey // 100 AS VARCHAR) AS file_id, l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+p AS (SELECT file_id, l_orderkey, count(DISTINCT l_partkey) AS objects, CAST(sum(q) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY file_id ORDER BY l_orderkey) AS page_no, l_orderkey % 1000 * 70000 AS content_at, l_orderkey % 7 AS content FROM i GROUP BY 1, 2),
+d AS (SELECT file_id, l_partkey, row_number() OVER (PARTITION BY file_id ORDER BY l_partkey) - 1 AS identifier FROM (SELECT DISTINCT file_id, l_partkey FROM i)),
+r AS (SELECT DISTINCT i.file_id, p.page_no, d.identifier FROM i JOIN d USING (file_id, l_partkey) JOIN p USING (file_id, l_orderkey)) """
+
+
+@query(HINTED + "SELECT p.file_id, CAST(p.page_no AS INTEGER) AS page_no, CAST(objects AS BIGINT) AS objects, bytes, CAST(content_at AS BIGINT) AS content_at, CAST(content AS BIGINT) AS content, string_agg(CAST(identifier AS VARCHAR), ',' ORDER BY identifier) AS identifiers FROM p JOIN r USING (file_id, page_no) GROUP BY ALL")
+def h4_hint_pages(spark, sf_dir):
+    """Page offset hint tables made and read again: every column, and the shared objects of each page."""
+    told, refs, _ = _hinted(spark, sf_dir)
+    tables = linear.page_hint_table(told, refs, told.select("file_id").distinct().withColumn("first_page_at", F.lit(1234)))
+    said, named = linear.hint_pages(tables.join(told.groupBy("file_id").agg(F.count("*").alias("pages")), "file_id"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "identifier"))), lambda x: x["identifier"].cast("string")), ",")
+    named = named.groupBy("file_id", "page_no").agg(text.alias("identifiers"))
+    return said.join(named, ["file_id", "page_no"]).select("file_id", "page_no", "objects", "bytes", "content_at", "content", "identifiers")
+
+
+@query(HINTED + "SELECT file_id, CAST(identifier AS BIGINT) AS identifier, CAST(l_partkey * 3 AS BIGINT) AS bytes, CAST(1 AS BIGINT) AS objects FROM d")
+def h4_hint_groups(spark, sf_dir):
+    """Shared object hint tables made and read again."""
+    _, _, groups = _hinted(spark, sf_dir)
+    first = groups.groupBy("file_id").agg(F.min("l_partkey").alias("first_object"), F.lit(99).alias("first_object_at"), F.lit(0).alias("first_page_groups"))
+    return linear.hint_groups(linear.shared_hint_table(groups, first)).select("file_id", "identifier", "bytes", "objects")
+
+
+H7_BITS = HINTED + """, c AS (SELECT file_id, page_no, count(*) AS n FROM r GROUP BY 1, 2), e AS (SELECT p.*, c.n FROM p JOIN c USING (file_id, page_no)),
+w AS (SELECT file_id, min(objects) AS lo, greatest(1, length(bin(max(objects) - min(objects)))) AS wo, min(bytes) AS lb, greatest(1, length(bin(max(bytes) - min(bytes)))) AS wb, min(content_at) AS la, greatest(1, length(bin(max(content_at) - min(content_at)))) AS wa, min(content) AS lc, greatest(1, length(bin(max(content) - min(content)))) AS wc, greatest(1, length(bin(max(n)))) AS wn FROM e GROUP BY 1),
+v AS (SELECT file_id, greatest(1, length(bin(max(identifier)))) AS wi FROM r GROUP BY 1),
+g AS (SELECT e.file_id, string_agg(lpad(bin(objects - lo), CAST(wo AS INTEGER), '0'), '' ORDER BY page_no) AS g1, string_agg(lpad(bin(bytes - lb), CAST(wb AS INTEGER), '0'), '' ORDER BY page_no) AS g2, string_agg(lpad(bin(n), CAST(wn AS INTEGER), '0'), '' ORDER BY page_no) AS g3, string_agg(lpad(bin(content_at - la), CAST(wa AS INTEGER), '0'), '' ORDER BY page_no) AS g6, string_agg(lpad(bin(content - lc), CAST(wc AS INTEGER), '0'), '' ORDER BY page_no) AS g7 FROM e JOIN w USING (file_id) GROUP BY 1),
+h AS (SELECT r.file_id, string_agg(lpad(bin(identifier), CAST(wi AS INTEGER), '0'), '' ORDER BY page_no, identifier) AS g4, string_agg('0', '') AS g5 FROM r JOIN v USING (file_id) GROUP BY 1),
+f AS (SELECT file_id, unnest([g1, g2, g3, g4, g5, g6, g7]) AS b, unnest([1, 2, 3, 4, 5, 6, 7]) AS k FROM g JOIN h USING (file_id)),
+t AS (SELECT file_id, string_agg(rpad(b, CAST((length(b) + 7) // 8 * 8 AS INTEGER), '0'), '' ORDER BY k) AS bits FROM f GROUP BY 1)
+SELECT file_id, CAST((288 + length(bits)) // 8 AS BIGINT) AS size, md5(concat(lpad(bin(lo), 32, '0'), lpad(bin(1234), 32, '0'), lpad(bin(wo), 16, '0'), lpad(bin(lb), 32, '0'), lpad(bin(wb), 16, '0'), lpad(bin(la), 32, '0'), lpad(bin(wa), 16, '0'), lpad(bin(lc), 32, '0'), lpad(bin(wc), 16, '0'), lpad(bin(wn), 16, '0'), lpad(bin(wi), 16, '0'), lpad('1', 16, '0'), lpad('1', 16, '0'), bits)) AS md5 FROM t JOIN w USING (file_id) JOIN v USING (file_id)"""
+
+
+@query(H7_BITS)
+def h7_hint_tables(spark, sf_dir):
+    """Whole page offset hint tables, head and seven columns, bit by bit."""
+    told, refs, _ = _hinted(spark, sf_dir)
+    tables = linear.page_hint_table(told, refs, told.select("file_id").distinct().withColumn("first_page_at", F.lit(1234)))
+    bits = F.array_join(F.transform(F.regexp_extract_all(F.hex("table"), F.lit("(.)"), F.lit(1)), lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")), "")
+    return tables.select("file_id", F.octet_length("table").cast("long").alias("size"), F.md5(bits).alias("md5"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Encrypt' WHEN o_orderkey % 5 = 1 THEN 'OpenAction' WHEN o_orderkey % 5 = 2 THEN 'PageMode' WHEN o_orderkey % 5 = 3 THEN 'Thumb' END AS reason FROM orders")
 def p2_refusals(spark, sf_dir):
     """A small file an order; four of five have something that keeps them from being laid out anew."""
