@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from .codecs import decode
-from .syntax import Name, PdfError, Stream, format_value, headers, kind_of, parse, parse_indirect, references, skip
+from .syntax import Name, PdfError, Ref, Stream, format_value, headers, kind_of, parse, parse_indirect, references, skip
 
 TAIL = 4096
 _SUBSECTION = re.compile(rb"[\x00\t\n\x0c\r ]*(\d+)[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]*")
@@ -37,6 +37,24 @@ def object_rows(data: bytes) -> list[dict]:
     return out
 
 
+def span_row(num: int, data: bytes, length: int | None) -> dict:
+    """The object that has to stand at the start of data; length is what a reference in its /Length means, if that is known."""
+    row = {"gen": None, "kind": None, "body": None, "entries": None, "refs": None, "raw": None, "length_at": None, "closed": False, "error": None}
+    named = []
+
+    def length_of(ref: Ref) -> int | None:
+        named.append(ref.num)
+        return length
+
+    try:
+        ref, value, end = parse_indirect(data, 0, length_of)
+    except (PdfError, ValueError, IndexError) as e:
+        return row | {"error": str(e), "length_at": named[0] if named else None}
+    if ref.num != num:
+        return row | {"error": f"object {ref.num} stands in the place of {num}"}
+    return row | value_row(value) | {"gen": ref.gen, "length_at": named[0] if named else None, "closed": data[:end].endswith(b"endobj")}
+
+
 def value_row(value: object) -> dict:
     entries = value.entries if isinstance(value, Stream) else value
     return {

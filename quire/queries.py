@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import values
-from quire.functions.filters import decode_filter, permissions, text_string
-from quire.operators import graph, linear, objects, pages, security, signatures, sink
+from quire.functions.filters import decode_filter, decode_streams, permissions, text_string
+from quire.operators import graph, linear, lookup, objects, pages, security, signatures, sink
 from quire.operators.sink import bytes_of, deflated, stream_body
 from quire.plans.rounds import settled
 
@@ -336,6 +336,24 @@ def s17_lost_catalogue(spark, sf_dir):
     return shown(sink.assembled(chunks, own.select("file_id").distinct().withColumn("chunk", F.lit(b"%%EOF\n"))))
 
 
+@query("""WITH f AS (SELECT source || '/' || (doc_id // 1000) AS file_id, count(*) AS n, arg_max(md5(text), doc_id) AS md5 FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1)
+  SELECT file_id, CAST(2 * n + 1 AS BIGINT) AS num, 'dict' AS kind, CASE WHEN n % 2 = 0 THEN 'repair packed' ELSE 'packed' END AS source, md5(CAST(2 * n + 2 AS VARCHAR) || ' 0 R') AS md5 FROM f
+  UNION ALL SELECT file_id, CAST(2 * n + 2 AS BIGINT), 'stream', CASE WHEN n % 2 = 0 THEN 'repair' ELSE 'direct' END, md5 FROM f
+  UNION ALL SELECT file_id, CAST(1000000000 AS BIGINT), 'null', 'missing', NULL FROM f""")
+def s11_point_lookup(spark, sf_dir):
+    """Of each file its last page, packed, what that shows, and a number that it doesn't have; files of an even number of pages lost their table."""
+    own = paged(spark, sf_dir)
+    counts = own.groupBy("file_id").agg(F.count("*").alias("n"))
+    files = settled(sink.write_packed(page_objects(own), roots(own)).join(counts, "file_id"))
+    files = files.where("n % 2 = 1").select("file_id", "content").unionByName(without_startxref(files.where("n % 2 = 0")))
+    n = F.col("n")
+    wanted = counts.select("file_id", F.explode(F.array(2 * n + 1, 2 * n + 2, F.lit(1000000000).cast("long"))).alias("num"))
+    found = settled(lookup.lookup(files, wanted))
+    streams = decode_streams(found.where("kind = 'stream'")).select("file_id", F.col("num").alias("page_no"), F.col("decoded.data").alias("content"))
+    says = pages.operations(streams).where("operator = 'Tj'").select("file_id", F.col("page_no").alias("num"), F.md5(values.to_bytes(F.col("operands")[0])).alias("text"))
+    return found.join(says, ["file_id", "num"], "left").select("file_id", "num", "kind", "source", F.coalesce("text", F.md5(F.encode(F.col("entries")["Contents"], "UTF-8"))).alias("md5"))
+
+
 @query("SELECT source || '/' || (doc_id // 1000) AS file_id, CAST(count(*) AS BIGINT) AS pages, CAST(count(*) + 1 AS BIGINT) AS streams, '1.7' AS version FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1")
 def s16_typed_objects(spark, sf_dir):
     """Objects by their /Type and kind, and the version that the header states."""
