@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import values
 from quire.functions.filters import decode_filter, decode_streams, permissions, text_string
-from quire.operators import graph, linear, lookup, objects, pages, security, signatures, sink
+from quire.operators import graph, linear, linear_check, lookup, objects, pages, security, signatures, sink
 from quire.operators.sink import bytes_of, deflated, stream_body
 from quire.plans.rounds import settled
 
@@ -887,3 +887,54 @@ def h1_linearized(spark, sf_dir):
     content = F.concat(start, F.when(kind == 1, whole + 1).otherwise(whole).cast("string"), body)
     found = linear.linearized(df.select(F.col("o_orderkey").cast("string").alias("file_id"), bytes_of(content).alias("content")))
     return found.select(F.col("file_id").cast("long").alias("o_orderkey"), "error", F.col("claim")["N"].alias("pages"))
+
+
+def linearized_files(own: DataFrame) -> DataFrame:
+    """file_id, content: linearized files of one page that shows b, of own (file_id, b, fault). Numbers that depend on places have ten
+    digits, so that all places follow from sizes. A fault changes one of the claims or, the last but one, two."""
+    size = lambda c: F.octet_length(c).cast("long")
+    ten = lambda c: F.lpad(c.cast("string"), 10, "0")
+    spelled = lambda *parts: bytes_of(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    said = lambda c, *faults: c + F.when(F.col("fault").isin(*faults), 1).otherwise(0)
+    four = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0"))
+    at = {"head": 9, "first": 9 + 126, "top": 9 + 126 + 9 + 100 + 65}
+    top = b"3 0 obj\n<</Pages 1 0 R/Type/Catalog>>\nendobj\n"
+    page = b"5 0 obj\n<</Contents 6 0 R/Parent 1 0 R/Type/Page>>\nendobj\n"
+    tree = b"1 0 obj\n<</Count 1/Kids[5 0 R]/MediaBox[0 0 612 792]/Type/Pages>>\nendobj\n"
+    place = F.when(F.col("fault") == 7, 35).otherwise(36)
+    lead = lambda n: F.concat(F.lit("4 0 obj\n<</Length 69/S "), n.cast("string"), F.lit(">>\nstream\n"))
+    hint_size = len("4 0 obj\n<</Length 69/S 36>>\nstream\n") + 69 + len("\nendstream\nendobj\n")
+    hint_at = at["top"] + len(top)
+    page_at = hint_at + hint_size
+    data_at = page_at + len(page)
+    data = F.concat(spelled("6 0 obj\n<</Length ", size(F.col("b")).cast("string"), ">>\nstream\n"), F.col("b"), F.lit(b"\nendstream\nendobj\n"))
+    rows = own.withColumn("data", data)
+    tree_at = F.lit(data_at) + size(F.col("data"))
+    table_at = tree_at + len(tree)
+    two = F.lit(b"\0\0")
+    pages_told = F.concat(four(F.lit(2)), four(F.lit(page_at)), two, four(said(len(page) + size(F.col("data")), 6)), two, four(F.lit(0)), two, four(F.lit(0)), two, two, two, two, F.lit(b"\0\1"))
+    shared_told = F.concat(four(F.lit(0)), four(F.lit(0)), four(F.lit(2)), four(F.lit(2)), two, four(F.lit(0)), F.lit(b"\0\x20"), four(F.lit(len(page))), four(size(F.col("data"))), F.lit(b"\0"))
+    hint = F.concat(bytes_of(lead(place)), pages_told, shared_told, F.lit(b"\nendstream\nendobj\n"))
+    line = lambda c: F.concat(ten(c), F.lit(" 00000 n \n"))
+    last = F.concat(F.lit("xref\n0 2\n0000000000 65535 f \n"), line(tree_at), F.lit(f"trailer\n<</Size 2>>\nstartxref\n{at['first']}\n%%EOF\n"))
+    whole = said(table_at + F.length(last), 9)
+    main = F.when(F.col("fault") == 5, table_at + 48).otherwise(table_at + 8)
+    claims = spelled("2 0 obj\n<</Linearized 1/L ", ten(whole), f"/H[{hint_at:010d} ", ten(said(F.lit(hint_size), 4)), "]/O ", said(F.lit(5), 2).cast("string"), "/E ", ten(said(tree_at, 3, 8)), "/N ", said(F.lit(1), 1, 8).cast("string"), "/T ", ten(main), ">>")
+    claims = F.concat(claims, F.lit(b"\n"), F.lit(b" " * (126 - 8 - CLAIMS)), F.lit(b"endobj\n"))
+    numbers = F.concat(F.lit("xref\n2 5\n"), line(F.lit(at["head"])), line(F.lit(at["top"])), line(F.lit(hint_at)), line(F.lit(page_at)), line(F.lit(data_at)))
+    first = spelled(numbers, "trailer\n<</Root 3 0 R/Size 7/Prev ", ten(table_at), ">>\nstartxref\n0\n%%EOF\n")
+    content = F.concat(F.lit(b"%PDF-1.7\n"), claims, first, F.lit(top), hint, F.lit(page), F.col("data"), F.lit(tree), bytes_of(last))
+    return rows.select("file_id", content.alias("content"))
+
+
+#: The bytes of the parameter dictionary in linearized_files.
+CLAIMS = len("2 0 obj\n<</Linearized 1/L 0000000000/H[0000000000 0000000000]/O 5/E 0000000000/N 1/T 0000000000>>")
+
+
+@query("SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'sound' WHEN 1 THEN 'page count' WHEN 2 THEN 'first page' WHEN 3 THEN 'first page end' WHEN 4 THEN 'hint stream length' WHEN 5 THEN 'main table place' WHEN 6 THEN 'page length' WHEN 7 THEN 'shared table place' WHEN 8 THEN 'first page end, page count' ELSE 'length changed since' END AS findings FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL")
+def h2_deep_check(spark, sf_dir):
+    """A linearized file of each whole text, nine of ten with a false claim or two."""
+    own = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select(F.col("doc_id").cast("string").alias("file_id"), F.encode("text", "UTF-8").alias("b"), F.pmod("doc_id", F.lit(10)).alias("fault"))
+    files = settled(linearized_files(own))
+    wrong = linear_check.deep_check(files).groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("finding")), ", ").alias("findings"))
+    return files.select("file_id").join(wrong, "file_id", "left").select(F.col("file_id").cast("long").alias("doc_id"), F.coalesce("findings", F.lit("sound")).alias("findings"))
