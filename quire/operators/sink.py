@@ -120,6 +120,13 @@ def renumbered(objects: DataFrame, groups: DataFrame) -> DataFrame:
     own = objects.withColumn("rn", F.row_number().over(Window.partitionBy("file_id").orderBy("num"))).join(before, "file_id").withColumn("new", F.col("before") + F.col("rn"))
     names = own.select("file_id", "num", "new")
     refs = own.select("file_id", "num", F.explode("refs").alias("r")).select("file_id", "num", F.col("r.num").alias("to")).distinct()
+    done = rewritten(own, refs, names)
+    return done.select(F.col("into").alias("file_id"), F.col("file_id").alias("of"), F.col("num").alias("old"), F.col("new").alias("num"), "body", "raw")
+
+
+def rewritten(objects: DataFrame, refs: DataFrame, names: DataFrame) -> DataFrame:
+    """objects whose bodies refer to new numbers: refs (file_id, num, to) are their references, names has file_id, num, new; what has no
+    new number becomes null."""
     told = refs.join(names.select("file_id", F.col("num").alias("to"), F.col("new").alias("to_new")), ["file_id", "to"], "left")
     told = told.groupBy("file_id", "num").agg(F.collect_list(F.struct("to", "to_new")).alias("told"))
 
@@ -141,5 +148,4 @@ def renumbered(objects: DataFrame, groups: DataFrame) -> DataFrame:
 
         return format_value(swap(parse(bytes(body))[0]))
 
-    done = own.join(told, ["file_id", "num"], "left").withColumn("body", F.udf(rewrite, "binary", useArrow=True)("body", "told"))
-    return done.select(F.col("into").alias("file_id"), F.col("file_id").alias("of"), F.col("num").alias("old"), F.col("new").alias("num"), "body", "raw")
+    return objects.join(told, ["file_id", "num"], "left").withColumn("body", F.udf(rewrite, "binary", useArrow=True)("body", "told")).drop("told")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import values
 from quire.functions.filters import decode_filter, decode_streams, permissions, text_string
-from quire.operators import graph, linear, linear_check, lookup, objects, pages, security, signatures, sink
+from quire.operators import graph, linear, linear_check, linear_sink, lookup, objects, pages, security, signatures, sink
 from quire.operators.sink import bytes_of, deflated, stream_body
 from quire.plans.rounds import settled
 
@@ -938,3 +938,20 @@ def h2_deep_check(spark, sf_dir):
     files = settled(linearized_files(own))
     wrong = linear_check.deep_check(files).groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("finding")), ", ").alias("findings"))
     return files.select("file_id").join(wrong, "file_id", "left").select(F.col("file_id").cast("long").alias("doc_id"), F.coalesce("findings", F.lit("sound")).alias("findings"))
+
+
+@query(SHOWN.replace(" FROM documents", ", CAST(0 AS BIGINT) AS findings FROM documents"))
+def h8_linearized_files(spark, sf_dir):
+    """Packed files, whose pages share three fonts, written linearized: what the pages show, and what the deep check finds."""
+    own = paged(spark, sf_dir)
+    objs = page_objects(own)
+    n = own.groupBy("file_id").agg(F.count("*").alias("n"))
+    font = F.concat((2 * F.col("n") + 3 + F.floor(F.col("num") / 2) % 3).cast("string"), F.lit(" 0 R"))
+    fonted = F.regexp_replace(F.decode("body", "ISO-8859-1"), "/Type/Page>>", F.concat(F.lit("/Resources<</Font<</F1 "), font, F.lit(">>>>/Type/Page>>")))
+    is_leaf = (F.col("num") > 2) & (F.col("num") % 2 == 1)
+    objs = objs.join(n, "file_id").withColumn("body", F.when(is_leaf, bytes_of(fonted)).otherwise(F.col("body"))).drop("n")
+    fonts = n.select("file_id", F.explode(F.transform(F.array(*map(F.lit, range(3))), lambda k: F.col("n") * 2 + 3 + k)).alias("num"), F.lit(b"<</BaseFont/Courier/Subtype/Type1/Type/Font>>").alias("body"), none().alias("raw"))
+    files = sink.write_packed(objs.unionByName(fonts), roots(own))
+    new = settled(linear_sink.linearize(*objects.opened(files)))
+    wrong = linear_check.deep_check(new).groupBy("file_id").agg(F.count("*").alias("findings"))
+    return shown(new).join(wrong, "file_id", "left").withColumn("findings", F.coalesce("findings", F.lit(0).cast("long")))
