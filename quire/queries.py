@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import values
 from quire.functions.filters import decode_filter, decode_streams, permissions, text_string
-from quire.operators import graph, linear, linear_check, linear_sink, lookup, objects, pages, security, signatures, sink
+from quire.operators import extract, graph, linear, linear_check, linear_sink, lookup, objects, pages, security, signatures, sink
 from quire.operators.sink import bytes_of, deflated, stream_body
 from quire.plans.rounds import settled
 
@@ -533,6 +533,38 @@ def w6_merged_files(spark, sf_dir):
     return counts.join(kids.select("file_id", F.col("n").alias("sources")), "file_id").select(F.col("file_id").cast("long").alias("block"), "pages", "texts", "sources")
 
 
+def linked_files(spark, sf_dir) -> DataFrame:
+    """As source_files, packed, with a font that pages take from above, links to the next page, and what only the catalogue leads to."""
+    own = paged(spark, sf_dir)
+    counts = own.groupBy("file_id").agg(F.count("*").alias("n"))
+    more = own.join(counts, "file_id").where("k < n").select("file_id", (2 * F.col("k") + 1).alias("num"), bytes_of(F.concat(F.lit("/Annots[<</A<</D["), (2 * F.col("k") + 3).cast("string"), F.lit(" 0 R/Fit]/S/GoTo>>/Subtype/Link>>]"))).alias("link"))
+    plain = page_objects(own).join(more, ["file_id", "num"], "left")
+    said = F.when(F.col("num") == 1, F.lit(b"/Names 2000000002 0 R")).when(F.col("num") == 2, F.lit(b"/Resources 2000000000 0 R")).otherwise(F.coalesce("link", F.lit(b"")))
+    plain = plain.select("file_id", "num", F.concat(F.lit(b"<<"), said, F.expr("substring(body, 3)")).alias("body"), "raw")
+    shared = F.array(*[F.struct(F.lit(n).cast("long").alias("num"), F.lit(b).alias("body")) for n, b in ((2_000_000_000, b"<</Font<</F1 2000000001 0 R>>>>"), (2_000_000_001, b"<</Type/Font>>"), (2_000_000_002, b"(not for pages)"))])
+    made = plain.unionByName(counts.select("file_id", F.explode(shared).alias("o")).select("file_id", "o.*", none().alias("raw")))
+    return sink.write_packed(made, roots(own))
+
+
+@query("""WITH d AS (SELECT *, source || '/' || (doc_id // 1000) AS f, (doc_id // 1000) || '/' || (doc_id % 3) AS file_id FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY doc_id) AS k, lead(file_id) OVER (PARTITION BY f ORDER BY doc_id) AS next FROM d),
+  c AS (SELECT file_id, count(*) AS n, count(DISTINCT f) AS sources FROM d GROUP BY 1)
+  SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY k.k DESC, f) AS INTEGER) AS page_no, md5(text) AS md5, coalesce(next = file_id, false) AS linked, CAST(1 + ceil(n / 256) + CASE WHEN n > 256 THEN 1 ELSE 0 END + 2 * n + 2 * sources AS BIGINT) AS objects FROM k JOIN c USING (file_id)""")
+def w6_page_extracts(spark, sf_dir):
+    """Three new files a block, of pages of all its sources, dealt by id and put in falling order: what each page shows, whether its
+    link still leads to a page, and how many objects the file has in all."""
+    own = paged(spark, sf_dir)
+    chosen = own.select("file_id", F.col("k").cast("int").alias("page_no"), F.concat(F.floor(F.col("doc_id") / BLOCK).cast("string"), F.lit("/"), F.pmod("doc_id", F.lit(3)).cast("string")).alias("into"), (-F.col("k")).alias("place"))
+    made, top = extract.extract(*objects.opened(linked_files(spark, sf_dir)), chosen)
+    objs, documents = objects.opened(sink.write_plain(made, top))
+    found = settled(pages.pages(objs, documents))
+    link = objects.ref_number(F.regexp_extract(F.col("entries")["Annots"], r"/D *\[(\d+ 0 R)", 1))
+    ends = found.select("file_id", F.col("num").alias("to"), F.lit(True).alias("linked"))
+    linked = found.select("file_id", "page_no", link.alias("to")).join(ends, ["file_id", "to"], "left").select("file_id", "page_no", F.coalesce("linked", F.lit(False)).alias("linked"))
+    counts = objs.groupBy("file_id").agg(F.count("*").alias("objects"))
+    return shown_on(found, objs).join(linked, ["file_id", "page_no"]).join(counts, "file_id").select("file_id", "page_no", "md5", "linked", "objects")
+
+
 def _order_file(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A file a block of orders: a page an order, an object a part, which the orders that have it share."""
     items = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 100).cast("string").alias("file_id"), "l_orderkey", "l_partkey").distinct()
