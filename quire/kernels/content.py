@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from .codecs import decode
 from .syntax import WORDS, Keyword, Name, PdfError, parse, skip, token
@@ -67,11 +68,17 @@ def _image(data: bytes, at: int) -> tuple[dict, bytes, int]:
 
 def operations(data: bytes) -> tuple[list[dict], str | None]:
     """Operators with their operands, in order, and the first thing that was wrong."""
-    out, held, problem, at, start = [], [], None, 0, None
+    rows = list(each_operation(data))
+    return [r for r in rows if r["operator"] is not None], rows[-1]["problem"] if rows and rows[-1]["operator"] is None else None
+
+
+def each_operation(data: bytes) -> Iterator[dict]:
+    """Operators with their operands, as they are found; if something was wrong, a last row without an operator tells the first such thing."""
+    held, problem, at, start = [], None, 0, None
     while True:
         at = skip(data, at)
         if at >= len(data):
-            return out, problem
+            break
         start = at if start is None else start
         try:
             if data[at] in b"[<" or data[at] in b"(/+-.0123456789":
@@ -86,16 +93,19 @@ def operations(data: bytes) -> tuple[list[dict], str | None]:
         if isinstance(word, Keyword) and word in WORDS:
             held.append(WORDS[word])
             continue
-        row = {"operator": bytes(word).decode("latin-1"), "operands": held, "start": start, "end": at, "image": None}
+        row = {"operator": bytes(word).decode("latin-1"), "operands": held, "start": start, "end": at, "image": None, "problem": None}
         if word == b"BI":
             try:
                 entries, raw, at = _image(data, at)
             except PdfError as e:
-                return out, problem or str(e)
+                problem = problem or str(e)
+                break
             row |= {"end": at, "image": (entries, raw)}
         elif not isinstance(word, Keyword) or word in (b">>", b"]", b"}", b"{", b")", b">"):
             problem = problem or f"unexpected {word!r}"
             held, start = [], None
             continue
-        out.append(row)
+        yield row
         held, start = [], None
+    if problem:
+        yield {"operator": None, "operands": [], "start": at, "end": at, "image": None, "problem": problem}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from quire.functions.filters import decode_streams, without_strings
 from quire.kernels import content as kernel
@@ -15,7 +18,9 @@ from quire.plans.rounds import settled
 #: What pages take from the nodes above them.
 INHERITED = ("Resources", "MediaBox", "CropBox", "Rotate")
 DEEPEST = 64
-OPERATIONS = "struct<ops: array<struct<operator: string, operands: array<string>, start: int, end: int, image: string, image_data: binary>>, problem: string>"
+OPERATION = "op_seq int, operator string, operands array<string>, start int, end int, image string, image_data binary, problem string"
+#: Rows that go on together, and the bytes that they may come to before.
+BATCH, BATCH_BYTES = 512, 1 << 22
 
 
 def page_nodes(objects: DataFrame, documents: DataFrame) -> DataFrame:
@@ -87,21 +92,61 @@ def numbers(spelled: Column) -> Column:
     return F.transform(F.regexp_extract_all(without_strings(F.coalesce(spelled, F.lit(""))), F.lit(r"(\d+) \d+ R"), F.lit(1)), lambda n: n.cast("long"))
 
 
-def _operations(data: bytes | None) -> dict:
-    ops, problem = kernel.operations(bytes(data or b""))
-    rows = []
-    for o in ops:
+def operation_rows(data: bytes | None) -> Iterator[dict]:
+    for seq, o in enumerate(kernel.each_operation(bytes(data or b""))):
         image = o["image"]
-        rows.append({"operator": o["operator"], "operands": [text_of(x) for x in o["operands"]], "start": o["start"], "end": o["end"], "image": text_of(kernel.expanded(image[0])) if image else None, "image_data": image[1] if image else None})
-    return {"ops": rows, "problem": problem}
+        yield {"op_seq": seq, "operator": o["operator"], "operands": [text_of(x) for x in o["operands"]], "start": o["start"], "end": o["end"], "image": text_of(kernel.expanded(image[0])) if image else None, "image_data": image[1] if image else None, "problem": o["problem"]}
+
+
+def operations(content: DataFrame, problems: bool = False) -> DataFrame:
+    """The columns of content but `content`, and op_seq, operator, operands (spelled), start, end, image (its dictionary with long keys), image_data.
+
+    Rows go on as they are found, so that the operations of a page are never held as one value. With problems, of each content in which
+    something was wrong a last row without an operator tells the first such thing, in the column problem.
+    """
+    keep = [f for f in content.schema if f.name != "content"]
+    schema = StructType([*keep, *_parse_datatype_string(OPERATION)])
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        own = pa.schema(list(arrow)[len(keep) :])
+
+        def with_kept(batch, taken: list[int], some: list[dict]):
+            # what is kept is taken by place in Arrow, whatever its type
+            made = pa.RecordBatch.from_pylist(some, own)
+            kept = [batch.column(k).take(pa.array(taken, pa.int32())).cast(arrow.field(k).type) for k in range(len(keep))]
+            return pa.RecordBatch.from_arrays([*kept, *made.columns], schema=arrow)
+
+        for batch in batches:
+            taken, some, size = [], [], 0
+            for k, data in enumerate(batch.column(len(keep))):
+                for row in operation_rows(data.as_py()):
+                    taken.append(k), some.append(row)
+                    size += sum(map(len, row["operands"])) + len(row["image_data"] or b"")
+                    if len(some) == BATCH or size > BATCH_BYTES:
+                        yield with_kept(batch, taken, some)
+                        taken, some, size = [], [], 0
+            if some:
+                yield with_kept(batch, taken, some)
+
+    made = content.select(*[f.name for f in keep], "content").mapInArrow(read, schema)
+    return made if problems else made.where("operator is not null").drop("problem")
+
+
+class ContentOperations:
+    """The table function content_operations(content), as SQL calls it: a row for each operation, as operations() gives them, problems included."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        for row in operation_rows(content):
+            yield tuple(row.values())
 
 
-def operations(content: DataFrame) -> DataFrame:
-    """The columns of content but `content`, and op_seq, operator, operands (spelled), start, end, image (its dictionary with long keys), image_data."""
-    made = content.withColumn("_o", F.udf(_operations, OPERATIONS, useArrow=True)("content"))
-    keep = [c for c in content.columns if c != "content"]
-    each = made.select(*keep, F.posexplode("_o.ops").alias("op_seq", "o"))
-    return each.select(*keep, "op_seq", "o.*")
+def register(spark: SparkSession) -> None:
+    """Makes content_operations callable from SQL, after LATERAL for the content of each row."""
+    spark.udtf.register("content_operations", F.udtf(ContentOperations, returnType=OPERATION))
 
 
 def pushed_down(found: DataFrame, objects: DataFrame) -> DataFrame:

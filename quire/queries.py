@@ -304,6 +304,16 @@ def c1_operations(spark, sf_dir):
     return shown(source_files(spark, sf_dir))
 
 
+@query(SHOWN)
+def c1_lateral_operations(spark, sf_dir):
+    """The strings that pages show, by the table function of operations in SQL."""
+    pages.register(spark)
+    objs, documents = objects.opened(source_files(spark, sf_dir))
+    found = pages.contents(pages.pages(objs, documents), objs)
+    ops = spark.sql("SELECT file_id, page_no, o.operands[0] AS operand FROM {pages}, LATERAL content_operations(content) o WHERE o.operator = 'Tj'", pages=found.select("file_id", "page_no", "content"))
+    return ops.select("file_id", "page_no", F.md5(values.to_bytes(F.col("operand"))).alias("md5"))
+
+
 @query(SHOWN)
 def s10_packed_files(spark, sf_dir):
     return shown(source_files(spark, sf_dir, packed=True))
