@@ -5,8 +5,8 @@ ending with either. A dynamic program over that automaton reads the turns in ord
 its role, to relabel it, or to merge it into the message before it; where that leaves a gap, an empty message of
 the missing role goes in. The cheapest choice wins, of equally cheap ones the first in a fixed order.
 
-Turns are range-partitioned by (conv_id, turn) into parts of about PART rows, so that a conversation of any length
-is spread over tasks. A conversation inside one part is repaired there. Of those at a part's ends, two a part, each
+Turns are range-partitioned by (conv_id, turn) and cut into parts of at most PART rows and PART_CHARS characters, so that a
+conversation of any length is spread over tasks. A conversation inside one part is repaired there. Of those at a part's ends, two a part, each
 part gives a table of least costs from any state before its turns to any after them. Those tables are chained by
 conversation, one row for PART turns, which gives each part the states to start and end with.
 """
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ship, stage, table
@@ -29,6 +29,8 @@ RELABEL, MERGE, MERGE_RELABEL, INSERT = 4.0, 1.0, 5.0, 2.0
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
 PART = 20_000
 PART_CHARS = 1 << 24
+#: Characters of a text that turns of equal number and role go by.
+PREFIX = 64
 
 
 def _inserted(state: int, role: int) -> int | None:
@@ -152,27 +154,38 @@ def _settled(group: pd.DataFrame) -> pd.DataFrame:
     return group[["conv_id", "turn", "position", "role", "text"]].assign(action=actions, new_role=roles, inserted=inserted, rendered=rendered)
 
 
+def _cut(rows: DataFrame, part: int) -> DataFrame:
+    """rows with their part cut anew where it has more than `part` rows or PART_CHARS characters; only a text beyond that alone makes a
+    longer one. A running sum over lengths tells the first positions, a few for each part, and texts are not moved for it."""
+    before = Window.partitionBy("part").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    chars, count = (F.coalesce(c.over(before), F.lit(0)) for c in (F.sum("size"), F.count("*")))
+    sums = rows.select("part", "position", F.coalesce(F.length("text"), F.lit(0)).alias("size")).select("part", "position", (F.floor(chars / PART_CHARS) + F.floor(count / part)).alias("sub"))
+    firsts = sums.groupBy("part", "sub").agg(F.min("position").alias("at")).groupBy("part").agg(F.array_sort(F.collect_list("at")).alias("firsts"))
+    sub = F.size(F.filter("firsts", lambda at: at <= F.col("position"))).cast("long")
+    return rows.join(firsts, "part").withColumn("part", F.shiftleft(F.col("part").cast("long"), 32) + sub).drop("firsts")
+
+
 def repaired(turns: DataFrame, part: int = PART) -> DataFrame:
     """conv_id, turn, position, role, text, and action (keep, relabel, merge), new_role, inserted (the role of an empty
     message put before, or null) and rendered: the turn's piece of the formatted conversation, which is the pieces of
     a conv_id joined in the order of position.
 
-    Turns go by turn, then role, then text, nulls first; rows that are equal all count. Rows of null conv_id form a
-    conversation of their own; a null or strange role may become any; a null text is empty. Texts of any
-    length stay whole; parts have about `part` rows and about PART_CHARS characters. An empty table gives no rows; other
-    columns are not looked at.
+    Turns go by turn, then role, then the first PREFIX characters of the text, nulls first, then its hash; rows that are equal all
+    count. Rows of null conv_id form a conversation of their own; a null or strange role may become any; a null text is empty. Texts
+    of any length stay whole; parts have at most `part` rows, and PART_CHARS characters before their last text. An empty table gives no
+    rows; other columns are not looked at.
     """
     spark = turns.sparkSession
     ship(spark)
     given = turns.select("conv_id", "turn", "role", "text", F.concat(F.when(F.col("conv_id").isNull(), "").otherwise("="), F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).alias("conv"))
-    keys = ["conv", "turn", "role", "text", "_tie"]
+    keys = ["conv", "turn", "role", F.substring("text", 1, PREFIX), F.xxhash64("text"), "_tie"]
     size = given.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["rows"] // part), -(-size["chars"] // PART_CHARS))
     dealt = given.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_tie")
     # written, so that parts and positions stay what they are
-    rows = stage(dealt.withColumn("part", F.spark_partition_id()).withColumn("position", F.monotonically_increasing_id()), "turns")
-    edges = rows.select("part", "position", "conv", "role").groupBy("part").applyInPandas(_edges, "conv string, part int, costs array<double>")
-    ends = edges.groupBy("conv").applyInPandas(_ends, "part int, conv string, first int, last int, final boolean")
+    rows = _cut(stage(dealt.withColumn("part", F.spark_partition_id()).withColumn("position", F.monotonically_increasing_id()), "turns"), part)
+    edges = rows.select("part", "position", "conv", "role").groupBy("part").applyInPandas(_edges, "conv string, part long, costs array<double>")
+    ends = edges.groupBy("conv").applyInPandas(_ends, "part long, conv string, first int, last int, final boolean")
     ends = ends.groupBy("part").agg(F.collect_list(F.struct("conv", "first", "last", "final")).alias("ends"))
     fields = {f.name: f.dataType.simpleString() for f in turns.schema.fields}
     kind = f"conv_id {fields['conv_id']}, turn {fields['turn']}, position long, role string, text string, action string, new_role string, inserted string, rendered string"

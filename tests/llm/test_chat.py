@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from quire.llm import chat as C
 
 TURNS = "conv_id long, turn long, role string, text string, part string"
@@ -75,3 +76,38 @@ def test_one_conversation_over_many_parts(spark):
     roles = np.array([C.role_number(r[2]) for r in rows])
     assert check(got) == C.least_costs(roles)[C.START].min()
     assert C.repaired(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_long_texts_are_cut_into_parts(spark, monkeypatch):
+    """Long texts side by side in few rows: no part has more characters than the bound before its last text."""
+    monkeypatch.setattr(C, "PART_CHARS", 5000)
+    rng = random.Random(10)
+    long = [(7, t, rng.choice(["user", "assistant"]), f"{t} " + "y" * rng.choice([10, 900, 20_000]), "p") for t in range(60)]
+    rows = [(c, 0, "user", "short", "p") for c in range(40)] + long
+    df = spark.createDataFrame(rows, TURNS)
+    placed = C.stage(df.select("*", F.lit(0).alias("part_"), F.monotonically_increasing_id().alias("position")).drop("part").withColumnRenamed("part_", "part"), "placed")
+    parts = defaultdict(list)
+    for r in C._cut(placed, 25).orderBy("position").collect():
+        parts[r.part].append(len(r.text))
+    assert len(parts) > 15 and all(sum(p[:-1]) < 5000 and len(p) <= 25 for p in parts.values()) and list(parts) == sorted(parts)
+    got = C.repaired(df, part=25).where("conv_id = 7").orderBy("position").collect()
+    assert [r.turn for r in got] == sorted([0, *range(60)])
+    states = np.array([C.role_number(r.role) for r in got])
+    assert check(got) == C.least_costs(states)[C.START].min()
+    assert "".join(r.rendered for r in got).count("y") == sum(r[3].count("y") for r in long)
+
+
+def test_query_has_every_turn(spark, tmp_path):
+    """The registered query against the whole table: each row once, and each conversation at its least cost."""
+    rng = random.Random(11)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None, "bot"]), rng.choice([None, "", "a" * 70 + str(t), "a" * 70 + "x"]), "p") for c in range(30) for t in range(rng.randrange(1, 7))]
+    rows += rows[:5]
+    spark.createDataFrame(rows, TURNS).write.parquet(f"{tmp_path}/conversations.parquet")
+    by = defaultdict(list)
+    for r in C.op2_chat_formatting(spark, str(tmp_path)).orderBy("position").collect():
+        by[r.conv_id].append(r)
+    for conv in range(30):
+        own = [r for r in rows if r[0] == conv]
+        assert sorted((r.turn, r.role or "") for r in by[conv]) == sorted((r[1], r[2] or "") for r in own)
+        assert check(by[conv]) == C.least_costs(np.array([C.role_number(r.role) for r in by[conv]]))[C.START].min()
+        assert sum(r.rendered.count("a" * 70) for r in by[conv]) == sum((r[3] or "").startswith("a") for r in own)
