@@ -25,7 +25,8 @@ CLASSES, PER_CLASS, RARE = 64, 64, 16
 ALL = CLASSES + RARE
 #: Hash rows of the class features and of the word features.
 ROWS = 1 << 14
-BATCH = 1 << 15
+#: Contexts whose gradients are summed together, and tokens that are scored together, so few that a core's cache holds them.
+BATCH, SCORED = 1 << 15, 1 << 12
 #: Shares of the documents, in sixteenths, by round: steps are cheap while the weights are far off.
 ROUNDS = (1, 1, 2, 4, 8)
 #: Of a step: its length, what is added to the curvature, and the most that a weight moves.
@@ -131,27 +132,57 @@ def word_features(cls: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> l
 
 
 def _logits(table: np.ndarray, bias: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
-    z = table[features[0]] + bias
+    """A start at logarithms of shares and at most MOST a round for each of a few features: far from where exp leaves single precision."""
+    z = table[features[0]]
+    z += bias
     for f in features[1:]:
         z += table[f]
-    z -= z.max(axis=1, keepdims=True)
     return z
 
 
+def _totals(z: np.ndarray) -> np.ndarray:
+    """The sum of each row."""
+    return np.einsum("ij->i", z)
+
+
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones."""
+    order = np.argsort(key)
+    new = np.concatenate([[False], key[order[1:]] != key[order[:-1]]]) if len(key) else order
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def _grouped(rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the tokens of BATCH distinct keys at a time: one token of each key, all tokens, the number of each one's key here, and how many a key has."""
+    sizes = np.bincount(rank)
+    order, ends = np.argsort(rank), np.concatenate([[0], np.cumsum(sizes)])
+    for at in range(0, len(sizes), BATCH):
+        size = sizes[at : at + BATCH]
+        members = order[ends[at] : ends[at + len(size)]]
+        yield order[ends[at : at + len(size)]], members, np.repeat(np.arange(len(size)), size), size
+
+
+def _by_context(before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """The rank of the two words before each token; their hashes have 32 bits. A softmax is the same for all tokens of a rank."""
+    return _ranked(before << np.uint64(32) | earlier)
+
+
 def log_probability(w: Weights, v: Vocabulary, cls: np.ndarray, place: np.ndarray, count: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     """log10 of each token's probability."""
     out = np.empty(len(cls))
-    for at in range(0, len(cls), BATCH):
-        s = slice(at, at + BATCH)
+    for at in range(0, len(cls), SCORED):
+        s = slice(at, at + SCORED)
         z = _logits(w.classes, w.classes[ROWS], class_features(before[s], earlier[s]))
         own = z[np.arange(len(z)), cls[s]]
-        out[s] = own - np.log(np.exp(z, out=z).sum(axis=1))
+        out[s] = own - np.log(_totals(np.exp(z, out=z)))
         often = at + np.flatnonzero(place[s] >= 0)
         if len(often):
             c = cls[often]
             z = _logits(w.words, w.words[ROWS + c], word_features(c, before[often], earlier[often]))
             own = z[np.arange(len(z)), place[often]]
-            out[often] += own - np.log(np.exp(z, out=z).sum(axis=1))
+            out[often] += own - np.log(_totals(np.exp(z, out=z)))
     rare = place < 0
     r = cls[rare] - CLASSES
     out[rare] += np.log((count[rare] + 0.5) / (v.rare_tokens[r] + 0.5 * (v.rare_types[r] + 1)))
@@ -167,42 +198,46 @@ class Sums:
         self.used = {name: np.zeros(len(getattr(w, name))) for name in w.PARTS}
         self.tokens = 0
 
-    def _scatter(self, name: str, features: list[np.ndarray], g: np.ndarray) -> None:
-        """Adds g to the rows of each of the features, a column at a time, which is far faster than row by row."""
-        flat = np.concatenate(features)
-        used = np.bincount(flat, minlength=len(self.used[name]))
+    def _scatter(self, name: str, features: list[np.ndarray], g: np.ndarray, size: np.ndarray) -> None:
+        """Adds g to the rows of each of the features, a column at a time, which is far faster than row by row; size is how many tokens each row of g stands for."""
+        many = len(self.used[name])
+        used = sum(np.bincount(f, size, many) for f in features)
         rows = np.flatnonzero(used)
-        place = np.empty(len(used), np.int64)
+        place = np.empty(many, np.int64)
         place[rows] = np.arange(len(rows))
-        at = place[flat]
+        at = [place[f] for f in features]
         out = np.empty((g.shape[1], len(rows)))
         for k, column in enumerate(np.ascontiguousarray(g.T, np.float64)):
-            out[k] = np.bincount(at, np.tile(column, len(features)), len(rows))
+            out[k] = np.bincount(at[0], column, len(rows))
+            for x in at[1:]:
+                out[k] += np.bincount(x, column, len(rows))
         self.gradient[name][rows] += out.T
         self.used[name][rows] += used[rows]
 
     def add(self, cls: np.ndarray, place: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> None:
         w = self.w
-        for at in range(0, len(cls), BATCH):
-            s = slice(at, at + BATCH)
-            features = class_features(before[s], earlier[s])
-            g = self._residual(_logits(w.classes, w.classes[ROWS], features), cls[s])
-            self._scatter("classes", features, g)
+        rank = _by_context(before, earlier)
+        for first, members, of, size in _grouped(rank):
+            features = class_features(before[first], earlier[first])
+            g = self._residual(_logits(w.classes, w.classes[ROWS], features), of, size, cls[members])
+            self._scatter("classes", features, g, size)
             self.gradient["classes"][ROWS] += g.sum(axis=0)
-            self.used["classes"][ROWS] += len(g)
-            often = at + np.flatnonzero(place[s] >= 0)
-            if len(often):
-                c = cls[often]
-                features = word_features(c, before[often], earlier[often])
-                g = self._residual(_logits(w.words, w.words[ROWS + c], features), place[often])
-                self._scatter("words", [*features, ROWS + c], g)
-            self.tokens += len(cls[s])
+            self.used["classes"][ROWS] += len(members)
+        often = np.flatnonzero(place >= 0)
+        for one, all_, of, size in _grouped(_ranked(rank[often] * CLASSES + cls[often])):
+            first = often[one]
+            c = cls[first]
+            features = word_features(c, before[first], earlier[first])
+            g = self._residual(_logits(w.words, w.words[ROWS + c], features), of, size, place[often[all_]])
+            self._scatter("words", [*features, ROWS + c], g, size)
+        self.tokens += len(cls)
 
     @staticmethod
-    def _residual(z: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+    def _residual(z: np.ndarray, of: np.ndarray, size: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        """Of each distinct context the outcomes observed less those expected of as many tokens."""
         np.exp(z, out=z)
-        z /= -z.sum(axis=1, keepdims=True)
-        z[np.arange(len(z)), outcome] += 1
+        z *= (-size / _totals(z))[:, None].astype(z.dtype)
+        np.add.at(z.reshape(-1), of * z.shape[1] + outcome, z.dtype.type(1))
         return z
 
 
