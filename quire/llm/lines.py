@@ -5,18 +5,21 @@ hashed character shingles; bands of four minima bring candidates together; the c
 similarity is computed exactly from their whole shingle sets; and a distributed union-find keeps the
 first line, by doc_id and place, of every component.
 
-A line is first held against one leader of its buckets, LEADERS times, which joins most copies to components at
-the cost of a row each; the first leader is the line that shares its bands with the most others, as the middle of a group of
-copies does. Then every pair of a bucket that is not in one component yet is compared, the lines outside of the largest
-component against blocks of all. Only pairs whose signatures agree so little that they are unlike, but for one in a million, are spared the
-comparison; those in one component can't change it.
+A line is first held against one leader of its buckets, which joins most copies to components at the cost of a row each; the
+leader is the line that shares its bands with the most others, as the middle of a group of copies does. Then the members of a bucket
+are dealt over blocks and compared within their own, which joins what lies far from the leader at the cost of a block's pairs
+a line. At last every pair of a bucket that is not in one component yet is held against each other, the lines outside of the
+leader's component against blocks of all. In blocks the sizes of shingle sets are compared, and bitmaps of these that differ in no more
+bits than the sets do in shingles; only pairs that these can't tell to be unlike become rows, once each, and are compared whole. Besides,
+pairs whose signatures agree so little that they are unlike, but for one in a million, are spared the comparison; those in one component
+can't change it.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop, forget, laid_out, narrow, stage, table
@@ -36,8 +39,10 @@ BANDS = [[(g + m * i) % GROUPS * PER_BAND + i for i in range(PER_BAND)] for m in
 TAGS, AGREE = 32, 18
 #: Shingles that one row stands for while signatures are made.
 STEP = 8
-#: Leaders that a bucket has before all its pairs are compared, and the members of a block then.
-LEADERS, BLOCK = 2, 256
+#: Members of a block when lines are compared within their own, and when all pairs are compared.
+OWN, BLOCK = 32, 256
+#: Longs of the bitmap that stands for a shingle set in blocks.
+WORDS = 16
 #: Lines with fewer characters, which are the empty ones, are never held to be copies.
 SHORTEST = 1
 
@@ -88,7 +93,8 @@ def _signed(texts: DataFrame) -> DataFrame:
     chars = texts.select("id", F.encode("line", "UTF-32").alias("u"), F.greatest(F.length("line") - SHINGLE, F.lit(0)).alias("last"))
     each = chars.select("id", "u", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(STEP))).alias("p"))
     cut = [F.substring("u", F.least(F.col("p") + k, F.col("last")) * 4 + 1, F.lit(4 * SHINGLE)).alias(f"s{k}") for k in range(STEP)]
-    hashed = each.select("id", *cut).select("id", *[F.xxhash64(f"s{k}", F.lit(j)).alias(f"h{k}_{j}") for k in range(STEP) for j in (0, 1)])
+    first = each.select("id", *cut).select("id", *[F.xxhash64(f"s{k}").alias(f"h{k}_0") for k in range(STEP)])
+    hashed = first.select("*", *[F.xxhash64(f"h{k}_0").alias(f"h{k}_1") for k in range(STEP)])
     minima = hashed.groupBy("id").agg(*[F.min(F.least(*[F.col(f"h{k}_{m % 2}").bitwiseXOR(_constant(m)) for k in range(STEP)])).alias(f"m{m}") for m in range(LANES)])
     bands = [F.xxhash64(F.lit(b), *[F.col(f"m{m}") for m in lanes]) for b, lanes in enumerate(BANDS)]
     tags = reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{m}").bitwiseAND(F.lit(3)), 2 * m) for m in range(TAGS)])
@@ -115,8 +121,7 @@ def _members(signed: DataFrame) -> DataFrame:
     parts = []
     for k in range(len(SLOPES)):
         each = signed.select("id", F.explode(F.slice("bands", k * GROUPS + 1, GROUPS)).alias("bucket"))
-        shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        parts.append(stage(each.join(shared, "bucket"), "shared"))
+        parts.append(stage(each.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"), "shared"))
         forget(signed.sparkSession)
     every = reduce(DataFrame.unionByName, parts)
     scores = every.groupBy("id").agg(F.sum("n").alias("score")).join(signed.select("id", "tags"), "id")
@@ -132,58 +137,81 @@ def _possible(x: Column, y: Column) -> Column:
     return F.bit_count(pairs) <= TAGS - AGREE
 
 
-def _mixed(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """members with the root of their component so far, in the buckets that have members of several components."""
-    if links is None:
-        return members.withColumn("root", F.col("id"))
+def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with the root of their component so far, in the buckets that have members of several components. Of two
+    members only those that may be similar."""
     groups = components(links, "a", "b")
     rooted = stage(members.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    told = [F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("tags", "id").alias("x"), F.max_by("tags", "id").alias("y")]
+    several = rooted.groupBy("bucket").agg(*told).where((F.col("low") < F.col("high")) & ((F.col("k") > 2) | _possible(F.col("x"), F.col("y")))).select("bucket")
     found = stage(rooted.join(several, "bucket"), "mixed")
     drop(rooted)
     return found
 
 
-def _heads(rows: DataFrame, step: int, *columns: str) -> DataFrame:
-    """bucket and columns, as head_..., of one member of each bucket: the one of the highest score first, then others at random."""
-    if step:
-        return rows.groupBy("bucket").agg(*[F.min_by(c, F.xxhash64("id", F.lit(step))).alias(f"head_{c}") for c in columns])
+def _heads(rows: DataFrame, *columns: str) -> DataFrame:
+    """bucket and columns, as head_..., of the member of each bucket that has the highest score."""
     best = rows.groupBy("bucket").agg(F.max("score").alias("score"))
     return rows.join(best, ["bucket", "score"]).groupBy("bucket").agg(*[F.min_by(c, "id").alias(f"head_{c}") for c in columns])
 
 
-def _led(rows: DataFrame, step: int) -> DataFrame:
+def _led(rows: DataFrame) -> DataFrame:
     """a, b: each line b with one leader a of its buckets that is of another component and may be similar."""
-    held = rows.join(_heads(rows, step, "id", "root", "tags"), "bucket").where((F.col("root") != F.col("head_root")) & _possible(F.col("tags"), F.col("head_tags")))
-    return held.groupBy(F.col("id").alias("b")).agg(F.min_by("head_id", F.xxhash64("head_id", F.lit(step))).alias("a")).select("a", "b")
-
-
-def _blocked(rows: DataFrame) -> DataFrame:
-    """a, b: every pair of members of a bucket that are of different components and may be similar. Members are dealt over
-    blocks of about BLOCK; those outside of the leader's component, of which every such pair has one, go to each block."""
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes.join(_heads(rows, 0, "root"), "bucket"), "bucket")
-    own = ["id", "root", "tags"]
-    x = dealt.where("root != head_root").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *own).alias("x")
-    y = dealt.select("bucket", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int").alias("block"), *own).alias("y")
+    held = rows.join(_heads(rows, "id", "root", "tags"), "bucket").where((F.col("root") != F.col("head_root")) & _possible(F.col("tags"), F.col("head_tags")))
+    return held.groupBy(F.col("id").alias("b")).agg(F.min_by("head_id", F.xxhash64("head_id")).alias("a")).select("a", "b")
+
+
+def _sketched(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """id, size (of the shingle set), w0, w1 ... (a bitmap in which each shingle of the set turns one bit over), buckets."""
+    own = rows.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+    each = texts.join(own.select("id").hint("shuffle_hash"), "id", "left_semi").select("id", F.explode(shingle_set(F.col("line"))).alias("s"))
+    word, bit = F.shiftright("s", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(s & 63 as int))")
+    return each.groupBy("id").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0))).alias(f"w{k}") for k in range(WORDS)]).join(own, "id")
+
+
+def _close(x: str, y: str, least: float) -> Column:
+    """False only for pairs that are less similar: sets that differ in d shingles have bitmaps that differ in d bits or fewer."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}"))) for k in range(WORDS)])
+    m, n = F.col(f"{x}.size"), F.col(f"{y}.size")
+    return (F.least(m, n) + 1e-6 >= least * F.greatest(m, n)) & (differ * (1 + least) <= (1 - least) * (m + n) + 1e-6)
+
+
+def _blocked(rows: DataFrame, sketches: DataFrame, least: float, block: int, own: bool) -> DataFrame:
+    """a, b: pairs of members of a bucket that are of different components and may be similar, each in the first bucket that
+    both are in. Members are dealt over blocks of about `block`. If `own`, only those in one block meet; else every pair does, as members
+    outside of the leader's component, of which each such pair has one, go to all blocks."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes.join(_heads(rows, "root"), "bucket"), "bucket").join(sketches, "id").withColumn("out", F.col("root") != F.col("head_root"))
+    kept = ["id", "root", "tags", "out", "size", *[f"w{k}" for k in range(WORDS)], "buckets"]
+    at = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
+    x = dealt.where("out").select("bucket", (at if own else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"), *kept).alias("x")
+    y = dealt.select("bucket", at.alias("block"), *kept).alias("y")
     met = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("bucket", "block")]
-    pairs = x.join(y, reduce(Column.__and__, [*met, F.col("x.root") != F.col("y.root"), _possible(F.col("x.tags"), F.col("y.tags"))]))
+    once = (F.col("x.id") < F.col("y.id")) | ~F.col("y.out")
+    first = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")
+    pairs = x.join(y, reduce(Column.__and__, [*met, F.col("x.root") != F.col("y.root"), once, _possible(F.col("x.tags"), F.col("y.tags")), _close("x", "y", least), first]))
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def _verified(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The similar ones of the pairs (a, b)."""
+    pairs = stage(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    lines = stage(texts.join(ids.hint("shuffle_hash"), "id", "left_semi"), "lines")
+    found = stage(similar(pairs, lines, least), "similar")
+    drop(lines, pairs)
+    return found
+
+
 def _links(texts: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """a, b: verified links between distinct lines, with the components of all similar pairs that share a bucket."""
-    found = None
-    for step in range(LEADERS + 1):
-        rows = _mixed(members, found)
-        pairs = stage(_led(rows, step) if step < LEADERS else _blocked(rows), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        lines = stage(texts.join(ids.hint("shuffle_hash"), "id", "left_semi"), "lines")
-        ok = stage(similar(pairs, lines, least), "similar")
-        drop(lines, pairs)
-        if found is not None:
-            drop(rows)
-        found = ok if found is None else found.unionByName(ok)
+    found = _verified(texts, _led(members.withColumn("root", F.col("id"))), least)
+    rows = _mixed(members, found)
+    sketches = stage(_sketched(texts, rows), "sketches")
+    found = found.unionByName(_verified(texts, _blocked(rows, sketches, least, OWN, True), least))
+    rest = _mixed(rows.drop("root"), found)
+    found = found.unionByName(_verified(texts, _blocked(rest, sketches, least, BLOCK, False), least))
+    drop(rows, rest, sketches)
     return found
 
 

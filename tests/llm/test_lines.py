@@ -124,3 +124,23 @@ def test_short_lines_and_a_row_for_each_line(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.doc_id, r.line): (r.keep_doc, r.keep_line, r.kept) for r in L.op1_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {(1, 0): (1, 0, True), (1, 1): (1, 1, True), (1, 2): (1, 2, True), (2, 0): (1, 2, False), (2, 1): (1, 0, False), (2, 2): (2, 2, True), (3, 0): (3, 0, True), (None, 0): (None, 0, True), (4, 0): (4, 0, True)}
+
+
+def test_unlike_lines_of_a_bucket_make_no_pairs(spark, monkeypatch):
+    """Lines of one template, alike by 0.6 to 0.75: their pairs share a bucket and agree in their tags, but make no rows."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    template = " ".join(word() for _ in range(40))
+    docs = [(i, template + " " + " ".join(word() for _ in range(9))) for i in range(120)]
+    texts = L._distinct(L._numbered(spark.createDataFrame(docs, "doc_id long, text string")))
+    members = L._signed(texts).select("id", "tags", F.lit(1).cast("long").alias("bucket"), F.pmod("id", F.lit(7)).alias("score"))
+    seen = []
+    similar = L.similar
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(L, "similar", counted)
+    assert L._links(texts, members, L.SIMILARITY).count() == 0
+    assert sum(seen) <= 2 * len(docs)
