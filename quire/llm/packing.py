@@ -29,8 +29,11 @@ JOINED = 256
 SLICE = 1 << 20
 #: Marks that a run may end in; none is a letter, a digit or a blank.
 MARKS = ".,;:!?%$*#&|<>()\"-"
+_MARKED = frozenset(MARKS)
+#: What a run that can follow another in one text begins with.
+_JOINS = frozenset(" \n")
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?=[ \n])")
-_BLANKS = re.compile(r"\s[ \n]|\x00")
+_BLANKS = re.compile(r"[ \n\x00](?:(?<=\x00)|(?<=\s[ \n]))")
 
 
 def default_tokenizer() -> str:
@@ -95,48 +98,47 @@ class Encoder:
     def _join(self, lists: list[list[str]]) -> list[bytes]:
         known = self.known
         distinct = set().union(*lists)
-        new = [run for run in distinct if run not in known]
+        new = distinct.difference(known)
         if len(known) + len(new) > CACHE:
             known.clear()
-            new = list(distinct)
+            new = distinct
         learned = self._learn(new)
         get = known.__getitem__
         out = [b"".join(map(get, runs_)) for runs_ in lists]
-        for run in learned:
-            if len(run) > 256:
-                known.pop(run, None)
+        for run in [r for r in learned if len(r) > 256]:
+            known.pop(run, None)
         return out
 
-    def _learn(self, new: list[str]) -> list[str]:
+    def _learn(self, new: set[str]) -> set[str]:
         """The runs that are in the cache now. A tail of marks after a letter is a pre-token of its own, so that such a run has
         the ids of its word and of its tail."""
         known = self.known
-        cut, whole = [], []
-        for run in new:
+        cut = []
+        for run in [r for r in new if r[-1:] in _MARKED]:
             word = run.rstrip(MARKS)
-            if len(word) < len(run) and word[-1:].isalpha():
+            if word[-1:].isalpha():
                 cut.append((run, word, run[len(word) :]))
-            else:
-                whole.append(run)
-        parts = {x for _, word, tail in cut for x in (word, tail) if x not in known}
-        known.update(self._encode(list(parts.union(whole))))
+        parts = {x for _, word, tail in cut for x in (word, tail)}.difference(known)
+        self._encode(parts.union(new.difference([run for run, _, _ in cut])))
         for run, word, tail in cut:
             known[run] = known[word] + known[tail]
-        return [*new, *parts]
+        return new.union(parts)
 
-    def _encode(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
-        joinable = [r for r in new if r and r[0] in " \n" and not r[-1].isspace()]
-        alone = [r for r in new if not (r and r[0] in " \n" and not r[-1].isspace())]
+    def _encode(self, new: set[str]) -> None:
+        known = self.known
+        alone = [r for r in new if r[:1] not in _JOINS or r[-1].isspace()]
+        joinable = list(new.difference(alone))
         groups = [joinable[k : k + JOINED] for k in range(0, len(joinable), JOINED)] + [[r] for r in alone]
         found = self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)
         for group, made in zip(groups, found, strict=True):
             ids = np.array(made.ids, dtype="<u4")
-            ends = np.cumsum([len(r.encode()) for r in group])
-            cuts = 4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right") if len(ids) else np.zeros(len(group), int)
-            raw, at = ids.tobytes(), 0
-            for run, cut in zip(group, cuts.tolist(), strict=True):
-                yield run, raw[at:cut]
-                at = cut
+            raw = ids.tobytes()
+            if len(group) == 1:
+                known[group[0]] = raw
+                continue
+            ends = np.cumsum(list(map(len, map(str.encode, group))))
+            cuts = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right")).tolist()
+            known.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
 
 
 _ENCODERS: dict[str, Encoder] = {}
