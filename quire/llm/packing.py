@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import narrow, ship, stage, table
+from .common import narrow, ship, stage, table, worker_cache
 
 END = 1
 SIZE = 2048
@@ -141,13 +141,11 @@ class Encoder:
             known.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    held = worker_cache("packing")
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, ship, table
+from .common import narrow, ship, table, worker_cache
 
 BITS = 18
 SAMPLE = 20_000
@@ -28,7 +28,8 @@ EPOCHS = 12
 #: A row is kept if its probability of the top grade reaches this.
 TAIL = 0.5
 _SYMBOL = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
-_KNOWN: dict[bytes, tuple[int, ...]] = {}
+#: Rows whose features are made at a time for the fit, so that a batch's features never lie in a worker together.
+ROWS = 512
 
 
 def _slot(name: bytes) -> int:
@@ -54,14 +55,15 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     found: dict[int, int] = {}
+    known = worker_cache("quality")
     for word, n in Counter(words).items():
-        slots = _KNOWN.get(word)
+        slots = known.get(word)
         if slots is None:
             slots = _traits(word)
             if len(word) < 64:
-                if len(_KNOWN) >= 300_000:
-                    _KNOWN.clear()
-                _KNOWN[word] = slots
+                if len(known) >= 300_000:
+                    known.clear()
+                known[word] = slots
         for s in slots:
             found[s] = found.get(s, 0) + n
     again = sum(map(operator.eq, words, words[1:]))
@@ -142,9 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cumulativ
     both = narrow(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = [features(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"], "slots": [s.tobytes() for s, _ in made], "vals": [v.tobytes() for _, v in made]})
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                b = batch.iloc[at : at + ROWS]
+                made = [features(t) for t in b["text"]]
+                yield pd.DataFrame({"doc_id": b["doc_id"], "grade": b["grade"], "slots": [s.tobytes() for s, _ in made], "vals": [v.tobytes() for _, v in made]})
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "grade"])

@@ -96,3 +96,28 @@ def test_fit_against_numerical_gradients():
             at_squares += ga**2
             at = np.sort(at - 0.3 * ga / at_squares**0.5)
     assert np.allclose(got.weights[:6], w, atol=1e-4) and np.allclose(got.thresholds, at, atol=1e-4)
+
+
+def test_a_worker_holds_one_operators_cache():
+    """Workers live on from packing to the classifier of the next run; the caches of both would lie in them together."""
+    import gc
+    import weakref
+
+    from quire.llm import packing
+
+    held = weakref.ref(packing.encoder(packing.default_tokenizer()))
+    assert held() is packing.encoder(packing.default_tokenizer())
+    Q.features("some words")
+    gc.collect()
+    assert held() is None
+
+
+def test_features_of_the_fit_come_a_few_at_a_time(spark, monkeypatch):
+    """The model is the same, however many rows' features are made together."""
+    rows = corpus(60, 3)
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], DOCS).repartition(2)
+    labels = spark.createDataFrame([(i, int(g == 2), int(g == 0)) for i, _, g in rows], "doc_id long, quality int, toxic int")
+    whole = Q.train(docs, labels)
+    monkeypatch.setattr(Q, "ROWS", 7)
+    parts = Q.train(docs, labels)
+    assert np.array_equal(whole.weights, parts.weights) and np.array_equal(whole.thresholds, parts.thresholds)
