@@ -144,3 +144,41 @@ def test_unlike_lines_of_a_bucket_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(L, "similar", counted)
     assert L._links(texts, members, L.SIMILARITY).count() == 0
     assert sum(seen) <= 2 * len(docs)
+
+
+def test_sets_of_a_pair_are_made_once_in_compiled_code(spark):
+    """Similarity of exactly 0.8 counts, and one shingle less doesn't; sets are no work of interpreted lambdas or repeated filters."""
+    text = "abcdefghijkl"  # 8 shingles
+    rows = [(1, text), (2, text + "mn"), (3, text + "mno"), (4, "ab"), (5, "ab"), (6, "é日本語€" * 3), (7, "é日本語€" * 4)]
+    lines = spark.createDataFrame(rows, "id long, line string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 5), (1, 4), (6, 7)], "a long, b long")
+    found = L.similar(pairs, lines, 0.8)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 2), (2, 3), (4, 5), (6, 7)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and plan.count("array_intersect") == 1
+    assert all("Generate" in x for x in plan.split("\n") if "regexp_extract_all" in x or "array_intersect" in x)
+
+
+def test_leaders_come_from_one_aggregate(spark):
+    rows = [(1, 10, 5, 7), (1, 11, 9, 8), (1, 12, 9, 6), (2, 13, 1, 3)]
+    members = spark.createDataFrame(rows, "bucket long, id long, score long, tags long").withColumn("root", F.col("id") + 100)
+    heads = L._heads(members, "id", "root", "tags")
+    got = {r.bucket: (r.head_id, r.head_root, r.head_tags) for r in heads.collect()}
+    assert got[1] in {(11, 111, 8), (12, 112, 6)} and got[2] == (13, 113, 3)
+    assert "Join" not in heads._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sketches_hold_size_and_parity_of_every_set(spark):
+    text = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(k, text[:k]) for k in (1, 5, 11, 12, 13, 20, 21, 36)] + [(100, "ab" * 30), (101, "日本語" * 30)]
+    lines = spark.createDataFrame(rows, "id long, line string")
+    members = lines.select("id", F.lit(1).cast("long").alias("bucket"))
+    sets = {r.id: r.s for r in lines.select("id", L.shingle_set(F.col("line")).alias("s")).collect()}
+    got = {r.id: r for r in L._sketched(lines, members).collect()}
+    assert set(got) == set(sets)
+    for i, s in sets.items():
+        words = [0] * L.WORDS
+        for x in s:
+            words[(x >> 6) % L.WORDS] ^= 1 << (x & 63)
+        assert got[i]["size"] == len(s)
+        assert [got[i][f"w{k}"] % 2**64 for k in range(L.WORDS)] == words
